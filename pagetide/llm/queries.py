@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import simhash
-from pagetide.llm.common import table
+from pagetide.llm import bpe, langid, lm, media, simhash, warc
+from pagetide.llm.common import id_crc, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.withColumn("held", id_crc() % 4 == 2), train=~F.col("held"), id_col="doc_id")
+    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +24,39 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("width") * F.col("height")).alias("payload_bytes"),
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_and_decode(table(spark, sf_dir, "documents"), with_ids=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_texts(table(spark, sf_dir, "documents"), train=id_crc() % 10 != 0)
+    return found.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
