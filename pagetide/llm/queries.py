@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, langid, lm, media, simhash, warc
+from pagetide.llm import bpe, extract, langid, lm, media, simhash, warc
 from pagetide.llm.common import id_crc, table
 
 
@@ -24,6 +24,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(table(spark, sf_dir, "documents"))
     return found.select(
@@ -56,7 +60,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op4_html_extraction, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
