@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, extract, langid, lm, media, simhash, warc
+from pagetide.llm import bpe, extract, langid, lm, media, quality, simhash, warc
 from pagetide.llm.common import id_crc, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.withColumn("held", id_crc() % 4 == 2), train=~F.col("held"), id_col="doc_id")
-    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("id").alias("doc_id"), (id_crc("id") % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,21 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score_texts(docs, quality.fit(docs, labels.where(id_crc() % 5 != 0)))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (id_crc("id") % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_lines",
+        "bad_lines",
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op4_html_extraction, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op4_html_extraction, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
