@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, extract, langid, linededup, lm, media, quality, simhash, warc
+from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, simhash, warc
 from pagetide.llm.common import id_crc, table
 
 
@@ -24,6 +24,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -78,7 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,9 +38,14 @@ class Hasher:
         return mix((total[ends] - total[starts]) * self.down[starts])
 
 
-def split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text number of the words `[^\\x20\\x09-\\x0D]+` of texts laid end to end."""
-    solid = ~SPACE[data]
+#: Letters, digits and all bytes of non-ASCII characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def split(data: np.ndarray, off: np.ndarray, members: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text number of the words `[^\\x20\\x09-\\x0D]+` (or runs of the given bytes) of texts laid end to end."""
+    solid = ~SPACE[data] if members is None else members[data]
     begin, fin = solid.copy(), solid.copy()
     if len(data):
         begin[1:] &= ~solid[:-1]
@@ -83,3 +88,19 @@ class Table:
             return np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.order[at], -1).astype(np.int64)
+
+
+def most_frequent(counts, size: int, column: str = "n"):
+    """At most `size` rows with the largest counts: whole classes of counts (16 to an octave) from the top, so that no sort of
+    all rows is needed and every partition drops its own share."""
+    from pyspark.sql import functions as F
+
+    level = F.floor(F.log2(column) * 16).cast("int")
+    classes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
+    left, least = size, None
+    for r in sorted(classes, key=lambda r: -r["level"]):
+        left -= r["rows"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counts.where(level >= least) if least is not None else counts.limit(0)
