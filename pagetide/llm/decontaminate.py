@@ -174,6 +174,24 @@ def search(index: dict, h: np.ndarray, bounds: np.ndarray, doc: np.ndarray, max_
     return [(d, i, *got) for (d, i), got in best.items()]
 
 
+def _blocks(items: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """The items' indexes, broadcast block by block."""
+    sc = items.sparkSession.sparkContext
+    want = items.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
+    size = want.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    for k in range(n_blocks):
+        block = want.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else want
+        yield sc.broadcast(index_items([(r["item_id"], r["text"]) for r in block.collect()]))
+
+
+def _hits(ix: dict, hasher: Hasher, texts: pa.Array, max_edits: float) -> list[tuple[int, int, int, int, int]]:
+    off, data = string_buffers(texts)
+    data = LOWER[data]
+    starts, ends, doc = split(data, off, ALNUM)
+    return search(ix, hasher(data, starts, ends), np.searchsorted(doc, np.arange(len(off))), doc, max_edits)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, edits, n_words, first_word, end_word): documents that hold a stretch within max_edits of an item's words.
 
@@ -182,25 +200,17 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     of fewer than 1 / max_edits words must occur exactly; repeated rows and items each give their rows; empty tables give
     an empty one.
     """
-    spark = docs.sparkSession
-    want = items.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
-    size = want.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(size) // BLOCK_BYTES))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    out = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("item_id", want.schema["item_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("edits", "n_words", "first_word", "end_word")])
-    item_type = pa.int64() if isinstance(want.schema["item_id"].dataType, T.LongType) else None
+    id_field = items.schema[item_col].dataType
+    out = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("item_id", id_field)] + [T.StructField(c, T.LongType()) for c in ("edits", "n_words", "first_word", "end_word")])
+    item_type = pa.int64() if isinstance(id_field, T.LongType) else None
 
     def searcher(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, ix = Hasher(), index.value
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
-                    off, data = string_buffers(part.column("text"))
-                    data = LOWER[data]
-                    starts, ends, doc = split(data, off, ALNUM)
-                    h = hasher(data, starts, ends)
-                    bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                    rows = search(ix, h, bounds, doc, max_edits)
+                    rows = _hits(ix, hasher, part.column("text"), max_edits)
                     if rows:
                         d, i, edits, a, b = map(list, zip(*rows, strict=True))
                         cols = [part.column("id").take(pa.array(d)), pa.array([ix["ids"][k] for k in i], item_type), pa.array(edits, pa.int64()), pa.array([len(ix["words"][k]) for k in i], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
@@ -209,9 +219,26 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
         return run
 
     found = None
-    for k in range(n_blocks):
-        block = want.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else want
-        index = spark.sparkContext.broadcast(index_items([(r["item_id"], r["text"]) for r in block.collect()]))
+    for index in _blocks(items, item_col, item_text):
         rows = src.mapInArrow(searcher(index), out)
         found = rows if found is None else found.union(rows)
     return found
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no stretch within max_edits of an item's words."""
+
+    def cleaner(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, ix = Hasher(), index.value
+            for batch in batches:
+                for part in slices(batch, text_col, 1 << 20):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[r[0] for r in _hits(ix, hasher, part.column(text_col), max_edits)]] = False
+                    yield part.filter(pa.array(clean))
+
+        return run
+
+    for index in _blocks(items, item_col, item_text):
+        docs = docs.mapInArrow(cleaner(index), docs.schema)
+    return docs

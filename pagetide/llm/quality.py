@@ -176,6 +176,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"weights": weights, "trans": trans}
 
 
+def _scores(m: dict, hasher: Hasher, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, number of lines and of bad lines of texts laid end to end."""
+    n = len(off) - 1
+    x, size, doc = features(data, off, hasher)
+    good = np.full(len(doc), m["share"]) if m["weights"] is None else Chains(doc).marginals(x @ m["weights"], m["trans"])[0]
+    weight = np.maximum(size, 1)
+    score = np.clip(np.bincount(doc, weight * good, n) / np.bincount(doc, weight, n), 0, 1)
+    return score, np.bincount(doc, minlength=n), np.bincount(doc, good < 0.5, n).astype(np.int64)
+
+
+def keep_good(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores `threshold` at least."""
+    state = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                off, data = string_buffers(part.column(text_col))
+                yield part.filter(pa.array(_scores(state.value, hasher, off, data)[0] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_lines, bad_lines), one row per row of docs.
 
@@ -190,13 +214,8 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "text"):
                 off, data = string_buffers(part.column("text"))
-                x, size, doc = features(data, off, hasher)
-                good = np.full(len(doc), m["share"]) if m["weights"] is None else Chains(doc).marginals(x @ m["weights"], m["trans"])[0]
-                weight = np.maximum(size, 1)
-                n = part.num_rows
-                score = np.clip(np.bincount(doc, weight * good, n) / np.bincount(doc, weight, n), 0, 1)
-                bad = np.bincount(doc, good < 0.5, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array(np.bincount(doc, minlength=n)), pa.array(bad)], names=["id", "score", "n_lines", "bad_lines"])
+                score, n_lines, bad = _scores(m, hasher, off, data)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array(n_lines), pa.array(bad)], names=["id", "score", "n_lines", "bad_lines"])
 
     out = [T.StructField("id", src.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_lines", T.LongType()), T.StructField("bad_lines", T.LongType())]
     return src.mapInArrow(run, T.StructType(out))

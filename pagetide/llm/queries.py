@@ -82,8 +82,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ codewords within four bits (one or six a segment). No link can be missed; the di
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import materialize, only
+from pagetide.llm.common import materialize, only, slices, string_buffers
 from pagetide.llm.components import connected_components
+from pagetide.llm.words import LOWER, Hasher, mix, split
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the generator of the Golay code.
 GENERATOR = 0xAE3
@@ -85,32 +87,34 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return src.mapInArrow(run, "id long, fp long")
 
 
-def _keys(nodes: DataFrame, probe: bool) -> DataFrame:
-    """(key int, fp long): the stored keys of each fingerprint, or those it is looked up under."""
+def _keys(nodes: DataFrame, probe: bool, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(key long, fp long): the stored keys of each node (its first column), or those it is looked up under, for each fingerprint column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, near, count = golay_tables()
         for whole in batches:
             for lo in range(0, whole.num_rows, 8192):
-                fps = np.asarray(whole.column(0).slice(lo, 8192)).astype(np.int64)
-                bits = fps.view(np.uint64)
-                index, valid = [], []
-                for first, size in SEGMENTS:
-                    word = (bits >> np.uint64(first) & np.uint64((1 << size) - 1)).astype(np.int64)
-                    syn = _mod_g(word)
-                    if probe:
-                        index.append((word[:, None] ^ near[syn]) >> 11)
-                        valid.append(np.arange(6)[None, :] < count[syn][:, None])
-                    else:
-                        index.append((word ^ leader[syn])[:, None] >> 11)
-                        valid.append(np.ones((len(word), 1), bool))
-                for p, (a, b) in enumerate(PAIRS):
-                    key = (p << 24) | (index[a][:, :, None] << 12) | index[b][:, None, :]
-                    ok = valid[a][:, :, None] & valid[b][:, None, :]
-                    row, i, j = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[row, i, j].astype(np.int32)), pa.array(fps[row])], names=["key", "fp"])
-
-    return nodes.select("fp").mapInArrow(run, "key int, fp long")
+                part = whole.slice(lo, 8192)
+                node = np.asarray(part.column(0)).astype(np.int64)
+                for nth in range(len(columns)):
+                    bits = np.asarray(part.column(nth + 1)).astype(np.int64).view(np.uint64)
+                    index, valid = [], []
+                    for first, size in SEGMENTS:
+                        word = (bits >> np.uint64(first) & np.uint64((1 << size) - 1)).astype(np.int64)
+                        syn = _mod_g(word)
+                        if probe:
+                            index.append((word[:, None] ^ near[syn]) >> 11)
+                            valid.append(np.arange(6)[None, :] < count[syn][:, None])
+                        else:
+                            index.append((word ^ leader[syn])[:, None] >> 11)
+                            valid.append(np.ones((len(word), 1), bool))
+                    for p, (a, b) in enumerate(PAIRS):
+                        key = (nth * len(PAIRS) + p << 24) | (index[a][:, :, None] << 12) | index[b][:, None, :]
+                        row, i, j = np.nonzero(valid[a][:, :, None] & valid[b][:, None, :])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[row, i, j]), pa.array(node[row])], names=["key", "fp"])
+
+    own = nodes.columns[0]
+    return nodes.select(F.col(own).alias("node"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "key long, fp long")
 
 
 def _local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,16 +175,12 @@ def _link(most_bits: int):
     return run
 
 
-def golay_links(nodes: DataFrame, most_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp long) -> links (u, v) with the same connected components as all pairs within `most_bits`.
+def _candidates(nodes: DataFrame, columns: tuple[str, ...], block: int) -> DataFrame:
+    """(k long, side byte, fp long): stored (0) and looked-up (1) nodes by key, sorted by k and side inside partitions.
 
-    Links of one group of candidates come out as a spanning forest, so a dense group of copies gives as many rows as it
-    has members, not their square. `most_bits` may be 0 to 3.
+    A key with over `block` stored nodes is split into blocks of both sides, and each pair of blocks is a group of its own.
     """
-    if not 0 <= most_bits <= 3:
-        raise ValueError("the Golay keys cover at most three differing bits")
-    spark = nodes.sparkSession
-    stored, probed = _keys(nodes, False), _keys(nodes, True)
+    stored, probed = _keys(nodes, False, columns), _keys(nodes, True, columns)
     large = materialize(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "golay-large")
     n_large = large.count()
     if n_large:
@@ -193,16 +193,25 @@ def golay_links(nodes: DataFrame, most_bits: int = 3, block: int = BLOCK) -> Dat
             other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
             rows = rows.withColumn("own", own).withColumn("other", other)
             bx, by = ("other", "own") if side == 0 else ("own", "other")
-            k = F.col("key").cast("long") * (1 << 36) + F.col(bx) * (1 << 18) + F.col(by)
+            k = F.col("key") * (1 << 32) + F.col(bx) * (1 << 16) + F.col(by)
             return rows.select(k.alias("k"), F.lit(side).cast("byte").alias("side"), "fp")
     else:
 
         def dealt(rows: DataFrame, side: int) -> DataFrame:
-            return rows.select(F.col("key").cast("long").alias("k"), F.lit(side).cast("byte").alias("side"), "fp")
+            return rows.select(F.col("key").alias("k"), F.lit(side).cast("byte").alias("side"), "fp")
+
+    return dealt(stored, 0).union(dealt(probed, 1)).repartition("k").sortWithinPartitions("k", "side")
+
+
+def golay_links(nodes: DataFrame, most_bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """Distinct fingerprints (fp long) -> links (u, v) with the same connected components as all pairs within `most_bits`.
 
-    del spark
-    rows = dealt(stored, 0).union(dealt(probed, 1))
-    return rows.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_link(most_bits), "u long, v long").distinct()
+    Links of one group of candidates come out as a spanning forest, so a dense group of copies gives as many rows as it
+    has members, not their square. `most_bits` may be 0 to 3.
+    """
+    if not 0 <= most_bits <= 3:
+        raise ValueError("the Golay keys cover at most three differing bits")
+    return _candidates(nodes.select("fp"), ("fp",), block).mapInArrow(_link(most_bits), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,3 +229,146 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, id_col:
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
     by_fp = placed.join(least, "root").select("fp", "component")
     return only(fps, "id", "fp").join(by_fp, "fp").select("id", "fp", "component")
+
+
+#: Fingerprints of the word set that candidates come from, and words of the signature over shingles that decides.
+KEY_WORDS = 3
+SIGNATURE_WORDS = 8
+_SEEDS = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) for k in range(KEY_WORDS + SIGNATURE_WORDS)]
+
+
+def _simhash(h: np.ndarray, seed: int) -> int:
+    """64-bit SimHash of distinct hashes, by another hash function for each seed."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        bits = mix(h[at : at + (1 << 15)] ^ np.uint64(seed))
+        counts += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << b for b in np.flatnonzero(2 * counts > len(h)).tolist())
+
+
+def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, k0.., signature binary): SimHashes of a text's set of words, and a longer one of its set of word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                off, data = string_buffers(part.column("text"))
+                data = LOWER[data]
+                starts, ends, doc = split(data, off)
+                h = hasher(data, starts, ends)
+                bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                keys, signs = [[] for _ in range(KEY_WORDS)], []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    words = h[a:b]
+                    shingle = np.zeros(max(1, len(words) - width + 1) if len(words) else 0, np.uint64)
+                    for i in range(min(width, len(words))):
+                        shingle = mix(shingle + words[i : i + len(shingle)] * np.uint64(2 * i + 3))
+                    own, run_of = np.unique(words), np.unique(shingle)
+                    for k in range(KEY_WORDS):
+                        keys[k].append(_simhash(own, _SEEDS[k]))
+                    signs.append(np.array([_simhash(run_of, s) for s in _SEEDS[KEY_WORDS:]], np.uint64).tobytes())
+                cols = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in keys]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *cols, pa.array(signs, pa.binary())], names=["id", "key", *names, "signature"])
+
+    names = [f"k{i}" for i in range(KEY_WORDS)]
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    return src.mapInArrow(run, "id long, key long, " + ", ".join(f"{n} long" for n in names) + ", signature binary")
+
+
+def most_different_bits(similarity: float, bits: int) -> int:
+    """Differing bits up to which two signatures count as similar: those expected at the similarity (Jaccard) and one and a half deviations more."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * angle + 1.5 * math.sqrt(bits * angle * (1 - angle)))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted candidates, the rows of keys that hold a stored and a looked-up node that differ."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
+
+    def keep(k, side, fp):
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        if not len(first):
+            return None
+        low, high = np.minimum.reduceat(fp, first), np.maximum.reduceat(fp, first)
+        stored = np.add.reduceat((side == 0).astype(np.int64), first)
+        ok = np.repeat((low < high) & (stored > 0), np.diff(np.append(first, len(k))))
+        return pa.RecordBatch.from_arrays([pa.array(k[ok]), pa.array(side[ok]), pa.array(fp[ok])], names=["k", "side", "fp"])
+
+    for b in batches:
+        now = [np.concatenate([r, np.asarray(c).astype(r.dtype)]) for r, c in zip(rest, b.columns, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        got = keep(*[x[:cut] for x in now])
+        rest = [x[cut:] for x in now]
+        if got is not None and got.num_rows:
+            yield got
+    got = keep(*rest)
+    if got is not None and got.num_rows:
+        yield got
+
+
+def _link_signed(most_bits: int):
+    """Like _link, by the distance of signatures; held are the stored nodes of the current key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, signs = None, np.zeros(0, np.int64), np.zeros((0, SIGNATURE_WORDS), np.uint64)
+        for batch in batches:
+            k, side, fp = (np.asarray(batch.column(i)) for i in range(3))
+            _, raw = string_buffers(batch.column(3))
+            sign = raw.view(np.uint64).reshape(-1, SIGNATURE_WORDS) if len(raw) else np.zeros((0, SIGNATURE_WORDS), np.uint64)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else [0]
+            us, vs = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if k[lo] != now:
+                    now, nodes, signs = k[lo], nodes[:0], signs[:0]
+                mid = lo + int((side[lo:hi] == 0).sum())
+                nodes, signs = np.concatenate([nodes, fp[lo:mid]]), np.concatenate([signs, sign[lo:mid]])
+                each = max(1, (1 << 17) // max(1, len(nodes)))
+                for at in range(mid, hi, each):
+                    upto = min(hi, at + each)
+                    d = np.bitwise_count(sign[at:upto, None, :] ^ signs[None]).sum(axis=2, dtype=np.int64)
+                    x, y = np.nonzero((d <= most_bits) & (fp[at:upto, None] != nodes[None]))
+                    if len(x):
+                        u, v = _local_roots(fp[at:upto][x], nodes[y])
+                        us.append(u)
+                        vs.append(v)
+            if us:
+                u, v = _local_roots(np.concatenate(us), np.concatenate(vs))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, key, group): documents whose sets of `width`-word shingles are similar, grouped over all such links; key is the hash of the text.
+
+    Golay keys of three fingerprints of a text's word set find candidates: where a shingle set keeps 0.8, the word set
+    keeps far more, so that few of its bits differ. The distance of 512-bit SimHash signatures over the shingles decides.
+    Texts without a word form one group; a text shorter than a shingle is one shingle. Links come out as spanning
+    forests, so groups are exact for the links found. Null ids and repeated rows keep their rows.
+    """
+    rows = materialize(sketches(docs, width, id_col, text_col), "sketches")
+    names = [f"k{i}" for i in range(KEY_WORDS)]
+    placed = rows.withColumn("node", F.xxhash64(*names, "signature"))
+    nodes = materialize(placed.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.first("signature").alias("signature")), "sketch-nodes")
+    shared = materialize(_candidates(nodes.select("node", *names), tuple(names), block).mapInArrow(_shared, "k long, side byte, fp long"), "sketch-candidates")
+    signed = shared.join(nodes.select(F.col("node").alias("fp"), "signature"), "fp").select("k", "side", "fp", "signature")
+    bits = most_different_bits(similarity, 64 * SIGNATURE_WORDS)
+    links = signed.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_link_signed(bits), "u long, v long").distinct()
+    roots = connected_components(links).withColumnRenamed("root", "group")
+    return placed.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("group", "node").alias("group"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar_groups: the one with the smallest id (null last), then the smallest text hash."""
+    groups = materialize(similar_groups(docs, width, similarity, id_col, text_col), "similar-groups")
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    first = groups.groupBy("group").agg(F.min(rank).alias("f"), F.count("*").alias("n")).select(F.col("f.id").alias("keep_id"), F.col("f.key").alias("keep_key"))
+    twins = groups.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    kept = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
+    if twins.isEmpty():
+        return kept
+    return kept.withColumn("__key", key).dropDuplicates([id_col, "__key"]).drop("__key")
