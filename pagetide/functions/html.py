@@ -36,10 +36,12 @@ def decode_references(c: Column) -> Column:
     code = lambda t: F.when(t.rlike(r"^&#[xX]"), F.conv(F.regexp_extract(t, r"^&#[xX]0*([0-9A-Fa-f]{1,6});?$", 1), 16, 10)).otherwise(F.regexp_extract(t, r"^&#0*([0-9]{1,7});?$", 1))
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
-    def one(t: Column) -> Column:
+    def numeric(t: Column) -> Column:
         n = F.try_to_number(F.nullif(code(t), F.lit("")), F.lit("9999999")).cast("long")
-        valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-        return F.when(t.startswith("&#"), F.when(valid, char(n)).otherwise("�")).otherwise(F.coalesce(F.try_element_at(known, t), t))
+        return urls.let(n, lambda k: F.when(k.between(1, 0x10FFFF) & ~k.between(0xD800, 0xDFFF), char(k)).otherwise("�"))
+
+    def one(t: Column) -> Column:
+        return F.when(t.startswith("&#"), numeric(t)).otherwise(F.coalesce(F.try_element_at(known, t), t))
 
     pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"), 1)
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
@@ -53,72 +55,68 @@ def tokens(html: Column) -> Column:
     return F.regexp_extract_all(h, F.lit(TOKEN), 1)
 
 
-def _tag(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
-
-
 def _attribute(token: Column, name: str) -> Column:
     value = rf"(?i)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    return decode_references(F.coalesce(*[F.nullif(F.regexp_extract(token, value, i), F.lit("")) for i in (1, 2, 3)]))
+    return F.nullif(F.concat(*[F.regexp_extract(token, value, i) for i in (1, 2, 3)]), F.lit(""))
+
 
+def marked_tokens(html: Column, url: Column) -> Column:
+    """Array of (token, tag, attr, destination): tokens in order; attr and destination only where a start tag leads somewhere.
 
-def destination(token: Column) -> Column:
-    """(tag, attr, value) of a start tag that leads somewhere, else null."""
-    tag, out = _tag(token), F.lit(None).cast("struct<tag:string,attr:string,value:string>")
-    for name, attr in DESTINATIONS.items():
-        value = _attribute(token, attr)
-        hit = token.startswith("<") & ~token.startswith("</") & (tag == name) & value.isNotNull()
-        out = F.when(hit, F.struct(F.lit(name).alias("tag"), F.lit(attr).alias("attr"), value.alias("value"))).otherwise(out)
-    return out
+    Each step is a transform over the structs of the one before, so that nothing is computed twice.
+    """
+    tagged = F.transform(tokens(html), lambda t: F.struct(t.alias("token"), F.when(t.rlike(r"^<[A-Za-z]"), F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9:-]*)", 1))).alias("tag")))
+
+    def value(s: Column) -> Column:
+        tag, token = s["tag"], s["token"]
+        attr, raw = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name in dict.fromkeys(DESTINATIONS.values()):
+            here = tag.isin(*[t for t, a in DESTINATIONS.items() if a == name])
+            attr, raw = F.when(here, name).otherwise(attr), F.when(here, _attribute(token, name)).otherwise(raw)
+        return F.struct(token.alias("token"), tag.alias("tag"), attr.alias("attr"), raw.alias("raw"))
+
+    base = urls.base_parts(base_url(html, url))
+    found = F.transform(tagged, value)
+    resolved = lambda b: F.transform(found, lambda s: F.struct(s["token"].alias("token"), s["tag"].alias("tag"), s["attr"].alias("attr"), F.when(s["raw"].isNotNull(), urls.resolve_parts(b, decode_references(s["raw"]))).alias("destination")))
+    return urls.let(base, resolved)
 
 
 def base_url(html: Column, url: Column) -> Column:
     """What references resolve against: the first <base href>, else the page's URL."""
     href = F.regexp_extract(html, r"(?is)<base\b[^>]*?\shref\s*=\s*[\"']([^\"']+)[\"']", 1)
-    return F.when(href == "", url).otherwise(urls.resolve(url, href))
+    return F.when(~html.rlike(r"(?i)<base\b") | (href == ""), url).otherwise(urls.resolve(url, href))
 
 
 def links(html: Column, url: Column) -> Column:
     """Array of (tag, attr, destination, identity) in page order; identity is the hash of the resolved URL with its fragment."""
-    base = base_url(html, url)
-    found = F.filter(F.transform(tokens(html), destination), lambda d: d.isNotNull())
-
-    def resolved(d: Column) -> Column:
-        full = urls.resolve(base, d["value"])
-        return F.struct(d["tag"].alias("tag"), d["attr"].alias("attr"), full.alias("destination"), sha256(full).alias("identity"))
-
-    return F.transform(found, resolved)
-
-
-def _marker(tag: Column, attr: Column, identity: Column) -> Column:
-    return F.concat(F.lit("\n["), tag, F.lit(":"), attr, F.lit(":sha256:"), identity, F.lit("]\n"))
+    found = F.filter(marked_tokens(html, url), lambda s: s["destination"].isNotNull())
+    return F.transform(found, lambda s: F.struct(s["tag"].alias("tag"), s["attr"].alias("attr"), s["destination"].alias("destination"), sha256(s["destination"]).alias("identity")))
 
 
 def to_lines(html: Column, url: Column) -> Column:
     """The page's text as lines, with a hashed marker line for each destination; those past the limit in one closing marker."""
-    base = base_url(html, url)
     breaks = r"(?i)^(?:<br\b|</?(?:" + "|".join(BLOCK_TAGS) + r")\b)"
 
-    def piece(t: Column) -> Column:
-        d = destination(t)
+    def piece(s: Column) -> Column:
+        t = s["token"]
         line = F.when(t.rlike(breaks), "\n").otherwise("")
-        mark = F.concat(line, _marker(d["tag"], d["attr"], sha256(urls.resolve(base, d["value"]))))
-        return F.when(t.rlike(r"^<[/A-Za-z!?]"), F.when(d.isNotNull(), mark).otherwise(line)).otherwise(decode_references(t))
-
-    pieces = F.transform(tokens(html), piece)
-    marks = F.filter(pieces, lambda p: p.rlike(r"^\n*\[[a-z]+:[a-z]+:sha256:[0-9a-f]{64}\]\n$"))
-    over = F.size(marks) - MAX_DESTINATIONS
-    rest = F.transform(F.slice(marks, MAX_DESTINATIONS + 1, F.greatest(over, F.lit(0))), lambda m: F.concat(F.regexp_replace(m, r"[\n\[\]]|sha256:", ""), F.lit("\n")))
-    kept = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
-        lambda a, p: F.struct(
-            (a["n"] + F.when(p.rlike(r"sha256:[0-9a-f]{64}\]\n$"), 1).otherwise(0)).alias("n"),
-            F.when((a["n"] >= MAX_DESTINATIONS) & p.rlike(r"sha256:[0-9a-f]{64}\]\n$"), a["out"]).otherwise(F.array_append(a["out"], p)).alias("out"),
-        ),
-    )["out"]
-    many = F.concat(F.array_join(kept, ""), F.lit("\n[omitted-destinations:"), over.cast("string"), F.lit(":sha256:"), F.sha2(F.array_join(rest, ""), 256), F.lit("]\n"))
-    return normalize_whitespace(F.when(over > 0, many).otherwise(F.array_join(pieces, "")))
+        mark = F.concat(line, F.lit("\n["), s["tag"], F.lit(":"), s["attr"], F.lit(":sha256:"), sha256(s["destination"]), F.lit("]\n"))
+        return F.struct(s["destination"].isNotNull().alias("link"), F.when(t.rlike(r"^<[/A-Za-z!?]"), F.coalesce(mark, line)).otherwise(decode_references(t)).alias("out"))
+
+    def join(a: Column) -> Column:
+        places = F.filter(F.transform(a, lambda s, i: F.when(s["link"], i)), lambda i: i.isNotNull())
+        return F.struct(a.alias("a"), places.alias("places"))
+
+    def close(x: Column) -> Column:
+        a, places = x["a"], x["places"]
+        cut = F.get(places, F.lit(MAX_DESTINATIONS - 1))
+        kept = F.filter(a, lambda s, i: ~s["link"] | (i <= cut))
+        rest = F.transform(F.filter(a, lambda s, i: s["link"] & (i > cut)), lambda s: F.concat(F.regexp_replace(s["out"], r"[\n\[\]]|sha256:", ""), F.lit("\n")))
+        text = lambda b: F.array_join(F.transform(b, lambda s: s["out"]), "")
+        many = F.concat(text(kept), F.lit("\n[omitted-destinations:"), (F.size(places) - MAX_DESTINATIONS).cast("string"), F.lit(":sha256:"), F.sha2(F.array_join(rest, ""), 256), F.lit("]\n"))
+        return F.when(F.size(places) > MAX_DESTINATIONS, many).otherwise(text(a))
+
+    return normalize_whitespace(urls.let(join(F.transform(marked_tokens(html, url), piece)), close))
 
 
 def link_markers(text: Column) -> Column:

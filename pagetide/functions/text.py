@@ -26,7 +26,8 @@ def normalize_whitespace(c: Column) -> Column:
     """Lines by LF, runs of blanks as one space, trimmed, empty ones dropped; LF at the end unless empty."""
     t = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t\f\x0B]+", " ")
     lines = F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: x != "")
-    return F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).when(c.isNotNull(), F.lit(""))
+    joined = F.array_join(lines, "\n")
+    return F.regexp_replace(joined, r"(?s)(?<=.)\z", "\n")
 
 
 def lines(c: Column) -> Column:

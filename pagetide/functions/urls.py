@@ -62,23 +62,48 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, not once for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def base_parts(base: Column) -> Column:
+    """What references resolve against, taken apart once."""
+    path = part(base, PATH)
+    return F.struct(
+        base.alias("base"),
+        part(base, ROOT).alias("root"),
+        part(base, SCHEME).alias("scheme"),
+        F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "").alias("folder"),
+        strip_fragment(base).alias("plain"),
+        F.regexp_replace(base, r"[?#].*$", "").alias("bare"),
+    )
+
+
+def resolve_parts(b: Column, href: Column) -> Column:
+    """The absolute URL of a reference, given base_parts()."""
+
+    def flat(path: Column) -> Column:
+        return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _without_dots(path)).otherwise(path)
+
+    def body(h: Column) -> Column:
+        own, tail = F.regexp_extract(h, r"^([^?#]*)", 1), F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+        return (
+            F.when(h == "", b["base"])
+            .when(h.rlike(SCHEME), h)
+            .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(b["root"], flat(own), tail))
+            .when(h.startswith("?"), F.concat(b["bare"], h))
+            .when(h.startswith("#"), F.concat(b["plain"], h))
+            .otherwise(F.concat(b["root"], flat(F.concat(b["folder"], own)), tail))
+        )
+
+    return let(strip(href), body)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """The absolute URL that a reference on a page stands for."""
-    h = strip(href)
-    root, path = part(base, ROOT), part(base, PATH)
-    own, tail = F.regexp_extract(h, r"^([^?#]*)", 1), F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
-    dotted = own.rlike(r"(^|/)\.\.?(/|$)")
-    flat = lambda p: F.when(dotted, _without_dots(p)).otherwise(p)
-    return (
-        F.when(h == "", base)
-        .when(h.rlike(SCHEME), h)
-        .when(h.startswith("//"), F.concat(part(base, SCHEME), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, flat(own), tail))
-        .when(h.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h))
-        .when(h.startswith("#"), F.concat(strip_fragment(base), h))
-        .otherwise(F.concat(root, flat(F.concat(folder, own)), tail))
-    )
+    return let(base_parts(base), lambda b: resolve_parts(b, href))
 
 
 def _decoded(c: Column) -> Column:
@@ -87,15 +112,20 @@ def _decoded(c: Column) -> Column:
 
 
 def _names_credential(c: Column) -> Column:
-    """Whether any `name=` of a query, fragment or nested URL is a sensitive one."""
-    names = F.transform(F.split(c, r"[&;?#]", -1), lambda p: F.regexp_replace(F.lower(F.trim(F.regexp_extract(p, r"^([^=]*)", 1))), r"[\s._-]+", "-"))
+    """Whether any name in a query or fragment is a sensitive one; values count as queries themselves, so each piece is a name."""
+    names = F.transform(F.split(c, r"[&;?#=]", -1), lambda p: F.regexp_replace(F.lower(F.trim(p)), r"[\s._-]+", "-"))
     ends = "(?:" + "|".join(SENSITIVE_ENDS) + ")$"
     return F.exists(names, lambda n: n.isin(*SENSITIVE_NAMES) | n.rlike(ends))
 
 
-def _names_in_url(c: Column) -> Column:
-    """The parts behind the first ? or #, which hold names."""
-    return F.when(c.rlike(r"[?#]"), _names_credential(F.regexp_extract(c, r"^[^?#]*[?#](.*)$", 1))).otherwise(False)
+def _credentials_here(url: Column) -> Column:
+    """Credentials that show without further decoding: a user, also of a URL in a value, a webhook path, or a sensitive name behind the first ? or #."""
+    user = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@") | url.rlike(r"=[A-Za-z][A-Za-z0-9+.-]*://[^/?#&;]*@")
+    hooks = F.lit(False)
+    for name, like in WEBHOOKS:
+        hooks = hooks | ((F.regexp_replace(host(url), r"\.+$", "") == name) & part(url, PATH).like(like))
+    named = F.when(url.rlike(r"[?#]"), _names_credential(F.regexp_extract(url, r"^[^?#]*[?#](.*)$", 1))).otherwise(False)
+    return user | hooks | named
 
 
 def has_credentials(url: Column) -> Column:
@@ -103,15 +133,11 @@ def has_credentials(url: Column) -> Column:
 
     Encoding that goes on beyond the last level counts as credentials.
     """
-    found, level = F.lit(False), url
-    for _ in range(DECODE_LEVELS):
-        user = level.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@") | level.rlike(r"[=][A-Za-z][A-Za-z0-9+.-]*://[^/?#&;]*@")
-        hooks = F.lit(False)
-        for name, like in WEBHOOKS:
-            hooks = hooks | ((F.regexp_replace(host(level), r"\.+$", "") == name) & part(level, PATH).like(like))
-        found = found | user | hooks | _names_in_url(level)
-        level = _decoded(level)
-    return F.coalesce(found | (level != _decoded(level)), F.lit(False))
+    last = lambda a: F.element_at(a, -1)
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(DECODE_LEVELS)), F.array(url), lambda a, _: F.array_append(a, _decoded(last(a))))
+    plain = F.when(~url.contains("%"), _credentials_here(url))
+    deep = let(levels, lambda a: F.exists(F.array_distinct(a), _credentials_here) | (last(a) != F.get(a, F.lit(DECODE_LEVELS - 1))))
+    return F.coalesce(plain, deep, F.lit(False))
 
 
 def url_problem(url: Column) -> Column:
