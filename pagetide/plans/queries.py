@@ -13,6 +13,7 @@ from pagetide.functions import urls
 from pagetide.operators import addresses, checkpoint, compare, evidence, links, reports, reviews, status, targets
 from pagetide.plans import views as V
 from pagetide.sources import tables
+from pagetide.streaming import observations as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -591,3 +592,62 @@ def decode_pages(spark, d):
     body = F.when(k == 0, F.encode("html", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))).when(k == 2, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-16BE"))
     docs = V.pages(spark, d).select("page_id", body.alias("body"), F.when(k == 3, "UTF-16BE").alias("charset"))
     return tables.decode_documents(docs, "page_id").select("page_id", "encoding", F.sha2("text", 256).alias("sha256"))
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, d):
+    """The checks as a stream of files, replayed in order of days."""
+    path = V.scratch(spark, "checks")
+    rows = V.checks(spark, d).where("action <> 'error'").select("event_id", "target_id", "ts", F.sha2("event_type", 256).alias("sha256"))
+    rows.repartition(4, F.to_date("ts")).sortWithinPartitions("ts").write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _drain(spark, writer, name: str) -> str:
+    """Run a stream over all that is there; the folder it wrote to."""
+    path = V.scratch(spark, name)
+    writer(path).option("checkpointLocation", V.scratch(spark, name + "-log")).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@query("SELECT target_id, event_id AS seq, CASE WHEN o IS NULL THEN 'baseline' WHEN o = event_type THEN 'unchanged' ELSE 'review' END AS status FROM (SELECT target_id, event_id, event_type, lag(event_type) OVER (PARTITION BY target_id ORDER BY event_id) AS o FROM chk WHERE action <> 'error')")
+def stream_change_status(spark, d):
+    rows = ST.change_status(_stream(spark, d).select("target_id", F.col("event_id").alias("seq"), "sha256"))
+    path = _drain(spark, lambda p: rows.writeStream.format("parquet").outputMode("append").option("path", p), "stream-status")
+    return spark.read.schema("target_id string, seq long, status string").parquet(path)
+
+
+@query("SELECT target_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_checked_at FROM chk WHERE action <> 'error' GROUP BY target_id")
+def stream_last_checked(spark, d):
+    path = V.scratch(spark, "stream-last")
+
+    def put(batch: DataFrame, number: int) -> None:
+        schema = "target_id string, last_checked_at timestamp, baseline_updated_at timestamp"
+        old = spark.read.schema(schema).parquet(f"{path}/v{number}") if number else spark.createDataFrame([], schema)
+        new = batch.withColumn("baseline_updated_at", F.lit(None).cast("timestamp"))
+        status.merge_status(old, new).write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+
+    stream = ST.last_checked(_stream(spark, d)).writeStream.outputMode("update").foreachBatch(put)
+    q = stream.option("checkpointLocation", V.scratch(spark, "stream-last-log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = (q.lastProgress or {}).get("batchId", 0) + 1
+    return spark.read.parquet(f"{path}/v{last}").select("target_id", F.date_format("last_checked_at", "yyyy-MM-dd HH:mm:ss").alias("last_checked_at"))
+
+
+@query("SELECT target_id, sha256(event_type) AS sha256 FROM chk WHERE action <> 'error' GROUP BY target_id, event_type")
+def stream_dedup(spark, d):
+    rows = ST.without_repeats(_stream(spark, d).select("target_id", "sha256", "ts"), "60 days")
+    path = _drain(spark, lambda p: rows.writeStream.format("parquet").outputMode("append").option("path", p), "stream-dedup")
+    return spark.read.parquet(path).select("target_id", "sha256")
+
+
+@query("SELECT target_id, sha256(arg_max(event_type, event_id)) AS sha256 FROM chk WHERE action <> 'error' GROUP BY target_id")
+def stream_promote(spark, d):
+    path = V.scratch(spark, "stream-promote")
+    stream = _stream(spark, d).select("target_id", F.col("event_id").alias("seq"), "sha256")
+    q = ST.promote_batches(stream, path).option("checkpointLocation", V.scratch(spark, "stream-promote-log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = (q.lastProgress or {}).get("batchId", 0) + 1
+    return spark.read.parquet(f"{path}/v{last}").select("target_id", "sha256")

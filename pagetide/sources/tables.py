@@ -83,9 +83,8 @@ def choose_encoding(body: Column, charset: Column) -> Column:
     xml = F.regexp_extract(head, r"(?i)<\?xml\b[^>]*\bencoding\s*=\s*[\"']([A-Za-z][A-Za-z0-9._:-]{0,63})[\"']", 1)
     named = F.lower(F.coalesce(bom, charset, F.nullif(xml, F.lit("")), F.nullif(meta, F.lit("")), F.lit("utf-8")))
     same = {"utf8": "utf-8", "latin-1": "iso8859-1", "iso-8859-1": "iso8859-1", "us-ascii": "ascii", "windows-1252": "cp1252", "utf-16be": "utf-16-be", "utf-16le": "utf-16-le", "shift-jis": "shift_jis", "euc-jp": "euc_jp", "euc-kr": "euc_kr", "iso-2022-jp": "iso2022_jp"}
-    for other, name in same.items():
-        named = F.when(named == other, name).otherwise(named)
-    return F.when(named.isin(*ENCODINGS), named)
+    known = F.create_map(*[F.lit(x) for pair in (same | {e: e for e in ENCODINGS}).items() for x in pair])
+    return F.try_element_at(known, named)
 
 
 def decode_documents(documents: DataFrame, key: str) -> DataFrame:
