@@ -147,7 +147,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     runs = later_copies(src.dropDuplicates(["id", "key"]) if _has_twins(src) else src, min_words)
     gone = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("length") - 1)))))
     gone = materialize(runs.groupBy("id", "key").agg(gone.alias("gone")), "deleted-lines")
-    gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
+    # By shuffle at every size: the deletions grow with the documents.
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "gone").hint("merge")
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left")
     deleted = F.coalesce(F.col("gone"), F.array().cast("array<bigint>"))
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
