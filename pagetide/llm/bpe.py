@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetide.llm.common import slices, string_buffers
-from pagetide.llm.words import Hasher, Table
+from pagetide.llm.common import materialize, slices, string_buffers
+from pagetide.llm.words import Hasher, Table, most_frequent
 
 HEAD_WORDS = 1 << 18
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 18
 _OTHER, _SPACE, _LETTER, _NUMBER = range(4)
 
 
@@ -129,7 +130,7 @@ def word_counts(texts: DataFrame, specials: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for part in slices(batch, "text", SLICE_CHARS):
+            for part in slices(batch, "text", SLICE_BYTES):
                 sections = [s for t in part.column("text").to_pylist() for s, special in _sections(t or "", specials) if not special]
                 cp, starts, ends, _, h = words(sections)
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
@@ -151,6 +152,7 @@ class Encoder:
     """Ids of single words, from the tokenizer file."""
 
     def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -214,7 +216,7 @@ def encode_and_decode(
     special_ids = {s: tokenizer.token_to_id(s) for s in specials}
 
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    top = word_counts(src, specials).orderBy(F.desc("n"), "word").limit(head_words)
+    top = most_frequent(materialize(word_counts(src, specials), "bpe-words"), head_words)
     known = encode_words(top.repartition(sc.defaultParallelism), spec).toArrow()
     hasher = Hasher()
     off, data = string_buffers(known.column("word"))
@@ -230,7 +232,7 @@ def encode_and_decode(
         table = Table(*keys)
         piece_bytes, p_off = vocab.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE_CHARS):
+            for part in slices(batch, "text", SLICE_BYTES):
                 texts = part.column("text").to_pylist()
                 sections, owner, special_at = [], [], []
                 for i, t in enumerate(texts):

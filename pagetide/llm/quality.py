@@ -170,8 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.asarray(rows.column("y")).astype(np.int64)
     if len(set(y.tolist())) < 2:
         return {"weights": None, "share": float(y.mean()) if len(y) else 0.5}
-    off, data = string_buffers(rows.column("text"))
-    x, _, doc = features(data, off, Hasher())
+    hasher, parts, docs_before = Hasher(), [], 0
+    for batch in rows.to_batches():
+        for part in slices(batch, "text"):  # so that the driver holds the bytes' arrays of one slice only
+            off, data = string_buffers(part.column("text"))
+            x, _, doc = features(data, off, hasher)
+            parts.append((x, doc + docs_before))
+            docs_before += part.num_rows
+    x, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     weights, trans = fit_field(x, doc, y[doc])
     return {"weights": weights, "trans": trans}
 

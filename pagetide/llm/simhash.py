@@ -368,7 +368,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     first = groups.groupBy("group").agg(F.min(rank).alias("f"), F.count("*").alias("n")).select(F.col("f.id").alias("keep_id"), F.col("f.key").alias("keep_key"))
     twins = groups.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    kept = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
+    # By shuffle at every size: the documents to keep grow with the input.
+    kept = docs.join(first.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
     if twins.isEmpty():
         return kept
     return kept.withColumn("__key", key).dropDuplicates([id_col, "__key"]).drop("__key")
