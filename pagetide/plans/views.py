@@ -26,8 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer files than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", "url", "html")
+    return spread(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
 def previous_pages(spark, d) -> DataFrame:
