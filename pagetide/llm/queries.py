@@ -93,4 +93,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express; the others are held against brute force, exact round trips or held-out rows in tests/llm."""
+    return {
+        "op7_warc": """
+            SELECT page_id, n AS payload_bytes, d AS payload_digest,
+                   CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+            FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d,
+                         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        """,
+    }
