@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Line breaks of a text, and what counts as blank at a line's ends.
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 BLANK_ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 MAX_TEXT_BYTES = 41_943_040
