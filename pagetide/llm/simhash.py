@@ -87,8 +87,8 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return src.mapInArrow(run, "id long, fp long")
 
 
-def _keys(nodes: DataFrame, probe: bool, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """(key long, fp long): the stored keys of each node (its first column), or those it is looked up under, for each fingerprint column."""
+def _keys(nodes: DataFrame, probe: bool, columns: tuple[str, ...] = ("fp",), carry: bool = False) -> DataFrame:
+    """(key long, fp long): the stored keys of each node (its first column), or those it is looked up under, for each fingerprint column; with `carry`, that fingerprint as `bits`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, near, count = golay_tables()
@@ -111,10 +111,11 @@ def _keys(nodes: DataFrame, probe: bool, columns: tuple[str, ...] = ("fp",)) ->
                     for p, (a, b) in enumerate(PAIRS):
                         key = (nth * len(PAIRS) + p << 24) | (index[a][:, :, None] << 12) | index[b][:, None, :]
                         row, i, j = np.nonzero(valid[a][:, :, None] & valid[b][:, None, :])
-                        yield pa.RecordBatch.from_arrays([pa.array(key[row, i, j]), pa.array(node[row])], names=["key", "fp"])
+                        out = [pa.array(key[row, i, j]), pa.array(node[row]), *([pa.array(bits.view(np.int64)[row])] if carry else [])]
+                        yield pa.RecordBatch.from_arrays(out, names=["key", "fp", "bits"][: len(out)])
 
     own = nodes.columns[0]
-    return nodes.select(F.col(own).alias("node"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "key long, fp long")
+    return nodes.select(F.col(own).alias("node"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "key long, fp long" + ", bits long" * carry)
 
 
 def _local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +176,13 @@ def _link(most_bits: int):
     return run
 
 
-def _candidates(nodes: DataFrame, columns: tuple[str, ...], block: int) -> DataFrame:
-    """(k long, side byte, fp long): stored (0) and looked-up (1) nodes by key, sorted by k and side inside partitions.
+def _candidates(nodes: DataFrame, columns: tuple[str, ...], block: int, carry: bool = False) -> DataFrame:
+    """(k long, side byte, fp long, with `carry` bits long): stored (0) and looked-up (1) nodes by key, sorted by k and side inside partitions.
 
     A key with over `block` stored nodes is split into blocks of both sides, and each pair of blocks is a group of its own.
     """
-    stored, probed = _keys(nodes, False, columns), _keys(nodes, True, columns)
+    stored, probed = _keys(nodes, False, columns, carry), _keys(nodes, True, columns, carry)
+    rest = ["fp", "bits"] if carry else ["fp"]
     large = materialize(stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "golay-large")
     n_large = large.count()
     if n_large:
@@ -194,11 +196,11 @@ def _candidates(nodes: DataFrame, columns: tuple[str, ...], block: int) -> DataF
             rows = rows.withColumn("own", own).withColumn("other", other)
             bx, by = ("other", "own") if side == 0 else ("own", "other")
             k = F.col("key") * (1 << 32) + F.col(bx) * (1 << 16) + F.col(by)
-            return rows.select(k.alias("k"), F.lit(side).cast("byte").alias("side"), "fp")
+            return rows.select(k.alias("k"), F.lit(side).cast("byte").alias("side"), *rest)
     else:
 
         def dealt(rows: DataFrame, side: int) -> DataFrame:
-            return rows.select(F.col("key").alias("k"), F.lit(side).cast("byte").alias("side"), "fp")
+            return rows.select(F.col("key").alias("k"), F.lit(side).cast("byte").alias("side"), *rest)
 
     return dealt(stored, 0).union(dealt(probed, 1)).repartition("k").sortWithinPartitions("k", "side")
 
@@ -234,6 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, id_col:
 #: Fingerprints of the word set that candidates come from, and words of the signature over shingles that decides.
 KEY_WORDS = 3
 SIGNATURE_WORDS = 8
+#: Bits of 64 up to which two fingerprints of word sets are near; a shingle similarity of 0.8 leaves about five differing.
+NEAR_BITS = 16
 _SEEDS = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) for k in range(KEY_WORDS + SIGNATURE_WORDS)]
 
 
@@ -283,16 +287,28 @@ def most_different_bits(similarity: float, bits: int) -> int:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted candidates, the rows of keys that hold a stored and a looked-up node that differ."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
+    """Of sorted candidates, the rows whose fingerprint is near that of another node on the other side of their key."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-    def keep(k, side, fp):
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        if not len(first):
+    def keep(k, side, fp, bits):
+        if not len(k):
             return None
-        low, high = np.minimum.reduceat(fp, first), np.maximum.reduceat(fp, first)
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         stored = np.add.reduceat((side == 0).astype(np.int64), first)
-        ok = np.repeat((low < high) & (stored > 0), np.diff(np.append(first, len(k))))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+        rows = np.flatnonzero((side == 1) & (stored[group] > 0))
+        many = stored[group[rows]]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        ok = np.zeros(len(k), bool)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + _PAIRS_AT_ONCE, side="right")) - 1)
+            n = many[at:to]
+            x = np.repeat(rows[at:to], n)
+            y = np.repeat(first[group[rows[at:to]]], n) + np.arange(upto[to] - upto[at]) - np.repeat(upto[at:to] - upto[at], n)
+            near = (np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= NEAR_BITS) & (fp[x] != fp[y])
+            ok[x[near]] = ok[y[near]] = True
+            at = to
         return pa.RecordBatch.from_arrays([pa.array(k[ok]), pa.array(side[ok]), pa.array(fp[ok])], names=["k", "side", "fp"])
 
     for b in batches:
@@ -353,7 +369,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     names = [f"k{i}" for i in range(KEY_WORDS)]
     placed = rows.withColumn("node", F.xxhash64(*names, "signature"))
     nodes = materialize(placed.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.first("signature").alias("signature")), "sketch-nodes")
-    shared = materialize(_candidates(nodes.select("node", *names), tuple(names), block).mapInArrow(_shared, "k long, side byte, fp long"), "sketch-candidates")
+    shared = materialize(_candidates(nodes.select("node", *names), tuple(names), block, carry=True).mapInArrow(_shared, "k long, side byte, fp long"), "sketch-candidates")
     signed = shared.join(nodes.select(F.col("node").alias("fp"), "signature"), "fp").select("k", "side", "fp", "signature")
     bits = most_different_bits(similarity, 64 * SIGNATURE_WORDS)
     links = signed.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_link_signed(bits), "u long, v long").distinct()
