@@ -5,6 +5,8 @@ code (23, 12, 7). Of at most three differing bits, at most one segment can hold
 differ by one bit or none. A word one bit off lies at most four bits from the other word's nearest codeword: a
 fingerprint is stored under the nearest codewords of each pair of segments (three keys) and looked up under all
 codewords within four bits (one or six a segment). No link can be missed; the distance of each candidate is verified.
+
+The pipeline's groups of texts with similar shingle sets, below, come from MinHash bands and exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -233,148 +235,204 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, id_col:
     return only(fps, "id", "fp").join(by_fp, "fp").select("id", "fp", "component")
 
 
-#: Fingerprints of the word set that candidates come from, and words of the signature over shingles that decides.
-KEY_WORDS = 3
-SIGNATURE_WORDS = 8
-#: Bits of 64 up to which two fingerprints of word sets are near; a shingle similarity of 0.8 leaves about five differing.
-NEAR_BITS = 16
-_SEEDS = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) for k in range(KEY_WORDS + SIGNATURE_WORDS)]
+#: MinHash bands that candidates come from, and values of a band. A pair shares a band with probability
+#: 1 - (1 - J^ROWS)^BANDS whatever the kind of edit: all but 3.2 in a million pairs at similarity 0.8, fewer above.
+BANDS = 24
+ROWS = 4
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SHIFTS = mix(_FACTORS + np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _simhash(h: np.ndarray, seed: int) -> int:
-    """64-bit SimHash of distinct hashes, by another hash function for each seed."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        bits = mix(h[at : at + (1 << 15)] ^ np.uint64(seed))
-        counts += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << b for b in np.flatnonzero(2 * counts > len(h)).tolist())
+def _shingle_sets(part: pa.RecordBatch, width: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a slice: its distinct word shingles as sorted hashes laid end to end, their offsets, and a hash of the set; a text without a word has one shingle, 0."""
+    off, data = string_buffers(part.column("text"))
+    data = LOWER[data]
+    starts, ends, doc = split(data, off)
+    h = hasher(data, starts, ends)
+    bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    sets = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        words = h[a:b]
+        shingle = np.zeros(max(1, len(words) - width + 1), np.uint64)
+        for i in range(min(width, len(words))):
+            shingle = mix(shingle + words[i : i + len(shingle)] * np.uint64(2 * i + 3))
+        sets.append(np.unique(shingle))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    total = np.add.reduceat(mix(flat + np.uint64(0x632BE59BD9B4E019)), at[:-1])
+    return flat, at, mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return src.withColumn("key", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, k0.., signature binary): SimHashes of a text's set of words, and a longer one of its set of word shingles."""
+    """(id, key, node, bands binary, signature binary): hashes of a text, of its shingle set and of its MinHash bands, and a byte of each MinHash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for part in slices(batch, "text"):
-                off, data = string_buffers(part.column("text"))
-                data = LOWER[data]
-                starts, ends, doc = split(data, off)
-                h = hasher(data, starts, ends)
-                bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                keys, signs = [[] for _ in range(KEY_WORDS)], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    words = h[a:b]
-                    shingle = np.zeros(max(1, len(words) - width + 1) if len(words) else 0, np.uint64)
-                    for i in range(min(width, len(words))):
-                        shingle = mix(shingle + words[i : i + len(shingle)] * np.uint64(2 * i + 3))
-                    own, run_of = np.unique(words), np.unique(shingle)
-                    for k in range(KEY_WORDS):
-                        keys[k].append(_simhash(own, _SEEDS[k]))
-                    signs.append(np.array([_simhash(run_of, s) for s in _SEEDS[KEY_WORDS:]], np.uint64).tobytes())
-                cols = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in keys]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *cols, pa.array(signs, pa.binary())], names=["id", "key", *names, "signature"])
-
-    names = [f"k{i}" for i in range(KEY_WORDS)]
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    return src.mapInArrow(run, "id long, key long, " + ", ".join(f"{n} long" for n in names) + ", signature binary")
-
-
-def most_different_bits(similarity: float, bits: int) -> int:
-    """Differing bits up to which two signatures count as similar: those expected at the similarity (Jaccard) and one and a half deviations more."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * angle + 1.5 * math.sqrt(bits * angle * (1 - angle)))
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted candidates, the rows whose fingerprint is near that of another node on the other side of their key."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-    def keep(k, side, fp, bits):
-        if not len(k):
-            return None
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        stored = np.add.reduceat((side == 0).astype(np.int64), first)
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
-        rows = np.flatnonzero((side == 1) & (stored[group] > 0))
-        many = stored[group[rows]]
-        upto = np.concatenate([[0], np.cumsum(many)])
-        ok = np.zeros(len(k), bool)
-        at = 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(upto, upto[at] + _PAIRS_AT_ONCE, side="right")) - 1)
-            n = many[at:to]
-            x = np.repeat(rows[at:to], n)
-            y = np.repeat(first[group[rows[at:to]]], n) + np.arange(upto[to] - upto[at]) - np.repeat(upto[at:to] - upto[at], n)
-            near = (np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= NEAR_BITS) & (fp[x] != fp[y])
-            ok[x[near]] = ok[y[near]] = True
-            at = to
-        return pa.RecordBatch.from_arrays([pa.array(k[ok]), pa.array(side[ok]), pa.array(fp[ok])], names=["k", "side", "fp"])
-
-    for b in batches:
-        now = [np.concatenate([r, np.asarray(c).astype(r.dtype)]) for r, c in zip(rest, b.columns, strict=True)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        got = keep(*[x[:cut] for x in now])
-        rest = [x[cut:] for x in now]
-        if got is not None and got.num_rows:
-            yield got
-    got = keep(*rest)
-    if got is not None and got.num_rows:
-        yield got
-
-
-def _link_signed(most_bits: int):
-    """Like _link, by the distance of signatures; held are the stored nodes of the current key."""
+                flat, at, node = _shingle_sets(part, width, hasher)
+                least = np.empty((part.num_rows, BANDS * ROWS), np.uint64)
+                for k in range(BANDS * ROWS):
+                    least[:, k] = np.minimum.reduceat(flat * _FACTORS[k] + _SHIFTS[k], at[:-1])
+                bands = np.zeros((part.num_rows, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                for k in range(ROWS):
+                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
+                signs = (mix(least) >> np.uint64(56)).astype(np.uint8)
+                cols = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (bands, signs)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(node.view(np.int64)), *cols], names=["id", "key", "node", "bands", "signature"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, key long, node long, bands binary, signature binary")
+
+
+def _band_rows(nodes: DataFrame) -> DataFrame:
+    """(k long, node long), a row a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, signs = None, np.zeros(0, np.int64), np.zeros((0, SIGNATURE_WORDS), np.uint64)
         for batch in batches:
-            k, side, fp = (np.asarray(batch.column(i)) for i in range(3))
-            _, raw = string_buffers(batch.column(3))
-            sign = raw.view(np.uint64).reshape(-1, SIGNATURE_WORDS) if len(raw) else np.zeros((0, SIGNATURE_WORDS), np.uint64)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)) if len(k) else [0]
-            us, vs = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if k[lo] != now:
-                    now, nodes, signs = k[lo], nodes[:0], signs[:0]
-                mid = lo + int((side[lo:hi] == 0).sum())
-                nodes, signs = np.concatenate([nodes, fp[lo:mid]]), np.concatenate([signs, sign[lo:mid]])
-                each = max(1, (1 << 17) // max(1, len(nodes)))
-                for at in range(mid, hi, each):
-                    upto = min(hi, at + each)
-                    d = np.bitwise_count(sign[at:upto, None, :] ^ signs[None]).sum(axis=2, dtype=np.int64)
-                    x, y = np.nonzero((d <= most_bits) & (fp[at:upto, None] != nodes[None]))
-                    if len(x):
-                        u, v = _local_roots(fp[at:upto][x], nodes[y])
-                        us.append(u)
-                        vs.append(v)
-            if us:
-                u, v = _local_roots(np.concatenate(us), np.concatenate(vs))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            _, raw = string_buffers(batch.column(1))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], names=["k", "node"])
+
+    return nodes.select("node", "bands").mapInArrow(run, "k long, node long")
+
+
+def band_groups(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(k, node, signature) of the nodes that share a band; a band of over `block` nodes is dealt into blocks, each pair of which is a group."""
+    rows = materialize(_band_rows(nodes), "bands")
+    # By shuffle at every size: bands and nodes grow with the input.
+    many = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").hint("merge")
+    b = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.join(many, "k").withColumn("own", F.pmod(F.xxhash64("node"), b.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), b - 1)))
+    dealt = dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "node")
+    return dealt.join(nodes.select("node", "signature").hint("merge"), "node").select("k", "node", "signature")
+
+
+def least_equal(similarity: float) -> int:
+    """Equal signature bytes from which a pair is verified: five deviations less than expected at the similarity."""
+    n = BANDS * ROWS
+    return int(n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity)))
+
+
+def _pairs(least: int, every: bool):
+    """Sorted rows (k, node, signature, root) -> pairs (u > v) of a group with `least` equal bytes: all between different roots, or for each node one of the likeliest before it."""
+
+    def of_group(node: np.ndarray, sign: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(node, kind="stable")
+        node, sign, root = node[order], sign[order], root[order]
+        us, vs = [], []
+        each = max(1, (1 << 15) // len(node))
+        for lo in range(0, len(node), each):
+            hi = min(len(node), lo + each)
+            same = (sign[lo:hi, None, :] == sign[None, :hi]).sum(axis=2, dtype=np.int64)
+            ok = (same >= least) & (node[lo:hi, None] > node[None, :hi])
+            if every:
+                x, y = np.nonzero(ok & (root[lo:hi, None] != root[None, :hi]))
+            else:
+                # Nearly equal ones by chance, so that no node is picked by a whole group.
+                luck = (mix((node[lo:hi, None] ^ node[None, :hi]).view(np.uint64)) >> np.uint64(48)).astype(np.int64)
+                rank = np.where(ok, np.minimum(same, BANDS * ROWS * 9 // 10) << 16 | luck, -1)
+                x = np.flatnonzero(ok.any(axis=1))
+                y = rank[x].argmax(axis=1)
+            us.append(node[lo:hi][x])
+            vs.append(node[:hi][y])
+        return np.concatenate(us), np.concatenate(vs)
+
+    def groups(k, node, sign, root):
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1 and not (every and (root[a:b] == root[a]).all()):
+                u, v = of_group(node[a:b], sign[a:b], root[a:b])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.uint8), np.zeros(0, np.int64)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, raw = string_buffers(batch.column(2))
+            new = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), raw.reshape(-1, BANDS * ROWS), np.asarray(batch.column(3))]
+            rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+            if cut:
+                yield from groups(*[x[:cut] for x in rows])
+            rest = [x[cut:] for x in rows]
+        if len(rest[0]):
+            yield from groups(*rest)
 
     return run
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles binary) of the texts named by wanted(id, key), one row a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                flat, at, node = _shingle_sets(part, width, hasher)
+                sets = [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    src = _texts(docs, id_col, text_col)
+    none = F.lit(-(1 << 63))
+    wanted = wanted.select(F.coalesce("id", none).alias("w_id"), F.col("key").alias("w_key")).hint("merge")
+    found = src.join(wanted, (F.coalesce("id", none) == F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi")
+    return found.dropDuplicates(["id", "key"]).select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok[i] = both >= similarity * (len(a) + len(b) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    def side(end: str) -> DataFrame:
+        return sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")).hint("merge")
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, key, group): documents whose sets of `width`-word shingles are similar, grouped over all such links; key is the hash of the text.
 
-    Golay keys of three fingerprints of a text's word set find candidates: where a shingle set keeps 0.8, the word set
-    keeps far more, so that few of its bits differ. The distance of 512-bit SimHash signatures over the shingles decides.
-    Texts without a word form one group; a text shorter than a shingle is one shingle. Links come out as spanning
-    forests, so groups are exact for the links found. Null ids and repeated rows keep their rows.
+    Bands of MinHash values find candidates, a byte of each value pre-filters them, and the exact Jaccard similarity of
+    the two shingle sets decides. A first round verifies for each node of a band one pair; a second one all pairs whose
+    ends aren't in one group yet, so a dense group of copies doesn't cost the square of its size and no link is left
+    out. Texts without a word form one group; a text shorter than a shingle is one shingle. Null ids and repeated rows
+    keep their rows.
     """
     rows = materialize(sketches(docs, width, id_col, text_col), "sketches")
-    names = [f"k{i}" for i in range(KEY_WORDS)]
-    placed = rows.withColumn("node", F.xxhash64(*names, "signature"))
-    nodes = materialize(placed.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.first("signature").alias("signature")), "sketch-nodes")
-    shared = materialize(_candidates(nodes.select("node", *names), tuple(names), block, carry=True).mapInArrow(_shared, "k long, side byte, fp long"), "sketch-candidates")
-    signed = shared.join(nodes.select(F.col("node").alias("fp"), "signature"), "fp").select("k", "side", "fp", "signature")
-    bits = most_different_bits(similarity, 64 * SIGNATURE_WORDS)
-    links = signed.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_link_signed(bits), "u long, v long").distinct()
-    roots = connected_components(links).withColumnRenamed("root", "group")
-    return placed.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("group", "node").alias("group"))
+    first = F.min(F.struct("id", "key")).alias("rep")
+    nodes = materialize(rows.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "sketch-nodes")
+    shared = materialize(band_groups(nodes, block), "band-groups")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "rep.*").hint("merge"), "node")
+    sets = materialize(shingle_sets(docs, wanted, width, id_col, text_col), "shingle-sets")
+    least = least_equal(similarity)
+
+    def candidates(rooted: DataFrame, every: bool) -> DataFrame:
+        rooted = rooted.select("k", "node", "signature", "root").repartition("k").sortWithinPartitions("k")
+        return rooted.mapInArrow(_pairs(least, every), "u long, v long").distinct()
+
+    tried = materialize(candidates(shared.withColumn("root", F.col("node")), False), "pairs-tried")
+    links = materialize(verified(tried, sets, similarity), "pairs-linked")
+    roots = materialize(connected_components(links), "pair-roots")
+    rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = candidates(rooted, True).join(tried.hint("merge"), ["u", "v"], "left_anti")
+    more = materialize(verified(left, sets, similarity), "pairs-linked")
+    roots = connected_components(links.union(more)).withColumnRenamed("root", "group")
+    return rows.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("group", "node").alias("group"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

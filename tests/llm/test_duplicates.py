@@ -97,6 +97,48 @@ def test_keep_one_of_each_group(spark, odd_docs):
     assert sorted(r["doc_id"] for r in odd.collect()) == [1, 3, 4, 6]
 
 
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_similar_groups_are_those_of_exact_jaccard(spark, block):
+    """Block edits (text appended, cut off) and scattered ones between 0.68 and 0.92, against all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(150):
+        size = rng.choice([60, 104, 184])
+        base = [f"g{g}w{i}" for i in range(size)]
+        texts.append(base)
+        for j in (0.8, 0.85, 0.9, 0.75):
+            texts.append(base + [f"g{g}j{j}n{i}" for i in range(round((size - 4) * (1 / j - 1)))])
+        texts.append(base[: 4 + round((size - 4) * rng.uniform(0.7, 0.9))])
+        edited = list(base)
+        for i in rng.sample(range(size), 2):
+            edited[i] = f"g{g}e{i}"
+        texts.append(edited)
+    # One large loose group: a template with its own words in each text, most pairs below 0.8.
+    template = [f"t{i}" for i in range(90)]
+    texts += [template[: 45 + k % 3] + [f"own{k}n{i}" for i in range(rng.choice([1, 4, 8]))] + template[45:] for k in range(30)]
+    texts = [" ".join(t) for t in texts]
+    sets = five_word_sets(texts)
+    by = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    near = {(a, b) for at in by.values() for a in at for b in at if a < b}
+    want = roots_of([(a, b) for a, b in near if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, got = {}, {}
+    for r in sorted(simhash.similar_groups(docs, block=block).collect()):
+        got[r["id"]] = first.setdefault(r["group"], r["id"])
+    assert got == want
+
+
 def brute_lines(docs, least):
     seq = [(i, k, line, len(line.encode().split())) for i, t in sorted(docs) for k, line in enumerate(t.split("\n"))]
     first, gone = {}, set()
