@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter of bigram counts.
 
 Word counts are exact. The `head` most frequent words are broadcast; counts of the other words of a text come by a
-shuffled join, so both scores hold for every word. Bigrams of two head words that occur at least twice go into the
-filter, each once for every power of two up to its count; a reader probes the levels until one is absent. The filter is
+shuffled join, so both scores hold for every word. All bigrams, named by a hash of both words, go into the filter, each
+once for every power of two up to its count, 1 included; a reader probes the levels until one is absent. The filter is
 cut into segments of at most `segment_bytes`, by hash: as the logarithm of a text's probability is a sum over its
 tokens and each bigram lies in one segment, a larger filter is read by one pass a segment, and no broadcast grows.
 """
@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetide.llm.common import materialize, slices, string_buffers
+from pagetide.llm.common import materialize, release, slices, string_buffers
 from pagetide.llm.words import LOWER, Hasher, Table, mix, most_frequent, split, strings
 
 #: The token that closes a text; no word can equal it, as words hold no line break.
 END = "\n"
+_END_HASH = np.uint64(0xA0761D6478BD642F)
 HEAD_WORDS = 1 << 18
 BITS_PER_ENTRY = 10
 HASHES = 6
@@ -65,29 +66,28 @@ def _head(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.asarray(top.column("n")).astype(np.int64)
 
 
-def _pair_ids(doc: np.ndarray, row: np.ndarray, n_docs: int, n_head: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams of a slice as numbers, -1 where a word isn't in the head; END, number n_head, closes each text.
-
-    Returns the ids of all (word, next) pairs in text order and the text of each; the start of a text counts as END.
-    """
-    m = len(row)
-    closing = np.searchsorted(doc, np.arange(n_docs), side="right")
-    at = np.arange(m) + doc
-    seq = np.full(m + n_docs, n_head, np.int64)
-    seq[at] = row
-    owner = np.empty(m + n_docs, np.int64)
+def _sequence(doc: np.ndarray, values: np.ndarray, n_docs: int, closing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the words of a slice with END's after each text: each token's, that of the token before (END's at the start of a text), its text."""
+    at = np.arange(len(values)) + doc
+    seq = np.full(len(values) + n_docs, closing, values.dtype)
+    seq[at] = values
+    owner = np.empty(len(seq), np.int64)
     owner[at] = doc
-    owner[closing + np.arange(n_docs)] = np.arange(n_docs)
-    before = np.concatenate([[n_head], seq[:-1]]) if m + n_docs else seq
-    pair = np.where((seq >= 0) & (before >= 0), before * (n_head + 1) + seq, -1)
-    return pair, owner
+    owner[np.searchsorted(doc, np.arange(n_docs), side="right") + np.arange(n_docs)] = np.arange(n_docs)
+    before = np.concatenate([np.full(1, closing, values.dtype), seq[:-1]]) if len(seq) else seq
+    return seq, before, owner
+
+
+def _pair_ids(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """A hash of two words' hashes."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + now).view(np.int64)
 
 
-def bigram_counts(texts: DataFrame, head, n_head: int) -> DataFrame:
-    """(text string) -> (pair long, n long) for bigrams of two head words; `head` is the broadcast arrays of a Table."""
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """(text string) -> (pair long, n long) for all bigrams, END before and after each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, table, kept, size = Hasher(), Table(*head.value), [], 0
+        hasher, kept, size = Hasher(), [], 0
 
         def flush() -> pa.RecordBatch:
             pairs, n = np.unique(np.concatenate(kept), return_counts=True)
@@ -95,8 +95,8 @@ def bigram_counts(texts: DataFrame, head, n_head: int) -> DataFrame:
 
         for batch in batches:
             for part, _, _, _, doc, h in _tokens(batch, "text", hasher):
-                pair, _ = _pair_ids(doc, table.find(h), part.num_rows, n_head)
-                kept.append(pair[pair >= 0])
+                now, before, _ = _sequence(doc, h, part.num_rows, _END_HASH)
+                kept.append(_pair_ids(before, now))
                 size += len(kept[-1])
                 if size >= _FLUSH:
                     yield flush()
@@ -107,6 +107,18 @@ def bigram_counts(texts: DataFrame, head, n_head: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def _hashed(counts: DataFrame) -> DataFrame:
+    """(word, n) -> (h long, n long), END left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            off, data = string_buffers(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(hasher(data, off[:-1], off[1:]).view(np.int64)), b.column(1)], names=["h", "n"])
+
+    return counts.where(F.col("word") != END).select("word", "n").mapInArrow(run, "h long, n long")
+
+
 def _bits(pair: np.ndarray, level: int) -> np.ndarray:
     """Bit numbers of an entry inside its slice, one row a hash function."""
     a = mix(pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
@@ -140,7 +152,7 @@ def filter_slices(pairs: DataFrame, n_slices: int) -> DataFrame:
                         yield done(now, field)
                     now, field = int(s[lo]), np.zeros(SLICE_BITS, np.uint8)
                 p, top = pair[lo:hi], np.log2(n[lo:hi]).astype(np.int64)
-                for level in range(1, int(top.max()) + 1):
+                for level in range(int(top.max()) + 1):
                     field[_bits(p[top >= level], level).ravel()] = 1
         if now >= 0:
             yield done(now, field)
@@ -154,7 +166,7 @@ def _probe(segment: np.ndarray, lo: int, n_slices: int, pair: np.ndarray) -> np.
     out = np.zeros(len(pair))
     at = np.arange(len(pair))
     base = (_place(pair, n_slices) - lo) * SLICE_BITS
-    level = 0
+    level = -1
     while len(at):
         level += 1
         for k, bits in enumerate(_bits(pair[at], level)):
@@ -182,7 +194,7 @@ def score_texts(
 
     `train` picks the rows that counts are taken from. The base is the add-0.1 word model; the score interpolates it with
     the bigram estimate: weight * filter count / count of the word before + (1 - weight) * base, where the word before is
-    a head word, else the base. Null and empty texts hold the closing token alone; repeated rows and null ids keep their
+    known, else the base. Null and empty texts hold the closing token alone; repeated rows and null ids keep their
     rows; without training rows every token is unknown; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -196,11 +208,12 @@ def score_texts(
     hashes, head_n = _head(counts, head_words)
     n_head = len(hashes)
     head = sc.broadcast(Table.arrays(hashes))
-    pairs = materialize(bigram_counts(src.where("train"), head, n_head).where("n >= 2"), "lm-bigrams")
-    entries = pairs.agg(F.coalesce(F.sum(F.floor(F.log2("n"))), F.lit(0))).first()[0]
+    pairs = materialize(bigram_counts(src.where("train")), "lm-bigrams")
+    entries = pairs.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]
     n_slices = max(1, -(-int(entries) * BITS_PER_ENTRY // SLICE_BITS))
     per_segment = max(1, segment_bytes * 8 // SLICE_BITS)
     bits = materialize(filter_slices(pairs, n_slices), "lm-filter")
+    release(pairs)
 
     def log_p(c):
         return np.log10((c + 0.1) / (n_all + 0.1 * (n_words + 1)))
@@ -215,37 +228,50 @@ def score_texts(
                 for part, data, starts, ends, doc, h in _tokens(batch, "text", hasher):
                     docs_here = part.num_rows
                     row = table.find(h)
-                    pair, owner = _pair_ids(doc, row, docs_here, n_head)
-                    ok = np.flatnonzero(pair >= 0)
-                    place = _place(pair[ok], n_slices)
-                    ok = ok[(place >= lo) & (place < hi)]
-                    p = pair[ok]
-                    before, now = p // (n_head + 1), p % (n_head + 1)
-                    c = np.minimum(_probe(seg, lo, n_slices, p), n[before])
-                    bigram = np.log10(weight * c / np.maximum(n[before], 1) + (1 - weight) * base_p[now])
-                    gain = np.bincount(owner[ok], bigram - np.log10(base_p[now]), docs_here).astype(float)  # without a bigram it would be whole numbers
-                    cols = [part.column("rid"), pa.array(gain)]
-                    names = ["rid", "gain"]
+                    now_h, before_h, owner = _sequence(doc, h, docs_here, _END_HASH)
+                    now, before, _ = _sequence(doc, row, docs_here, n_head)
+                    pair = _pair_ids(before_h, now_h)
+                    place = _place(pair, n_slices)
+                    mine = np.flatnonzero((place >= lo) & (place < hi))
+                    now, before, now_h, before_h, owner = (x[mine] for x in (now, before, now_h, before_h, owner))
+                    c = _probe(seg, lo, n_slices, pair[mine])
+                    ok = np.flatnonzero((before >= 0) & (now >= 0))
+                    b, w = before[ok], now[ok]
+                    bigram = np.log10(weight * np.minimum(c[ok], n[b]) / np.maximum(n[b], 1) + (1 - weight) * base_p[w])
+                    gain = np.bincount(owner[ok], bigram - np.log10(base_p[w]), docs_here).astype(float)  # without a bigram it would be whole numbers
+                    # A word outside the head that follows a head word, never in this bigram, gets the base's share alone.
+                    gain += np.bincount(owner[(before >= 0) & (now < 0) & (c == 0)], minlength=docs_here) * np.log10(1 - weight)
+                    # Bigrams that wait for the count of a word outside the head: of the one before or else of this one; the other's count, or its hash if that is outside, too.
+                    wait = np.flatnonzero((before < 0) | ((now < 0) & (c > 0)))
+                    first = before[wait] < 0
+                    both = first & (now[wait] < 0) & (c[wait] > 0)
+                    other = n[np.where(first, np.maximum(now[wait], 0), before[wait])]
+                    waiting = pa.StructArray.from_arrays(
+                        [pa.array(np.where(first, before_h[wait], now_h[wait]).view(np.int64)), pa.array(first), pa.array(c[wait].astype(np.int64)), pa.array(other.astype(np.int64), mask=both), pa.array(now_h[wait].view(np.int64), mask=~both)],
+                        names=["word", "first", "c", "other_n", "next"],
+                    )
+                    upto = np.concatenate([[0], np.cumsum(np.bincount(owner[wait], minlength=docs_here))])
+                    cols = [part.column("rid"), pa.array(gain), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), waiting)]
+                    names = ["rid", "gain", "waiting"]
                     if main:
                         known = row >= 0
                         words = np.bincount(doc, minlength=docs_here)
                         base = np.bincount(doc[known], log_p(n[row[known]]), docs_here) + log_p(n_end)
-                        # A word outside the head that follows a head word gets the base's share alone.
-                        prev = np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), n_head, np.concatenate([[0], row[:-1]])) if len(row) else row
-                        tail = np.bincount(doc[(~known) & (prev >= 0)], minlength=docs_here) * np.log10(1 - weight)
                         rare = np.flatnonzero(~known)
                         sizes = np.bincount(doc[rare], minlength=docs_here)
                         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), strings(data, starts[rare], ends[rare]))
                         n_known = np.bincount(doc[known], minlength=docs_here) + (n_end > 0)
-                        cols += [part.column("id"), part.column("train"), pa.array(words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(tail), lists]
-                        names += ["id", "train", "n_tokens", "n_known", "base", "tail", "rare"]
+                        cols += [part.column("id"), part.column("train"), pa.array(words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), lists]
+                        names += ["id", "train", "n_tokens", "n_known", "base", "rare"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
         return run
 
     id_type = src.schema["id"].dataType
+    waiting_type = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("c", T.LongType()), T.StructField("other_n", T.LongType()), T.StructField("next", T.LongType())]))
+    gain_schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("waiting", waiting_type)])
     main_schema = T.StructType(
-        [T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("id", id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StringType()))]
+        [T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("waiting", waiting_type), T.StructField("id", id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StringType()))]
     )
     gains, scored = None, None
     for lo in range(0, n_slices, per_segment):
@@ -255,25 +281,32 @@ def score_texts(
             at = (r["slice"] - lo) * SLICE_BITS // 8
             field[at : at + SLICE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
         segment = sc.broadcast(field)
+        # A later segment reads the texts by the row numbers given in the first pass: same files, same order of rows.
+        rows = src.withColumn("rid", F.monotonically_increasing_id())
         if scored is None:
-            rows = src.withColumn("rid", F.monotonically_increasing_id())
             scored = materialize(rows.mapInArrow(scorer(segment, lo, hi, True), main_schema), "lm-scores")
         else:
-            # A later segment reads the texts by the row numbers given in the first pass: same files, same order of rows.
-            rows = src.withColumn("rid", F.monotonically_increasing_id())
-            more = materialize(rows.mapInArrow(scorer(segment, lo, hi, False), "rid long, gain double"), "lm-gains")
+            more = materialize(rows.mapInArrow(scorer(segment, lo, hi, False), gain_schema), "lm-gains")
             gains = more if gains is None else gains.union(more)
         segment.unpersist()
     rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k")).join(counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     logp = F.log10((c + F.lit(0.1)) / F.lit(n_all + 0.1 * (n_words + 1)))
     rest = rare.groupBy("rid").agg(F.sum(F.col("k") * logp).alias("rare_base"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    out = scored.drop("rare").join(rest, "rid", "left")
-    zero = F.lit(0.0)
+    waiting = scored.select("rid", F.inline("waiting"))
+    if gains is not None:
+        waiting = waiting.union(gains.select("rid", F.inline("waiting")))
+    by_hash = _hashed(counts)
+    found = waiting.join(by_hash.select(F.col("h").alias("word"), "n").hint("merge"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = found.where("next IS NULL").select("rid", "c", F.when(F.col("first"), F.col("n")).otherwise(F.col("other_n")).alias("nb"), F.when(F.col("first"), F.col("other_n")).otherwise(F.col("n")).alias("nw"))
+    two = found.where("next IS NOT NULL").select("rid", "c", F.col("n").alias("nb"), "next").join(by_hash.select(F.col("h").alias("next"), F.col("n").alias("nw")).hint("merge"), "next", "left")
+    resolved = one.union(two.select("rid", "c", "nb", F.coalesce("nw", F.lit(0)).alias("nw"))).where("nb > 0")
+    p = (F.col("nw") + F.lit(0.1)) / F.lit(n_all + 0.1 * (n_words + 1))
+    late = resolved.select("rid", (F.log10(F.lit(weight) * F.least("c", "nb") / F.col("nb") + F.lit(1 - weight) * p) - F.log10(p)).alias("gain"))
     if gains is not None:
-        out = out.join(gains.groupBy("rid").agg(F.sum("gain").alias("more")), "rid", "left")
-    else:
-        out = out.withColumn("more", zero)
+        late = late.union(gains.select("rid", "gain"))
+    zero = F.lit(0.0)
+    out = scored.drop("rare", "waiting").join(rest, "rid", "left").join(late.groupBy("rid").agg(F.sum("gain").alias("more")), "rid", "left")
     base = F.col("base") + F.coalesce("rare_base", zero)
     return out.select(
         "id",
@@ -282,5 +315,5 @@ def score_texts(
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain") + F.col("tail") + F.coalesce("more", zero)).alias("score"),
+        (base + F.col("gain") + F.coalesce("more", zero)).alias("score"),
     )

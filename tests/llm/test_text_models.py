@@ -74,6 +74,35 @@ def test_lm_score_is_the_interpolation(spark):
     assert got[10]["score"] == pytest.approx(sum(math.log10(one(h, w)) for h, w in zip(ws[:-1], ws[1:], strict=True)))
 
 
+@pytest.mark.parametrize("head,segment", [(1 << 18, 64 << 20), (0, 64 << 20), (4, 64 << 20), (4, 1 << 18)])
+def test_lm_scores_every_bigram_at_any_head(spark, head, segment):
+    """Bigrams seen once and those of words outside the head count as all others do; more segments give the same."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(rng.choice(words, 12, p=np.arange(200, 0, -1) / 20100))) for i in range(60)] + [(60, "new w0 new newer w1"), (70, "w0 w1 w2"), (80, "")]
+    if segment < 64 << 20:
+        docs += [(1001 + i, " ".join(f"z{rng.integers(1 << 40)}" for _ in range(3000))) for i in range(100) if (1001 + i) % 10]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["id"]: r for r in lm.score_texts(df, F.col("doc_id") % 10 != 0, head_words=head, segment_bytes=segment).collect()}
+    c, pairs = Counter(), Counter()
+    for i, t in docs:
+        if i % 10:
+            ws = tokens(t)
+            c.update(ws)
+            pairs.update(zip(["\n", *ws[:-1]], ws, strict=True))
+    n, v = sum(c.values()), len(c)
+    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    off = []
+    for i, t in docs:
+        want, ws = 0.0, tokens(t)
+        for h, w in zip(["\n", *ws[:-1]], ws, strict=True):
+            k = 2 ** int(math.log2(pairs[h, w])) if pairs[h, w] else 0
+            want += math.log10(lm.WEIGHT * min(k, c[h]) / c[h] + (1 - lm.WEIGHT) * p(w) if c[h] else p(w))
+        off.append(abs(got[i]["score"] - want) > 1e-6)
+    # A Bloom filter may find a bigram that isn't there, one in a hundred at its size.
+    assert np.mean(off) <= (0.05 if segment == 64 << 20 else 0.25)
+
+
 def test_lm_odd_documents(spark, odd_docs):
     for train in (True, False):
         out = lm.score_texts(odd_docs, F.lit(train)).collect()
