@@ -274,6 +274,10 @@ def score_texts(
         [T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("waiting", waiting_type), T.StructField("id", id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StringType()))]
     )
     gains, scored = None, None
+    rows = src.withColumn("rid", F.monotonically_increasing_id())
+    if n_slices > per_segment:
+        # Row numbers follow from how Spark splits the files, which the cores of the moment decide: all passes read those written here.
+        rows = materialize(rows, "lm-texts")
     for lo in range(0, n_slices, per_segment):
         hi = min(n_slices, lo + per_segment)
         field = np.zeros((hi - lo) * SLICE_BITS // 8, np.uint8)
@@ -281,8 +285,6 @@ def score_texts(
             at = (r["slice"] - lo) * SLICE_BITS // 8
             field[at : at + SLICE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
         segment = sc.broadcast(field)
-        # A later segment reads the texts by the row numbers given in the first pass: same files, same order of rows.
-        rows = src.withColumn("rid", F.monotonically_increasing_id())
         if scored is None:
             scored = materialize(rows.mapInArrow(scorer(segment, lo, hi, True), main_schema), "lm-scores")
         else:

@@ -103,6 +103,34 @@ def test_lm_scores_every_bigram_at_any_head(spark, head, segment):
     assert np.mean(off) <= (0.05 if segment == 64 << 20 else 0.25)
 
 
+def test_lm_segments_agree_when_files_are_split_anew(spark, tmp_path, monkeypatch):
+    """Row numbers hold over the passes even if Spark deals the files to other tasks in between, as it does when cores come or go."""
+    rng = np.random.default_rng(13)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 1500) % 100_000 if x < 1 << 40)) for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    train = F.col("doc_id") % 10 != 0
+    whole = {r["id"]: r["score"] for r in lm.score_texts(df, train).collect()}
+    plain = lm.materialize
+    passes = []
+
+    def then_split_anew(out, name):
+        done = plain(out, name)
+        if name == "lm-scores":
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        passes.append(name)
+        return done
+
+    monkeypatch.setattr(lm, "materialize", then_split_anew)
+    try:
+        cut = {r["id"]: r["score"] for r in lm.score_texts(df, train, segment_bytes=1 << 18).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "lm-gains" in passes and cut == pytest.approx(whole)
+
+
 def test_lm_odd_documents(spark, odd_docs):
     for train in (True, False):
         out = lm.score_texts(odd_docs, F.lit(train)).collect()
