@@ -139,6 +139,18 @@ def test_similar_groups_are_those_of_exact_jaccard(spark, block):
     assert got == want
 
 
+def test_texts_below_the_similarity_stay(spark):
+    """Pairs at exactly 0.8 lose one text, pairs at 0.7 to 0.79 none."""
+    rows, kept = [], set()
+    for g in range(200):
+        extra = 25 if g % 2 else 27 + g % 16
+        base = [f"g{g}w{i}" for i in range(104)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + [f"g{g}n{i}" for i in range(extra)]))]
+        kept |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept
+
+
 def brute_lines(docs, least):
     seq = [(i, k, line, len(line.encode().split())) for i, t in sorted(docs) for k, line in enumerate(t.split("\n"))]
     first, gone = {}, set()
