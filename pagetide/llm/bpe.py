@@ -1,9 +1,10 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are normalised and cut into words as the tokenizer's own pre-tokenizer does, by array operations over whole
-slices. Spark counts the distinct words; the `head` most frequent ones are encoded once for the corpus and their ids
-broadcast (a bounded table), and each other word is encoded once in every slice of texts it occurs in. Ids go back by
-word position; decoding joins ids with the id-to-piece table, which is as small as the vocabulary file.
+slices. Spark counts the distinct words and encodes each of them once. The ids of the `head` most frequent words are
+broadcast (a bounded table); the other words of a text are joined with the table of encoded words and come back to the text as one
+list, so that a row moves for each rare word of a text and not for each position. In the text ids go to the words'
+positions; decoding joins ids with the id-to-piece table, which is as small as the vocabulary file.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetide.llm.common import materialize, slices, string_buffers
-from pagetide.llm.words import Hasher, Table, most_frequent
+from pagetide.llm.common import materialize, slices
+from pagetide.llm.words import Pieces, Table, most_frequent, summed
 
 HEAD_WORDS = 1 << 18
 SLICE_BYTES = 1 << 18
@@ -107,34 +109,46 @@ def cut(cp: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarra
 class Words:
     """Cuts slices of texts into words; made once a task."""
 
-    def __init__(self) -> None:
-        self.classes, self.hasher = char_classes(), Hasher()
+    def __init__(self, specials: list[str]) -> None:
+        self.classes, self.specials = char_classes(), specials
 
-    def __call__(self, texts: list[str]):
-        """Code points, and start, end, text number and hash of each word."""
-        texts = [normalise(t) for t in texts]
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts, ends, doc = cut(cp, off, self.classes)
-        return cp, starts, ends, doc, self.hasher(cp, starts, ends)
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, str]]]:
+        """Code points; start, end and text number of each word; (words before it, text number, string) of each special token."""
+        sections, owner, special = [], [], []
+        for i, t in enumerate(texts):
+            for s, is_special in _sections(t or "", self.specials):
+                if is_special:
+                    special.append((len(sections), i, s))
+                else:
+                    sections.append(normalise(s))
+                    owner.append(i)
+        off = np.concatenate([[0], np.cumsum([len(s) for s in sections], dtype=np.int64)])
+        cp = np.frombuffer("".join(sections).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, ends, section = cut(cp, off, self.classes)
+        before = np.searchsorted(section, [k for k, _, _ in special])
+        return cp, starts, ends, np.asarray(owner, np.int64)[section], [(int(n), i, s) for n, (_, i, s) in zip(before, special, strict=True)]
 
 
-def _pieces(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+def _pieces(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     text = cp.tobytes().decode("utf-32-le")
-    return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pa.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
 
 
 def word_counts(texts: DataFrame, specials: list[str]) -> DataFrame:
     """(text) -> (word, n): occurrences of each distinct word of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                sections = [s for t in part.column("text").to_pylist() for s, special in _sections(t or "", specials) if not special]
-                cp, starts, ends, _, h = words(sections)
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_pieces(cp, starts[first], ends[first]), pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
+        words = Words(specials)
+
+        def found() -> Iterator[tuple[pa.Array, np.ndarray]]:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    cp, starts, ends, _, _ = words(part.column("text").to_pylist())
+                    pieces = Pieces(cp)
+                    first, back = pieces.distinct(starts, ends, pieces.hashes(starts, ends))
+                    yield _pieces(cp, starts[first], ends[first]), np.bincount(back, minlength=len(first))
+
+        yield from summed(found())
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -164,20 +178,33 @@ class Encoder:
 
 
 def encode_words(words: DataFrame, spec) -> DataFrame:
-    """(word) -> (word, ids array<int>): each row encoded once; `spec` is the broadcast tokenizer file."""
+    """(word, n) -> (word, n, ids array<int>): each row encoded once; `spec` is the broadcast tokenizer file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(spec.value)
         for batch in batches:
-            ids = encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            for part in slices(batch, "word", SLICE_BYTES):
+                ids = encode(part.column("word").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
+
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+class Ids:
+    """Ids of a bounded table of words, found by hash and by code points."""
 
+    def __init__(self, state: tuple) -> None:
+        table, self.flat, self.off = state
+        self.table = Table(table)
 
-def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    off = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return np.fromiter((i for x in lists for i in x), np.uint32, int(off[-1])), off
+    @staticmethod
+    def state(words: pa.Array, lists: pa.Array) -> tuple:
+        """What to broadcast for these words and their ids."""
+        joined = "".join(words.to_pylist())
+        off = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(words)), dtype=np.int64)])
+        size = np.asarray(pc.list_value_length(lists)).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+        flat = np.asarray(lists.flatten()).astype(np.uint32) if len(lists) else np.zeros(0, np.uint32)
+        return Table.state(np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy(), off), flat, np.concatenate([[0], np.cumsum(size)])
 
 
 def _take(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +213,25 @@ def _take(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     return flat[np.arange(out[-1]) + np.repeat(off[rows] - out[:-1], size)], out
 
 
+def rare_words(src: DataFrame, specials: list[str], head) -> DataFrame:
+    """(text, text_key) -> (text_key, word): the words outside the head, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = Words(specials), Ids(head.value)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                cp, starts, ends, doc, _ = words(part.column("text").to_pylist())
+                pieces = Pieces(cp)
+                h = pieces.hashes(starts, ends)
+                rare = np.flatnonzero(known.table.find(pieces, starts, ends, h) < 0)
+                first, back = pieces.distinct(starts[rare], ends[rare], h[rare])
+                pairs = np.unique(doc[rare] * max(1, len(first)) + back)
+                owner, word = pairs // max(1, len(first)), pairs % max(1, len(first))
+                yield pa.RecordBatch.from_arrays([part.column("text_key").take(pa.array(owner)), _pieces(cp, starts[rare[first]], ends[rare[first]]).take(pa.array(word))], names=["text_key", "word"])
+
+    return src.select("text", "text_key").mapInArrow(run, "text_key long, word string")
+
+
 def encode_and_decode(
     docs: DataFrame,
     vocabulary: str | None = None,
@@ -209,55 +255,47 @@ def encode_and_decode(
     specials = [t["content"] for t in json.loads(spec_text)["added_tokens"]]
     tokenizer = Tokenizer.from_str(spec_text)
     size = tokenizer.get_vocab_size()
-    pieces = [(tokenizer.id_to_token(i) or "").encode() for i in range(size)]
-    piece_off = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-    spec = sc.broadcast(spec_text)
-    vocab = sc.broadcast((np.frombuffer(b"".join(pieces), np.uint8), piece_off))
+    pieces_of_ids = [(tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+    vocab = sc.broadcast((np.frombuffer(b"".join(pieces_of_ids), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces_of_ids])])))
     special_ids = {s: tokenizer.token_to_id(s) for s in specials}
 
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    top = most_frequent(materialize(word_counts(src, specials), "bpe-words"), head_words)
-    known = encode_words(top.repartition(sc.defaultParallelism), spec).toArrow()
-    hasher = Hasher()
-    off, data = string_buffers(known.column("word"))
-    cp_off = np.concatenate([[0], np.cumsum([len(w) for w in known.column("word").to_pylist()], dtype=np.int64)])
-    cps = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    lists = known.column("ids").combine_chunks()
-    flat = np.asarray(lists.flatten()).astype(np.uint32) if len(lists) else np.zeros(0, np.uint32)
-    head = sc.broadcast((Table.arrays(hasher(cps, cp_off[:-1], cp_off[1:])), flat, np.asarray(lists.offsets).astype(np.int64) if len(lists) else np.zeros(1, np.int64)))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    encoded = materialize(encode_words(materialize(word_counts(src, specials), "bpe-words"), sc.broadcast(spec_text)), "bpe-encoded")
+    top = most_frequent(encoded, head_words).select("word", "ids").toArrow().combine_chunks()
+    head = sc.broadcast(Ids.state(*[c.combine_chunks() for c in top.columns]))
+    # By shuffle at every size: rare words and texts grow with the input. A text of many rows is split by AQE's skew join.
+    found = rare_words(src, specials, head).join(encoded.select("word", "ids").hint("merge"), "word")
+    lists = found.groupBy("text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
+    joined = src.join(lists.hint("merge"), "text_key", "left").select("id", "text", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, encode = Words(), Encoder(spec.value)
-        keys, head_ids, head_off = head.value
-        table = Table(*keys)
+        words, known = Words(specials), Ids(head.value)
         piece_bytes, p_off = vocab.value
+        special_rows = {s: len(known.off) - 1 + i for i, s in enumerate(special_ids)}
+        fixed_ids = np.concatenate([known.flat, np.array(list(special_ids.values()), np.uint32)])
+        fixed_off = np.concatenate([known.off, known.off[-1] + 1 + np.arange(len(special_ids))])
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 texts = part.column("text").to_pylist()
-                sections, owner, special_at = [], [], []
-                for i, t in enumerate(texts):
-                    for s, special in _sections(t or "", specials):
-                        if special:
-                            special_at.append((len(sections), special_ids[s]))
-                        sections.append("" if special else s)
-                        owner.append(i)
-                cp, starts, ends, sec, h = words(sections)
-                row = table.find(h)
+                cp, starts, ends, doc, special = words(texts)
+                pieces = Pieces(cp)
+                h = pieces.hashes(starts, ends)
+                row = known.table.find(pieces, starts, ends, h)
+                own = part.column("rare").flatten()
+                more = Ids(Ids.state(own.field("word"), own.field("ids")))
                 rare = np.flatnonzero(row < 0)
-                _, first, back = np.unique(h[rare], return_index=True, return_inverse=True)
-                lists = encode(_pieces(cp, starts[rare[first]], ends[rare[first]]))
-                own_ids, own_off = _ragged(lists + [[i] for _, i in special_at])
-                all_ids = np.concatenate([head_ids, own_ids])
-                all_off = np.concatenate([head_off, own_off[1:] + head_off[-1]])
-                row[rare] = len(head_off) - 1 + back
-                if special_at:
-                    at = np.array([k for k, _ in special_at])
-                    extra = len(head_off) - 1 + len(lists) + np.arange(len(at))
-                    order = np.argsort(np.concatenate([sec, at]), kind="stable")
-                    row, sec = np.concatenate([row, extra])[order], np.concatenate([sec, at])[order]
+                there = more.table.find(pieces, starts[rare], ends[rare], h[rare])
+                if (there < 0).any():
+                    raise RuntimeError("a word of a text is missing from the table of encoded words")
+                row[rare] = len(fixed_off) - 1 + there
+                all_ids = np.concatenate([fixed_ids, more.flat])
+                all_off = np.concatenate([fixed_off, fixed_off[-1] + more.off[1:]])
+                if special:
+                    at = [n for n, _, _ in special]
+                    row = np.insert(row, at, [special_rows[s] for _, _, s in special])
+                    doc = np.insert(doc, at, [i for _, i, _ in special])
                 ids, word_off = _take(all_ids, all_off, row)
-                doc_of_word = np.asarray(owner, np.int64)[sec] if len(sec) else np.zeros(0, np.int64)
-                bounds = word_off[np.searchsorted(doc_of_word, np.arange(len(texts) + 1))]
+                bounds = word_off[np.searchsorted(doc, np.arange(len(texts) + 1))]
                 text_bytes, tok_off = _take(piece_bytes, p_off, ids.astype(np.int64))
                 # One space after each piece but a text's last.
                 spaced = np.full(len(text_bytes) + len(ids), 0x20, np.uint8)
@@ -280,4 +318,4 @@ def encode_and_decode(
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     else:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return src.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(run, T.StructType(fields))

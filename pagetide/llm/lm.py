@@ -1,10 +1,15 @@
-"""Language-model scoring with a log-frequency Bloom filter of bigram counts.
-
-Word counts are exact. The `head` most frequent words are broadcast; counts of the other words of a text come by a
-shuffled join, so both scores hold for every word. All bigrams, named by a hash of both words, go into the filter, each
-once for every power of two up to its count, 1 included; a reader probes the levels until one is absent. The filter is
-cut into segments of at most `segment_bytes`, by hash: as the logarithm of a text's probability is a sum over its
-tokens and each bigram lies in one segment, a larger filter is read by one pass a segment, and no broadcast grows.
+"""Language-model scoring with a log-frequency Bloom filter of n-gram counts.
+
+The filter holds the bigrams of the whole training text, named by a hash of both words, and the words outside the head
+(below), each once for every power of two up to its count, 1 included; a reader probes the levels until one is absent.
+It is cut into segments of at most `segment_bytes`, each broadcast for one pass over the texts, so that it grows with
+the corpus and no broadcast does.
+
+A token's probability backs off by membership: `weight` * count of the bigram / count of the word before, where the
+filter holds the bigram; else (1 - weight) * the word's own probability, and that alone where the word before is
+unknown. So the logarithm of a text's probability is its base score plus a gain for each bigram found, in which only
+the counts of the bigram and of the word before count: these lie in one segment, and gains of segments add up. The counts of the
+`head` most frequent words are broadcast exactly; the base takes the exact counts of the other words by a shuffled join.
 """
 
 from __future__ import annotations
@@ -18,52 +23,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetide.llm.common import materialize, release, slices, string_buffers
-from pagetide.llm.words import LOWER, Hasher, Table, mix, most_frequent, split, strings
+from pagetide.llm.words import LOWER, Pieces, Table, mix, most_frequent, split, strings, summed
 
 #: The token that closes a text; no word can equal it, as words hold no line break.
 END = "\n"
 _END_HASH = np.uint64(0xA0761D6478BD642F)
+#: Words whose counts are broadcast.
 HEAD_WORDS = 1 << 18
-BITS_PER_ENTRY = 10
-HASHES = 6
-SLICE_BITS = 1 << 21
+#: An entry sets HASHES bits of one 64-bit field.
+BITS_PER_ENTRY = 12
+HASHES = 5
+#: Fields of a slice, which one task builds, and slices of a group, which no segment cuts.
+SLICE_FIELDS = 1 << 15
+GROUP_SLICES = 16
 SEGMENT_BYTES = 64 << 20
-#: Weight of the bigram estimate against the word estimate.
-WEIGHT = 0.3
-_FLUSH = 1 << 20
+#: Probability that the bigrams seen after a known word hold.
+WEIGHT = 0.6
+#: Bits of a name that choose its segment.
+_PLACE_BITS = 24
+_FLUSH = 1 << 21
+
+_PAIRS_OF_BITS = (np.uint64(1) << (np.arange(4096, dtype=np.uint64) & np.uint64(63))) | (np.uint64(1) << (np.arange(4096, dtype=np.uint64) >> np.uint64(6)))
 
 
-def _tokens(batch: pa.RecordBatch, column: str, hasher: Hasher):
-    """Of each slice: lower-cased bytes, starts, ends, text numbers and hashes of its words."""
-    for part in slices(batch, column):
-        off, data = string_buffers(part.column(column))
-        data = LOWER[data]
-        starts, ends, doc = split(data, off)
-        yield part, data, starts, ends, doc, hasher(data, starts, ends)
+def _words(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Pieces, np.ndarray]:
+    """Lower-cased bytes of a slice; starts, ends, text numbers, bytes and hashes of its words."""
+    off, data = string_buffers(part.column(column))
+    data = LOWER[data]
+    starts, ends, doc = split(data, off)
+    pieces = Pieces(data)
+    return data, starts, ends, doc, pieces, pieces.hashes(starts, ends)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(text string) -> (word, n long), with the closing token of every text counted as the word END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ends_seen = Hasher(), 0
-        for batch in batches:
-            ends_seen += batch.num_rows
-            for _, data, starts, ends, _, h in _tokens(batch, "text", hasher):
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([strings(data, starts[first], ends[first]), pa.array(n.astype(np.int64))], names=["word", "n"])
+        ends_seen = 0
+
+        def found() -> Iterator[tuple[pa.Array, np.ndarray]]:
+            nonlocal ends_seen
+            for batch in batches:
+                ends_seen += batch.num_rows
+                for part in slices(batch, "text"):
+                    data, starts, ends, _, pieces, h = _words(part, "text")
+                    first, back = pieces.distinct(starts, ends, h)
+                    yield strings(data, starts[first], ends[first]), np.bincount(back, minlength=len(first))
+
+        yield from summed(found())
         if ends_seen:
             yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends_seen], pa.int64())], names=["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _head(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words END aside; `size` bounds what the driver holds."""
+def _head(counts: DataFrame, size: int) -> tuple[tuple, np.ndarray]:
+    """A table of the most frequent words, END aside, and their counts."""
     top = most_frequent(counts.where(F.col("word") != END), size).toArrow()
     off, data = string_buffers(top.column("word"))
-    hashes = Hasher()(data, off[:-1], off[1:])
-    return hashes, np.asarray(top.column("n")).astype(np.int64)
+    return Table.state(data.copy(), off), np.asarray(top.column("n")).astype(np.int64)
 
 
 def _sequence(doc: np.ndarray, values: np.ndarray, n_docs: int, closing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,25 +96,39 @@ def _sequence(doc: np.ndarray, values: np.ndarray, n_docs: int, closing) -> tupl
     return seq, before, owner
 
 
-def _pair_ids(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """A hash of two words' hashes."""
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + now).view(np.int64)
+def _placed(name: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Names whose upper bits are those of `place`."""
+    low = np.uint64((1 << 64 - _PLACE_BITS) - 1)
+    return (place & ~low) | (name & low)
+
+
+def _word_ids(h: np.ndarray) -> np.ndarray:
+    """Names of words in the filter."""
+    return _placed(mix(h + np.uint64(0x8EBC6AF09C88C6E3)), mix(h * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def bigram_counts(texts: DataFrame) -> DataFrame:
-    """(text string) -> (pair long, n long) for all bigrams, END before and after each text."""
+def _pair_ids(before: np.ndarray, now: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Names of bigrams in the filter: a hash of both words; after a word outside the head in that word's segment, else anywhere."""
+    pair = mix((mix(before) ^ now) * np.uint64(0x9E3779B97F4A7C15))
+    return np.where(rare, _placed(pair, mix(before * np.uint64(0xD6E8FEB86659FD93))), pair)
+
+
+def bigram_counts(texts: DataFrame, head) -> DataFrame:
+    """(text string) -> (name long, n long) for all bigrams, END before and after each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, kept, size = Hasher(), [], 0
+        table, kept, size = Table(head.value), [], 0
 
         def flush() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            names, n = np.unique(np.concatenate(kept), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["name", "n"])
 
         for batch in batches:
-            for part, _, _, _, doc, h in _tokens(batch, "text", hasher):
+            for part in slices(batch, "text"):
+                _, starts, ends, doc, pieces, h = _words(part, "text")
                 now, before, _ = _sequence(doc, h, part.num_rows, _END_HASH)
-                kept.append(_pair_ids(before, now))
+                _, row, _ = _sequence(doc, table.find(pieces, starts, ends, h), part.num_rows, 0)
+                kept.append(_pair_ids(before, now, row < 0))
                 size += len(kept[-1])
                 if size >= _FLUSH:
                     yield flush()
@@ -104,79 +136,89 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
-def _hashed(counts: DataFrame) -> DataFrame:
-    """(word, n) -> (h long, n long), END left out."""
+def rare_word_ids(counts: DataFrame, head) -> DataFrame:
+    """(word, n) -> (name long, n long) of the words outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        table = Table(head.value)
         for b in batches:
             off, data = string_buffers(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(hasher(data, off[:-1], off[1:]).view(np.int64)), b.column(1)], names=["h", "n"])
+            pieces = Pieces(data)
+            h = pieces.hashes(off[:-1], off[1:])
+            rare = table.find(pieces, off[:-1], off[1:], h) < 0
+            yield pa.RecordBatch.from_arrays([pa.array(_word_ids(h[rare]).view(np.int64)), b.column(1).filter(pa.array(rare))], names=["name", "n"])
+
+    return counts.where(F.col("word") != END).select("word", "n").mapInArrow(run, "name long, n long")
+
 
-    return counts.where(F.col("word") != END).select("word", "n").mapInArrow(run, "h long, n long")
+class Layout:
+    """Where in the filter an entry lies: in a group of slices by the upper bits of its name, in a slice of the group by a hash. It follows from the number of entries alone."""
 
+    def __init__(self, entries: int) -> None:
+        n_slices = max(1, -(-entries * BITS_PER_ENTRY // (SLICE_FIELDS * 64)))
+        self.groups = -(-n_slices // GROUP_SLICES)
+        self.slices = -(-n_slices // self.groups)
 
-def _bits(pair: np.ndarray, level: int) -> np.ndarray:
-    """Bit numbers of an entry inside its slice, one row a hash function."""
-    a = mix(pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-    b = mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-    return ((a[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * b[None, :]) & np.uint64(SLICE_BITS - 1)).astype(np.int64)
+    def group(self, name: np.ndarray) -> np.ndarray:
+        return ((name >> np.uint64(64 - _PLACE_BITS)) * np.uint64(self.groups) >> np.uint64(_PLACE_BITS)).astype(np.int64)
 
+    def place(self, name: np.ndarray) -> np.ndarray:
+        """Number of the slice in the whole filter."""
+        return self.group(name) * self.slices + (mix(name + np.uint64(0x27D4EB2F165667C5)) % np.uint64(self.slices)).astype(np.int64)
 
-def _place(pair: np.ndarray, n_slices: int) -> np.ndarray:
-    return (mix(pair.view(np.uint64) + np.uint64(0x27D4EB2F165667C5)) % np.uint64(n_slices)).astype(np.int64)
 
+def _bits(name: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry the field inside its slice and the bits there."""
+    x = mix(name * np.uint64(0x9E3779B97F4A7C15) + np.uint64((level + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+    low = np.uint64(4095)
+    bits = _PAIRS_OF_BITS[(x & low).astype(np.int64)] | _PAIRS_OF_BITS[(x >> np.uint64(12) & low).astype(np.int64)] | (np.uint64(1) << (x >> np.uint64(24) & np.uint64(63)))
+    return (x >> np.uint64(40)).astype(np.int64) % SLICE_FIELDS, bits
 
-def filter_slices(pairs: DataFrame, n_slices: int) -> DataFrame:
-    """(pair, n) -> (slice int, bits binary): the filter's slices, each built by one task from its own entries."""
+
+def filter_slices(entries: DataFrame, layout: Layout) -> DataFrame:
+    """(name, n) -> (place long, fields binary): the filter's slices, each built by one task from its own entries."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pair = np.asarray(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(_place(pair, n_slices).astype(np.int32)), b.column(0), b.column(1)], names=["slice", "pair", "n"])
+            name = np.asarray(b.column(0)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(layout.place(name)), b.column(0), b.column(1)], names=["place", "name", "n"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(k: int, field: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(field, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+        def done(k: int, fields: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fields.tobytes()], pa.binary())], names=["place", "fields"])
 
-        now, field = -1, np.zeros(0, np.uint8)
+        now, fields = -1, np.zeros(0, np.uint64)
         for b in batches:
-            s, pair, n = (np.asarray(c) for c in b.columns)
+            s, name, n = (np.asarray(c) for c in b.columns)
             cuts = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else [0]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if s[lo] != now:
                     if now >= 0:
-                        yield done(now, field)
-                    now, field = int(s[lo]), np.zeros(SLICE_BITS, np.uint8)
-                p, top = pair[lo:hi], np.log2(n[lo:hi]).astype(np.int64)
+                        yield done(now, fields)
+                    now, fields = int(s[lo]), np.zeros(SLICE_FIELDS, np.uint64)
+                names, top = name[lo:hi].view(np.uint64), np.log2(n[lo:hi]).astype(np.int64)
                 for level in range(int(top.max()) + 1):
-                    field[_bits(p[top >= level], level).ravel()] = 1
+                    np.bitwise_or.at(fields, *_bits(names[top >= level], level))
         if now >= 0:
-            yield done(now, field)
+            yield done(now, fields)
 
-    placed = pairs.mapInArrow(place, "slice int, pair long, n long")
-    return placed.repartition("slice").sortWithinPartitions("slice").mapInArrow(fill, "slice int, bits binary")
+    placed = entries.mapInArrow(place, "place long, name long, n long")
+    return placed.repartition("place").sortWithinPartitions("place").mapInArrow(fill, "place long, fields binary")
 
 
-def _probe(segment: np.ndarray, lo: int, n_slices: int, pair: np.ndarray) -> np.ndarray:
-    """Quantised counts of bigrams: the largest power of two whose level, and all below it, are in the filter."""
-    out = np.zeros(len(pair))
-    at = np.arange(len(pair))
-    base = (_place(pair, n_slices) - lo) * SLICE_BITS
+def probe(segment: np.ndarray, first: int, layout: Layout, name: np.ndarray) -> np.ndarray:
+    """Quantised counts of n-grams of a segment that begins with slice `first`: the largest power of two whose level, and all below it, are in the filter."""
+    out = np.zeros(len(name))
+    at = np.arange(len(name))
+    base = (layout.place(name) - first) * SLICE_FIELDS
     level = -1
     while len(at):
         level += 1
-        for k, bits in enumerate(_bits(pair[at], level)):
-            bits = bits + base[at]
-            hit = (segment[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
-            if k == 0:
-                alive = hit
-            else:
-                alive &= hit
-        at = at[alive]
+        field, bits = _bits(name[at], level)
+        at = at[(segment[base[at] + field] & bits) == bits]
         out[at] = 2.0**level
     return out
 
@@ -192,10 +234,10 @@ def score_texts(
 ) -> DataFrame:
     """(id, train boolean, n_tokens, n_known, train_tokens long, base_score, score double), one row per row of docs.
 
-    `train` picks the rows that counts are taken from. The base is the add-0.1 word model; the score interpolates it with
-    the bigram estimate: weight * filter count / count of the word before + (1 - weight) * base, where the word before is
-    known, else the base. Null and empty texts hold the closing token alone; repeated rows and null ids keep their
-    rows; without training rows every token is unknown; an empty table gives an empty one.
+    `train` picks the rows that counts are taken from. The base is the add-0.1 word model with exact counts; the score adds
+    for each token after a known word log10(weight * filter count / count of the word before) - its base if the bigram is found, else
+    log10(1 - weight). Null and empty texts hold the closing token alone; repeated rows and null ids keep their rows;
+    without training rows every token is unknown; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -205,110 +247,95 @@ def score_texts(
     n_all, n_words = int(total["N"]), int(total["V"])
     closing = counts.where(F.col("word") == END).first()
     n_end = int(closing["n"]) if closing else 0
-    hashes, head_n = _head(counts, head_words)
-    n_head = len(hashes)
-    head = sc.broadcast(Table.arrays(hashes))
-    pairs = materialize(bigram_counts(src.where("train")), "lm-bigrams")
-    entries = pairs.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]
-    n_slices = max(1, -(-int(entries) * BITS_PER_ENTRY // SLICE_BITS))
-    per_segment = max(1, segment_bytes * 8 // SLICE_BITS)
-    bits = materialize(filter_slices(pairs, n_slices), "lm-filter")
+    state, head_n = _head(counts, head_words)
+    head, all_n, n_head = sc.broadcast(state), sc.broadcast(np.append(head_n, n_end)), len(head_n)
+    pairs = materialize(bigram_counts(src.where("train"), head), "lm-bigrams")
+    entries = pairs.union(rare_word_ids(counts, head))
+    layout = Layout(int(entries.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]))
+    per_pass = max(1, segment_bytes // (layout.slices * SLICE_FIELDS * 8))
+    starts_of = range(0, layout.groups, per_pass)
+    fields = materialize(filter_slices(entries, layout), "lm-filter")
     release(pairs)
 
     def log_p(c):
         return np.log10((c + 0.1) / (n_all + 0.1 * (n_words + 1)))
 
-    all_n = sc.broadcast(np.append(head_n, n_end))
-
-    def scorer(segment, lo: int, hi: int, main: bool):
+    def scorer(segment, group: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, table, seg, n = Hasher(), Table(*head.value), segment.value, all_n.value
-            base_p = 10.0 ** log_p(n)
+            table, seg, n = Table(head.value), segment.value, all_n.value
             for batch in batches:
-                for part, data, starts, ends, doc, h in _tokens(batch, "text", hasher):
-                    docs_here = part.num_rows
-                    row = table.find(h)
-                    now_h, before_h, owner = _sequence(doc, h, docs_here, _END_HASH)
-                    now, before, _ = _sequence(doc, row, docs_here, n_head)
-                    pair = _pair_ids(before_h, now_h)
-                    place = _place(pair, n_slices)
-                    mine = np.flatnonzero((place >= lo) & (place < hi))
-                    now, before, now_h, before_h, owner = (x[mine] for x in (now, before, now_h, before_h, owner))
-                    c = _probe(seg, lo, n_slices, pair[mine])
-                    ok = np.flatnonzero((before >= 0) & (now >= 0))
-                    b, w = before[ok], now[ok]
-                    bigram = np.log10(weight * np.minimum(c[ok], n[b]) / np.maximum(n[b], 1) + (1 - weight) * base_p[w])
-                    gain = np.bincount(owner[ok], bigram - np.log10(base_p[w]), docs_here).astype(float)  # without a bigram it would be whole numbers
-                    # A word outside the head that follows a head word, never in this bigram, gets the base's share alone.
-                    gain += np.bincount(owner[(before >= 0) & (now < 0) & (c == 0)], minlength=docs_here) * np.log10(1 - weight)
-                    # Bigrams that wait for the count of a word outside the head: of the one before or else of this one; the other's count, or its hash if that is outside, too.
-                    wait = np.flatnonzero((before < 0) | ((now < 0) & (c > 0)))
-                    first = before[wait] < 0
-                    both = first & (now[wait] < 0) & (c[wait] > 0)
-                    other = n[np.where(first, np.maximum(now[wait], 0), before[wait])]
-                    waiting = pa.StructArray.from_arrays(
-                        [pa.array(np.where(first, before_h[wait], now_h[wait]).view(np.int64)), pa.array(first), pa.array(c[wait].astype(np.int64)), pa.array(other.astype(np.int64), mask=both), pa.array(now_h[wait].view(np.int64), mask=~both)],
-                        names=["word", "first", "c", "other_n", "next"],
-                    )
-                    upto = np.concatenate([[0], np.cumsum(np.bincount(owner[wait], minlength=docs_here))])
-                    cols = [part.column("rid"), pa.array(gain), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), waiting)]
-                    names = ["rid", "gain", "waiting"]
-                    if main:
-                        known = row >= 0
-                        words = np.bincount(doc, minlength=docs_here)
-                        base = np.bincount(doc[known], log_p(n[row[known]]), docs_here) + log_p(n_end)
-                        rare = np.flatnonzero(~known)
-                        sizes = np.bincount(doc[rare], minlength=docs_here)
-                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), strings(data, starts[rare], ends[rare]))
-                        n_known = np.bincount(doc[known], minlength=docs_here) + (n_end > 0)
-                        cols += [part.column("id"), part.column("train"), pa.array(words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), lists]
-                        names += ["id", "train", "n_tokens", "n_known", "base", "rare"]
+                for part in slices(batch, "text"):
+                    data, starts, ends, doc, pieces, h = _words(part, "text")
+                    n_docs = part.num_rows
+                    row = table.find(pieces, starts, ends, h)
+                    now_h, before_h, owner = _sequence(doc, h, n_docs, _END_HASH)
+                    now, before, _ = _sequence(doc, row, n_docs, n_head)
+                    word_at, _, _ = _sequence(doc, np.arange(len(row)), n_docs, -1)
+                    pair = _pair_ids(before_h, now_h, before < 0)
+                    if len(starts_of) > 1:
+                        where = layout.group(pair)
+                        mine = np.flatnonzero((where >= group) & (where < group + per_pass))
+                        pair, now, before, before_h, owner, word_at = (x[mine] for x in (pair, now, before, before_h, owner, word_at))
+                    c = probe(seg, group * layout.slices, layout, pair)
+                    context = n[before].astype(float)
+                    rare = np.flatnonzero(before < 0)
+                    context[rare] = probe(seg, group * layout.slices, layout, _word_ids(before_h[rare]))
+                    known, hit = context > 0, (c > 0) & (context > 0)
+                    gain = np.where(known & ~hit, np.log10(1 - weight), 0.0)
+                    gain[hit] = np.log10(weight * np.minimum(c[hit] / context[hit], 1))
+                    # What is taken back is the base: of head words here, of others where their counts are joined.
+                    back = np.flatnonzero(hit & (now >= 0))
+                    gain[back] -= log_p(n[now[back]])
+                    late = word_at[hit & (now < 0)]
+                    times = np.zeros(len(row), np.int32)
+                    times[late] = 1
+                    listed = np.flatnonzero(row < 0) if group == 0 else np.sort(late)
+                    sizes = np.bincount(doc[listed], minlength=n_docs)
+                    words = pa.StructArray.from_arrays([strings(data, starts[listed], ends[listed]), pa.array(np.full(len(listed), int(group == 0), np.int32)), pa.array(times[listed])], names=["word", "times", "hits"])
+                    cols = [part.column("rid"), pa.array(np.bincount(owner, gain, n_docs).astype(float)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), words)]
+                    names = ["rid", "gain", "rare"]
+                    if group == 0:
+                        here = row >= 0
+                        base = np.bincount(doc[here], log_p(n[row[here]]), n_docs) + log_p(n_end)
+                        n_known = np.bincount(doc[here], minlength=n_docs) + (n_end > 0)
+                        cols += [part.column("id"), part.column("train"), pa.array(np.bincount(doc, minlength=n_docs) + 1), pa.array(n_known.astype(np.int64)), pa.array(base)]
+                        names += ["id", "train", "n_tokens", "n_known", "base"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
         return run
 
-    id_type = src.schema["id"].dataType
-    waiting_type = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("c", T.LongType()), T.StructField("other_n", T.LongType()), T.StructField("next", T.LongType())]))
-    gain_schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("waiting", waiting_type)])
-    main_schema = T.StructType(
-        [T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("waiting", waiting_type), T.StructField("id", id_type), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StringType()))]
-    )
-    gains, scored = None, None
+    rare_type = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.IntegerType()), T.StructField("hits", T.IntegerType())]))
+    some = [T.StructField("rid", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("rare", rare_type)]
+    rest = [T.StructField("id", src.schema["id"].dataType), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType())]
     rows = src.withColumn("rid", F.monotonically_increasing_id())
-    if n_slices > per_segment:
+    if len(starts_of) > 1:
         # Row numbers follow from how Spark splits the files, which the cores of the moment decide: all passes read those written here.
         rows = materialize(rows, "lm-texts")
-    for lo in range(0, n_slices, per_segment):
-        hi = min(n_slices, lo + per_segment)
-        field = np.zeros((hi - lo) * SLICE_BITS // 8, np.uint8)
-        for r in bits.where((F.col("slice") >= lo) & (F.col("slice") < hi)).toLocalIterator():
-            at = (r["slice"] - lo) * SLICE_BITS // 8
-            field[at : at + SLICE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    passes = []
+    for group in starts_of:
+        first, last = group * layout.slices, min(group + per_pass, layout.groups) * layout.slices
+        field = np.zeros((last - first) * SLICE_FIELDS, np.uint64)
+        for r in fields.where((F.col("place") >= first) & (F.col("place") < last)).toLocalIterator():
+            at = (r["place"] - first) * SLICE_FIELDS
+            field[at : at + SLICE_FIELDS] = np.frombuffer(r["fields"], np.uint64)
         segment = sc.broadcast(field)
-        if scored is None:
-            scored = materialize(rows.mapInArrow(scorer(segment, lo, hi, True), main_schema), "lm-scores")
-        else:
-            more = materialize(rows.mapInArrow(scorer(segment, lo, hi, False), gain_schema), "lm-gains")
-            gains = more if gains is None else gains.union(more)
+        passes.append(materialize(rows.mapInArrow(scorer(segment, group), T.StructType(some if group else some + rest)), "lm-scores"))
         segment.unpersist()
-    rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("k")).join(counts, "word", "left")
+    if len(starts_of) > 1:
+        release(rows)
+    every = passes[0].select("rid", "gain", "rare")
+    for p in passes[1:]:
+        every = every.union(p)
+    rare = every.select("rid", F.inline("rare")).groupBy("rid", "word").agg(F.sum("times").alias("times"), F.sum("hits").alias("hits")).join(counts, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     logp = F.log10((c + F.lit(0.1)) / F.lit(n_all + 0.1 * (n_words + 1)))
-    rest = rare.groupBy("rid").agg(F.sum(F.col("k") * logp).alias("rare_base"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    waiting = scored.select("rid", F.inline("waiting"))
-    if gains is not None:
-        waiting = waiting.union(gains.select("rid", F.inline("waiting")))
-    by_hash = _hashed(counts)
-    found = waiting.join(by_hash.select(F.col("h").alias("word"), "n").hint("merge"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    one = found.where("next IS NULL").select("rid", "c", F.when(F.col("first"), F.col("n")).otherwise(F.col("other_n")).alias("nb"), F.when(F.col("first"), F.col("other_n")).otherwise(F.col("n")).alias("nw"))
-    two = found.where("next IS NOT NULL").select("rid", "c", F.col("n").alias("nb"), "next").join(by_hash.select(F.col("h").alias("next"), F.col("n").alias("nw")).hint("merge"), "next", "left")
-    resolved = one.union(two.select("rid", "c", "nb", F.coalesce("nw", F.lit(0)).alias("nw"))).where("nb > 0")
-    p = (F.col("nw") + F.lit(0.1)) / F.lit(n_all + 0.1 * (n_words + 1))
-    late = resolved.select("rid", (F.log10(F.lit(weight) * F.least("c", "nb") / F.col("nb") + F.lit(1 - weight) * p) - F.log10(p)).alias("gain"))
-    if gains is not None:
-        late = late.union(gains.select("rid", "gain"))
+    late = rare.groupBy("rid").agg(F.sum(F.col("times") * logp).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("hits") * logp).alias("rare_hits"))
     zero = F.lit(0.0)
-    out = scored.drop("rare", "waiting").join(rest, "rid", "left").join(late.groupBy("rid").agg(F.sum("gain").alias("more")), "rid", "left")
+    out = passes[0].drop("rare").join(late, "rid", "left")
+    gain = F.col("gain")
+    if passes[1:]:
+        more = every.where("gain <> 0").select("rid", F.col("gain").alias("more")).groupBy("rid").agg(F.sum("more").alias("more"))
+        out, gain = out.join(more, "rid", "left"), F.coalesce("more", zero)
     base = F.col("base") + F.coalesce("rare_base", zero)
     return out.select(
         "id",
@@ -317,5 +344,5 @@ def score_texts(
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain") + F.coalesce("more", zero)).alias("score"),
+        (base + gain - F.coalesce("rare_hits", zero)).alias("score"),
     )

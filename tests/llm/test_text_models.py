@@ -14,6 +14,17 @@ from pagetide.llm.words import ALNUM, LOWER, Hasher, most_frequent, split
 NASTY = ["", None, "it's 'sx ''s we'll they'LL 're x'd!'s 've", "ΑΣ Σ İstanbul ﬁ Å<|endoftext|>y <|startoftext|>  12 ½ ٣a", "a b​c d\x1c e\x85f", "中文 日本語'm 🙂🙂 'lla", "<|endoftext|>", "'", "x" * 5000, "é ẛ̣"]
 
 
+def thue_morse(n, one, two):
+    """A word and its complement: equal under every hash that is a sum over symbols times powers, modulo 2^64."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join((one, two)[b] for b in bits), "".join((two, one)[b] for b in bits)
+
+
+NASTY += thue_morse(2048, "a", "b")
+
+
 @pytest.mark.parametrize("head", [0, 1000])
 def test_bpe_equals_the_library(spark, head):
     from tokenizers import Tokenizer
@@ -40,7 +51,7 @@ def tokens(text):
 def test_lm_base_is_exact_and_scores_are_probabilities(spark, head, segment):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(30)]
-    docs = [(i, " ".join(rng.choice(words, 25, p=np.arange(30, 0, -1) / 465))) for i in range(60)] + [(100, None), (101, ""), (102, "New words HERE w0 w1")]
+    docs = [(i, " ".join(rng.choice(words, 25, p=np.arange(30, 0, -1) / 465))) for i in range(60)] + [(71, thue_morse(2048, "a", "b")[0]), (80, thue_morse(2048, "a", "b")[1]), (100, None), (101, ""), (102, "New words HERE w0 w1")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["id"]: r for r in lm.score_texts(df, F.col("doc_id") % 10 != 0, head_words=head, segment_bytes=segment).collect()}
     c = Counter(w for i, t in docs if i % 10 for w in tokens(t))
@@ -53,30 +64,54 @@ def test_lm_base_is_exact_and_scores_are_probabilities(spark, head, segment):
     assert len(got) == len(docs)
 
 
-def test_lm_score_is_the_interpolation(spark):
+def head_of(c, size):
+    """The words whose counts are exact: whole classes of counts, the closing token always."""
+    out, classes = {"\n"}, {}
+    for w, k in c.items():
+        if w != "\n":
+            classes.setdefault(math.floor(math.log2(k) * 16), []).append(w)
+    for level in sorted(classes, reverse=True):
+        size -= len(classes[level])
+        if size < 0:
+            break
+        out.update(classes[level])
+    return out
+
+
+def backed_off(c, pairs, text, head=1 << 18):
+    """log10 of a text's probability; counts of pairs, and of context words outside the head, are powers of two."""
+    head = head_of(c, head)
+    n, v, want, ws = sum(c.values()), len(c), 0.0, tokens(text)
+    for h, w in zip(["\n", *ws[:-1]], ws, strict=True):
+        p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        if c[h] and pairs[h, w]:
+            p = lm.WEIGHT * min(1, 2 ** int(math.log2(pairs[h, w])) / (c[h] if h in head else 2 ** int(math.log2(c[h]))))
+        elif c[h]:
+            p *= 1 - lm.WEIGHT
+        want += math.log10(p)
+    return want
+
+
+def counted(texts):
+    c, pairs = Counter(), Counter()
+    for t in texts:
+        ws = tokens(t)
+        c.update(ws)
+        pairs.update(zip(["\n", *ws[:-1]], ws, strict=True))
+    return c, pairs
+
+
+def test_lm_score_backs_off(spark):
     docs = [(i, "a b a b a c") for i in range(1, 9)] + [(10, "a b q")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["id"]: r for r in lm.score_texts(df, F.col("doc_id") < 9).collect()}
-    c = Counter(w for i, t in docs if i < 9 for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    pairs = Counter()
-    for i, t in docs:
-        if i < 9:
-            ws = ["\n", *tokens(t)]
-            pairs.update(zip(ws[:-1], ws[1:], strict=True))
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    low = lambda k: 0 if k < 2 else 2 ** int(math.log2(k))
-
-    def one(h, w):
-        return p(w) if not c[h] else lm.WEIGHT * min(low(pairs[h, w]), c[h]) / c[h] + (1 - lm.WEIGHT) * p(w)
-
-    ws = ["\n", *tokens("a b q")]
-    assert got[10]["score"] == pytest.approx(sum(math.log10(one(h, w)) for h, w in zip(ws[:-1], ws[1:], strict=True)))
+    assert got[10]["score"] == pytest.approx(backed_off(*counted(t for i, t in docs if i < 9), "a b q"))
 
 
 @pytest.mark.parametrize("head,segment", [(1 << 18, 64 << 20), (0, 64 << 20), (4, 64 << 20), (4, 1 << 18)])
-def test_lm_scores_every_bigram_at_any_head(spark, head, segment):
+def test_lm_scores_every_bigram_at_any_head(spark, head, segment, monkeypatch):
     """Bigrams seen once and those of words outside the head count as all others do; more segments give the same."""
+    monkeypatch.setattr(lm, "GROUP_SLICES", 1)
     rng = np.random.default_rng(12)
     words = [f"w{i}" for i in range(200)]
     docs = [(i, " ".join(rng.choice(words, 12, p=np.arange(200, 0, -1) / 20100))) for i in range(60)] + [(60, "new w0 new newer w1"), (70, "w0 w1 w2"), (80, "")]
@@ -84,21 +119,8 @@ def test_lm_scores_every_bigram_at_any_head(spark, head, segment):
         docs += [(1001 + i, " ".join(f"z{rng.integers(1 << 40)}" for _ in range(3000))) for i in range(100) if (1001 + i) % 10]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["id"]: r for r in lm.score_texts(df, F.col("doc_id") % 10 != 0, head_words=head, segment_bytes=segment).collect()}
-    c, pairs = Counter(), Counter()
-    for i, t in docs:
-        if i % 10:
-            ws = tokens(t)
-            c.update(ws)
-            pairs.update(zip(["\n", *ws[:-1]], ws, strict=True))
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    off = []
-    for i, t in docs:
-        want, ws = 0.0, tokens(t)
-        for h, w in zip(["\n", *ws[:-1]], ws, strict=True):
-            k = 2 ** int(math.log2(pairs[h, w])) if pairs[h, w] else 0
-            want += math.log10(lm.WEIGHT * min(k, c[h]) / c[h] + (1 - lm.WEIGHT) * p(w) if c[h] else p(w))
-        off.append(abs(got[i]["score"] - want) > 1e-6)
+    c, pairs = counted(t for i, t in docs if i % 10)
+    off = [abs(got[i]["score"] - backed_off(c, pairs, t, head)) > 1e-6 for i, t in docs if i < 1000]
     # A Bloom filter may find a bigram that isn't there, one in a hundred at its size.
     assert np.mean(off) <= (0.05 if segment == 64 << 20 else 0.25)
 
@@ -110,6 +132,7 @@ def test_lm_segments_agree_when_files_are_split_anew(spark, tmp_path, monkeypatc
     spark.createDataFrame(docs, "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/docs")
     df = spark.read.parquet(f"{tmp_path}/docs")
     train = F.col("doc_id") % 10 != 0
+    monkeypatch.setattr(lm, "GROUP_SLICES", 1)
     whole = {r["id"]: r["score"] for r in lm.score_texts(df, train).collect()}
     plain = lm.materialize
     passes = []
@@ -128,7 +151,7 @@ def test_lm_segments_agree_when_files_are_split_anew(spark, tmp_path, monkeypatc
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert "lm-gains" in passes and cut == pytest.approx(whole)
+    assert passes.count("lm-scores") > 1 and cut == pytest.approx(whole)
 
 
 def test_lm_odd_documents(spark, odd_docs):
