@@ -20,9 +20,11 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session takes a fresh folder of its own (tests); a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pagetide-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -94,3 +96,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns, found without regard to clashing extra columns."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def fresh(taken, name: str) -> str:
+    """A column name that none of the taken ones equals in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetide.llm.common import materialize, release, slices, string_buffers
+from pagetide.llm.common import fresh, materialize, release, slices, string_buffers
 from pagetide.llm.quality import lines_of
-from pagetide.llm.words import Hasher, split
+from pagetide.llm.words import Pieces, split
 
 MIN_WORDS = 50
 #: Bits of a place that number the line inside its document.
@@ -51,18 +52,18 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """docs(id, key, text) -> (id, key, i, a, b, least, most): the lines, their 128-bit ids, the lengths of runs from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             for part in slices(batch, "text"):
                 off, data = string_buffers(part.column("text"))
                 starts, ends, doc = lines_of(data, off)
+                pieces = Pieces(data)
                 w, _, _ = split(data, off)
                 mark = np.zeros(len(data) + 1, np.int64)
                 mark[w + 1] = 1
                 total = np.cumsum(mark)
                 least, most = candidate_lengths(total[ends] - total[starts], doc, min_words)
                 first = np.searchsorted(doc, np.arange(part.num_rows))
-                a, b = hasher(data, starts, ends), hasher(data ^ np.uint8(0xA5), starts, ends)
+                a, b = pieces.hashes(starts, ends, 1), pieces.hashes(starts, ends, 2)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(take), part.column("key").take(take), pa.array(np.arange(len(doc)) - first[doc]), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(least), pa.array(most)],
@@ -111,7 +112,7 @@ def prefix_ranks(first: DataFrame, depth: int) -> list[DataFrame]:
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(id, key, text) -> (id, key, i, length): runs of lines that also start at an earlier place; places are in order of id, key, line."""
     lines = materialize(line_table(docs, min_words), "lines")
-    ids = materialize(_repeated(lines, "a", "b"), "line-ranks")
+    ids = _repeated(lines, "a", "b")
     live = lines.join(ids, ["a", "b"]).select("id", "key", "i", "least", "most", "rank")
     owners = ranked(live.select("id", "key").distinct(), "id", "key").select(F.col("id").alias("owner_id"), F.col("key").alias("owner_key"), F.col("rank").alias("doc"))
     owned = live.join(owners, live["id"].eqNullSafe(owners["owner_id"]) & (live["key"] == owners["owner_key"]))
@@ -130,33 +131,68 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = here.join(head, "place").withColumn("end", F.col("place") + F.col("length") - size).join(tail, "end").select("id", "key", "i", "place", "length", "head", "tail")
         named = found if named is None else named.union(found)
     named = materialize(named, "runs")
-    first = named.groupBy("length", "head", "tail").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1")
-    return named.join(first, ["length", "head", "tail"]).where("place > first").select("id", "key", "i", "length")
+    for table in (lines, owned, *ranks[1:]):
+        release(table)
+    # A run has one first place and a place one run of each length, so what isn't first is found by place: no join has a hot run as its key.
+    first = named.groupBy("length", "head", "tail").agg(F.min("place").alias("place")).select("place", "length")
+    return named.join(first.hint("merge"), ["place", "length"], "left_anti").select("id", "key", "i", "length")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the later copies of repeated runs of lines taken out of the text, plus n_lines and deleted (line numbers from 0).
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", n_lines_col: str = "n_lines", deleted_col: str = "deleted") -> DataFrame:
+    """docs with the later copies of repeated runs of lines taken out of the text, plus n_lines int and deleted array<long> (line numbers from 0).
 
     Lines end at \\n alone. Rows with the same id and text are one document and stay alike; among documents of one id the
     hash of the text decides which is earlier, a null id comes first; a null text stays null with no line; other columns
-    stay as they are (columns named n_lines or deleted are replaced); an empty table gives an empty one.
+    stay as they are; an empty table gives an empty one. The names of the two new columns can be chosen; a column of docs that has
+    one of these names is replaced.
     """
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     # Equal rows are one document: which of them is read makes no difference, so one is.
     runs = later_copies(src.dropDuplicates(["id", "key"]) if _has_twins(src) else src, min_words)
-    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("length") - 1)))))
+    gone = F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("length") - 1))))
     gone = materialize(runs.groupBy("id", "key").agg(gone.alias("gone")), "deleted-lines")
-    # By shuffle at every size: the deletions grow with the documents.
-    gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), "gone").hint("merge")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left")
-    deleted = F.coalesce(F.col("gone"), F.array().cast("array<bigint>"))
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(deleted, i.cast("long"))), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "deleted", text_col)]
-    n_lines = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("int").alias("n_lines")
-    return joined.select(*rest, text.alias(text_col), n_lines, deleted.alias("deleted"))
+    # The document's row goes through the join as one column, so that no name can clash. By shuffle at every size: the deletions grow with the documents.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("row_id"), key.alias("row_key"))
+    joined = rows.join(gone.hint("merge"), F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left")
+    kept = [c for c in docs.columns if c not in (n_lines_col, deleted_col)]
+    flat = joined.select(*[F.col("row").getField(c).alias(c) for c in kept], F.coalesce("gone", F.array().cast("array<bigint>")).alias(fresh(kept, "gone")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = kept.index(text_col)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts, cut = part.column(at), part.column(len(kept))
+                off, data = string_buffers(texts)
+                starts, ends, doc = lines_of(data, off)
+                first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                sizes = np.asarray(pc.list_value_length(cut)).astype(np.int64)
+                owner = np.repeat(np.arange(part.num_rows), sizes)
+                stay = np.ones(len(doc), bool)
+                stay[first[owner] + np.asarray(cut.flatten())] = False
+                numbers = np.arange(len(doc)) - first[doc]
+                new, bounds = gather_lines(data, starts, ends, doc, stay, part.num_rows)
+                text = pa.Array.from_buffers(pa.string(), part.num_rows, [pa.array(np.asarray(texts.is_valid())).buffers()[1], pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(new)])
+                lost = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(numbers[~stay]))
+                n_lines = np.where(np.asarray(texts.is_valid()), np.diff(first), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[text if i == at else part.column(i) for i in range(len(kept))], pa.array(n_lines), lost], names=[*kept, n_lines_col, deleted_col])
+
+    out = [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField(n_lines_col, T.IntegerType()), T.StructField(deleted_col, T.ArrayType(T.LongType()))]
+    return flat.mapInArrow(run, T.StructType(out))
+
+
+def gather_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, stay: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lines that stay, joined by \\n inside each text, laid end to end, and the texts' offsets."""
+    starts, ends, doc = starts[stay], ends[stay], doc[stay]
+    # Each line with the \\n in front of it, but for a text's first.
+    lead = np.zeros(len(doc), np.int64)
+    lead[1:] = doc[1:] == doc[:-1]
+    size = ends - starts + lead
+    upto = np.concatenate([[0], np.cumsum(size)])
+    index = np.arange(upto[-1]) + np.repeat(starts - lead - upto[:-1], size)
+    new = data[np.maximum(index, 0)]
+    new[upto[:-1][lead == 1]] = 10
+    return new, upto[np.searchsorted(doc, np.arange(n_docs + 1))]
 
 
 def _has_twins(src: DataFrame) -> bool:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import materialize, only, slices, string_buffers
+from pagetide.llm.common import materialize, only, release, slices, string_buffers
 from pagetide.llm.components import connected_components
 from pagetide.llm.words import LOWER, Hasher, mix, split
 
@@ -318,54 +318,119 @@ def least_equal(similarity: float) -> int:
     return int(n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity)))
 
 
-def _pairs(least: int, every: bool):
-    """Sorted rows (k, node, signature, root) -> pairs (u > v) of a group with `least` equal bytes: all between different roots, or for each node one of the likeliest before it."""
+def _grouped(batches: Iterator[pa.RecordBatch], width: int, pairs):
+    """Rows (k, node, root, size, sign) sorted by k -> the pairs (u > v) that pairs(node, root, size, sign) names in each group."""
+    rest = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, width), np.uint8)]
 
-    def of_group(node: np.ndarray, sign: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def groups(k, *columns):
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            root = columns[1][a:b]
+            if b - a > 1 and not (root == root[0]).all():
+                x, y = pairs(*[c[a:b] for c in columns])
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, raw = string_buffers(batch.column(4))
+        new = [np.asarray(batch.column(i)).astype(np.int64) for i in range(4)] + [raw.reshape(-1, width)]
+        rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+        if cut:
+            yield from groups(*[x[:cut] for x in rows])
+        rest = [x[cut:] for x in rows]
+    if len(rest[0]):
+        yield from groups(*rest)
+
+
+def _first_pairs(least: int):
+    """For each node of a group one of the likeliest before it, and the node that is likest to all, if `least` signature bytes are equal."""
+
+    def of_group(node, root, size, sign):
         order = np.argsort(node, kind="stable")
-        node, sign, root = node[order], sign[order], root[order]
-        us, vs = [], []
-        each = max(1, (1 << 15) // len(node))
-        for lo in range(0, len(node), each):
-            hi = min(len(node), lo + each)
+        node, sign = node[order], sign[order]
+        n = len(node)
+        some = np.arange(0, n, -(-n // 64))
+        alike = np.zeros(n, np.int64)
+        each = max(1, (1 << 15) // n)
+        for lo in range(0, len(some), each):
+            alike += (sign[some[lo : lo + each], None, :] == sign[None]).sum(axis=(0, 2))
+        hub = int(alike.argmax())
+        near = np.flatnonzero((sign == sign[hub]).sum(axis=1) >= least)
+        near = near[near != hub]
+        us, vs = [node[near]], [np.full(len(near), node[hub])]
+        for lo in range(0, n, each):
+            hi = min(n, lo + each)
             same = (sign[lo:hi, None, :] == sign[None, :hi]).sum(axis=2, dtype=np.int64)
             ok = (same >= least) & (node[lo:hi, None] > node[None, :hi])
-            if every:
-                x, y = np.nonzero(ok & (root[lo:hi, None] != root[None, :hi]))
-            else:
-                # Nearly equal ones by chance, so that no node is picked by a whole group.
-                luck = (mix((node[lo:hi, None] ^ node[None, :hi]).view(np.uint64)) >> np.uint64(48)).astype(np.int64)
-                rank = np.where(ok, np.minimum(same, BANDS * ROWS * 9 // 10) << 16 | luck, -1)
-                x = np.flatnonzero(ok.any(axis=1))
-                y = rank[x].argmax(axis=1)
+            # Nearly equal ones by chance, so that no node is picked by a whole group.
+            luck = (mix((node[lo:hi, None] ^ node[None, :hi]).view(np.uint64)) >> np.uint64(48)).astype(np.int64)
+            rank = np.where(ok, np.minimum(same, BANDS * ROWS * 9 // 10) << 16 | luck, -1)
+            x = np.flatnonzero(ok.any(axis=1))
             us.append(node[lo:hi][x])
-            vs.append(node[:hi][y])
+            vs.append(node[:hi][rank[x].argmax(axis=1)])
         return np.concatenate(us), np.concatenate(vs)
 
-    def groups(k, node, sign, root):
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a > 1 and not (every and (root[a:b] == root[a]).all()):
-                u, v = of_group(node[a:b], sign[a:b], root[a:b])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    return lambda batches: _grouped(batches, BANDS * ROWS, of_group)
+
+
+#: Values of a fine signature: the least shingle hash of each of so many classes of hashes, a byte each, 0 where a class is empty.
+CLASSES = 1024
+#: Deviations below the similarity down to which a fine signature lets a pair pass; 3.4 in a million lie beyond.
+DEVIATIONS = 4.5
+
+
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """(node, shingles) -> (node, size long, sign binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.uint8), np.zeros(0, np.int64)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, raw = string_buffers(batch.column(2))
-            new = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), raw.reshape(-1, BANDS * ROWS), np.asarray(batch.column(3))]
-            rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
-            if cut:
-                yield from groups(*[x[:cut] for x in rows])
-            rest = [x[cut:] for x in rows]
-        if len(rest[0]):
-            yield from groups(*rest)
+            sizes, signs = [], []
+            for raw in batch.column(1):
+                h = np.sort(mix(np.frombuffer(raw.as_buffer(), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                group = (h >> np.uint64(54)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                sign = np.zeros(CLASSES, np.uint8)
+                sign[group[first]] = (mix(h[first]) >> np.uint64(56)).astype(np.uint8) | 1
+                sizes.append(len(h))
+                signs.append(sign.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], names=["node", "size", "sign"])
 
-    return run
+    return sets.mapInArrow(run, "node long, size long, sign binary")
+
+
+def _fine_pairs(similarity: float, every: bool):
+    """Pairs between different roots of a group that may have the similarity, by fine signatures: all, or for each node outside the largest root the likeliest.
+
+    Equal classes are a sample, without repeats, of the union of both sets, so their number deviates less the more of the union they are.
+    """
+
+    def of_group(node, root, size, sign):
+        roots, number, times = np.unique(root, return_inverse=True, return_counts=True)
+        main = number == times.argmax()
+        us, vs = [], []
+        own = np.flatnonzero(~main)
+        each = max(1, (1 << 14) // len(node))
+        full = sign != 0
+        for lo in range(0, len(own), each):
+            x = own[lo : lo + each]
+            n = (full[x, None, :] | full[None]).sum(axis=2)
+            equal = ((sign[x, None, :] == sign[None]) & full[None]).sum(axis=2)
+            union = np.maximum((size[x, None] + size[None]) / (1 + similarity), n)
+            bound = n * similarity - DEVIATIONS * np.sqrt(n * similarity * (1 - similarity) * (1 - n / union)) - 1
+            ok = (equal >= bound) & (root[x, None] != root[None])
+            if every:
+                i, y = np.nonzero(ok & (main[None] | (node[x, None] > node[None])))
+            else:
+                i = np.flatnonzero(ok.any(axis=1))
+                y = np.where(ok[i], equal[i] / n[i], -1).argmax(axis=1)
+            us.append(node[x[i]])
+            vs.append(node[y])
+        return np.concatenate(us), np.concatenate(vs)
+
+    return lambda batches: _grouped(batches, CLASSES, of_group)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -407,11 +472,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, key, group): documents whose sets of `width`-word shingles are similar, grouped over all such links; key is the hash of the text.
 
-    Bands of MinHash values find candidates, a byte of each value pre-filters them, and the exact Jaccard similarity of
-    the two shingle sets decides. A first round verifies for each node of a band one pair; a second one all pairs whose
-    ends aren't in one group yet, so a dense group of copies doesn't cost the square of its size and no link is left
-    out. Texts without a word form one group; a text shorter than a shingle is one shingle. Null ids and repeated rows
-    keep their rows.
+    Bands of MinHash values find candidates, and the exact Jaccard similarity of the two shingle sets decides. A first
+    round verifies for each node of a band two pairs, picked by a byte of each MinHash value; a second one, for each node
+    outside its band's largest group, the likeliest pair by fine signatures; a third one all pairs whose ends aren't in
+    one group yet and whose fine signatures allow the similarity. So a dense group of copies doesn't cost the square of
+    its size and no link is left out. Texts without a word form one group; a text shorter than a shingle is one shingle.
+    Null ids and repeated rows keep their rows; an empty table gives an empty one.
     """
     rows = materialize(sketches(docs, width, id_col, text_col), "sketches")
     first = F.min(F.struct("id", "key")).alias("rep")
@@ -419,31 +485,46 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     shared = materialize(band_groups(nodes, block), "band-groups")
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep.*").hint("merge"), "node")
     sets = materialize(shingle_sets(docs, wanted, width, id_col, text_col), "shingle-sets")
-    least = least_equal(similarity)
 
-    def candidates(rooted: DataFrame, every: bool) -> DataFrame:
-        rooted = rooted.select("k", "node", "signature", "root").repartition("k").sortWithinPartitions("k")
-        return rooted.mapInArrow(_pairs(least, every), "u long, v long").distinct()
+    def picked(groups: DataFrame, pairs) -> DataFrame:
+        groups = groups.select("k", "node", "root", "size", "sign").repartition("k").sortWithinPartitions("k")
+        return groups.mapInArrow(pairs, "u long, v long").distinct()
 
-    tried = materialize(candidates(shared.withColumn("root", F.col("node")), False), "pairs-tried")
+    start = shared.select("k", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("size"), F.col("signature").alias("sign"))
+    tried = materialize(picked(start, _first_pairs(least_equal(similarity))), "pairs-tried")
     links = materialize(verified(tried, sets, similarity), "pairs-linked")
-    roots = materialize(connected_components(links), "pair-roots")
-    rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = candidates(rooted, True).join(tried.hint("merge"), ["u", "v"], "left_anti")
-    more = materialize(verified(left, sets, similarity), "pairs-linked")
-    roots = connected_components(links.union(more)).withColumnRenamed("root", "group")
+    for every in (False, True):
+        roots = materialize(connected_components(links), "pair-roots")
+        rooted = shared.select("k", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # By shuffle at every size: bands, nodes and pairs grow with the input.
+        torn = rooted.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
+        torn = materialize(rooted.join(torn.hint("merge"), "k"), "torn-groups")
+        fine = fine_signatures(sets.join(torn.select("node").distinct().hint("merge"), "node", "left_semi"))
+        more = picked(torn.join(fine.hint("merge"), "node"), _fine_pairs(similarity, every)).join(tried.hint("merge"), ["u", "v"], "left_anti")
+        more = materialize(more, "pairs-tried")
+        tried = tried.union(more)
+        links = links.union(materialize(verified(more, sets, similarity), "pairs-linked"))
+    roots = connected_components(links).withColumnRenamed("root", "group")
+    for table in (shared, sets):
+        release(table)
     return rows.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("group", "node").alias("group"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of similar_groups: the one with the smallest id (null last), then the smallest text hash."""
+    """docs with one row of each group of similar_groups: the one with the smallest id (null last), then the smallest text hash.
+
+    Null and empty texts count as texts without a word, which form one group; of rows with one id and text one stays;
+    columns stay as they are, whatever their names; an empty table gives an empty one.
+    """
     groups = materialize(similar_groups(docs, width, similarity, id_col, text_col), "similar-groups")
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
-    first = groups.groupBy("group").agg(F.min(rank).alias("f"), F.count("*").alias("n")).select(F.col("f.id").alias("keep_id"), F.col("f.key").alias("keep_key"))
+    first = groups.groupBy("group").agg(F.min(rank).alias("f")).select("f.id", "f.key")
     twins = groups.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    # The document's row goes through the join as one column, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("row_id"), key.alias("row_key"))
     # By shuffle at every size: the documents to keep grow with the input.
-    kept = docs.join(first.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
-    if twins.isEmpty():
-        return kept
-    return kept.withColumn("__key", key).dropDuplicates([id_col, "__key"]).drop("__key")
+    kept = rows.join(first.hint("merge"), F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left_semi")
+    if not twins.isEmpty():
+        kept = kept.dropDuplicates(["row_id", "row_key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -94,7 +94,7 @@ def test_keep_one_of_each_group(spark, odd_docs):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept
     odd = simhash.keep_one(odd_docs)
     assert odd.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in odd.collect()) == [1, 3, 4, 6]
+    assert sorted(r["doc_id"] for r in odd.collect()) == [1, 3, 4, 6, 8, 9]
 
 
 def five_word_sets(texts):
@@ -124,6 +124,14 @@ def test_similar_groups_are_those_of_exact_jaccard(spark, block):
     # One large loose group: a template with its own words in each text, most pairs below 0.8.
     template = [f"t{i}" for i in range(90)]
     texts += [template[: 45 + k % 3] + [f"own{k}n{i}" for i in range(rng.choice([1, 4, 8]))] + template[45:] for k in range(30)]
+    # A large group of copies of one text that is there, each with its own edits: likest to that text, pairs of copies below 0.8.
+    star = [f"s{i}" for i in range(150)]
+    texts.append(star)
+    for k in range(120):
+        copy = list(star)
+        for i in rng.sample(range(150), rng.choice([1, 2, 3, 4])):
+            copy[i] = f"s{k}e{i}"
+        texts.append(copy)
     texts = [" ".join(t) for t in texts]
     sets = five_word_sets(texts)
     by = {}
@@ -188,3 +196,13 @@ def test_line_dedup_odd_documents(spark, odd_docs):
     # A null id comes first, so its text is the first copy; equal rows are one document.
     assert by.count((3, 1, (0,))) == 2 and (7, 1, (0,)) in by and (0, 1, ()) in by and (1, 0, ()) in by
     assert linededup.dedup_lines(odd_docs.limit(0)).count() == 0
+    # Lines that weak hashes confuse both stay; columns of other names are untouched, those of the two names replaced.
+    texts = {r["doc_id"]: r for r in linededup.dedup_lines(odd_docs, 1).collect()}
+    assert len(texts[8]["text"]) == len(texts[9]["text"]) == 2048 and texts[8]["gone"] == "k"
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_text(spark):
+    many = "\n".join(f"line {i} with some words" for i in range(60_000))
+    df = spark.createDataFrame([(1, many), (2, many + "\nlast")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    assert got[1]["deleted"] == [] and got[2]["deleted"] == list(range(60_000)) and got[2]["text"] == "last"

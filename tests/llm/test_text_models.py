@@ -9,19 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetide.llm import bpe, decontaminate, lm
-from pagetide.llm.words import ALNUM, LOWER, Hasher, most_frequent, split
+from pagetide.llm.words import ALNUM, LOWER, Hasher, Pieces, most_frequent, split
+from tests.llm.conftest import thue_morse
 
 NASTY = ["", None, "it's 'sx ''s we'll they'LL 're x'd!'s 've", "ΑΣ Σ İstanbul ﬁ Å<|endoftext|>y <|startoftext|>  12 ½ ٣a", "a b​c d\x1c e\x85f", "中文 日本語'm 🙂🙂 'lla", "<|endoftext|>", "'", "x" * 5000, "é ẛ̣"]
 
-
-def thue_morse(n, one, two):
-    """A word and its complement: equal under every hash that is a sum over symbols times powers, modulo 2^64."""
-    bits = [0]
-    while len(bits) < n:
-        bits += [1 - b for b in bits]
-    return "".join((one, two)[b] for b in bits), "".join((two, one)[b] for b in bits)
-
-
 NASTY += thue_morse(2048, "a", "b")
 
 
@@ -39,6 +31,7 @@ def test_bpe_equals_the_library(spark, head):
 def test_bpe_odd_documents(spark, odd_docs):
     out = bpe.encode_and_decode(odd_docs, with_ids=False).collect()
     assert len(out) == odd_docs.count() and {r["n_tokens"] for r in out if r["id"] in (1, 2, 5)} == {0}
+    assert len({r["ids_sha256"] for r in out if r["id"] in (8, 9)}) == 2
     assert {r["decoded_sha256"] for r in out if r["id"] == 1} == {hashlib.sha256(b"").hexdigest()}
     assert bpe.encode_and_decode(odd_docs.limit(0)).count() == 0
 
@@ -226,3 +219,15 @@ def test_words_and_hashes():
     h = Hasher()(data, s, e)
     assert len(set(h.tolist())) == len({w for _, w in got})
     assert len(split(data, off, ALNUM)[0]) == 4 and zlib.crc32(b"") == 0
+
+
+def test_pieces_are_told_apart_by_bytes_even_where_hashes_collide():
+    raw = ["a", "ab", *thue_morse(2048, "a", "b"), "a" * 40, "a", "a" * 41, *thue_morse(2048, "a", "b"), "ab"]
+    data = np.frombuffer("".join(raw).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    pieces = Pieces(data)
+    h = pieces.hashes(off[:-1], off[1:])
+    assert len(set(h.tolist())) == len(set(raw))
+    for hashes in (h, np.zeros(len(raw), np.uint64)):
+        first, back = pieces.distinct(off[:-1], off[1:], hashes)
+        assert len(first) == len(set(raw)) and [raw[first[b]] for b in back] == raw
