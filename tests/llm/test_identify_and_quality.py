@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagetide.llm import langid, quality
@@ -44,6 +45,32 @@ def test_phrases_match_greedy_parsing():
     assert got[:, 0].tolist() == [greedy_phrases(text, samples[k]) for k in m.languages]
 
 
+def test_phrases_go_on_over_the_ends_of_blocks():
+    """Random texts, periodic ones that never fall into step, and empty ones, of up to eight blocks, against the greedy parse."""
+    rng = np.random.default_rng(5)
+    samples = {"a": "".join(rng.choice(list("abc "), 400)), "b": "a" * 7 + "b" * 5, "c": "ab" * 50}
+    m = langid.Model(samples)
+    texts = ["".join(rng.choice(list("abcz "), rng.integers(0, 2000))) for _ in range(20)]
+    texts += ["a" * 2500, "ab" * 1200, "", "aab" * 700, "a" * langid.BLOCK, "b" * (langid.BLOCK + 1), "abc" * 40]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sym = m.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    got = m.phrases(sym, off)
+    assert got.tolist() == [[greedy_phrases(t, samples[k]) for t in texts] for k in m.languages]
+
+
+def test_the_sample_is_of_whole_texts_and_labels_are_bounded(spark, monkeypatch):
+    """Letters behind a long head of digits are learnt; bytes that are no UTF-8 don't stop a prediction."""
+    rows = [(i + 100, "0" * 5000 + (" the cat and the dog" if i % 2 else " der hund und die katze") * 20, ("en", "de")[i % 2 == 0]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    test = spark.createDataFrame([(1, "the dog and the cat"), (2, "die katze und der hund")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    broken = test.withColumn("text", F.concat(F.unhex(F.lit("FF20C3")), F.encode("text", "UTF-8")).cast("string")).withColumn("doc_id", F.col("doc_id") + 10)
+    got = {r["id"]: r["lang_pred"] for r in langid.identify(df.union(test).union(broken), F.col("lang").isNotNull()).collect()}
+    assert [got[k] for k in (1, 2, 11, 12)] == ["en", "de", "en", "de"]
+    monkeypatch.setattr(langid, "MAX_LABELS", 1)
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit(df)
+
+
 def test_identify_odd_documents(spark, odd_docs):
     got = langid.identify(odd_docs, F.lit(True)).collect()
     assert len(got) == odd_docs.count()

@@ -178,26 +178,55 @@ def test_edit_distance_matches_brute_force():
         assert e == brute_distance(a.tolist(), b.tolist()) and 0 <= s <= t <= len(b)
 
 
-def test_decontamination_recall_and_precision(spark):
+def edited(rng, vocab, words, share, kind):
+    words = list(words)
+    for _ in range(int(share * len(words))):
+        k = rng.choice(["replace", "insert", "delete"]) if kind == "mixed" else kind
+        at = rng.integers(len(words))
+        if k == "replace":
+            words[at] = str(rng.choice(vocab))
+        elif k == "insert":
+            words.insert(at, str(rng.choice(vocab)))
+        else:
+            words.pop(at)
+    return words
+
+
+@pytest.mark.parametrize("sizes", [(8, 20), (20, 60), (100, 160)])
+def test_decontamination_recall(spark, sizes):
+    """Items hidden with 5, 10 and 20 % of edits of each kind; pages without any are left alone."""
     rng = np.random.default_rng(10)
     vocab = np.array([f"v{i}" for i in range(4000)])
-    items = [(k, " ".join(rng.choice(vocab, rng.integers(12, 60)))) for k in range(60)]
-    docs, truth = [], set()
-    for k, (i, text) in enumerate(items):
-        words = text.split()
-        for _ in range(int(0.08 * len(words))):
-            words[rng.integers(len(words))] = str(rng.choice(vocab))
-        host = rng.choice(vocab, 200).tolist()
-        cut = int(rng.integers(200))
-        docs.append((k, " ".join(host[:cut] + words + host[cut:]).upper()))
-        truth.add((k, i))
-        docs.append((1000 + k, " ".join(rng.choice(vocab, 300))))
+    items = [(k, " ".join(rng.choice(vocab, rng.integers(*sizes)))) for k in range(40)]
+    docs, cases = [], [(share, kind) for share in (0.05, 0.1, 0.2) for kind in ("replace", "insert", "delete", "mixed")]
+    for c, (share, kind) in enumerate(cases):
+        for k, text in items:
+            host, cut = rng.choice(vocab, 60).tolist(), int(rng.integers(60))
+            docs.append((c * 100 + k, " ".join(host[:cut] + edited(rng, vocab, text.split(), share, kind) + host[cut:]).upper()))
+    docs += [(5000 + k, " ".join(rng.choice(vocab, 300))) for k in range(60)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([*items, (900, None), (901, "")], "item_id long, text string")
+    b = spark.createDataFrame([*items, (900, None), (901, "")], "item_id int, text string")
     got = {(r["id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
-    assert len(got & truth) >= 0.95 * len(truth) and not {x for x in got if x[0] >= 1000}
-    clean = {r["doc_id"] for r in decontaminate.keep_clean(d, b).collect()}
-    assert clean == {i for i, _ in docs} - {i for i, _ in got}
+    for c, (share, _) in enumerate(cases):
+        caught = sum((c * 100 + k, k) in got for k, _ in items)
+        assert caught >= {0.05: 39, 0.1: 38, 0.2: 35}[share]
+    assert all(i < 5000 for i, _ in got)
+    assert {r["doc_id"] for r in decontaminate.keep_clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every pair found is one within the edits, nearly all such pairs are found, and items that allow no edit are all found."""
+    rng = np.random.default_rng(14)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(vocab, n))) for k, n in enumerate([1, 2, 3, 4, 4, 3, 2, 6, 9, 14, 20, 25])]
+    docs = [(i, " ".join(edited(rng, vocab, items[i % 12][1].split(), 0.15, "mixed") + rng.choice(vocab, 30).tolist())) for i in range(60)]
+    words = lambda t: t.split()
+    want = {(i, k): brute_distance(words(q), words(t)) for i, t in docs for k, q in items}
+    want = {key: e for key, e in want.items() if e <= int(0.2 * len(words(items[key[1]][1])))}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(d, b).collect()}
+    assert set(got) <= set(want) and all(got[x] >= want[x] for x in got)
+    assert len(got) >= 0.9 * len(want) and {x for x in want if x[1] < 7} <= set(got)
 
 
 def test_decontamination_odd_documents(spark, odd_docs):
