@@ -41,7 +41,9 @@ SEGMENT_BYTES = 64 << 20
 WEIGHT = 0.6
 #: Bits of a name that choose its segment.
 _PLACE_BITS = 24
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
+#: One bigram in so many, by hash, tells how many entries the filter is made for.
+SHARE = 64
 
 _PAIRS_OF_BITS = (np.uint64(1) << (np.arange(4096, dtype=np.uint64) & np.uint64(63))) | (np.uint64(1) << (np.arange(4096, dtype=np.uint64) >> np.uint64(6)))
 
@@ -55,26 +57,39 @@ def _words(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, n
     return data, starts, ends, doc, pieces, pieces.hashes(starts, ends)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(text string) -> (word, n long), with the closing token of every text counted as the word END."""
+def counts(texts: DataFrame) -> DataFrame:
+    """(text string) -> (word, pair, n long): words with their counts, the closing token of every text counted as the word END; and, without a word, one bigram of SHARE with its count, from which the filter's size is estimated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends_seen = 0
+        ends_seen, pairs = 0, [np.zeros(0, np.uint64)]
 
         def found() -> Iterator[tuple[pa.Array, np.ndarray]]:
             nonlocal ends_seen
             for batch in batches:
                 ends_seen += batch.num_rows
                 for part in slices(batch, "text"):
-                    data, starts, ends, _, pieces, h = _words(part, "text")
+                    data, starts, ends, doc, pieces, h = _words(part, "text")
+                    now, before, _ = _sequence(doc, h, part.num_rows, _END_HASH)
+                    name = _pair_ids(before, now, np.zeros(len(now), bool))
+                    pairs.append(name[name % np.uint64(SHARE) == 0])
                     first, back = pieces.distinct(starts, ends, h)
                     yield strings(data, starts[first], ends[first]), np.bincount(back, minlength=len(first))
 
-        yield from summed(found())
+        def rows(word: pa.Array, pair: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([word, pair, n], names=["word", "pair", "n"])
+
+        for batch in summed(found()):
+            yield rows(batch.column("word"), pa.nulls(batch.num_rows, pa.int64()), batch.column("n"))
+            if sum(map(len, pairs)) >= _FLUSH:
+                name, n = np.unique(np.concatenate(pairs), return_counts=True)
+                pairs[:] = [np.zeros(0, np.uint64)]
+                yield rows(pa.nulls(len(name), pa.string()), pa.array(name.view(np.int64)), pa.array(n.astype(np.int64)))
         if ends_seen:
-            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends_seen], pa.int64())], names=["word", "n"])
+            name, n = np.unique(np.concatenate(pairs), return_counts=True)
+            yield rows(pa.nulls(len(name), pa.string()), pa.array(name.view(np.int64)), pa.array(n.astype(np.int64)))
+            yield rows(pa.array([END]), pa.nulls(1, pa.int64()), pa.array([ends_seen], pa.int64()))
 
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word string, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
 def _head(counts: DataFrame, size: int) -> tuple[tuple, np.ndarray]:
@@ -113,15 +128,15 @@ def _pair_ids(before: np.ndarray, now: np.ndarray, rare: np.ndarray) -> np.ndarr
     return np.where(rare, _placed(pair, mix(before * np.uint64(0xD6E8FEB86659FD93))), pair)
 
 
-def bigram_counts(texts: DataFrame, head) -> DataFrame:
-    """(text string) -> (name long, n long) for all bigrams, END before and after each text."""
+def bigrams(texts: DataFrame, head, layout: Layout) -> DataFrame:
+    """(text string) -> (place long, name long, n long): all bigrams, END before and after each text, with counts that are still to be added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, kept, size = Table(head.value), [], 0
 
         def flush() -> pa.RecordBatch:
             names, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["name", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(layout.place(names)), pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["place", "name", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -136,11 +151,11 @@ def bigram_counts(texts: DataFrame, head) -> DataFrame:
         if size:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "place long, name long, n long")
 
 
-def rare_word_ids(counts: DataFrame, head) -> DataFrame:
-    """(word, n) -> (name long, n long) of the words outside the head."""
+def rare_words(words: DataFrame, head, layout: Layout) -> DataFrame:
+    """(word, n) -> (place long, name long, n long) of the words outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(head.value)
@@ -149,9 +164,10 @@ def rare_word_ids(counts: DataFrame, head) -> DataFrame:
             pieces = Pieces(data)
             h = pieces.hashes(off[:-1], off[1:])
             rare = table.find(pieces, off[:-1], off[1:], h) < 0
-            yield pa.RecordBatch.from_arrays([pa.array(_word_ids(h[rare]).view(np.int64)), b.column(1).filter(pa.array(rare))], names=["name", "n"])
+            name = _word_ids(h[rare])
+            yield pa.RecordBatch.from_arrays([pa.array(layout.place(name)), pa.array(name.view(np.int64)), b.column(1).filter(pa.array(rare))], names=["place", "name", "n"])
 
-    return counts.where(F.col("word") != END).select("word", "n").mapInArrow(run, "name long, n long")
+    return words.where(F.col("word") != END).select("word", "n").mapInArrow(run, "place long, name long, n long")
 
 
 class Layout:
@@ -179,34 +195,27 @@ def _bits(name: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filter_slices(entries: DataFrame, layout: Layout) -> DataFrame:
-    """(name, n) -> (place long, fields binary): the filter's slices, each built by one task from its own entries."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            name = np.asarray(b.column(0)).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(layout.place(name)), b.column(0), b.column(1)], names=["place", "name", "n"])
+    """(place, name, n) -> (place long, fields binary): the filter's slices; equal names are added up in the task that builds their slice, so that entries are shuffled once."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(k: int, fields: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fields.tobytes()], pa.binary())], names=["place", "fields"])
-
-        now, fields = -1, np.zeros(0, np.uint64)
-        for b in batches:
-            s, name, n = (np.asarray(c) for c in b.columns)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else [0]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if s[lo] != now:
-                    if now >= 0:
-                        yield done(now, fields)
-                    now, fields = int(s[lo]), np.zeros(SLICE_FIELDS, np.uint64)
-                names, top = name[lo:hi].view(np.uint64), np.log2(n[lo:hi]).astype(np.int64)
-                for level in range(int(top.max()) + 1):
-                    np.bitwise_or.at(fields, *_bits(names[top >= level], level))
-        if now >= 0:
-            yield done(now, fields)
-
-    placed = entries.mapInArrow(place, "place long, name long, n long")
-    return placed.repartition("place").sortWithinPartitions("place").mapInArrow(fill, "place long, fields binary")
+        held = [[np.asarray(c) for c in b.columns] for b in batches]
+        if not held:
+            return
+        place, name, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.lexsort((name, place))
+        place, name, n = place[order], name[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1])])[: len(name)])
+        place, name, top = place[first], name[first].view(np.uint64), np.log2(np.add.reduceat(n, first) if len(n) else n).astype(np.int64)
+        for k in np.unique(place).tolist():
+            lo, hi = np.searchsorted(place, k, side="left"), np.searchsorted(place, k, side="right")
+            fields = np.zeros(SLICE_FIELDS, np.uint64)
+            for level in range(int(top[lo:hi].max()) + 1):
+                np.bitwise_or.at(fields, *_bits(name[lo:hi][top[lo:hi] >= level], level))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fields.tobytes()], pa.binary())], names=["place", "fields"])
+
+    # About one slice a task: its rows are bounded by the size of a slice.
+    return entries.repartition(max(layout.groups * layout.slices, 1), "place").mapInArrow(fill, "place long, fields binary")
 
 
 def probe(segment: np.ndarray, first: int, layout: Layout, name: np.ndarray) -> np.ndarray:
@@ -242,20 +251,22 @@ def score_texts(
     spark = docs.sparkSession
     sc = spark.sparkContext
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = materialize(word_counts(src.where("train")), "lm-words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
+    counted = materialize(counts(src.where("train")), "lm-words")
+    words = counted.where("word IS NOT NULL").select("word", "n")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     n_all, n_words = int(total["N"]), int(total["V"])
-    closing = counts.where(F.col("word") == END).first()
+    closing = words.where(F.col("word") == END).first()
     n_end = int(closing["n"]) if closing else 0
-    state, head_n = _head(counts, head_words)
+    state, head_n = _head(words, head_words)
     head, all_n, n_head = sc.broadcast(state), sc.broadcast(np.append(head_n, n_end)), len(head_n)
-    pairs = materialize(bigram_counts(src.where("train"), head), "lm-bigrams")
-    entries = pairs.union(rare_word_ids(counts, head))
-    layout = Layout(int(entries.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]))
+    levels = F.sum(F.floor(F.log2("n")) + 1)
+    size = counted.groupBy(F.col("word").isNull().alias("is_pair")).agg(levels.alias("k")).collect()
+    layout = Layout(sum(int(r["k"]) * (SHARE if r["is_pair"] else 1) for r in size))
+    entries = bigrams(src.where("train"), head, layout).union(rare_words(words, head, layout))
+    fields = materialize(filter_slices(entries, layout), "lm-filter")
     per_pass = max(1, segment_bytes // (layout.slices * SLICE_FIELDS * 8))
     starts_of = range(0, layout.groups, per_pass)
     fields = materialize(filter_slices(entries, layout), "lm-filter")
-    release(pairs)
 
     def log_p(c):
         return np.log10((c + 0.1) / (n_all + 0.1 * (n_words + 1)))
@@ -326,7 +337,7 @@ def score_texts(
     every = passes[0].select("rid", "gain", "rare")
     for p in passes[1:]:
         every = every.union(p)
-    rare = every.select("rid", F.inline("rare")).groupBy("rid", "word").agg(F.sum("times").alias("times"), F.sum("hits").alias("hits")).join(counts, "word", "left")
+    rare = every.select("rid", F.inline("rare")).groupBy("rid", "word").agg(F.sum("times").alias("times"), F.sum("hits").alias("hits")).join(words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     logp = F.log10((c + F.lit(0.1)) / F.lit(n_all + 0.1 * (n_words + 1)))
     late = rare.groupBy("rid").agg(F.sum(F.col("times") * logp).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("hits") * logp).alias("rare_hits"))

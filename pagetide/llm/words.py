@@ -131,13 +131,15 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw)])
 
 
-def summed(counts: Iterator[tuple[pa.Array, np.ndarray]], most_rows: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def summed(counts: Iterator[tuple[pa.Array, np.ndarray]], most_rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """(words, counts) of many slices -> batches (word, n) with the counts of equal words added up, at most about `most_rows` held at a time."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def merged() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+        table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        held.clear()
+        pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays([table.column("word").combine_chunks(), table.column("n_sum").combine_chunks()], names=["word", "n"])
 
     for words, n in counts:
