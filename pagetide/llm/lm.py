@@ -266,7 +266,6 @@ def score_texts(
     fields = materialize(filter_slices(entries, layout), "lm-filter")
     per_pass = max(1, segment_bytes // (layout.slices * SLICE_FIELDS * 8))
     starts_of = range(0, layout.groups, per_pass)
-    fields = materialize(filter_slices(entries, layout), "lm-filter")
 
     def log_p(c):
         return np.log10((c + 0.1) / (n_all + 0.1 * (n_words + 1)))
