@@ -1,77 +1,159 @@
-"""RSS and Atom feeds as tables, by from_xml; a feed with a document type or an entity is refused first."""
+"""RSS and Atom feeds as tables and as stable text: one pass over an array of XML tokens, all inside Catalyst; a feed with a document type or an entity is refused first."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.functions.html import decode_references
-from pagetide.functions.text import has_doctype, normalize_whitespace, sha256
+from pagetide.functions import urls
+from pagetide.functions.html import TAG, decode_references, raw_lines
+from pagetide.functions.text import has_doctype, normalize_whitespace, sha256, strip
 
-_LINK = "array<struct<_href:string,_rel:string,_VALUE:string>>"
-SCHEMA = (
-    f"channel struct<item:array<struct<guid:string,id:string,link:{_LINK},title:string,description:string>>>, "
-    f"item array<struct<guid:string,id:string,link:{_LINK},title:string,description:string>>, "
-    f"entry array<struct<guid:string,id:string,link:{_LINK},title:string,summary:string,content:string>>"
-)
-OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
+# Elements that hold HTML, elements whose attributes lead elsewhere, and those attributes.
+EMBEDDED = ("content", "description", "encoded", "summary")
+LEADING = ("a", "enclosure", "link")
+DESTINATIONS = ("href", "url")
+ENTRY = r"(?s)<(?:[\w.-]+:)?(?:item|entry)(?:\s[^>]*)?(?<!/)>.*?</(?:[\w.-]+:)?(?:item|entry)\s*>"
+FEED = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*+<(?:[\w.-]+:)?(?:rss|feed|RDF)\b"
 
 
-def items(xml: Column) -> Column:
-    """Entries as an array of (guid, id, links, title, body); null for refused or malformed feeds."""
-    parsed = F.from_xml(xml, SCHEMA, OPTIONS)
-    plain = lambda e, body: F.struct(e["guid"].alias("guid"), e["id"].alias("id"), e["link"].alias("links"), e["title"].alias("title"), body.alias("body"))
-    rss = lambda a: F.transform(a, lambda e: plain(e, e["description"]))
-    atom = F.transform(parsed["entry"], lambda e: plain(e, F.coalesce(e["content"], e["summary"])))
-    return F.when(~has_doctype(xml), F.coalesce(rss(parsed["channel"]["item"]), rss(parsed["item"]), atom))
+def _plain_xml(xml: Column) -> Column:
+    """Without comments and instructions, and with CDATA sections as escaped text."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = F.split(F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>", ""), r"<!\[CDATA\[|\]\]>", -1)
+    return F.when(xml.contains("<![CDATA["), F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, escaped(x)).otherwise(x)), "")).otherwise(F.array_join(parts, "]]>"))
 
 
-def link_of(entry: Column) -> Column:
-    """An entry's address: the href of its first alternate link, or a text link."""
-    fit = F.filter(entry["links"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
-    return F.get(F.transform(fit, lambda x: F.coalesce(x["_href"], x["_VALUE"])), 0)
+def _attribute(token: Column, name: str) -> Column:
+    """The value of an attribute as it stands, null where it is absent or empty."""
+    value = rf"\s(?:[\w.-]+:)?{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    return F.nullif(strip(F.concat(F.regexp_extract(token, value, 1), F.regexp_extract(token, value, 2))), F.lit(""))
 
 
-def identity_token(field: str, value: Column) -> Column:
-    """An identity kept as it is, or only its hash if it has the form of a URI."""
-    return F.when(value.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"), F.concat(F.lit(f"[{field}:sha256:"), sha256(value), F.lit("]"))).otherwise(value)
+def _tokens(xml: Column, base: Column) -> Column:
+    """Array of (kind, tag, value, base, rel, href, url, led): start, end, both and text tokens; a text has the tag that it directly follows.
 
+    The base of a token is its own xml:base, if any, against the given one.
+    """
+    pieces = F.regexp_extract_all(xml, F.lit(rf"(?s)({TAG}|[^<]++|<)"), 1)
 
-def _identity(e: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(e["guid"]), F.lit("")), F.nullif(F.trim(e["id"]), F.lit("")), F.nullif(F.trim(link_of(e)), F.lit("")))
+    def one(t: Column) -> Column:
+        kind = F.when(t.rlike(r"^</"), "end").when(t.rlike(r"(?s)^<[A-Za-z_].*/>$"), "both").when(t.rlike(r"^<[A-Za-z_]"), "start").otherwise("text")
+        tag = F.nullif(F.regexp_extract(t, r"^</?(?:[\w.-]+:)?([\w.-]+)", 1), F.lit(""))
+        led = tag.isin(*LEADING) & (kind != "end")
+        values = F.array(F.when(kind == "text", t), *[F.when(led, _attribute(t, n)) for n in ("base", "rel", *DESTINATIONS)])
+        return F.struct(kind.alias("kind"), tag.alias("tag"), F.transform(values, decode_references).alias("v"))
 
+    def owned(a: Column) -> Column:
+        def with_owner(s: Column, i: Column) -> Column:
+            before, is_text = F.get(a, i - 1), s["kind"] == "text"
+            tag = F.when(~is_text, s["tag"]).when((i > 0) & (before["kind"] == "start"), before["tag"])
+            own = F.get(F.when(is_text & (i > 0), before["v"]).otherwise(s["v"]), F.lit(1))
+            led = F.coalesce(is_text & (i > 0) & F.coalesce(F.get(before["v"], F.lit(3)), F.get(before["v"], F.lit(4))).isNotNull(), F.lit(False))
+            at = lambda k: F.get(s["v"], F.lit(k))
+            return F.struct(s["kind"].alias("kind"), tag.alias("tag"), at(0).alias("value"), F.when(own.isNull(), base).otherwise(urls.resolve(base, own)).alias("base"), at(2).alias("rel"), at(3).alias("href"), at(4).alias("url"), led.alias("led"))
 
-def _text(e: Column) -> Column:
-    return F.concat_ws("\n", F.lit("[entry:start]"), identity_token("id", _identity(e)), e["title"], F.lit("[body:start]"), decode_references(e["body"]), F.lit("[body:end]"), F.lit("[entry:end]"))
+        return F.transform(a, with_owner)
 
+    return urls.let(F.transform(pieces, one), owned)
 
-def _key(e: Column) -> Column:
-    return sha256(F.coalesce(_identity(e), _text(e)))
 
+def identity_token(field: str | Column, value: Column, base: Column | None = None) -> Column:
+    """An identity kept as it is, or only its hash, resolved against the base, if it has the form of a URI."""
+    full = F.when(value.rlike(r"^(?:(?i:https?):|//)"), urls.resolve(base, value)).otherwise(value) if base is not None else value
+    name = field if isinstance(field, Column) else F.lit(field)
+    return F.when(value.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"), F.concat(F.lit("["), name, F.lit(":sha256:"), sha256(full), F.lit("]"))).otherwise(value)
 
-def feed_entries(feeds: DataFrame, key: str, column: str = "xml") -> DataFrame:
-    """(key, pos, entry_key, identity, title, link) of every entry."""
-    rows = feeds.select(key, F.posexplode(items(F.col(column))).alias("pos", "e"))
-    e = F.col("e")
-    return rows.select(key, "pos", _key(e).alias("entry_key"), _identity(e).alias("identity"), e["title"].alias("title"), link_of(e).alias("link"))
 
+def _destination(tag: Column, name: str, base: Column, value: Column) -> Column:
+    return F.concat(F.lit("["), tag, F.lit(f":{name}:sha256:"), sha256(urls.resolve(base, value)), F.lit("]\n"))
 
-def feed_links(feeds: DataFrame, key: str, column: str = "xml") -> DataFrame:
-    """(key, pos, link, identity): addresses of entries and their hashes."""
-    rows = feed_entries(feeds, key, column).where("link IS NOT NULL")
-    return rows.select(key, "pos", "link", sha256(F.col("link")).alias("identity"))
 
+def _rendered(tokens: Column) -> Column:
+    """Text of tokens: every element between marker lines, destinations and URI identities hashed, HTML in fields as lines."""
 
-def feed_text(xml: Column) -> Column:
-    """A feed as stable text: entries in order of their keys, so that their order in the feed can't be seen."""
-    sorted_ = F.array_sort(F.transform(items(xml), lambda e: F.struct(_key(e).alias("k"), _text(e).alias("t"))))
-    return normalize_whitespace(F.array_join(F.transform(sorted_, lambda x: x["t"]), "\n"))
+    def one(s: Column) -> Column:
+        tag = s["tag"]
+        opened = F.concat(F.lit("\n["), tag, F.lit(":start]\n"), *[F.when(s[n].isNotNull(), _destination(tag, n, s["base"], s[n])).otherwise("") for n in DESTINATIONS])
+        closed = F.concat(F.lit("\n["), tag, F.lit(":end]\n"))
 
+        def said(value: Column) -> Column:
+            bare = strip(value)
+            return (
+                F.when(tag.isin("guid", "id"), identity_token(tag, bare, s["base"]))
+                .when((tag == "link") & ~s["led"], F.when(bare != "", _destination(tag, "href", s["base"], bare)).otherwise(""))
+                .when(tag.isin(*EMBEDDED) & value.rlike(r"(?s)<[A-Za-z/!].*>"), raw_lines(value, s["base"]))
+                .otherwise(value)
+            )
 
-def feed_fingerprint(feeds: DataFrame, key: str, column: str = "xml") -> DataFrame:
-    """(key, entries, fingerprint): hash over the sorted entry keys. Row-local."""
-    keys = F.array_sort(F.transform(items(F.col(column)), _key))
-    return feeds.select(key, F.size(keys).alias("entries"), sha256(F.array_join(keys, "\n")).alias("fingerprint"))
+        return F.when(s["kind"] == "start", opened).when(s["kind"] == "end", closed).when(s["kind"] == "both", F.concat(opened, closed)).otherwise(said(s["value"]))
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
+def _entry(tokens: Column) -> Column:
+    """(identity, key, title, links, text) of an entry's tokens."""
+    said = lambda *tags: strip(F.get(F.filter(tokens, lambda s: (s["kind"] == "text") & s["tag"].isin(*tags) & (strip(s["value"]) != "")), F.lit(0))["value"])
+    opens = lambda s: s["kind"].isin("start", "both") & s["href"].isNotNull()
+    leads = F.filter(tokens, lambda s: (opens(s) & ((s["tag"] == "a") | ((s["tag"] == "link") & (F.coalesce(s["rel"], F.lit("alternate")) == "alternate")))) | ((s["kind"] == "text") & (s["tag"] == "link") & ~s["led"] & (strip(s["value"]) != "")))
+    raw = lambda s: F.coalesce(s["href"], strip(s["value"]))
+    own = F.get(F.filter(leads, lambda s: s["tag"] == "link"), F.lit(0))
+    known = F.struct(F.coalesce(said("guid"), said("id"), raw(own)).alias("identity"), said("title").alias("title"), F.transform(leads, lambda s: urls.resolve(s["base"], raw(s))).alias("links"), _rendered(tokens).alias("text"))
+    return urls.let(known, lambda k: F.struct(k["identity"].alias("identity"), sha256(F.coalesce(k["identity"], k["text"])).alias("key"), k["title"].alias("title"), k["links"].alias("links"), k["text"].alias("text")))
+
+
+def _bases(xml: Column, base: Column) -> Column:
+    """The base that the feed's root and channel set."""
+    first = lambda tag: _attribute(F.regexp_extract(xml, rf"(?s)<(?:[\w.-]+:)?(?:{tag})\b[^>]*>", 0), "base")
+    over = lambda b, v: F.when(v.isNull(), b).otherwise(urls.resolve(b, v))
+    return over(over(base, first("rss|feed|RDF")), first("channel"))
+
+
+def parsed(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
+    """(key, nth, is_entry, identity, entry_key, title, links, text): a row for each entry, by number, and for what stands before and behind all of them; feeds that are refused, or are none, have no row."""
+    base = F.lit("") if base is None else base
+    ok = feeds.where(~has_doctype(F.col(column)) & F.col(column).rlike(FEED)).select(key, _plain_xml(F.col(column)).alias("x"), base.alias("outer"))
+    around = F.split("x", ENTRY, -1)
+    tail = F.array_join(F.slice(around, 2, F.greatest(F.size(around) - 1, F.lit(0))), "")
+    part = lambda nth, entry, raw: F.struct(nth.alias("nth"), F.lit(entry).alias("is_entry"), raw.alias("raw"))
+    own = F.transform(F.regexp_extract_all("x", F.lit(ENTRY), 0), lambda e, i: part(i, True, e))
+    parts = F.concat(F.array(part(F.lit(-1), False, F.get(around, F.lit(0)))), own, F.array(part(F.lit(1 << 30), False, tail)))
+    rows = ok.select(key, _bases(F.col("x"), F.col("outer")).alias("feed_base"), parts.alias("parts")).select(key, "feed_base", F.explode("parts").alias("p"))
+    opening = F.regexp_extract("p.raw", r"^\s*<[^>]*>", 0)
+    inner = F.when(F.col("p.is_entry") & opening.contains("base"), _attribute(opening, "base"))
+    at = F.when(inner.isNull(), F.col("feed_base")).otherwise(urls.resolve(F.col("feed_base"), inner))
+    return rows.select(key, "p.nth", "p.is_entry", urls.let(_tokens(F.col("p.raw"), at), _entry).alias("e")).select(key, "nth", "is_entry", "e.identity", F.col("e.key").alias("entry_key"), "e.title", "e.links", "e.text")
+
+
+def feed_entries(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
+    """(key, pos, entry_key, identity, title, link) of every entry; link: the first alternate one, against xml:base and the feed's URL."""
+    rows = parsed(feeds, key, column, base).where("is_entry")
+    return rows.select(key, F.col("nth").alias("pos"), "entry_key", "identity", "title", F.get("links", F.lit(0)).alias("link"))
+
+
+def feed_links(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
+    """(key, pos, nth, link, identity): where entries lead: alternate links, text links and `a` elements; enclosures are hashed in the text, but not followed."""
+    rows = parsed(feeds, key, column, base).where("is_entry")
+    each = rows.select(key, F.col("nth").alias("pos"), F.posexplode("links").alias("nth", "link"))
+    return each.select(key, "pos", "nth", "link", sha256(F.col("link")).alias("identity"))
+
+
+def feed_text(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
+    """(key, text): a feed as stable text, every element between marker lines, entries in order of their keys, so that their order in the feed can't be seen but any changed field can.
+
+    A feed's parts are gathered by its key; they are no more than the feed itself.
+    """
+    rows = parsed(feeds, key, column, base)
+    order = F.struct(F.when(F.col("is_entry"), 0).otherwise(F.signum(F.col("nth") + 0.0).cast("int")).alias("side"), F.when(F.col("is_entry"), F.col("entry_key")).alias("k"), F.col("text").alias("t"))
+    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("all"))
+    return whole.select(key, normalize_whitespace(F.array_join(F.transform("all", lambda e: e["t"]), "\n")).alias("text"))
+
+
+def feed_fingerprint(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
+    """(key, entries, fingerprint): hash over the sorted entry keys; 0 and the hash of nothing for a feed without entries."""
+    rows = parsed(feeds, key, column, base)
+    keys = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("is_entry"), F.col("entry_key")))).alias("k"))
+    return keys.select(key, F.size("k").alias("entries"), sha256(F.array_join("k", "\n")).alias("fingerprint"))
 
 
 def xml_text(xml: Column) -> Column:

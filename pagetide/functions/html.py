@@ -18,21 +18,27 @@ BLOCK_TAGS = (
 )
 DESTINATIONS = {"a": "href", "area": "href", "button": "formaction", "form": "action", "input": "formaction"}
 MAX_DESTINATIONS = 500
-#: Character references by name that are decoded; numeric ones all are.
-NAMES = (
-    "amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "hellip", "mdash", "ndash", "lsquo", "rsquo", "ldquo",
-    "rdquo", "laquo", "raquo", "bull", "euro", "pound", "yen", "cent", "sect", "para", "deg", "plusmn", "times", "shy", "eacute", "egrave",
-    "agrave", "ccedil", "uuml", "ouml", "auml", "szlig", "ntilde", "oacute", "iacute", "aacute", "uacute",
-)
-#: Names that also count without a semicolon.
-OPEN_NAMES = ("amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot")
-TOKEN = r"(<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<)"
+#: Names that also count without a semicolon, by the standard's table.
+OPEN_NAMES = tuple(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: A tag: attribute values may hold any character, what lies outside of them neither < nor >. Possessive, so that no text makes the matcher recurse or go back.
+TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+TOKEN = rf"({TAG}|[^<]++|<)"
 
 
 def decode_references(c: Column) -> Column:
-    """Named and numeric character references replaced by their characters."""
-    table = {f"&{n};": html5[f"{n};"] for n in NAMES} | {f"&{n}": html5[f"{n};"] for n in OPEN_NAMES}
-    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """Named and numeric character references replaced by their characters: all names of the standard, those that may go without a semicolon as prefixes, too."""
+    # The table is one string that is searched for the name: a map of this size, copied into every use, is slow to plan.
+    table = F.lit("\x01" + "\x01".join(f"{n}\x02{v}" for n, v in html5.items()) + "\x01")
+    after = lambda name: F.call_function("substring_index", table, F.concat(F.lit("\x01"), name, F.lit("\x02")), F.lit(-1))
+    find = lambda name: F.nullif(F.substring_index(after(name), "\x01", 1), F.lit(""))
+    prefix = r"^&(" + "|".join(OPEN_NAMES) + ")"
+
+    def named(t: Column) -> Column:
+        # The whole name, or else the longest name that may go without a semicolon, with what follows it.
+        short = F.regexp_extract(t, prefix, 1)
+        found = F.transform(F.array(F.substr(t, F.lit(2)), short), find)
+        return urls.let(found, lambda f: F.coalesce(F.get(f, F.lit(0)), F.concat(F.get(f, F.lit(1)), F.substr(t, F.char_length(short) + 2)), t))
+
     code = lambda t: F.when(t.rlike(r"^&#[xX]"), F.conv(F.regexp_extract(t, r"^&#[xX]0*([0-9A-Fa-f]{1,6});?$", 1), 16, 10)).otherwise(F.regexp_extract(t, r"^&#0*([0-9]{1,7});?$", 1))
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
@@ -41,7 +47,7 @@ def decode_references(c: Column) -> Column:
         return urls.let(n, lambda k: F.when(k.between(1, 0x10FFFF) & ~k.between(0xD800, 0xDFFF), char(k)).otherwise("�"))
 
     def one(t: Column) -> Column:
-        return F.when(t.startswith("&#"), numeric(t)).otherwise(F.coalesce(F.try_element_at(known, t), t))
+        return F.when(t.startswith("&#"), numeric(t)).when(t.rlike("^&[A-Za-z]"), named(t)).otherwise(t)
 
     pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"), 1)
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
@@ -95,6 +101,11 @@ def links(html: Column, url: Column) -> Column:
 
 def to_lines(html: Column, url: Column) -> Column:
     """The page's text as lines, with a hashed marker line for each destination; those past the limit in one closing marker."""
+    return normalize_whitespace(raw_lines(html, url))
+
+
+def raw_lines(html: Column, url: Column) -> Column:
+    """to_lines() before blanks are put in order."""
     breaks = r"(?i)^(?:<br\b|</?(?:" + "|".join(BLOCK_TAGS) + r")\b)"
 
     def piece(s: Column) -> Column:
@@ -116,7 +127,7 @@ def to_lines(html: Column, url: Column) -> Column:
         many = F.concat(text(kept), F.lit("\n[omitted-destinations:"), (F.size(places) - MAX_DESTINATIONS).cast("string"), F.lit(":sha256:"), F.sha2(F.array_join(rest, ""), 256), F.lit("]\n"))
         return F.when(F.size(places) > MAX_DESTINATIONS, many).otherwise(text(a))
 
-    return normalize_whitespace(urls.let(join(F.transform(marked_tokens(html, url), piece)), close))
+    return urls.let(join(F.transform(marked_tokens(html, url), piece)), close)
 
 
 def link_markers(text: Column) -> Column:
@@ -136,4 +147,10 @@ def comparison_view(text: Column) -> Column:
 
 def markers_trail(text: Column) -> Column:
     """Whether a text has link markers and no other line comes after the first of them."""
-    return text.rlike(r"^(?:(?!\[a:href:sha256:)[^\n]*\n)*(?:\[a:href:sha256:[0-9a-f]{64}\]\n)+$")
+    marks = F.transform(F.filter(F.split(text, "\n", -1), lambda x: x != ""), lambda x: x.rlike(r"^\[a:href:sha256:[0-9a-f]{64}\]$"))
+
+    def trail(m: Column) -> Column:
+        n = F.size(F.filter(m, lambda x: x))
+        return (n > 0) & (F.array_position(m, True) + n - 1 == F.size(m))
+
+    return urls.let(marks, trail)

@@ -31,6 +31,11 @@ NON_PUBLIC_IPV4 = (
     "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
 PUBLIC_IPV4 = ("192.0.0.9", "192.0.0.10")
+# IPv6 ranges that are not public.
+NON_PUBLIC_IPV6 = (
+    "::/128", "::1/128", "::ffff:0:0/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "2001:2::/48", "2001:10::/28", "2001:db8::/32",
+    "2002::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8",
+)
 
 
 def part(url: Column, pattern: str) -> Column:
@@ -141,11 +146,11 @@ def has_credentials(url: Column) -> Column:
 
 
 def url_problem(url: Column) -> Column:
-    """Why a URL can't be watched; null if it can."""
+    """Why a URL can't be watched: `no web address`, `fragment` or `credentials`; null if it can."""
     return (
-        F.when(url.isNull() | ~url.rlike(r"(?i)^https?://") | (host(url) == ""), "url must be an absolute HTTP(S) URL")
-        .when(url.rlike(r"#."), "url must not contain a fragment")
-        .when(has_credentials(url), "url must not contain credentials")
+        F.when(url.isNull() | ~url.rlike(r"(?i)^https?://") | (host(url) == ""), "no web address")
+        .when(url.rlike(r"#."), "fragment")
+        .when(has_credentials(url), "credentials")
     )
 
 
@@ -163,6 +168,31 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda p: p <= 255), number)
 
 
+def address_hex(address: Column) -> Column:
+    """An IPv4 address as 8, an IPv6 address as 32 hex digits in lower case; null if it is neither. Brackets and a zone count as no address."""
+    four = lambda c: F.lower(F.lpad(F.hex(ipv4_number(c)), 8, "0"))
+    # A dotted end stands for the last two groups.
+    dotted = F.regexp_extract(address, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    pair = F.concat(F.substring(four(dotted), 1, 4), F.lit(":"), F.substring(four(dotted), 5, 4))
+    plain = F.lower(F.when(dotted != "", F.concat(F.regexp_replace(address, r"\d{1,3}(?:\.\d{1,3}){3}$", ""), pair)).otherwise(address))
+    groups = lambda c: F.filter(F.split(c, ":", -1), lambda g: g != "")
+    sides = F.split(plain, "::", -1)
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    all_ = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    shaped = plain.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?)$")
+    six = F.when(shaped & (F.size(all_) == 8) & ((missing > 0) | ~plain.contains("::")), F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.coalesce(four(address), six)
+
+
+def address_ranges() -> list[tuple[str, str]]:
+    """First and last address of each non-public range, in the form of address_hex()."""
+    import ipaddress
+
+    nets = [ipaddress.ip_network(n) for n in (*NON_PUBLIC_IPV4, *NON_PUBLIC_IPV6)]
+    return [(n.network_address.packed.hex(), n.broadcast_address.packed.hex()) for n in nets]
+
+
 def ipv4_ranges() -> list[tuple[int, int, str]]:
     """First and last number and name of each non-public range."""
     import ipaddress

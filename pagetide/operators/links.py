@@ -102,3 +102,16 @@ def link_budget(found: DataFrame, sizes: DataFrame, most_bytes: int = MAX_TOTAL_
     included = (F.col("fetched") < most_bytes) & (F.col("used") < review_bytes)
     room = F.least(F.col("kept"), review_bytes - F.col("used"))
     return spent.select("root", "node", "rank", included.alias("included"), F.when(included, room).otherwise(0).cast("long").alias("kept_bytes"), F.coalesce(included & (F.col("status") == "ok") & (room < F.col("text_bytes")), F.lit(False)).alias("truncated"))
+
+
+def link_reviews(found: DataFrame, budget: DataFrame) -> DataFrame:
+    """(root, documents, omitted, incomplete): one row a root with documents(rank, node, status, kept_bytes, truncated) in order.
+
+    Documents past the cap or the budgets count as omitted; any omission, error or cut makes the review incomplete. A
+    root has at most the cap's documents, so the array is bounded.
+    """
+    rows = found.join(budget.select("root", "node", "included", "kept_bytes", "truncated"), ["root", "node"], "left")
+    taken = (F.col("status") != "omitted") & F.coalesce("included", F.lit(False))
+    document = F.struct("rank", "node", "status", "kept_bytes", "truncated")
+    bad = ~taken | (F.col("status") == "error") | F.coalesce("truncated", F.lit(False))
+    return rows.groupBy("root").agg(F.array_sort(F.collect_list(F.when(taken, document))).alias("documents"), F.count_if(~taken).alias("omitted"), F.bool_or(bad).alias("incomplete"))

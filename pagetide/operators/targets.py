@@ -26,10 +26,10 @@ def row_errors(rows: DataFrame) -> DataFrame:
     error = F.lit(None).cast("string")
     flag = enabled_flag(F.col("enabled"))
     priority = cells["priority"]
-    rules = [(flag.isNull(), "enabled must be true or false"), ((priority != "") & ~priority.rlike("^0*[1-9][0-9]*$"), "priority must be a positive ASCII decimal integer")]
+    rules = [(flag.isNull(), "enabled"), ((priority != "") & ~priority.rlike("^0*[1-9][0-9]*$"), "priority")]
     rules.append((urls.url_problem(cells["url"]).isNotNull(), urls.url_problem(cells["url"])))
-    rules.append((cells["name"] == "", "name must be non-empty"))
-    rules += [(cells[f].isin(*DITTO), f"{f}: replace ditto with an explicit value") for f in ("keywords", "category", "publisher", "url", "name")]
+    rules.append((cells["name"] == "", "name is blank"))
+    rules += [(cells[f].isin(*DITTO), f"{f}: ditto") for f in ("keywords", "category", "publisher", "url", "name")]
     for broken, message in rules:
         error = F.when(broken, message if isinstance(message, Column) else F.lit(message)).otherwise(error)
     return filled.select("row_no", error.alias("error"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
 from pagetide.functions import urls
+from pagetide.operators import links as links_op
 from pagetide.operators import targets as targets_op
 
 
@@ -21,11 +22,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pagetide-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table that several steps read, written once in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where a table has fewer files than there are cores; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -101,10 +111,15 @@ def decisions(spark, d) -> DataFrame:
 
 
 def edges(spark, d) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id")
-    n = p.agg(F.count("*").alias("n"))
-    k = p.crossJoin(F.broadcast(n)).select("page_id", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-    return k.select(F.col("page_id").alias("parent"), ((F.col("page_id") * 3 + F.col("k")) % F.col("n")).alias("child"))
+    """Where pages lead: their links, matched with the pages' own URLs, fragments aside. Relative links of pages lead to few
+    pages, so each link also stands for the page whose number its hash gives: the graph has hubs and uneven fan-out as the links have."""
+    p = table(spark, d, "pages")
+    n = p.count()
+    found = links_op.page_links(pages(spark, d)).select(F.col("page_id").alias("parent"), "fetch_url", "identity")
+    known = p.select(F.col("page_id").alias("child"), urls.strip_fragment(F.col("url")).alias("fetch_url"))
+    direct = found.join(known, "fetch_url").select("parent", "child")
+    by_hash = found.select("parent", F.pmod(F.conv(F.substring("identity", 1, 15), 16, 10).cast("long"), F.lit(max(n, 1))).alias("child"))
+    return direct.union(by_hash).where("parent <> child").distinct()
 
 
 def bodies(spark, d) -> DataFrame:
@@ -143,12 +158,17 @@ def messy_texts(spark, d) -> DataFrame:
 
 
 def feeds(spark, d) -> DataFrame:
-    """RSS texts of up to fifty documents of a source, forward and backward."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 1000).alias("part"))
+    """RSS texts of up to a thousand documents of a source each, forward and backward: URIs as identities, two kinds of links, enclosures, HTML in CDATA, dates."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.floor(F.col("doc_id") / 1000).alias("part"))
     n = F.col("doc_id").cast("string")
-    item = F.concat(F.lit("<item><guid>doc-"), n, F.lit("</guid><link>https://example.com/"), n, F.lit("</link><title>"), F.upper("lang"), F.lit("</title></item>"))
+    guid = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://example.com/id/"), n)).otherwise(F.concat(F.lit("doc-"), n))
+    body = F.concat(F.lit("<![CDATA[<p>Of "), F.col("n_chars").cast("string"), F.lit(' letters &amp; <a href="/more/'), n, F.lit('">more</a></p>]]>'))
+    item = F.concat(
+        F.lit("<item><guid>"), guid, F.lit("</guid><link>"), n, F.lit("?a=1&amp;b=2</link><title>"), F.upper("lang"), F.lit("</title><pubDate>2024-01-01</pubDate><author>A&eacute; "), F.col("source"),
+        F.lit('</author><enclosure url="/audio/'), n, F.lit('.mp3"/><description>'), body, F.lit("</description></item>"),
+    )
     grouped = docs.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("a"))
-    wrap = lambda a: F.concat(F.lit('<rss version="2.0"><channel><title>t</title>'), F.array_join(F.transform(a, lambda s: s["x"]), ""), F.lit("</channel></rss>"))
+    wrap = lambda a: F.concat(F.lit('<rss version="2.0" xml:base="https://example.com/feed/"><channel><title>t</title>'), F.array_join(F.transform(a, lambda s: s["x"]), ""), F.lit("</channel></rss>"))
     both = grouped.select(F.concat_ws("-", "source", F.col("part").cast("string")).alias("feed"), F.explode(F.array(F.struct(F.lit("forward").alias("dir"), wrap(F.col("a")).alias("xml")), F.struct(F.lit("backward").alias("dir"), wrap(F.reverse("a")).alias("xml")))).alias("v"))
     return both.select(F.concat_ws(":", "feed", "v.dir").alias("feed"), "v.xml")
 
@@ -173,7 +193,7 @@ def _sql_text(html: str, root: str) -> str:
     h = rf"regexp_replace({html}, '<!--.*?(?:-->|\z)', '', 'gs')"
     for tag in H.SKIP_TAGS:
         h = rf"regexp_replace({h}, '<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', '', 'gis')"
-    tokens = rf"""regexp_extract_all({h}, '(<(?:[^>"'']|"[^"]*"|''[^'']*'')*>|[^<]+|<)', 1)"""
+    tokens = rf"""regexp_extract_all({h}, '(<[^<>"'']*(?:"[^"]*"[^<>"'']*|''[^'']*''[^<>"'']*)*>|[^<]+|<)', 1)"""
     decoded = lambda t: f"replace(replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '&amp', '&')"
     blocks = "|".join(H.BLOCK_TAGS)
     piece = rf"""CASE WHEN regexp_matches(t, '^<[aA]\s[^>]*href="[^"]+"') THEN chr(10) || '[a:href:sha256:' || sha256({root} || {decoded("regexp_extract(t, 'href=\"([^\"]*)\"', 1)")}) || ']' || chr(10)
@@ -191,13 +211,12 @@ SQL = {
     "tg": f"SELECT url, {sql_target_id('url')} AS target_id, min(row_no) AS first_row, coalesce(min_by(name, row_no) FILTER (WHERE enabled), min_by(name, row_no)) AS name, bool_or(enabled) AS enabled, count(*) AS n_interests, count(*) FILTER (WHERE enabled) AS n_enabled FROM ints GROUP BY url",
     "pend": f"SELECT w.page_id, {sql_target_id('w.url')} AS target_id, '20240101T000000Z-' || left(sha256('run-' || w.page_id), 8) AS run_id, left(sha256('rev-' || w.page_id), 32) AS revision, sha256(prev.html) AS expected_sha256, hsha AS candidate_sha256, w.page_id % 14 = 0 AS diff_truncated FROM w LEFT JOIN prev USING (page_id) WHERE w.page_id % 7 = 0",
     "dec": "SELECT page_id, target_id, CASE WHEN page_id % 21 = 0 THEN left(sha256('other-' || page_id), 32) ELSE revision END AS revision, page_id % 2 = 1 AS material, CASE WHEN page_id % 2 = 1 THEN '## Page ' || page_id END AS report, run_id, candidate_sha256 FROM pend",
-    "edg": "SELECT page_id AS parent, (page_id * 3 + k) % (SELECT count(*) FROM pages) AS child FROM pages, (VALUES (1), (2), (3)) v(k)",
     "st": "SELECT g, 'state/doc/' || doc_id AS path, CASE WHEN g = 4 AND doc_id % 10 = 0 THEN text || ' v2' ELSE text END AS content FROM documents, range(0, 5) r(g) WHERE doc_id % 5 <= g",
     "man": "SELECT g, path, strlen(content) AS size, sha256(content) AS sha256, strlen(content) > 1024 AS is_object, content FROM st",
     "uv": r"SELECT page_id, CASE page_id % 6 WHEN 1 THEN u || '?token=x' WHEN 2 THEN u || '?a=1;api_key=x' WHEN 3 THEN u || '?next=token%3Dx' WHEN 4 THEN u || '#access_token=x' WHEN 5 THEN replace(u, '://', '://user:secret@') ELSE u END AS url, page_id % 6 AS k FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)",
     "chk": "SELECT event_id, 'user-' || user_id AS target_id, ts, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 403 ELSE 500 END ELSE 200 END AS http_status, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'baseline_created' WHEN 'view' THEN 'unchanged' ELSE 'review' END AS action, event_type, props FROM events",
     "mt": r"SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN replace(text, ' ', ' ' || chr(9) || ' ') WHEN 2 THEN '  ' || replace(text, chr(10), chr(13) || chr(10) || chr(13) || chr(10)) WHEN 3 THEN replace(text, '. ', '.' || chr(10) || '   ' || chr(10)) || chr(10) || chr(10) ELSE text END AS text FROM documents",
-    "fi": "SELECT source || '-' || (doc_id // 1000) || ':' || dir AS feed, doc_id, lang, dir FROM documents, (VALUES ('forward'), ('backward')) v(dir)",
+    "fi": "SELECT source || '-' || (doc_id // 1000) || ':' || dir AS feed, doc_id, lang, source, n_chars, dir, CASE WHEN doc_id % 3 = 0 THEN 'https://example.com/id/' || doc_id ELSE 'doc-' || doc_id END AS guid, 'https://example.com/feed/' || doc_id || '?a=1&b=2' AS link FROM documents, (VALUES ('forward'), ('backward')) v(dir)",
 }
 
 

@@ -23,27 +23,42 @@ NATIVE = {"utf-8": "UTF-8", "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16
 def header_problem(names: list[str]) -> str | None:
     """Why a target list's header is refused, None if it isn't."""
     if len(names) != len(set(names)):
-        return "targets CSV must have a unique header row"
+        return "repeated column names"
     if not {"name", "url"} <= set(names):
-        return "targets CSV requires name and url columns"
+        return "no name or url column"
     if set(names) - set(FIELDS):
-        return "targets CSV contains unsupported columns"
+        return "unknown columns"
     return None
 
 
-def scan_targets(spark: SparkSession, path: str) -> DataFrame:
+MAX_TARGET_BYTES = 1 << 20
+
+
+def scan_targets(spark: SparkSession, path: str, strict: bool = True, most_bytes: int = MAX_TARGET_BYTES) -> DataFrame:
     """A target list (CSV, quoted commas and line breaks, any column order) as all text columns; a bad header raises ValueError.
 
-    The header is read on its own, as Spark renames repeated names silently; short rows are filled with blanks.
+    The header is read on its own, as Spark renames repeated names silently; short rows are filled with blanks. A row
+    with more cells than the header, or a list larger than `most_bytes`, raises ValueError, too; with strict=False a column
+    `problem` marks such rows and there is no limit of size.
     """
     options = {"multiLine": True, "escape": '"', "encoding": "UTF-8"}
     head = spark.read.options(**options, header=False).csv(path).limit(1).first()
-    names = [(c or "").strip().lstrip("﻿") for c in head] if head else []
+    names = [(c or "").strip().lstrip("\ufeff") for c in head] if head else []
     if problem := header_problem(names):
         raise ValueError(problem)
-    rows = spark.read.options(**options, header=True).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
+    # Cells past the header make a row malformed, which Spark then keeps whole in a column of its own.
+    kept = spark.read.options(**options, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__whole").schema(", ".join(f"`{n}` string" for n in names) + ", __whole string").csv(path)
+    surplus = F.col("__whole").isNotNull() & F.from_csv("__whole", ", ".join(f"c{i} string" for i in range(len(names) + 1)), {"escape": '"'})[f"c{len(names)}"].isNotNull()
     have = [F.coalesce(F.col(n), F.lit("")).alias(n) if n in names else F.lit("").alias(n) for n in FIELDS]
-    return rows.select(*have)
+    rows = kept.select(*have, F.when(surplus, "surplus cells").alias("problem"))
+    if not strict:
+        return rows
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError("the list is too large")
+    if not rows.where("problem IS NOT NULL").isEmpty():
+        raise ValueError("surplus cells")
+    return rows.drop("problem")
 
 
 def project_sheet(sheets: DataFrame, key: str, column: str = "values") -> DataFrame:

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagetide.operators.reviews import promote_baseline
+from pagetide.operators.status import merge_status
 
 
 def change_status(stream: DataFrame) -> DataFrame:
-    """stream(target_id, seq long, sha256) -> target_id, seq, status. State holds the last digest of a target, never a text."""
+    """stream(target_id, seq long, sha256, accepted boolean) -> target_id, seq, status. State holds the accepted digest of a target, never a text.
+
+    The first observation makes the baseline. Later ones are compared with what was accepted last and don't change it, unless
+    a decision accepts them: A, B, B is baseline, review, review. Rows of a target come in order of seq inside a batch.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        had = state.get[0] if state.exists else None
+        accepted = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
-        for digest in rows["sha256"]:
-            out.append("baseline" if had is None else "unchanged" if digest == had else "review")
-            had = digest
-        state.update((had,))
+        for digest, taken in zip(rows["sha256"], rows["accepted"], strict=True):
+            out.append("baseline" if accepted is None else "unchanged" if digest == accepted else "review")
+            accepted = digest if accepted is None or taken else accepted
+        state.update((accepted,))
         yield pd.DataFrame({"target_id": rows["target_id"], "seq": rows["seq"], "status": out})
 
     return stream.groupBy("target_id").applyInPandasWithState(step, "target_id string, seq long, status string", "sha256 string", "append", GroupStateTimeout.NoTimeout)
@@ -38,17 +46,58 @@ def without_repeats(stream: DataFrame, delay: str = "31 days") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["target_id", "sha256"])
 
 
-def promote_batches(stream: DataFrame, path: str):
-    """A writer that promotes baselines batch by batch into versioned folders below `path`; a replayed batch changes nothing."""
-    spark = stream.sparkSession
-    schema = "target_id string, sha256 string, version long"
+BUCKETS = 16
+
+
+def upsert(path: str, schema: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """merge(old, batch) over a table of BUCKETS folders by the hash of target_id: only the folders that the batch touches are read and written.
+
+    The new rows are written beside the table first, so that a task that fails leaves the table whole; a repeated batch
+    merges into the same rows.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)).cast("int")
+    touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+    if not touched:
+        return
+    table = f"{path}/table"
+    try:
+        old = spark.read.schema(schema + ", bucket int").parquet(table).where(F.col("bucket").isin(touched)).drop("bucket")
+    except AnalysisException:  # the first batch finds no table
+        old = spark.createDataFrame([], schema)
+    fresh = f"{path}/fresh-{uuid.uuid4().hex}"
+    merge(old, batch).withColumn("bucket", bucket).write.parquet(fresh)
+    done = spark.read.schema(schema + ", bucket int").parquet(fresh)
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that upsert() keeps below a path."""
+    return spark.read.schema(schema + ", bucket int").parquet(f"{path}/table").drop("bucket")
+
+
+SNAPSHOTS = "target_id string, sha256 string, version long"
+STATUS = "target_id string, last_checked_at timestamp, baseline_updated_at timestamp"
+
+
+def promote_batches(stream: DataFrame, path: str) -> DataStreamWriter:
+    """A writer that promotes baselines batch by batch into the table below `path`; a replayed batch changes nothing."""
 
     def put(batch: DataFrame, number: int) -> None:
-        before = f"{path}/v{number}"
-        now = spark.read.schema(schema).parquet(before) if number else spark.createDataFrame([], schema)
-        last = batch.groupBy("target_id").agg(F.max_by("sha256", "seq").alias("candidate_sha256"))
-        expected = last.join(now.select("target_id", F.col("sha256").alias("expected_sha256")), "target_id", "left")
-        _, after = promote_baseline(now, expected)
-        after.write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+        def merge(now: DataFrame, rows: DataFrame) -> DataFrame:
+            last = rows.groupBy("target_id").agg(F.max_by("sha256", "seq").alias("candidate_sha256"))
+            expected = last.join(now.select("target_id", F.col("sha256").alias("expected_sha256")), "target_id", "left")
+            return promote_baseline(now, expected)[1]
+
+        upsert(path, SNAPSHOTS, batch, merge)
 
     return stream.writeStream.foreachBatch(put)
+
+
+def keep_last_checked(stream: DataFrame, path: str) -> DataStreamWriter:
+    """A writer that keeps the times of the last checks in the table below `path`; late rows and replayed batches move nothing back."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        upsert(path, STATUS, batch.withColumn("baseline_updated_at", F.lit(None).cast("timestamp")), merge_status)
+
+    return last_checked(stream).writeStream.outputMode("update").foreachBatch(put)
