@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from pagetide.llm.common import slices, string_buffers
 from pagetide.llm.words import Hasher, split
 
-#: Labelled documents that the field is fitted on: those with the smallest hash of the id.
+#: The sample that the field is fitted on: at most so many labelled documents, those with the smallest hash of the id, and so
+#: many bytes of their whole texts; a text that would pass the bytes is left out of the fit.
 FIT_DOCS = 4096
+FIT_BYTES = 64 << 20
 #: Longer documents are fitted in pieces of so many lines.
 FIT_LINES = 128
 STEPS = 300
@@ -161,12 +163,24 @@ def fit_field(x: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.nda
     return w[:-4], w[-4:].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS) -> dict:
-    """Fit on at most `fit_docs` labelled documents; without labels of both kinds the field is flat and scores are the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> dict:
+    """Fit on at most `fit_docs` labelled documents of `fit_bytes` in all; without labels of both kinds the field is flat and scores are the share of label 1.
+
+    Null ids and labels other than 0 and 1 teach nothing; null texts count as empty; a label of an unknown id is passed
+    over; of repeated labels and rows each counts.
+    """
     chosen = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(fit_docs)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = src.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(fit_docs).toArrow()
+    joined = src.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("text"))
+    # Sizes come first, so that the driver never holds more text than the bound.
+    left, fits = fit_bytes, []
+    for r in joined.select("id", "y", "h", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id", "h").limit(fit_docs).collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            fits.append((r["id"], r["h"]))
+    fitting = docs.sparkSession.createDataFrame(fits, T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("h", T.LongType())])).distinct()
+    rows = joined.join(F.broadcast(fitting), ["id", "h"], "left_semi").orderBy(F.xxhash64("id"), "id", "text").limit(fit_docs).select("id", "y", "text").toArrow()
     y = np.asarray(rows.column("y")).astype(np.int64)
     if len(set(y.tolist())) < 2:
         return {"weights": None, "share": float(y.mean()) if len(y) else 0.5}

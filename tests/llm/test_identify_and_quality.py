@@ -135,5 +135,9 @@ def test_quality_learns_junk_and_scores_odd_documents(spark, odd_docs):
     odd = quality.score_texts(odd_docs, model).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     assert quality.score_texts(docs.limit(0), model).count() == 0
+    # A long text of the wrong label is passed over where it would not fit; the rest is learnt all the same.
+    huge = docs.union(spark.createDataFrame([(1000, good() * 3000)], "doc_id long, text string"))
+    small = quality.fit(huge, labels.union(spark.createDataFrame([(1000, 0)], "doc_id long, quality int")), fit_bytes=100_000)
+    assert all((r["score"] >= 0.5) == (r["id"] % 3 > 0) for r in quality.score_texts(docs, small).collect())
     flat = quality.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality.score_texts(odd_docs, flat).collect()} == {0.5}

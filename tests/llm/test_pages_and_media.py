@@ -34,6 +34,17 @@ def test_extract_odd_pages(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_broken_markup_is_read_once():
+    """A megabyte of odd quotes, stray brackets, open comments or declarations is read in time that grows with its length."""
+    import time
+
+    for piece in ('<a b="', "<", "<!", "<!--", "<![CDATA[", "<a b='x\" ", "</", "<p>1 < 2 "):
+        began = time.time()
+        assert isinstance(extract.main_text("<p>start</p>" + piece * (1_000_000 // len(piece)), None), str)
+        assert time.time() - began < 20
+    assert extract.main_text('<p title="a > b">one</p><p>1 < 2 and <b class=x>two</b></p><a href="x>open', None) == "one 1 < 2 and two open"
+
+
 def test_media_round_trip(spark, odd_docs):
     got = media.media_columns(odd_docs).collect()
     assert len(got) == odd_docs.count()
