@@ -12,7 +12,7 @@ from pagetide.functions import text as X
 from pagetide.functions import urls
 from pagetide.operators import addresses, checkpoint, compare, evidence, links, reports, reviews, status, targets
 from pagetide.plans import views as V
-from pagetide.sources import tables
+from pagetide.sources import stores, tables
 from pagetide.streaming import observations as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,6 +463,53 @@ def observation_status(spark, d):
     return out.select("target_id", stamp("last_checked_at"), stamp("baseline_updated_at"))
 
 
+@query("SELECT target_id, page_id % 4 <> 1 AND page_id % 4 <> 2 AS valid, CASE page_id % 4 WHEN 1 THEN 'revision' WHEN 2 THEN 'report' END AS problems FROM (SELECT *, page_id // 7 AS n FROM pend)")
+def decision_source(spark, d):
+    """Decisions written as JSON lines, some broken, and read back: valid ones and those set aside."""
+    path, k = V.scratch(spark, "decisions"), F.col("page_id") % 4
+    rows = V.pending(spark, d).select("target_id", F.when(k == 1, "x").otherwise(F.col("revision")).alias("revision"), (k != 0).alias("material"), F.when(k == 2, " ").when(k != 0, "text").alias("report"))
+    rows.write.json(path)
+    good, bad = stores.read_decisions(spark, path)
+    return good.select("target_id", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("problems")).union(bad.select("target_id", F.lit(False), "problems"))
+
+
+@query(f"SELECT run_id, sha256(report) AS sha256 FROM ({_REPORT})")
+def report_files(spark, d):
+    path = V.scratch(spark, "reports")
+    stores.write_reports(reports.run_reports(_sections(spark, d)), path)
+    fresh = _sections(spark, d).where("seq % 3 = 0").withColumn("section", F.concat("section", F.lit(" (revised)"))).withColumn("seq", F.col("seq") + 1_000_000)
+    stores.write_reports(reports.run_reports(reports.upsert_sections(_sections(spark, d), fresh)), path)
+    return stores.read_reports(spark, path).select("run_id", F.sha2("report", 256).alias("sha256"))
+
+
+@query(f"SELECT DISTINCT ingestion_id, 'verified' AS verdict FROM ({_PAY})")
+def evidence_store(spark, d):
+    path, p = V.scratch(spark, "evidence"), V.kept(_payloads(spark, d), "payloads")
+    for _ in range(2):  # a repeated write changes nothing
+        stores.write_evidence(p, path)
+    return stores.read_evidence(spark, path)[1]
+
+
+@query(f"SELECT run_id, CASE WHEN substr(run_id, 5)::BIGINT % 2 = 0 THEN 'delivered' ELSE 'undelivered' END AS state FROM ({_REPORT})")
+def delivery_ledger(spark, d):
+    path = V.scratch(spark, "ledger")
+    made = V.kept(reports.run_reports(_sections(spark, d)).select("run_id", "sha256"), "made")
+    even = made.where(F.substring("run_id", 5, 20).cast("long") % 2 == 0)
+    stores.record_deliveries(even.select("run_id", F.sha2(F.lit("older"), 256).alias("sha256")), path, "2024-01-01 00:00:00")
+    stores.record_deliveries(even, path, "2024-01-02 00:00:00")
+    return reports.delivery_plan(made, stores.read_ledger(spark, path))
+
+
+@query("SELECT path, sha256(content) AS sha256, TRUE AS intact FROM man WHERE g = 4")
+def checkpoint_store(spark, d):
+    path, before = V.scratch(spark, "checkpoint"), None
+    for g in (3, 4):
+        manifest, objects = checkpoint.pack(checkpoint.files(V.state_files(spark, d, g)), g, before, pinned="state/doc/7")
+        stores.write_checkpoint(manifest, objects, path)
+        before = manifest
+    return stores.read_checkpoint(spark, path, 4).select("path", F.sha2("content", 256).alias("sha256"), "intact")
+
+
 # ---- checkpoints --------------------------------------------------------------------------------------------------------
 
 

@@ -55,7 +55,7 @@ def test_credential_urls(spark):
 
 def test_watchable_urls_and_ids(spark):
     assert column(spark, ["ftp://h/", "https://", "https://h/#x", "https://h/?sig=1", "https://h/#", None], urls.url_problem) == [
-        "url must be an absolute HTTP(S) URL", "url must be an absolute HTTP(S) URL", "url must not contain a fragment", "url must not contain credentials", None, "url must be an absolute HTTP(S) URL",
+        "no web address", "no web address", "fragment", "credentials", None, "no web address",
     ]
     (got,) = column(spark, ["https://u@WWW.Ex-ample.org:80/a"], urls.target_id)
     assert re.fullmatch(r"www-ex-ample-org-[0-9a-f]{12}", got)
@@ -65,6 +65,33 @@ def test_watchable_urls_and_ids(spark):
 def test_references_decode(spark):
     values = ["a &amp; b &lt;&#65;&#x20AC;&eacute;", "&amp x", "&unknown; &", "plain"]
     assert column(spark, values, H.decode_references) == [html.unescape(v) if "unknown" not in v else v for v in values]
+    values = ["&ampfoo &notit; &NotEqualTilde; &CounterClockwiseContourIntegral; &copy &copycat", "&Ntilde&eacute;"]
+    assert column(spark, values, H.decode_references) == [html.unescape(v) for v in values]
+
+
+def test_odd_pages_neither_recurse_nor_hang(spark):
+    """A stray bracket before a megabyte, a hundred thousand lines, a megabyte of broken quotes."""
+    import time
+
+    for page in ("<p>1 < 2 " + "x" * 1_000_000, '<a b="' * 150_000, "<" * 100_000):
+        began = time.time()
+        (got,) = column(spark, [page], lambda c: F.length(H.to_lines(c, F.lit("https://h/"))))
+        assert int(got) > 0 and time.time() - began < 60
+    marker = "[a:href:sha256:" + "0" * 64 + "]\n"
+    assert column(spark, ["line\n" * 100_000 + marker, marker + "x\n", "x\n", marker, "x\n" + marker + marker], H.markers_trail, "string") == [True, False, False, True, True]
+    assert column(spark, ["1 < 2 <b>x</b>"], lambda c: H.to_lines(c, F.lit("https://h/"))) == ["1 < 2 x\n"]
+
+
+def test_addresses(spark):
+    import ipaddress
+
+    six = ["2001:4860:4860::8888", "::1", "::", "fe80::1", "2001:DB8::1", "::ffff:8.8.8.8", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:7:8", "1::8", "ff02::1", "2606:4700::"]
+    assert column(spark, six, urls.address_hex) == [ipaddress.ip_address(a).packed.hex() for a in six]
+    assert column(spark, ["1::2::3", "12345::", ":1", "1:2:3", "1:2:3:4:5:6:7:8:9", "[::1]", "x", None], urls.address_hex) == [None] * 8
+    from pagetide.operators.addresses import public_addresses
+
+    rows = spark.createDataFrame([(a,) for a in [*six, "8.8.8.8", "10.1.2.3", "192.0.0.9"]], "a string")
+    assert {r["a"] for r in public_addresses(rows, "a").where("public").collect()} == {"2001:4860:4860::8888", "1:2:3:4:5:6:7:8", "1::8", "2606:4700::", "8.8.8.8", "192.0.0.9"}
 
 
 PAGE = """<html><head><base href="/dir/"><style>p{}</style><script>if(a<b)x("</p>")</script></head><body><!-- <p>no</p> -->
@@ -95,5 +122,17 @@ def test_feeds(spark):
     got = {(r.feed, r.pos): (r.identity, r.title, r.link) for r in feeds.feed_entries(rows, "feed").collect()}
     assert got == {("r", 0): ("b", "T", "https://x/1"), ("r", 1): ("https://a/", "U", None), ("a", 0): ("i", "A", "https://y/2")}
     swapped = RSS.replace("<item><guid>b</guid><link>https://x/1</link><title>T</title></item>", "").replace("</channel>", "<item><guid>b</guid><link>https://x/1</link><title>T</title></item></channel>")
-    one, two = column(spark, [RSS, swapped], feeds.feed_text)
-    assert one == two and "[id:sha256:" in one and "https://a/" not in one
+    text = lambda *xml: [r["text"] for r in feeds.feed_text(spark.createDataFrame(list(enumerate(xml)), "k int, xml string"), "k").orderBy("k").collect()]
+    one, two = text(RSS, swapped)
+    assert one == two and "[guid:sha256:" in one and "https://a/" not in one
+    # Any field that changes shows: date, author, enclosure, a link behind the first.
+    base = "<rss><channel><item><guid>b</guid><pubDate>{}</pubDate><author>{}</author><enclosure url='{}'/><link>1</link><link>{}</link></item></channel></rss>"
+    same = ["d", "a", "/m", "2"]
+    seen = text(*[base.format(*[x + ("!" if i == k else "") for i, x in enumerate(same)]) for k in range(-1, 4)])
+    assert len(set(seen)) == 5
+
+
+def test_feed_bases_and_links(spark):
+    rss = """<feed xml:base="https://b.example/x/"><entry xml:base="y/"><id>1</id><link href="p"/><link rel="enclosure" href="q"/><content type="html"><![CDATA[<a href="/z">k</a>]]></content><a href="r">t</a></entry></feed>"""
+    rows = spark.createDataFrame([("f", rss)], "feed string, xml string")
+    assert [(r["nth"], r["link"]) for r in feeds.feed_links(rows, "feed").orderBy("nth").collect()] == [(0, "https://b.example/x/y/p"), (1, "https://b.example/x/y/r")]

@@ -26,8 +26,88 @@ def canon(columns, rows):
     return [columns[i] for i in order], sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["normalize_text", "credential_urls", "normalize_pages", "change_status", "added_links", "linked_documents", "group_targets", "finalize_reviews", "promoted_snapshots", "evidence_verify", "checkpoint_retention", "object_chunks", "feed_entries", "stream_last_checked"])
+@pytest.mark.parametrize("name", ["normalize_text", "credential_urls", "normalize_pages", "change_status", "added_links", "public_ipv6_filter", "targets_surplus", "sniff_content_type", "put_reviews", "run_reports", "decision_source", "report_files", "evidence_store", "delivery_ledger", "checkpoint_store", "feed_text", "stream_change_status", "stream_promote", "group_targets", "finalize_reviews", "promoted_snapshots", "evidence_verify", "checkpoint_retention", "object_chunks", "feed_entries", "stream_last_checked"])
 def test_query_equals_its_sql(spark, con, name):
     df = queries.QUERIES[name](spark, DATA)
     want = con.sql(queries.SQL[name])
     assert canon(df.columns, df.collect()) == canon(want.columns, want.fetchall())
+
+
+def test_traversal_equals_brute_force(spark):
+    """Every page is a root; hubs, cycles, pages without a body, the cap and the depth."""
+    import random
+
+    from pagetide.operators import links
+
+    rng = random.Random(4)
+    n = 40
+    arcs = {(a, rng.choice([0, 1, rng.randrange(n)])) for a in range(n) for _ in range(rng.randrange(5))}
+    dead = {x for x in range(n) if x % 11 == 0 and x}
+    edges = spark.createDataFrame([(a, b) for a, b in arcs if a != b], "parent long, child long")
+    roots = spark.createDataFrame([(x,) for x in range(n)], "root long")
+    docs = spark.createDataFrame([(x, True) for x in range(n) if x not in dead], "node long, ok boolean")
+    got = {(r["root"], r["node"], r["depth"], r["rank"], r["status"]) for r in links.linked_documents(roots, edges, docs, depth=3, most=6).collect()}
+    want = set()
+    for root in range(n):
+        seen, frontier, done = {root}, [(0, root)], 0
+        for depth in (1, 2, 3):
+            reached = {}
+            for rank, node in frontier:
+                for a, b in arcs:
+                    if a == node and b != a and b not in seen:
+                        reached[b] = min(reached.get(b, rank), rank)
+            frontier = []
+            for node, _ in sorted(reached.items(), key=lambda x: (x[1], x[0])):
+                done += 1
+                status = "omitted" if done > 6 else "error" if node in dead else "ok"
+                want.add((root, node, depth, done, status))
+                seen.add(node)
+                if status == "ok":
+                    frontier.append((done, node))
+    assert got == want
+    rows = links.linked_documents(roots, edges, docs, depth=3, most=6)
+    sizes = spark.createDataFrame([(x, 10, 5) for x in range(n) if x not in dead], "node long, body_bytes long, text_bytes long")
+    reviews = {r["root"]: r for r in links.link_reviews(rows, links.link_budget(rows, sizes)).collect()}
+    for root in reviews:
+        mine = [w for w in want if w[0] == root]
+        assert reviews[root]["omitted"] == sum(w[4] == "omitted" for w in mine) and len(reviews[root]["documents"]) == sum(w[4] != "omitted" for w in mine)
+        assert reviews[root]["incomplete"] == any(w[4] != "ok" for w in mine)
+
+
+def test_unified_diff_applies_to_the_old_text(spark):
+    """The lines of a diff, context and removals on one side, context and additions on the other, stand in both texts in order."""
+    import random
+
+    from pagetide.operators import compare
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        old = [f"line {rng.randrange(12)}" for _ in range(rng.randrange(1, 40))]
+        new = [x for x in old if rng.random() > 0.2] + [f"new {rng.randrange(9)}" for _ in range(rng.randrange(4))]
+        rows.append((i, "\n".join(new) + "\n", "\n".join(old) + "\n"))
+    from pyspark.sql import functions as F
+
+    side = lambda c: spark.createDataFrame([(r[0], r[c]) for r in rows], "k int, text string").withColumn("sha256", F.sha2("text", 256))
+    got = {r["k"]: r for r in compare.unified_diff(side(1), side(2), "k").collect()}
+    for k, new, old in rows:
+        if new == old:
+            assert k not in got
+            continue
+        body = got[k]["diff"].split("\n")[2:]
+        rebuilt, at, source = [], 0, old.splitlines()
+        for line in body:
+            if line.startswith("@@"):
+                start = int(line.split()[1][1:].split(",")[0])
+                count = int((line.split()[1].split(",") + ["1"])[1])
+                upto = start - 1 if count else start
+                rebuilt += source[at:upto]
+                at = upto
+            elif line[0] == "+":
+                rebuilt.append(line[1:])
+            else:
+                assert source[at] == line[1:]
+                at += 1
+                if line[0] == " ":
+                    rebuilt.append(line[1:])
+        assert rebuilt + source[at:] == new.splitlines() and not got[k]["truncated"]

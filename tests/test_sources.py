@@ -23,3 +23,15 @@ def test_encodings(spark):
     df = spark.createDataFrame([(k, bytearray(b) if b is not None else None, c) for k, b, c in data], "k int, body binary, charset string")
     got = {r["k"]: r["text"] for r in tables.decode_documents(df, "k").collect()}
     assert got == {1: "é", 2: "é", 3: "日本", 4: None, 5: "é", 6: "<meta charset=gbk>中", 7: None, 8: None}
+
+
+def test_lists_with_surplus_cells_or_of_too_many_bytes_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,url\na,https://h/1,surplus\nb,https://h/2\n")
+    rows = tables.scan_targets(spark, f"file://{tmp_path}/a.csv", strict=False).collect()
+    assert [(r["name"], r["problem"]) for r in rows] == [("a", "surplus cells"), ("b", None)]
+    with pytest.raises(ValueError, match="surplus"):
+        tables.scan_targets(spark, f"file://{tmp_path}/a.csv")
+    (tmp_path / "b.csv").write_text("name,url\n" + "a,https://h/1\n" * 10)
+    assert tables.scan_targets(spark, f"file://{tmp_path}/b.csv").count() == 10
+    with pytest.raises(ValueError, match="large"):
+        tables.scan_targets(spark, f"file://{tmp_path}/b.csv", most_bytes=20)
