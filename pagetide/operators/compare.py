@@ -32,19 +32,23 @@ def change_status(current: DataFrame, previous: DataFrame, key: str) -> DataFram
     """
     old = previous.select(key, F.col("sha256").alias("previous_sha256"))
     joined = current.select(key, "sha256").join(old, key, "left")
-    differ = joined.where(F.col("previous_sha256").isNotNull() & (F.col("sha256") != F.col("previous_sha256"))).select(key)
-    texts = differ.join(current.select(key, "text"), key).join(previous.select(key, F.col("text").alias("old_text")), key)
-    order_only = texts.where(same_but_for_link_order(F.col("text"), F.col("old_text"))).select(key, F.lit(True).alias("order_only"))
+    order_only = differing(current, previous, key).where(same_but_for_link_order(F.col("new_text"), F.col("old_text"))).select(key, F.lit(True).alias("order_only"))
     status = F.when(F.col("previous_sha256").isNull(), "baseline").when((F.col("sha256") == F.col("previous_sha256")) | F.col("order_only"), "unchanged").otherwise("changed")
     return joined.join(order_only, key, "left").select(key, status.alias("status"), "sha256", F.coalesce("previous_sha256", F.lit("")).alias("previous_sha256"))
 
 
+def differing(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """(key, new_text, old_text) of the rows in both tables whose digests differ; other texts aren't moved."""
+    keys = current.select(key, "sha256").join(previous.select(key, F.col("sha256").alias("old")), key).where("sha256 <> old").select(key)
+    return keys.join(current.select(key, F.col("text").alias("new_text")), key).join(previous.select(key, F.col("text").alias("old_text")), key)
+
+
 def line_delta(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """(key, line, change, times): lines added and removed, as multisets, of rows in both tables whose texts differ.
 
-    One shuffle: both sides' lines are summed with signs by (key, line).
+    Digests are joined first, texts only where they differ; then one shuffle, in which both sides' lines are summed with signs by (key, line).
     """
-    pair = current.select(key, "sha256", F.col("text").alias("new_text")).join(previous.select(key, F.col("sha256").alias("old"), F.col("text").alias("old_text")), key).where("sha256 <> old")
+    pair = differing(current, previous, key)
     each = pair.select(key, F.explode(F.concat(F.transform(lines(F.col("new_text")), lambda x: F.struct(x.alias("line"), F.lit(1).alias("n"))), F.transform(lines(F.col("old_text")), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("n"))))).alias("e"))
     sums = each.groupBy(key, F.col("e.line").alias("line")).agg(F.sum("e.n").alias("n")).where("n <> 0")
     return sums.select(key, "line", F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"), F.abs("n").alias("times"))
@@ -85,7 +89,7 @@ def revision_history(texts: DataFrame, key: str, order: str) -> DataFrame:
 
 def unified_diff(current: DataFrame, previous: DataFrame, key: str, most_lines: int = MAX_DIFF_LINES, most_bytes: int = MAX_DIFF_BYTES) -> DataFrame:
     """(key, diff, truncated): unified diff with three lines of context, for rows whose texts differ."""
-    pair = current.select(key, "sha256", "text").join(previous.select(key, F.col("sha256").alias("old"), F.col("text").alias("old_text")), key).where("sha256 <> old")
+    pair = differing(current, previous, key).withColumnRenamed("new_text", "text")
     costly = line_count(F.col("text")) * line_count(F.col("old_text")) > MAX_DIFF_PAIRS
 
     @F.pandas_udf("string")

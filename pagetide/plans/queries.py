@@ -143,9 +143,14 @@ def page_links(spark, d):
     return links.page_links(V.pages(spark, d)).select("page_id", "pos", "destination", "identity")
 
 
+def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Texts of today's pages and of the accepted ones, each parsed once."""
+    return V.kept(V.texts(V.pages(spark, d)), "texts"), V.kept(V.texts(V.previous_pages(spark, d)), "texts")
+
+
 @query("SELECT page_id, CASE WHEN pt.text IS NULL THEN 'baseline' WHEN pt.text = ct.text THEN 'unchanged' ELSE 'changed' END AS status, sha256(ct.text) AS sha256, coalesce(sha256(pt.text), '') AS previous_sha256 FROM ct LEFT JOIN pt USING (page_id)")
 def change_status(spark, d):
-    return compare.change_status(V.texts(V.pages(spark, d)), V.texts(V.previous_pages(spark, d)), "page_id")
+    return compare.change_status(*_versions(spark, d), "page_id")
 
 
 _DELTA = "SELECT page_id, line, CASE WHEN sum(n) > 0 THEN 'added' ELSE 'removed' END AS change, abs(sum(n)) AS times FROM (SELECT page_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) AS line, 1 AS n FROM ct WHERE page_id IN (SELECT page_id FROM pt) UNION ALL SELECT page_id, unnest(string_split(rtrim(text, chr(10)), chr(10))), -1 FROM pt) GROUP BY page_id, line HAVING sum(n) <> 0"
@@ -153,7 +158,7 @@ _DELTA = "SELECT page_id, line, CASE WHEN sum(n) > 0 THEN 'added' ELSE 'removed'
 
 @query(_DELTA)
 def line_delta(spark, d):
-    return compare.line_delta(V.texts(V.pages(spark, d)), V.texts(V.previous_pages(spark, d)), "page_id")
+    return compare.line_delta(*_versions(spark, d), "page_id")
 
 
 @query(f"SELECT page_id, count(*) FILTER (WHERE ok) AS lines_kept, coalesce(sum(size) FILTER (WHERE ok), 0)::BIGINT AS bytes_kept, count(*) FILTER (WHERE NOT ok) > 0 AS truncated FROM (SELECT *, row_number() OVER w <= 2 AND sum(size) OVER w <= 90 AS ok FROM (SELECT *, strlen(line) + 2 AS size FROM ({_DELTA})) WINDOW w AS (PARTITION BY page_id ORDER BY change DESC, line ROWS UNBOUNDED PRECEDING)) GROUP BY page_id")
@@ -173,7 +178,7 @@ _SETS = r"list_sort(list_distinct(regexp_extract_all({t}, '\[a:href:sha256:([0-9
 
 @query(f"SELECT page_id, len({_SETS.format(t='ct.text')}) AS links, len({_SETS.format(t='pt.text')}) AS old_links, {_SETS.format(t='ct.text')} = {_SETS.format(t='pt.text')} AS same_set, ct.text = pt.text AS same_text FROM ct JOIN pt USING (page_id)")
 def link_set_compare(spark, d):
-    return compare.link_set_compare(V.texts(V.pages(spark, d)), V.texts(V.previous_pages(spark, d)), "page_id")
+    return compare.link_set_compare(*_versions(spark, d), "page_id")
 
 
 @query(f"SELECT page_id, count(*) FILTER (WHERE pos >= 5) AS overflow, 0 AS oversize, greatest(count(DISTINCT destination) - 4, 0) AS beyond_cap, count(*) FILTER (WHERE pos >= 5) + greatest(count(DISTINCT destination) - 4, 0) AS omitted FROM ({_LINKS.format(t='cur')}) GROUP BY page_id")
@@ -236,7 +241,7 @@ def link_reviews(spark, d):
 
 @query()
 def unified_diff(spark, d):
-    return compare.unified_diff(V.texts(V.pages(spark, d)), V.texts(V.previous_pages(spark, d)), "page_id")
+    return compare.unified_diff(*_versions(spark, d), "page_id")
 
 
 # ---- targets and reviews ------------------------------------------------------------------------------------------------
