@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,13 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize() that nothing reads any more."""
+    """Delete the files of a table made by materialize() that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
     spark = df.sparkSession
     root = shared_dir(spark)
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
         if path.startswith(root) or path.startswith(root.replace("file://", "file:")):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    # Spark deletes a shuffle's files once the driver has collected its plan as garbage.
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
