@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, simhash, warc
+from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, rules, simhash, warc
 from pagetide.llm.common import id_crc, table
 
 
@@ -82,6 +82,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = rules.evaluate(table(spark, sf_dir, "documents"))
+    verdict = rules.apply_policy(ledger, "v2").withColumn("base_failed", rules.fails(F.col("failures"), rules.mask(rules.POLICIES["base"])))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +95,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, op12_quality_rules, pipeline)}
+
+
+def _rules_sql() -> str:
+    """The ledger in SQL: windows numbered and joined with those found twice, lines compared by a window function."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    found = lambda pattern, of="t": f"len(regexp_extract_all({of}, '{pattern}'))"
+    bits = " + ".join(f"CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END" for r in rules.RULES)
+    base = rules.mask(rules.POLICIES["base"])
+    return rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
+        spots AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3),
+        windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM spots),
+        repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM windows, range(3) o(k) WHERE n > 1 GROUP BY r),
+        lines AS (SELECT r, l, row_number() OVER (PARTITION BY r, l) AS nth FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, {word})),
+        doubled AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE nth > 1) AS d FROM lines GROUP BY r),
+        m AS (SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, {found(r'[#*$%&|<>]')} AS n_symbols, coalesce(l.n, 0) AS n_lines, coalesce(l.d, 0) AS n_dup_lines,
+                     coalesce(x.n, 0) AS n_repeat_words, {found("[A-Z]")} AS n_upper, {found("!")} AS n_marks, {found("[.!?…]")} AS n_ends, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words
+              FROM docs LEFT JOIN repeats x USING (r) LEFT JOIN doubled l USING (r)),
+        f AS (SELECT *, {bits} AS failures FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {base} <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+    """
 
 
 def oracle_sql() -> dict[str, str]:
@@ -102,4 +129,5 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d,
                          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
         """,
+        "op12_quality_rules": _rules_sql(),
     }
