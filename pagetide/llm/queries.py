@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, rules, simhash, warc
-from pagetide.llm.common import id_crc, table
+from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, rules, simhash, spelling, warc
+from pagetide.llm.common import id_crc, materialize, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.encode(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")), "UTF-8"))
+    damaged = F.when(h % 199 == 0, spelling.without_letter(F.col("run"), (h % F.char_length("run")).cast("int"))).otherwise(F.col("run"))
+    words = materialize(spelling.vocabulary(runs, damaged, shortest=6, least=5), "vocabulary")
+    return spelling.variant_groups(words, shortest=6, times=5)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.evaluate(table(spark, sf_dir, "documents"))
     verdict = rules.apply_policy(ledger, "v2").withColumn("base_failed", rules.fails(F.col("failures"), rules.mask(rules.POLICIES["base"])))
@@ -95,7 +103,36 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, op12_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, op11_spelling_variants, op12_quality_rules, pipeline)}
+
+
+#: (tab): the table of CRC-32, one list of 256 numbers.
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda k: 0::UBIGINT)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))"
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8, where `tab` is in scope."""
+    digits = f"hex(encode({text}))"
+    each = f"list_transform(range(1, len({digits}), 2), lambda i: ('0x' || substr({digits}, i::INT, 2))::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {each}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)"
+
+
+def _spelling_sql() -> str:
+    """Near words through the texts that are left when one letter is deleted; forms followed by recursion."""
+    upper = spelling.UPPER
+    return rf"""
+        WITH RECURSIVE crc AS ({_CRC_TABLE}),
+        runs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+'), lambda x: translate(x, '{upper}', '{upper.lower()}'))) AS w FROM documents) GROUP BY ALL),
+        hashed AS (SELECT w, c, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM runs, crc),
+        v AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, c FROM hashed) WHERE len(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+        cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, len(word) + 1))::INT AS i FROM v)),
+        near AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+                 UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.d = b.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS spot, form AS next FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON walk.next = f.word)
+        SELECT f.word, form, walk.spot AS root, n, n_near, form_n FROM f JOIN walk ON f.word = walk.word AND walk.next IS NULL
+    """
 
 
 def _rules_sql() -> str:
@@ -129,5 +166,6 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d,
                          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
         """,
+        "op11_spelling_variants": _spelling_sql(),
         "op12_quality_rules": _rules_sql(),
     }
