@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, rules, simhash, spelling, warc
+from pagetide.llm import bpe, decontaminate, extract, langid, linededup, lm, media, quality, rules, simhash, spelling, trie, warc
 from pagetide.llm.common import id_crc, materialize, table
 
 
@@ -96,6 +96,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = materialize(trie.turn_lists(table(spark, sf_dir, "conversations")), "turn-lists")
+    c = F.col("conv_id")
+    return trie.prefix_nodes(trie.spliced(lists, c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6, 5))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, op11_spelling_variants, op12_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_decontamination, op4_html_extraction, op5_line_dedup, op6_media_columns, op7_warc, op8_bpe_round_trip, op9_lm_scoring, op10_quality, op11_spelling_variants, op12_quality_rules, op13_conversation_trie, pipeline)}
 
 
 #: (tab): the table of CRC-32, one list of 256 numbers.
@@ -135,6 +141,27 @@ def _spelling_sql() -> str:
     """
 
 
+def _trie_sql() -> str:
+    """Prefixes of every rebuilt conversation, grouped; each node's part added to all of its own prefixes."""
+    return rf"""
+        WITH crc AS ({_CRC_TABLE}),
+        t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        named AS (SELECT conv_id, turn, left(sha256(strlen(role) || ':' || role || ':' || text), 32) AS name, len(text) AS size FROM t),
+        orig AS (SELECT conv_id, name, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) - 1 AS k FROM named),
+        convs AS (SELECT c, ({_crc_sql("c::VARCHAR")} % 6)::BIGINT AS h FROM (SELECT DISTINCT conv_id AS c FROM t), crc),
+        made AS (SELECT c, 0 AS side, k, name, size FROM convs JOIN orig ON conv_id = c - c % 100 AND k < h UNION ALL SELECT c, 1, k, name, size FROM convs JOIN orig ON conv_id = c AND k >= h),
+        listed AS (SELECT c, coalesce(list(name ORDER BY side, k) FILTER (WHERE name IS NOT NULL), []) AS names, coalesce(list(size ORDER BY side, k) FILTER (WHERE name IS NOT NULL), []) AS sizes FROM convs LEFT JOIN made USING (c) GROUP BY c),
+        prefixes AS (SELECT c, names, sizes, unnest(range(0, len(names) + 1)) AS depth FROM listed),
+        nodes AS (SELECT array_to_string(names[1:depth], '') AS path, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(sizes[depth]), 0) AS size,
+                         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(names) = depth), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2),
+        kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        own AS (SELECT path, depth, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saved FROM nodes LEFT JOIN kids USING (path)),
+        up AS (SELECT left(path, 32 * k) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM own) GROUP BY 1)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN own USING (path) JOIN up USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1)) AND p.depth = n.depth - 1
+    """
+
+
 def _rules_sql() -> str:
     """The ledger in SQL: windows numbered and joined with those found twice, lines compared by a window function."""
     word = r"'[^\x20\x09-\x0D]+'"
@@ -168,4 +195,5 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op11_spelling_variants": _spelling_sql(),
         "op12_quality_rules": _rules_sql(),
+        "op13_conversation_trie": _trie_sql(),
     }
