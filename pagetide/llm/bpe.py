@@ -2,9 +2,10 @@
 
 Texts are normalised and cut into words as the tokenizer's own pre-tokenizer does, by array operations over whole
 slices. Spark counts the distinct words and encodes each of them once. The ids of the `head` most frequent words are
-broadcast (a bounded table); the other words of a text are joined with the table of encoded words and come back to the text as one
-list, so that a row moves for each rare word of a text and not for each position. In the text ids go to the words'
-positions; decoding joins ids with the id-to-piece table, which is as small as the vocabulary file.
+broadcast (a bounded table); the other words are joined with the table of encoded words, each once a slice of texts, and
+the lists that come out are written by the slices' partitions. The texts themselves never move: they are read again where they are, a
+slice beside its list. There ids go to the words' positions; decoding joins ids with the id-to-piece table, which is as
+small as the vocabulary file.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetide.llm.common import materialize, release, slices
+from pagetide.llm.common import materialize, new_path, release, repeatable, slices, string_buffers
+from pagetide.llm.storage import Store
 from pagetide.llm.words import Pieces, Table, most_frequent, summed
 
 HEAD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 18
+#: Partitions of the texts whose lists share a folder, and bytes of a row group there.
+FOLDER_PARTS = 8
+GROUP_BYTES = 1 << 20
 _OTHER, _SPACE, _LETTER, _NUMBER = range(4)
 
 
@@ -213,39 +218,78 @@ def _take(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     return flat[np.arange(out[-1]) + np.repeat(off[rows] - out[:-1], size)], out
 
 
+def _seal(texts: pa.Array) -> int:
+    """A hash of a slice's texts, by which it is known again."""
+    import xxhash
+
+    off, raw = string_buffers(texts)
+    h = xxhash.xxh3_64(off.tobytes())
+    h.update(raw.tobytes())
+    return h.intdigest() >> 1
+
+
 def rare_words(src: DataFrame, specials: list[str], head) -> DataFrame:
-    """(text, text_key) -> (text_key, word): the words outside the head, each once a text."""
+    """(id, text, part) -> (part, slice, seal, word): the words outside the head, each once a slice of a partition's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = Words(specials), Ids(head.value)
+        words, known, number = Words(specials), Ids(head.value), -1
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                cp, starts, ends, doc, _ = words(part.column("text").to_pylist())
+            for rows in slices(batch, "text", SLICE_BYTES):
+                number += 1
+                cp, starts, ends, _, _ = words(rows.column("text").to_pylist())
                 pieces = Pieces(cp)
                 h = pieces.hashes(starts, ends)
                 rare = np.flatnonzero(known.table.find(pieces, starts, ends, h) < 0)
-                first, back = pieces.distinct(starts[rare], ends[rare], h[rare])
-                pairs = np.unique(doc[rare] * max(1, len(first)) + back)
-                owner, word = pairs // max(1, len(first)), pairs % max(1, len(first))
-                yield pa.RecordBatch.from_arrays([part.column("text_key").take(pa.array(owner)), _pieces(cp, starts[rare[first]], ends[rare[first]]).take(pa.array(word))], names=["text_key", "word"])
-
-    return src.select("text", "text_key").mapInArrow(run, "text_key long, word string")
-
-
-def packed(src: DataFrame) -> DataFrame:
-    """(id, text, text_key) -> (id, text_key, size long, packed binary): the text as Zstandard, half of what a shuffle would write otherwise."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for part in slices(batch, "text"):
-                raw = [t.as_py() for t in part.column("text").cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array([len(t) for t in raw], pa.int64()), pa.array(map(pack, raw), pa.binary())], names=["id", "text_key", "size", "packed"])
-
-    out = [T.StructField("id", src.schema["id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType())]
-    return src.select("id", "text", "text_key").mapInArrow(run, T.StructType(out))
+                first, _ = pieces.distinct(starts[rare], ends[rare], h[rare])
+                n = len(first)
+                if n:
+                    fixed = [pa.array(np.full(n, v)) for v in (rows.column("part")[0].as_py(), number, _seal(rows.column("text")))]
+                    yield pa.RecordBatch.from_arrays([*fixed, _pieces(cp, starts[rare[first]], ends[rare[first]])], names=["part", "slice", "seal", "word"])
+
+    return src.mapInArrow(run, "part long, slice long, seal long, word string")
+
+
+class Lists:
+    """The encoded rare words of one partition's slices, as write_lists() left them."""
+
+    def __init__(self, root: str, part: int) -> None:
+        import pyarrow.parquet as pq
+
+        store, found = Store(f"{root}/folder={part // FOLDER_PARTS}"), []
+        for name, _ in store.names():
+            if name.endswith(".parquet"):
+                with store.open(name) as f:
+                    file = pq.ParquetFile(f)
+                    at = file.schema_arrow.get_field_index("part")
+                    for k in range(file.num_row_groups):
+                        span = file.metadata.row_group(k).column(at).statistics
+                        if span is None or not span.has_min_max or span.min <= part <= span.max:
+                            rows = file.read_row_group(k, use_threads=False)
+                            found.append(rows.filter(pc.equal(rows.column("part"), part)))
+        self.rows = pa.concat_tables(found).combine_chunks() if found else None
+        self.places = {n: i for i, n in enumerate(self.rows.column("slice").to_pylist())} if found else {}
+
+    def of(self, number: int, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(words, lists of ids) of a slice."""
+        if number not in self.places:
+            return pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        row = self.rows.slice(self.places[number], 1)
+        if row.column("seal")[0].as_py() != _seal(texts):
+            raise RuntimeError("the texts were read in another order than before; give encode_and_decode() a table")
+        rare = row.column("rare").combine_chunks().flatten()
+        return rare.field("word"), rare.field("ids")
+
+
+def write_lists(rare: DataFrame, encoded: DataFrame) -> str:
+    """Join rare words with their ids, by shuffle at every size, and write one list a slice below folders of FOLDER_PARTS partitions each.
+
+    A word in very many slices is a row for each of them, which AQE's skew join splits.
+    """
+    path = new_path(rare.sparkSession, "bpe-lists")
+    found = rare.join(encoded.select("word", "ids").hint("merge"), "word").withColumn("folder", F.floor(F.col("part") / FOLDER_PARTS))
+    lists = found.repartition("folder").groupBy("folder", "part", "slice").agg(F.first("seal").alias("seal"), F.collect_list(F.struct("word", "ids")).alias("rare"))
+    lists.sortWithinPartitions("folder", "part", "slice").write.option("parquet.block.size", GROUP_BYTES).partitionBy("folder").parquet(path)
+    return path
 
 
 def encode_and_decode(
@@ -275,16 +319,16 @@ def encode_and_decode(
     vocab = sc.broadcast((np.frombuffer(b"".join(pieces_of_ids), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces_of_ids])])))
     special_ids = {s: tokenizer.token_to_id(s) for s in specials}
 
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    # The texts are read several times and their slices must be the same each time.
+    src = (src if repeatable(src) else materialize(src, "bpe-texts")).select("id", "text", F.spark_partition_id().cast("long").alias("part"))
     counts = materialize(word_counts(src, specials), "bpe-words")
     encoded = materialize(encode_words(counts, sc.broadcast(spec_text)), "bpe-encoded")
     release(counts)
     top = most_frequent(encoded, head_words).select("word", "ids").toArrow().combine_chunks()
     head = sc.broadcast(Ids.state(*[c.combine_chunks() for c in top.columns]))
-    # By shuffle at every size: rare words and texts grow with the input. A text of many rows is split by AQE's skew join.
-    found = rare_words(src, specials, head).join(encoded.select("word", "ids").hint("merge"), "word")
-    lists = found.groupBy("text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
-    joined = packed(src).join(lists.hint("merge"), "text_key", "left").select("id", "size", "packed", "rare")
+    lists = write_lists(rare_words(src, specials, head), encoded)
+    release(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Words(specials), Ids(head.value)
@@ -292,23 +336,17 @@ def encode_and_decode(
         special_rows = {s: len(known.off) - 1 + i for i, s in enumerate(special_ids)}
         fixed_ids = np.concatenate([known.flat, np.array(list(special_ids.values()), np.uint32)])
         fixed_off = np.concatenate([known.off, known.off[-1] + 1 + np.arange(len(special_ids))])
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
+        own, number = None, -1
         for batch in batches:
-            upto = np.concatenate([[0], np.cumsum(np.asarray(batch.column("size")))])
-            # As many texts at a time as come to SLICE_BYTES, one at least.
-            at = [0]
-            while at[-1] < batch.num_rows:
-                at.append(max(at[-1] + 1, int(np.searchsorted(upto, upto[at[-1]] + SLICE_BYTES, side="right")) - 1))
-            for part in (batch.slice(a, b - a) for a, b in zip(at[:-1], at[1:], strict=True)):
-                texts = [unpack(t.as_py()).decode("utf-8", "replace") for t in part.column("packed")]
+            for part in slices(batch, "text", SLICE_BYTES):
+                number += 1
+                own = own or Lists(lists, part.column("part")[0].as_py())
+                texts = part.column("text").to_pylist()
                 cp, starts, ends, doc, special = words(texts)
                 pieces = Pieces(cp)
                 h = pieces.hashes(starts, ends)
                 row = known.table.find(pieces, starts, ends, h)
-                own = part.column("rare").flatten()
-                more = Ids(Ids.state(own.field("word"), own.field("ids")))
+                more = Ids(Ids.state(*own.of(number, part.column("text"))))
                 rare = np.flatnonzero(row < 0)
                 there = more.table.find(pieces, starts[rare], ends[rare], h[rare])
                 if (there < 0).any():
@@ -344,4 +382,4 @@ def encode_and_decode(
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     else:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return joined.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(run, T.StructType(fields))

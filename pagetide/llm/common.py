@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,13 @@ def release(df: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def repeatable(df: DataFrame) -> bool:
+    """Whether every reading gives the same rows in the same partitions: files, and row by row steps of built-in functions over them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    names = set(re.findall(r"^[\s:+\-*]*(?:\(\d+\) )?([A-Z]\w+)", plan, re.M))
+    return "FileScan" in names and names <= {"FileScan", "Project", "Filter", "ColumnarToRow", "WholeStageCodegen", "InputAdapter", "AdaptiveSparkPlan"}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of a batch that Spark hands to Python, which rows alone don't where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

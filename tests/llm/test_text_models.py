@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetide.llm import bpe, decontaminate, lm
+from pagetide.llm.common import repeatable
 from pagetide.llm.words import ALNUM, LOWER, Hasher, Pieces, most_frequent, split
 from tests.llm.conftest import thue_morse
 
@@ -28,6 +29,23 @@ def test_bpe_equals_the_library(spark, head):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == tk.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_reads_texts_where_they_are(spark, tmp_path, monkeypatch):
+    """Files of several partitions are read again slice by slice; what is done with the result moves no slice number."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 2000)
+    rows = [(i, f"word{i % 7} some{i * i} {NASTY[i % len(NASTY)] or ''} it's common " * (1 + i % 5)) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert repeatable(docs.select("doc_id", F.upper("text"))) and not repeatable(docs.distinct()) and not repeatable(spark.createDataFrame(rows, "doc_id long, text string"))
+    tk = Tokenizer.from_file(bpe.public_vocabulary())
+    want = {i: tk.encode(t, add_special_tokens=False).ids for i, t in rows}
+    out = bpe.encode_and_decode(docs, head_words=5)
+    for df in (out, out.coalesce(1), out.union(out).distinct(), bpe.encode_and_decode(docs.orderBy("text"), head_words=5)):
+        got = {r["id"]: r["ids"] for r in df.collect()}
+        assert got == want
+
+
 def test_bpe_odd_documents(spark, odd_docs):
     out = bpe.encode_and_decode(odd_docs, with_ids=False).collect()
     assert len(out) == odd_docs.count() and {r["n_tokens"] for r in out if r["id"] in (1, 2, 5)} == {0}
