@@ -45,6 +45,58 @@ def test_broken_markup_is_read_once():
     assert extract.main_text('<p title="a > b">one</p><p>1 < 2 and <b class=x>two</b></p><a href="x>open', None) == "one 1 < 2 and two open"
 
 
+def test_raw_elements_are_passed_over():
+    """A < or a comment in a script hides nothing behind it; nor does an element that is never closed, but a script."""
+    article = "<article><p>The article.</p></article>"
+    for raw in ("<script>if(a<b){x()}</script>", "<style>a<b</style>", "<script>document.write('<!-- x')</script>", "<SCRIPT>'<p' < \"</SCRIPT >", "<template><template>a</template>b</template>", "<script></script>", "<title>a < b", "<noscript>", "<textarea><article>no</textarea>"):
+        text = extract.main_text(f"<html><body>{raw}{article}</body></html>", None)
+        assert text == "The article.", raw
+    assert extract.main_text(f"<body>{article}<script>a < b", None) == "The article."
+
+
+def hosts(spark, pages):
+    """{page_id: text} of (page_id, host, article's html)."""
+    rows = [(i, f"https://{h}.example/{i}", f"<html><body><nav>menu {i}</nav><article>{a}</article></body></html>") for i, h, a in pages]
+    return {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def own(i):
+    return " ".join(f"w{i * 31 + k * k}" for k in range(30))
+
+
+def test_constant_blocks_are_template_under_any_name_and_varying_ones_are_not(spark):
+    block = "<div class='share-price'>Shares rose {} percent. <a href='/buy'>buy</a></div><div class='x1'>Copyright ACME boilerplate</div><div class='share'>Share this</div>"
+    got = hosts(spark, [(i, "a", f"<p>{own(i)}</p>" + block.format(i)) for i in range(8)] + [(100 + i, f"only{i}", f"<p>{own(i)}</p>" + block.format(i)) for i in range(2)])
+    assert {i: got[i] for i in range(8)} == {i: f"{own(i)} Shares rose {i} percent." for i in range(8)}
+    # Hosts of one page have no template of texts: names decide.
+    assert {got[100 + i] for i in range(2)} == {f"{own(i)} Copyright ACME boilerplate" for i in range(2)}
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    copies = [(i, "a", f"<p>{own(7)}</p><p>{own(8)} mark{i // 12}</p><p>Same on all.</p>") for i in range(20)]
+    got = hosts(spark, copies + [(100 + i, "a", f"<p>{own(100 + i)}</p><p>Same on all.</p>") for i in range(8)])
+    assert all(own(7) in got[i] for i in range(20)) and all(got[100 + i] == own(100 + i) for i in range(8))
+
+
+def test_text_templates_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    pages = []
+    for h in range(6):
+        n = rng.randrange(1, 9)
+        fixed = [(f"Fixed {h} {k}", rng.choice([0.3, 0.7, 0.9, 1.0])) for k in range(5)]
+        for i in range(n):
+            parts = [f"<p>{own(h * 1000 + i)}</p>"] + [f"<div class=c{k}>{t}</div>" for k, (t, share) in enumerate(fixed) if rng.random() < share]
+            pages.append((h * 100 + i, f"h{h}", "".join(parts)))
+    got = hosts(spark, pages)
+    for i, h, a in pages:
+        mates = [b for _, g, b in pages if g == h]
+        blocks = [x.split(">")[1].split("<")[0] for x in a.replace("<p>", "<div p>").replace("</p>", "</div>").split("</div>") if x]
+        often = lambda t: sum(f">{t}<" in b for b in mates) >= 0.8 * len(mates) and len(mates) >= 3  # noqa: E731, B023
+        assert got[i] == " ".join(t for t in blocks if not often(t)), (i, blocks)
+
+
 def test_media_round_trip(spark, odd_docs):
     got = media.media_columns(odd_docs).collect()
     assert len(got) == odd_docs.count()
