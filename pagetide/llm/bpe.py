@@ -287,7 +287,7 @@ def write_lists(rare: DataFrame, encoded: DataFrame) -> str:
     """
     path = new_path(rare.sparkSession, "bpe-lists")
     found = rare.join(encoded.select("word", "ids").hint("merge"), "word").withColumn("folder", F.floor(F.col("part") / FOLDER_PARTS))
-    lists = found.repartition("folder").groupBy("folder", "part", "slice").agg(F.first("seal").alias("seal"), F.collect_list(F.struct("word", "ids")).alias("rare"))
+    lists = found.repartition("folder", "part").groupBy("folder", "part", "slice").agg(F.first("seal").alias("seal"), F.collect_list(F.struct("word", "ids")).alias("rare"))
     lists.sortWithinPartitions("folder", "part", "slice").write.option("parquet.block.size", GROUP_BYTES).partitionBy("folder").parquet(path)
     return path
 
