@@ -1,18 +1,20 @@
-"""RSS and Atom feeds as tables and as stable text: one pass over an array of XML tokens, all inside Catalyst; a feed with a document type or an entity is refused first."""
+"""RSS and Atom feeds as tables and as stable text: entries are split off and spread, then each is scanned once; a feed with a document type or an entity is refused first."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import urls
-from pagetide.functions.html import TAG, decode_references, raw_lines
+from pagetide.functions.html import decode_references
+from pagetide.functions.scan import digest, feed_part
+from pagetide.functions.scan import identity_token as _token
 from pagetide.functions.text import has_doctype, normalize_whitespace, sha256, strip
 
-# Elements that hold HTML, elements whose attributes lead elsewhere, and those attributes.
-EMBEDDED = ("content", "description", "encoded", "summary")
-LEADING = ("a", "enclosure", "link")
-DESTINATIONS = ("href", "url")
+# Where an entry begins and ends, and how a feed begins.
 ENTRY = r"(?s)<(?:[\w.-]+:)?(?:item|entry)(?:\s[^>]*)?(?<!/)>.*?</(?:[\w.-]+:)?(?:item|entry)\s*>"
 FEED = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*+<(?:[\w.-]+:)?(?:rss|feed|RDF)\b"
 
@@ -30,76 +32,35 @@ def _attribute(token: Column, name: str) -> Column:
     return F.nullif(strip(F.concat(F.regexp_extract(token, value, 1), F.regexp_extract(token, value, 2))), F.lit(""))
 
 
-def _tokens(xml: Column, base: Column) -> Column:
-    """Array of (kind, tag, value, base, rel, href, url, led): start, end, both and text tokens; a text has the tag that it directly follows.
+@lru_cache
+def _scanner():
+    """The scan of (piece, base, url) batches as a function of columns, kept in one place like the one of pages."""
 
-    The base of a token is its own xml:base, if any, against the given one.
-    """
-    pieces = F.regexp_extract_all(xml, F.lit(rf"(?s)({TAG}|[^<]++|<)"), 1)
+    @F.arrow_udf("struct<identity:string,key:string,title:string,links:array<string>,text:string>")
+    def scan_parts(xml: pa.Array, base: pa.Array, url: pa.Array) -> pa.Array:
+        rows = []
+        for piece, inner, outer in zip(xml.to_pylist(), base.to_pylist(), url.to_pylist(), strict=True):
+            text, known, title, links = feed_part(piece or "", inner or "", outer or "")
+            identity = next((known[k] for k in ("guid", "id", "link") if k in known), None)
+            rows.append((identity, digest(text if identity is None else identity), title, links, text))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["identity", "key", "title", "links", "text"])
 
-    def one(t: Column) -> Column:
-        kind = F.when(t.rlike(r"^</"), "end").when(t.rlike(r"(?s)^<[A-Za-z_].*/>$"), "both").when(t.rlike(r"^<[A-Za-z_]"), "start").otherwise("text")
-        tag = F.nullif(F.regexp_extract(t, r"^</?(?:[\w.-]+:)?([\w.-]+)", 1), F.lit(""))
-        led = tag.isin(*LEADING) & (kind != "end")
-        values = F.array(F.when(kind == "text", t), *[F.when(led, _attribute(t, n)) for n in ("base", "rel", *DESTINATIONS)])
-        return F.struct(kind.alias("kind"), tag.alias("tag"), F.transform(values, decode_references).alias("v"))
+    return scan_parts.asNondeterministic()
 
-    def owned(a: Column) -> Column:
-        def with_owner(s: Column, i: Column) -> Column:
-            before, is_text = F.get(a, i - 1), s["kind"] == "text"
-            tag = F.when(~is_text, s["tag"]).when((i > 0) & (before["kind"] == "start"), before["tag"])
-            own = F.get(F.when(is_text & (i > 0), before["v"]).otherwise(s["v"]), F.lit(1))
-            led = F.coalesce(is_text & (i > 0) & F.coalesce(F.get(before["v"], F.lit(3)), F.get(before["v"], F.lit(4))).isNotNull(), F.lit(False))
-            at = lambda k: F.get(s["v"], F.lit(k))
-            return F.struct(s["kind"].alias("kind"), tag.alias("tag"), at(0).alias("value"), F.when(own.isNull(), base).otherwise(urls.resolve(base, own)).alias("base"), at(2).alias("rel"), at(3).alias("href"), at(4).alias("url"), led.alias("led"))
 
-        return F.transform(a, with_owner)
+@lru_cache
+def _tokens():
+    @F.arrow_udf("string")
+    def tokens(field: pa.Array, value: pa.Array, url: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _token(f, v, u or "") for f, v, u in zip(field.to_pylist(), value.to_pylist(), url.to_pylist(), strict=True)], pa.string())
 
-    return urls.let(F.transform(pieces, one), owned)
+    return tokens
 
 
 def identity_token(field: str | Column, value: Column, base: Column | None = None) -> Column:
-    """An identity kept as it is, or only its hash, resolved against the base, if it has the form of a URI."""
-    full = F.when(value.rlike(r"^(?:(?i:https?):|//)"), urls.resolve(base, value)).otherwise(value) if base is not None else value
-    name = field if isinstance(field, Column) else F.lit(field)
-    return F.when(value.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"), F.concat(F.lit("["), name, F.lit(":sha256:"), sha256(full), F.lit("]"))).otherwise(value)
-
-
-def _destination(tag: Column, name: str, base: Column, value: Column) -> Column:
-    return F.concat(F.lit("["), tag, F.lit(f":{name}:sha256:"), sha256(urls.resolve(base, value)), F.lit("]\n"))
-
-
-def _rendered(tokens: Column) -> Column:
-    """Text of tokens: every element between marker lines, destinations and URI identities hashed, HTML in fields as lines."""
-
-    def one(s: Column) -> Column:
-        tag = s["tag"]
-        opened = F.concat(F.lit("\n["), tag, F.lit(":start]\n"), *[F.when(s[n].isNotNull(), _destination(tag, n, s["base"], s[n])).otherwise("") for n in DESTINATIONS])
-        closed = F.concat(F.lit("\n["), tag, F.lit(":end]\n"))
-
-        def said(value: Column) -> Column:
-            bare = strip(value)
-            return (
-                F.when(tag.isin("guid", "id"), identity_token(tag, bare, s["base"]))
-                .when((tag == "link") & ~s["led"], F.when(bare != "", _destination(tag, "href", s["base"], bare)).otherwise(""))
-                .when(tag.isin(*EMBEDDED) & value.rlike(r"(?s)<[A-Za-z/!].*>"), raw_lines(value, s["base"]))
-                .otherwise(value)
-            )
-
-        return F.when(s["kind"] == "start", opened).when(s["kind"] == "end", closed).when(s["kind"] == "both", F.concat(opened, closed)).otherwise(said(s["value"]))
-
-    return F.array_join(F.transform(tokens, one), "")
-
-
-def _entry(tokens: Column) -> Column:
-    """(identity, key, title, links, text) of an entry's tokens."""
-    said = lambda *tags: strip(F.get(F.filter(tokens, lambda s: (s["kind"] == "text") & s["tag"].isin(*tags) & (strip(s["value"]) != "")), F.lit(0))["value"])
-    opens = lambda s: s["kind"].isin("start", "both") & s["href"].isNotNull()
-    leads = F.filter(tokens, lambda s: (opens(s) & ((s["tag"] == "a") | ((s["tag"] == "link") & (F.coalesce(s["rel"], F.lit("alternate")) == "alternate")))) | ((s["kind"] == "text") & (s["tag"] == "link") & ~s["led"] & (strip(s["value"]) != "")))
-    raw = lambda s: F.coalesce(s["href"], strip(s["value"]))
-    own = F.get(F.filter(leads, lambda s: s["tag"] == "link"), F.lit(0))
-    known = F.struct(F.coalesce(said("guid"), said("id"), raw(own)).alias("identity"), said("title").alias("title"), F.transform(leads, lambda s: urls.resolve(s["base"], raw(s))).alias("links"), _rendered(tokens).alias("text"))
-    return urls.let(known, lambda k: F.struct(k["identity"].alias("identity"), sha256(F.coalesce(k["identity"], k["text"])).alias("key"), k["title"].alias("title"), k["links"].alias("links"), k["text"].alias("text")))
+    """An identity kept as it is, or only its hash, resolved against the feed's URL, if it has the form of a URI."""
+    return _tokens()(field if isinstance(field, Column) else F.lit(field), value, F.lit("") if base is None else base)
 
 
 def _bases(xml: Column, base: Column) -> Column:
@@ -118,11 +79,11 @@ def parsed(feeds: DataFrame, key: str, column: str = "xml", base: Column | None
     part = lambda nth, entry, raw: F.struct(nth.alias("nth"), F.lit(entry).alias("is_entry"), raw.alias("raw"))
     own = F.transform(F.regexp_extract_all("x", F.lit(ENTRY), 0), lambda e, i: part(i, True, e))
     parts = F.concat(F.array(part(F.lit(-1), False, F.get(around, F.lit(0)))), own, F.array(part(F.lit(1 << 30), False, tail)))
-    rows = ok.select(key, _bases(F.col("x"), F.col("outer")).alias("feed_base"), parts.alias("parts")).select(key, "feed_base", F.explode("parts").alias("p"))
-    opening = F.regexp_extract("p.raw", r"^\s*<[^>]*>", 0)
-    inner = F.when(F.col("p.is_entry") & opening.contains("base"), _attribute(opening, "base"))
-    at = F.when(inner.isNull(), F.col("feed_base")).otherwise(urls.resolve(F.col("feed_base"), inner))
-    return rows.select(key, "p.nth", "p.is_entry", urls.let(_tokens(F.col("p.raw"), at), _entry).alias("e")).select(key, "nth", "is_entry", "e.identity", F.col("e.key").alias("entry_key"), "e.title", "e.links", "e.text")
+    rows = ok.select(key, "outer", _bases(F.col("x"), F.col("outer")).alias("feed_base"), parts.alias("parts")).select(key, "outer", "feed_base", F.explode("parts").alias("p"))
+    # A feed is one row, and few feeds may hold many entries: from here on each entry is a row of its own, wherever its feed was.
+    spread = rows.repartition(key, F.col("p.nth"))
+    scanned = spread.select(key, "p.nth", "p.is_entry", _scanner()(F.col("p.raw"), F.col("feed_base"), F.col("outer")).alias("e"))
+    return scanned.select(key, "nth", "is_entry", "e.identity", F.col("e.key").alias("entry_key"), "e.title", "e.links", "e.text")
 
 
 def feed_entries(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:

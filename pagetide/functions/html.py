@@ -1,28 +1,22 @@
-"""HTML pages as stable lines and hashed link identities: one pass over an array of tokens, all inside Catalyst."""
+"""HTML pages as stable lines and hashed link identities: one scan a page, in Arrow batches; what is done with its result is built-in."""
 
 from __future__ import annotations
 
+from functools import lru_cache
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagetide.functions import urls
-from pagetide.functions.text import normalize_whitespace, sha256
-
-# Subtrees without text, tags that end a line, and attributes that lead elsewhere.
-SKIP_TAGS = ("script", "style", "noscript", "template")
-BLOCK_TAGS = (
-    "address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
-)
-DESTINATIONS = {"a": "href", "area": "href", "button": "formaction", "form": "action", "input": "formaction"}
-MAX_DESTINATIONS = 500
+from pagetide.functions.scan import BLOCK_TAGS, MAX_DESTINATIONS, SKIP_TAGS, page_text
+from pagetide.functions.text import normalize_whitespace
+
+__all__ = ["BLOCK_TAGS", "MAX_DESTINATIONS", "SKIP_TAGS", "comparison_view", "decode_references", "link_markers", "links", "markers_trail", "scanned", "to_lines", "without_markers"]
 #: Names that also count without a semicolon, by the standard's table.
 OPEN_NAMES = tuple(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
-#: A tag: attribute values may hold any character, what lies outside of them neither < nor >. Possessive, so that no text makes the matcher recurse or go back.
-TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
-TOKEN = rf"({TAG}|[^<]++|<)"
+_LINK = "struct<tag:string,attr:string,destination:string,identity:string>"
 
 
 def decode_references(c: Column) -> Column:
@@ -53,81 +47,39 @@ def decode_references(c: Column) -> Column:
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
-def tokens(html: Column) -> Column:
-    """Tags and texts in order, comments and skipped subtrees left out."""
-    h = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    for tag in SKIP_TAGS:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "")
-    return F.regexp_extract_all(h, F.lit(TOKEN), 1)
-
-
-def _attribute(token: Column, name: str) -> Column:
-    value = rf"(?i)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    return F.nullif(F.concat(*[F.regexp_extract(token, value, i) for i in (1, 2, 3)]), F.lit(""))
-
-
-def marked_tokens(html: Column, url: Column) -> Column:
-    """Array of (token, tag, attr, destination): tokens in order; attr and destination only where a start tag leads somewhere.
-
-    Each step is a transform over the structs of the one before, so that nothing is computed twice.
-    """
-    tagged = F.transform(tokens(html), lambda t: F.struct(t.alias("token"), F.when(t.rlike(r"^<[A-Za-z]"), F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9:-]*)", 1))).alias("tag")))
+@lru_cache
+def _scanner():
+    """The scan of (html, url) batches as a function of columns. Marked as not deterministic so that the optimizer keeps it in one place: a filter on its result must not run it again."""
 
-    def value(s: Column) -> Column:
-        tag, token = s["tag"], s["token"]
-        attr, raw = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name in dict.fromkeys(DESTINATIONS.values()):
-            here = tag.isin(*[t for t, a in DESTINATIONS.items() if a == name])
-            attr, raw = F.when(here, name).otherwise(attr), F.when(here, _attribute(token, name)).otherwise(raw)
-        return F.struct(token.alias("token"), tag.alias("tag"), attr.alias("attr"), raw.alias("raw"))
+    @F.arrow_udf(f"struct<text:string,links:array<{_LINK}>>")
+    def scan_pages(html: pa.Array, url: pa.Array) -> pa.Array:
+        texts, sizes, found = [], [0], []
+        for page, address in zip(html.to_pylist(), url.to_pylist(), strict=True):
+            text, links = (None, []) if page is None else page_text(page, address or "")
+            texts.append(text)
+            found += links
+            sizes.append(len(found))
+        names = ("tag", "attr", "destination", "identity")
+        flat = pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(4)], names)
+        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists], ["text", "links"])
 
-    base = urls.base_parts(base_url(html, url))
-    found = F.transform(tagged, value)
-    resolved = lambda b: F.transform(found, lambda s: F.struct(s["token"].alias("token"), s["tag"].alias("tag"), s["attr"].alias("attr"), F.when(s["raw"].isNotNull(), urls.resolve_parts(b, decode_references(s["raw"]))).alias("destination")))
-    return urls.let(base, resolved)
+    return scan_pages.asNondeterministic()
 
 
-def base_url(html: Column, url: Column) -> Column:
-    """What references resolve against: the first <base href>, else the page's URL."""
-    href = F.regexp_extract(html, r"(?is)<base\b[^>]*?\shref\s*=\s*[\"']([^\"']+)[\"']", 1)
-    return F.when(~html.rlike(r"(?i)<base\b") | (href == ""), url).otherwise(urls.resolve(url, href))
+def scanned(html: Column, url: Column) -> Column:
+    """(text, links) of a page in one scan: text before blanks are put in order; links (tag, attr, destination, identity) in page order."""
+    return _scanner()(html, url)
 
 
 def links(html: Column, url: Column) -> Column:
     """Array of (tag, attr, destination, identity) in page order; identity is the hash of the resolved URL with its fragment."""
-    found = F.filter(marked_tokens(html, url), lambda s: s["destination"].isNotNull())
-    return F.transform(found, lambda s: F.struct(s["tag"].alias("tag"), s["attr"].alias("attr"), s["destination"].alias("destination"), sha256(s["destination"]).alias("identity")))
+    return scanned(html, url)["links"]
 
 
 def to_lines(html: Column, url: Column) -> Column:
     """The page's text as lines, with a hashed marker line for each destination; those past the limit in one closing marker."""
-    return normalize_whitespace(raw_lines(html, url))
-
-
-def raw_lines(html: Column, url: Column) -> Column:
-    """to_lines() before blanks are put in order."""
-    breaks = r"(?i)^(?:<br\b|</?(?:" + "|".join(BLOCK_TAGS) + r")\b)"
-
-    def piece(s: Column) -> Column:
-        t = s["token"]
-        line = F.when(t.rlike(breaks), "\n").otherwise("")
-        mark = F.concat(line, F.lit("\n["), s["tag"], F.lit(":"), s["attr"], F.lit(":sha256:"), sha256(s["destination"]), F.lit("]\n"))
-        return F.struct(s["destination"].isNotNull().alias("link"), F.when(t.rlike(r"^<[/A-Za-z!?]"), F.coalesce(mark, line)).otherwise(decode_references(t)).alias("out"))
-
-    def join(a: Column) -> Column:
-        places = F.filter(F.transform(a, lambda s, i: F.when(s["link"], i)), lambda i: i.isNotNull())
-        return F.struct(a.alias("a"), places.alias("places"))
-
-    def close(x: Column) -> Column:
-        a, places = x["a"], x["places"]
-        cut = F.get(places, F.lit(MAX_DESTINATIONS - 1))
-        kept = F.filter(a, lambda s, i: ~s["link"] | (i <= cut))
-        rest = F.transform(F.filter(a, lambda s, i: s["link"] & (i > cut)), lambda s: F.concat(F.regexp_replace(s["out"], r"[\n\[\]]|sha256:", ""), F.lit("\n")))
-        text = lambda b: F.array_join(F.transform(b, lambda s: s["out"]), "")
-        many = F.concat(text(kept), F.lit("\n[omitted-destinations:"), (F.size(places) - MAX_DESTINATIONS).cast("string"), F.lit(":sha256:"), F.sha2(F.array_join(rest, ""), 256), F.lit("]\n"))
-        return F.when(F.size(places) > MAX_DESTINATIONS, many).otherwise(text(a))
-
-    return urls.let(join(F.transform(marked_tokens(html, url), piece)), close)
+    return normalize_whitespace(scanned(html, url)["text"])
 
 
 def link_markers(text: Column) -> Column:
