@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import urls
-from pagetide.functions.html import decode_references
 from pagetide.functions.scan import digest, feed_part
 from pagetide.functions.scan import identity_token as _token
 from pagetide.functions.text import has_doctype, normalize_whitespace, sha256, strip
@@ -36,15 +35,15 @@ def _attribute(token: Column, name: str) -> Column:
 def _scanner():
     """The scan of (piece, base, url) batches as a function of columns, kept in one place like the one of pages."""
 
-    @F.arrow_udf("struct<identity:string,key:string,title:string,links:array<string>,text:string>")
+    @F.arrow_udf("struct<identity:string,key:string,title:string,link:string,links:array<string>,text:string>")
     def scan_parts(xml: pa.Array, base: pa.Array, url: pa.Array) -> pa.Array:
         rows = []
         for piece, inner, outer in zip(xml.to_pylist(), base.to_pylist(), url.to_pylist(), strict=True):
-            text, known, title, links = feed_part(piece or "", inner or "", outer or "")
+            text, known, title, link, links = feed_part(piece or "", inner or "", outer or "")
             identity = next((known[k] for k in ("guid", "id", "link") if k in known), None)
-            rows.append((identity, digest(text if identity is None else identity), title, links, text))
-        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["identity", "key", "title", "links", "text"])
+            rows.append((identity, digest(text if identity is None else identity), title, link, links, text))
+        kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["identity", "key", "title", "link", "links", "text"])
 
     return scan_parts.asNondeterministic()
 
@@ -71,7 +70,7 @@ def _bases(xml: Column, base: Column) -> Column:
 
 
 def parsed(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
-    """(key, nth, is_entry, identity, entry_key, title, links, text): a row for each entry, by number, and for what stands before and behind all of them; feeds that are refused, or are none, have no row."""
+    """(key, nth, is_entry, identity, entry_key, title, link, links, text): a row for each entry, by number, and for what stands before and behind all of them; feeds that are refused, or are none, have no row."""
     base = F.lit("") if base is None else base
     ok = feeds.where(~has_doctype(F.col(column)) & F.col(column).rlike(FEED)).select(key, _plain_xml(F.col(column)).alias("x"), base.alias("outer"))
     around = F.split("x", ENTRY, -1)
@@ -83,17 +82,17 @@ def parsed(feeds: DataFrame, key: str, column: str = "xml", base: Column | None
     # A feed is one row, and few feeds may hold many entries: from here on each entry is a row of its own, wherever its feed was.
     spread = rows.repartition(key, F.col("p.nth"))
     scanned = spread.select(key, "p.nth", "p.is_entry", _scanner()(F.col("p.raw"), F.col("feed_base"), F.col("outer")).alias("e"))
-    return scanned.select(key, "nth", "is_entry", "e.identity", F.col("e.key").alias("entry_key"), "e.title", "e.links", "e.text")
+    return scanned.select(key, "nth", "is_entry", "e.identity", F.col("e.key").alias("entry_key"), "e.title", "e.link", "e.links", "e.text")
 
 
 def feed_entries(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
     """(key, pos, entry_key, identity, title, link) of every entry; link: the first alternate one, against xml:base and the feed's URL."""
     rows = parsed(feeds, key, column, base).where("is_entry")
-    return rows.select(key, F.col("nth").alias("pos"), "entry_key", "identity", "title", F.get("links", F.lit(0)).alias("link"))
+    return rows.select(key, F.col("nth").alias("pos"), "entry_key", "identity", "title", "link")
 
 
 def feed_links(feeds: DataFrame, key: str, column: str = "xml", base: Column | None = None) -> DataFrame:
-    """(key, pos, nth, link, identity): where entries lead: alternate links, text links and `a` elements; enclosures are hashed in the text, but not followed."""
+    """(key, pos, nth, link, identity): where entries lead: alternate links, text links, `a` elements and links of HTML in fields; enclosures are hashed in the text, but not followed."""
     rows = parsed(feeds, key, column, base).where("is_entry")
     each = rows.select(key, F.col("nth").alias("pos"), F.posexplode("links").alias("nth", "link"))
     return each.select(key, "pos", "nth", "link", sha256(F.col("link")).alias("identity"))

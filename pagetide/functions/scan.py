@@ -92,9 +92,10 @@ def markup(page: str, xml: bool = False) -> Iterator[tuple[str, str, dict[str, s
                 end = page.find(">", m.end())
                 at = n if end < 0 else end + 1
             continue
-        name = m[2].rpartition(":")[2].lower() if xml else m[2].lower()
+        name = m[2].rpartition(":")[2] if xml else m[2].lower()
         found, itself, at = _attributes(page, m.end(), last)
-        if at < 0:
+        if at < 0:  # a tag that never ends is no tag, and nothing behind it is lost
+            yield "text", unescape(page[lt:]), {}
             return
         if m[1]:
             yield "end", name, {}
@@ -185,8 +186,9 @@ class Element:
         self.said: list[str] = []
 
 
-def feed_part(xml: str, base: str, url: str) -> tuple[str, dict[str, str], str | None, list[str]]:
-    """(text, identities, title, links) of a piece of a feed: an entry, or what stands around them.
+def feed_part(xml: str, base: str, url: str) -> tuple[str, dict[str, str], str | None, str | None, list[str]]:
+    """(text, identities, title, link, links) of a piece of a feed: an entry, or what stands around them. link: the first alternate one, or
+    else the first of all; links: alternate ones, `a` elements and those of HTML in fields.
 
     A stack of open elements carries the base of each, so that an inner xml:base counts for all that it encloses. Each element's
     text stands between marker lines, destinations and identities that are URIs only as hashes, HTML in fields as its own text.
@@ -195,7 +197,7 @@ def feed_part(xml: str, base: str, url: str) -> tuple[str, dict[str, str], str |
     stack: list[Element] = []
     heard: list[Element] = []  # the open ones whose text is asked for
     identities: dict[str, str] = {}
-    title, links = None, []
+    title, alternate, links = None, None, []
 
     def flush() -> None:
         if stack and stack[-1].html:
@@ -204,11 +206,11 @@ def feed_part(xml: str, base: str, url: str) -> tuple[str, dict[str, str], str |
             tag = re.search(r"</?[A-Za-z]", value)
             if tag and ">" in value[tag.end() :]:
                 value, inner = page_text(value, stack[-1].base)
-                links.extend(d for t, _, d, _ in inner if t in ("a", "area"))
+                links.extend(destination for tag, _, destination, _ in inner[:MAX_DESTINATIONS] if tag in ("a", "area"))
             out.append(value)
 
     def close(name: str) -> None:
-        nonlocal title
+        nonlocal title, alternate
         flush()
         if stack and (stack[-1].name == name or any(e.name == name for e in stack)):
             while True:
@@ -220,6 +222,7 @@ def feed_part(xml: str, base: str, url: str) -> tuple[str, dict[str, str], str |
                     destination = absolute(e.base, value)
                     out.append(f"[link:href:sha256:{digest(destination)}]\n")
                     links.append(destination)
+                    alternate = alternate or destination
                 if e.name in IDENTITIES:
                     value = next((v.strip() for k, v in e.leads if k == "href"), value) if e.name == "link" else value
                     if value and (e.name != "link" or e.alternate):
@@ -255,7 +258,8 @@ def feed_part(xml: str, base: str, url: str) -> tuple[str, dict[str, str], str |
                 out.append(f"[{name}:{attribute}:sha256:{digest(destination)}]\n")
                 if name == "a" or (name == "link" and e.alternate):
                     links.append(destination)
+                    alternate = alternate or (destination if name == "link" else None)
         if kind == "both":
             close(name)
     flush()
-    return "".join(out), identities, title, links
+    return "".join(out), identities, title, alternate or (links[0] if links else None), links

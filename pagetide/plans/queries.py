@@ -639,7 +639,7 @@ def feed_entries(spark, d):
     return FD.feed_entries(V.feeds(spark, d), "feed")
 
 
-@query(f"SELECT feed, {_POS} AS pos, 0 AS nth, link, sha256(link) AS identity FROM fi")
+@query(f"SELECT feed, pos, nth, l AS link, sha256(l) AS identity FROM (SELECT feed, pos, n AS nth, CASE n WHEN 0 THEN link ELSE 'https://example.com/more/' || doc_id END AS l FROM (SELECT *, {_POS} AS pos FROM fi), (VALUES (0), (1)) v(n))")
 def feed_links(spark, d):
     return FD.feed_links(V.feeds(spark, d), "feed")
 

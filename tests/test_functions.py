@@ -135,4 +135,33 @@ def test_feeds(spark):
 def test_feed_bases_and_links(spark):
     rss = """<feed xml:base="https://b.example/x/"><entry xml:base="y/"><id>1</id><link href="p"/><link rel="enclosure" href="q"/><content type="html"><![CDATA[<a href="/z">k</a>]]></content><a href="r">t</a></entry></feed>"""
     rows = spark.createDataFrame([("f", rss)], "feed string, xml string")
-    assert [(r["nth"], r["link"]) for r in feeds.feed_links(rows, "feed").orderBy("nth").collect()] == [(0, "https://b.example/x/y/p"), (1, "https://b.example/x/y/r")]
+    assert [(r["nth"], r["link"]) for r in feeds.feed_links(rows, "feed").orderBy("nth").collect()] == [(0, "https://b.example/x/y/p"), (1, "https://b.example/z"), (2, "https://b.example/x/y/r")]
+
+
+def test_feed_bases_are_inherited_by_depth(spark):
+    rss = """<rss><channel><item xml:base="https://a.example/i/"><content xml:base="https://b.example/c/"><a href="x">t</a><div xml:base="d/"><a href="y">t</a></div></content><a href="z">t</a></item></channel></rss>"""
+    rows = spark.createDataFrame([("f", rss)], "feed string, xml string")
+    assert [r["link"] for r in feeds.feed_links(rows, "feed").orderBy("nth").collect()] == ["https://b.example/c/x", "https://b.example/c/d/y", "https://a.example/i/z"]
+    # The entry's own link is its alternate one, wherever HTML in a field stands.
+    early = """<feed><entry><id>1</id><content><![CDATA[<a href="https://in.example/">k</a>]]></content><link href="https://own.example/"/></entry></feed>"""
+    (got,) = feeds.feed_entries(spark.createDataFrame([("f", early)], "feed string, xml string"), "feed").collect()
+    assert got["link"] == "https://own.example/"
+
+
+def test_markup_is_read_from_left_to_right(spark):
+    """Comments begin outside of raw text only, a > in quotes ends no tag, an attribute's text is no attribute, the last of equal names counts."""
+    pages = {
+        '<p>A</p><script>var s="<!--";</script><p>B</p>': ("A\nB\n", []),
+        '<p>A</p><style>a<b</style><p>B</p>': ("A\nB\n", []),
+        '<textarea><p>x</textarea><title>t &amp; <b></title>': ("<p>xt & <b>\n", []),
+        '<a title="x > y" href="/z">k</a>': (None, ["https://h.example/z"]),
+        "<a data-x=\" href='/evil'\" href=\"/good\">k</a>": (None, ["https://h.example/good"]),
+        "<a href='/one' HREF=/two>k</a>": (None, ["https://h.example/two"]),
+        "<!-- > <a href='/no'> --><a href=/yes>k</a><!--><a href=/too>k</a>": (None, ["https://h.example/yes", "https://h.example/too"]),
+        "<p>A</p><a href='/open": ("A\n<a href='/open\n", []),
+    }
+    rows = spark.createDataFrame([(k, "https://h.example/p", page) for k, page in enumerate(pages)], "k int, url string, html string")
+    got = rows.select("k", H.to_lines(F.col("html"), F.col("url")).alias("t"), H.links(F.col("html"), F.col("url")).alias("l")).orderBy("k").collect()
+    for row, (text, links) in zip(got, pages.values(), strict=True):
+        assert [x["destination"] for x in row["l"]] == links
+        assert text is None or row["t"] == text
