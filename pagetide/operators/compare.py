@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
 from pagetide.functions.text import line_count, lines, utf8_prefix
+from pagetide.operators import diffs
 
 MAX_DIFF_LINES = 200
 MAX_DIFF_BYTES = 65_536
@@ -87,20 +85,34 @@ def revision_history(texts: DataFrame, key: str, order: str) -> DataFrame:
     return seen.select(key, order, status.alias("status"), "sha256")
 
 
-def unified_diff(current: DataFrame, previous: DataFrame, key: str, most_lines: int = MAX_DIFF_LINES, most_bytes: int = MAX_DIFF_BYTES) -> DataFrame:
-    """(key, diff, truncated): unified diff with three lines of context, for rows whose texts differ."""
-    pair = differing(current, previous, key).withColumnRenamed("new_text", "text")
-    costly = line_count(F.col("text")) * line_count(F.col("old_text")) > MAX_DIFF_PAIRS
+def _diff(pair: DataFrame, key: str, most_lines: int, most_bytes: int, most_pairs: int | None) -> DataFrame:
+    """(key, diff, truncated) of pair(key, new_text, old_text)."""
+    costly = F.lit(False) if most_pairs is None else line_count(F.col("new_text")).cast("long") * line_count(F.col("old_text")) > most_pairs
+    notice = F.array_join(F.slice(F.array(F.lit("--- previous"), F.lit("+++ current"), F.lit("@@ diff omitted: complexity limit exceeded @@")), 1, most_lines), "\n")
+    heads, rows = diffs.hunks(diffs.edit_script(pair.where(~costly), key), key)
+    cut = utf8_prefix(F.col("text"), most_bytes)
+    shown = diffs.rendered(heads, rows, key, most_lines).select(key, cut.alias("diff"), ((F.col("n_lines") > most_lines) | (cut != F.col("text"))).alias("truncated"))
+    return shown if most_pairs is None else shown.union(pair.where(costly).select(key, utf8_prefix(notice, most_bytes), F.lit(True)))
+
 
-    @F.pandas_udf("string")
-    def diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import difflib
+def unified_diff(current: DataFrame, previous: DataFrame, key: str, most_lines: int = MAX_DIFF_LINES, most_bytes: int = MAX_DIFF_BYTES, most_pairs: int | None = MAX_DIFF_PAIRS) -> DataFrame:
+    """(key, diff, truncated): unified diff with three lines of context, for rows whose texts differ, within both bounds.
 
-        for new, old in batches:
-            yield pd.Series(["\n".join(difflib.unified_diff(o.splitlines(), n.splitlines(), "previous", "current", lineterm="")) for n, o in zip(new, old, strict=True)])
+    Texts of more than `most_pairs` pairs of lines have a notice in place of a diff; with None every pair is compared, long ones in
+    gaps between anchors (`diffs.edit_script`).
+    """
+    return _diff(differing(current, previous, key), key, most_lines, most_bytes, most_pairs)
 
-    omitted = F.lit("--- previous\n+++ current\n@@ diff omitted: complexity limit exceeded @@")
-    full = pair.select(key, costly.alias("costly"), F.when(costly, F.lit("")).otherwise(F.col("text")).alias("n"), F.when(costly, F.lit("")).otherwise(F.col("old_text")).alias("o"))
-    full = full.select(key, "costly", F.when(F.col("costly"), omitted).otherwise(diff("n", "o")).alias("full"))
-    cut = utf8_prefix(F.array_join(F.slice(F.split("full", "\n", -1), 1, most_lines), "\n"), most_bytes)
-    return full.select(key, cut.alias("diff"), (F.col("costly") | (cut != F.col("full"))).alias("truncated"))
+
+def change_record(current: DataFrame, previous: DataFrame, key: str, most_lines: int = MAX_DIFF_LINES, most_bytes: int = MAX_DIFF_BYTES) -> DataFrame:
+    """change_status with (diff, diff_truncated): empty and false unless the text has changed. Where link markers count as a set, the diff is one of the texts' comparison views."""
+    status = change_status(current, previous, key)
+    changed = status.where("status = 'changed'").select(key)
+    new, old = F.col("new_text"), F.col("old_text")
+    trail = H.markers_trail(new), H.markers_trail(old)
+    words = lambda t: F.filter(F.split(H.without_markers(t), r"\s+"), lambda w: w != "")
+    as_set = (trail[0] & trail[1]) | ((trail[0] != trail[1]) & (F.size(H.link_markers(new)) > 0) & (H.link_markers(new) == H.link_markers(old)) & (words(new) == words(old)))
+    view = lambda t: F.when(as_set, H.comparison_view(t)).otherwise(t)
+    pair = differing(current, previous, key).join(changed, key, "left_semi").select(key, view(new).alias("new_text"), view(old).alias("old_text"))
+    diff = _diff(pair, key, most_lines, most_bytes, MAX_DIFF_PAIRS).withColumnRenamed("truncated", "diff_truncated")
+    return status.join(diff, key, "left").withColumns({"diff": F.coalesce("diff", F.lit("")), "diff_truncated": F.coalesce("diff_truncated", F.lit(False))})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagetide.functions import feeds as FD
 from pagetide.functions import text as X
 from pagetide.functions import urls
-from pagetide.operators import addresses, checkpoint, compare, evidence, links, reports, reviews, status, targets
+from pagetide.operators import addresses, checkpoint, compare, diffs, evidence, links, reports, reviews, status, targets
 from pagetide.plans import views as V
 from pagetide.sources import stores, tables
 from pagetide.streaming import observations as ST
@@ -148,7 +148,10 @@ def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
     return V.kept(V.texts(V.pages(spark, d)), "texts"), V.kept(V.texts(V.previous_pages(spark, d)), "texts")
 
 
-@query("SELECT page_id, CASE WHEN pt.text IS NULL THEN 'baseline' WHEN pt.text = ct.text THEN 'unchanged' ELSE 'changed' END AS status, sha256(ct.text) AS sha256, coalesce(sha256(pt.text), '') AS previous_sha256 FROM ct LEFT JOIN pt USING (page_id)")
+_STATUS = "SELECT page_id, CASE WHEN pt.text IS NULL THEN 'baseline' WHEN pt.text = ct.text THEN 'unchanged' ELSE 'changed' END AS status, sha256(ct.text) AS sha256, coalesce(sha256(pt.text), '') AS previous_sha256 FROM ct LEFT JOIN pt USING (page_id)"
+
+
+@query(_STATUS)
 def change_status(spark, d):
     return compare.change_status(*_versions(spark, d), "page_id")
 
@@ -239,11 +242,35 @@ def link_reviews(spark, d):
     return got.select("root", F.size("documents").alias("n_documents"), "omitted", "incomplete")
 
 
-@query()
+# The versions differ in one place, so that what is between the equal beginning and the equal end is the change.
+_SPLIT = lambda t: f"string_split(rtrim({t}, chr(10)), chr(10))"
+_SAME = lambda most, a, b: f"coalesce(list_min(list_filter(range(0, {most}), lambda i: {a} <> {b})), {most})"
+_HEAD = f"SELECT *, {_SAME('least(len(o), len(n))', 'o[i + 1]', 'n[i + 1]')} AS h FROM (SELECT ct.page_id, {_SPLIT('ct.text')} AS n, {_SPLIT('pt.text')} AS o FROM ct JOIN pt USING (page_id) WHERE ct.text <> pt.text)"
+_TAIL = f"SELECT *, {_SAME('least(len(o), len(n)) - h', 'o[len(o) - i]', 'n[len(n) - i]')} AS t FROM ({_HEAD})"
+_HUNK = f"SELECT *, greatest(h - 3, 0) AS a, len(o) - t - greatest(h - 3, 0) + least(t, 3) AS old_lines, len(n) - t - greatest(h - 3, 0) + least(t, 3) AS new_lines FROM ({_TAIL})"
+_RANGE = lambda n: f"(a + CASE WHEN {n} = 0 THEN 0 ELSE 1 END) || CASE WHEN {n} = 1 THEN '' ELSE ',' || {n} END"
+_SIGNED = lambda sign, part: f"list_transform({part}, lambda x: '{sign}' || x)"
+_DIFF = f"""SELECT page_id, array_to_string(list_concat(list_concat(['--- previous', '+++ current', '@@ -' || {_RANGE("old_lines")} || ' +' || {_RANGE("new_lines")} || ' @@'], {_SIGNED(" ", "o[a + 1:h]")}),
+    list_concat(list_concat({_SIGNED("-", "o[h + 1:len(o) - t]")}, {_SIGNED("+", "n[h + 1:len(n) - t]")}), {_SIGNED(" ", "o[len(o) - t + 1:len(o) - t + least(t, 3)]")})), chr(10)) AS diff, false AS truncated FROM ({_HUNK})"""
+
+
+@query(_DIFF)
 def unified_diff(spark, d):
     return compare.unified_diff(*_versions(spark, d), "page_id")
 
 
+@query(f"SELECT page_id, 1 AS hunk, a + CASE WHEN old_lines = 0 THEN 0 ELSE 1 END AS old_start, old_lines, a + CASE WHEN new_lines = 0 THEN 0 ELSE 1 END AS new_start, new_lines FROM ({_HUNK})")
+def diff_hunks(spark, d):
+    # Every pair is cut at its anchors, as if it were too long to be compared as a whole.
+    pair = compare.differing(*_versions(spark, d), "page_id")
+    return diffs.hunks(diffs.edit_script(pair, "page_id", most_pairs=0), "page_id")[0]
+
+
+@query(f"SELECT s.*, coalesce(x.diff, '') AS diff, false AS diff_truncated FROM ({_STATUS}) s LEFT JOIN ({_DIFF}) x USING (page_id)")
+def change_record(spark, d):
+    return compare.change_record(*_versions(spark, d), "page_id")
+
+
 # ---- targets and reviews ------------------------------------------------------------------------------------------------
 
 
