@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INLINE_BYTES = 1024
@@ -58,6 +58,57 @@ def chunks(objects: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     return made.select("sha256", "chunk", F.col("p.b").alias("bytes"), F.col("p.s").alias("chunk_sha256"), F.col("p.n").alias("next_sha256"))
 
 
+def linked_chunks(objects: DataFrame, size: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """objects(sha256, size, content) -> (heads(sha256, size, chunks, head), pieces(id, index, data, next)): contents in pieces of `size` bytes.
+
+    A piece's id is the hash of its index, data and the id behind it, so that a head vouches for its whole chain. Equal ends of
+    equal offset are one piece. Row-local: the chain of a content is folded from its end.
+    """
+    raw = F.encode("content", "UTF-8")
+    count = F.greatest(F.ceil(F.octet_length("content") / size).cast("int"), F.lit(1))
+    steps = F.reverse(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("index"), F.substring(raw, i * size + 1, F.lit(size)).alias("data"))))
+    kind = "array<struct<id:string,index:int,data:binary,next:string>>"
+
+    def link(done: Column, x: Column) -> Column:
+        behind = F.get(done, F.size(done) - 1)["id"]
+        return F.array_append(done, F.struct(piece_id(x["index"], x["data"], behind).alias("id"), x["index"].alias("index"), x["data"].alias("data"), behind.alias("next")))
+
+    made = objects.select("sha256", "size", F.aggregate(steps, F.array().cast(kind), link).alias("p"))
+    heads = made.select("sha256", "size", F.size("p").alias("chunks"), F.get("p", F.size("p") - 1)["id"].alias("head"))
+    return heads, made.select(F.explode("p").alias("p")).select("p.*").dropDuplicates(["id"])
+
+
+def piece_id(index: Column, data: Column, behind: Column) -> Column:
+    return F.sha2(F.concat_ws(":", index.cast("string"), F.coalesce(behind, F.lit("end")), F.sha2(data, 256)), 256)
+
+
+def reassembled(heads: DataFrame, pieces: DataFrame) -> DataFrame:
+    """heads(sha256, size, chunks, head), pieces(id, index, data, next) -> (sha256, content, problem).
+
+    Chains are walked by doubling: round k joins each place found so far with the piece 2^k further on, so that rounds grow with the
+    logarithm of the longest chain, as its head states it. Data joins last. problem: `missing piece`, `broken link` (a hash or an
+    index doesn't fit, which is how a cycle shows), `extra piece` behind the last, `wrong content`; content is null then.
+    """
+    longest = heads.agg(F.max("chunks")).first()[0] or 0
+    jump = pieces.select("id", F.col("next").alias("to"))
+    reached = heads.select("sha256", "chunks", F.lit(0).alias("place"), F.col("head").alias("id"))
+    step = 1
+    while step < longest:
+        ahead = reached.join(jump, "id").select("sha256", "chunks", (F.col("place") + step).alias("place"), F.col("to").alias("id")).where("place < chunks")
+        reached = reached.union(ahead.where("id IS NOT NULL"))
+        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")).where("to IS NOT NULL")
+        step *= 2
+    found = reached.join(pieces, "id", "left")
+    sound = F.col("index").isNull() | ((F.col("index") == F.col("place")) & (piece_id(F.col("index"), F.col("data"), F.col("next")) == F.col("id")))
+    part = F.struct("place", "data")
+    whole = found.groupBy("sha256").agg(
+        F.count("index").alias("n"), F.bool_and(sound).alias("sound"), F.bool_or((F.col("place") == F.col("chunks") - 1) & F.col("next").isNotNull()).alias("extra"), F.array_sort(F.collect_list(part)).alias("parts")
+    )
+    joined = heads.select("sha256", "size", "chunks").join(whole, "sha256", "left").withColumn("bytes", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"])))
+    problem = F.when(~F.col("sound"), "broken link").when(F.coalesce("n", F.lit(0)) != F.col("chunks"), "missing piece").when(F.col("extra"), "extra piece").when((F.sha2("bytes", 256) != F.col("sha256")) | (F.octet_length("bytes") != F.col("size")), "wrong content")
+    return joined.select("sha256", F.when(problem.isNull(), F.decode("bytes", "UTF-8")).alias("content"), problem.alias("problem"))
+
+
 def totals(manifest: DataFrame) -> DataFrame:
     """(generation, files, bytes, largest, within_limits)."""
     sums = manifest.groupBy("generation").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))

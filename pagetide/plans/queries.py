@@ -451,6 +451,14 @@ def run_reports(spark, d):
     return reports.run_reports(reports.upsert_sections(_sections(spark, d), fresh)).select("run_id", "sha256", "n_sections")
 
 
+@query(f"SELECT run_id, sha256(report || chr(10) || 'A note by hand.  ') AS sha256, 'none' AS problem FROM ({_REPORT})")
+def merged_reports(spark, d):
+    """Revised sections merged into stored texts that hold more than sections."""
+    stored = reports.run_reports(_sections(spark, d)).select("run_id", F.concat("report", F.lit("\nA note by hand.  ")).alias("report"))
+    fresh = _sections(spark, d).where("seq % 3 = 0").withColumn("section", F.concat("section", F.lit(" (revised)\n")))
+    return reports.merge_sections(stored, fresh).select("run_id", F.sha2("report", 256).alias("sha256"), F.coalesce("problem", F.lit("none")).alias("problem"))
+
+
 @query(f"SELECT run_id, CASE n % 3 WHEN 0 THEN 'undelivered' WHEN 1 THEN 'delivered' ELSE 'changed' END AS state FROM (SELECT run_id, substr(run_id, 5)::BIGINT AS n FROM ({_REPORT})) UNION ALL SELECT 'old-' || run_id, 'missing' FROM ({_REPORT})")
 def delivery_plan(spark, d):
     made = reports.run_reports(_sections(spark, d)).select("run_id", "sha256", (F.substring("run_id", 5, 20).cast("long") % 3).alias("n"))
@@ -594,6 +602,14 @@ def object_chunks(spark, d):
     return c.select("sha256", "chunk", "bytes", F.when(F.col("next_sha256").isNull(), "last").otherwise("linked").alias("link"), "whole")
 
 
+@query("SELECT DISTINCT sha256, sha256 AS content_sha256, 'none' AS problem FROM man WHERE g = 4")
+def chunk_restore(spark, d):
+    """Objects cut into linked pieces, stored, and put together again from their heads."""
+    objects = checkpoint.files(V.state_files(spark, d, 4)).dropDuplicates(["sha256"])
+    heads, pieces = (V.kept(x, "pieces") for x in checkpoint.linked_chunks(objects))
+    return checkpoint.reassembled(heads, pieces).select("sha256", F.sha2("content", 256).alias("content_sha256"), F.coalesce("problem", F.lit("none")).alias("problem"))
+
+
 @query("SELECT g AS generation, count(*) AS files, sum(size)::BIGINT AS bytes, max(size) AS largest, count(*) <= 2000 AND max(size) <= 67108864 AND sum(size) <= 268435456 AS within_limits FROM man GROUP BY g")
 def checkpoint_totals(spark, d):
     return checkpoint.totals(_all_manifests(spark, d))
