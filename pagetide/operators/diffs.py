@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetide.functions.text import lines
-
 CONTEXT = 3
 #: Pairs of lines up to which a pair of texts, or a gap, is compared as a whole.
 MAX_PAIRS = 4_000_000
@@ -106,6 +104,12 @@ def _compared(most_pairs: int):
     return compared
 
 
+def _lines(c: Column) -> Column:
+    """All lines, empty ones too; nothing comes behind a last line break."""
+    parts = F.split(F.coalesce(c, F.lit("")), "\n", -1)
+    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def edit_script(pair: DataFrame, key: str, most_pairs: int = MAX_PAIRS) -> DataFrame:
     """pair(key, old_text, new_text) -> (key, gap, nth, op, line) of every line of both texts, in order of (gap, nth); op: ' ', '-' or '+'.
 
@@ -113,7 +117,7 @@ def edit_script(pair: DataFrame, key: str, most_pairs: int = MAX_PAIRS) -> DataF
     once, as far as their order agrees. A gap without anchors and still beyond the limit goes and comes as a whole. Null texts count as
     empty; keys must be distinct and not null. A task holds one gap, or the places of one pair's anchors.
     """
-    old, new = lines(F.coalesce("old_text", F.lit(""))), lines(F.coalesce("new_text", F.lit("")))
+    old, new = _lines(F.col("old_text")), _lines(F.col("new_text"))
     tagged = lambda a, side: F.transform(a, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("line")))
     large = F.size(old).cast("long") * F.size(new) > most_pairs
     each = pair.select(key, large.alias("large"), F.explode(F.concat(tagged(old, 0), tagged(new, 1))).alias("e")).select(key, "large", "e.*")
