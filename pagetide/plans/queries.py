@@ -769,3 +769,20 @@ def stream_promote(spark, d):
     stream = _stream(spark, d).select("target_id", F.col("event_id").alias("seq"), "sha256")
     ST.promote_batches(stream, path).option("checkpointLocation", V.scratch(spark, "stream-promote-log")).trigger(availableNow=True).start().awaitTermination()
     return ST.read_table(spark, path, ST.SNAPSHOTS).select("target_id", "sha256")
+
+
+_CAS = """SELECT target_id, struct_pack(now := sha256(event_type), want := CASE event_id % 3 WHEN 1 THEN sha256('view') WHEN 2 THEN sha256('click') END, v := 0::BIGINT, r := 0::BIGINT, c := 0::BIGINT) AS e, event_id FROM chk WHERE action <> 'error'"""
+_CAS_STEP = """lambda a, x: CASE WHEN x.now IS NOT DISTINCT FROM a.now THEN struct_pack(now := a.now, want := a.want, v := a.v, r := a.r + 1, c := a.c)
+  WHEN x.want IS DISTINCT FROM a.now THEN struct_pack(now := a.now, want := a.want, v := a.v, r := a.r, c := a.c + 1)
+  ELSE struct_pack(now := x.now, want := a.want, v := a.v + 1, r := a.r, c := a.c) END"""
+
+
+@query(f"SELECT target_id, s.now AS sha256, s.v AS version, s.r AS repeats, s.c AS conflicts FROM (SELECT target_id, list_reduce(es, {_CAS_STEP}, struct_pack(now := NULL::VARCHAR, want := NULL::VARCHAR, v := 0::BIGINT, r := 0::BIGINT, c := 0::BIGINT)) AS s FROM (SELECT target_id, list(e ORDER BY event_id) AS es FROM ({_CAS}) GROUP BY target_id))")
+def stream_compare_and_set(spark, d):
+    """Candidates that name the snapshot they were compared with: promoted, there already, or in conflict."""
+    path = V.scratch(spark, "stream-cas")
+    k = F.col("event_id") % 3
+    expected = F.when(k == 1, F.sha2(F.lit("view"), 256)).when(k == 2, F.sha2(F.lit("click"), 256))
+    stream = _stream(spark, d).select("target_id", F.col("event_id").alias("seq"), "sha256", expected.alias("expected_sha256"))
+    ST.promote_batches(stream, path).option("checkpointLocation", V.scratch(spark, "stream-cas-log")).trigger(availableNow=True).start().awaitTermination()
+    return ST.read_table(spark, path, ST.SNAPSHOTS)

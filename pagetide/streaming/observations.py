@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagetide.operators.reviews import promote_baseline
 from pagetide.operators.status import merge_status
+from pagetide.sources.versioned import VersionedTable
 
 
 def change_status(stream: DataFrame) -> DataFrame:
@@ -46,58 +44,77 @@ def without_repeats(stream: DataFrame, delay: str = "31 days") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["target_id", "sha256"])
 
 
-BUCKETS = 16
-
-
-def upsert(path: str, schema: str, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """merge(old, batch) over a table of BUCKETS folders by the hash of target_id: only the folders that the batch touches are read and written.
-
-    The new rows are written beside the table first, so that a task that fails leaves the table whole; a repeated batch
-    merges into the same rows.
-    """
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)).cast("int")
-    touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
-    if not touched:
-        return
-    table = f"{path}/table"
-    try:
-        old = spark.read.schema(schema + ", bucket int").parquet(table).where(F.col("bucket").isin(touched)).drop("bucket")
-    except AnalysisException:  # the first batch finds no table
-        old = spark.createDataFrame([], schema)
-    fresh = f"{path}/fresh-{uuid.uuid4().hex}"
-    merge(old, batch).withColumn("bucket", bucket).write.parquet(fresh)
-    done = spark.read.schema(schema + ", bucket int").parquet(fresh)
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+SNAPSHOTS = "target_id string, sha256 string, version long, repeats long, conflicts long"
+STATUS = "target_id string, last_checked_at timestamp, baseline_updated_at timestamp"
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table that upsert() keeps below a path."""
-    return spark.read.schema(schema + ", bucket int").parquet(f"{path}/table").drop("bucket")
+    """The newest version of a table that one of the writers below keeps."""
+    return VersionedTable(spark, path, schema).read()
 
 
-SNAPSHOTS = "target_id string, sha256 string, version long"
-STATUS = "target_id string, last_checked_at timestamp, baseline_updated_at timestamp"
-
+def promoted(now: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Snapshots after compare-and-set by every candidate of a target in order of seq; rows of the candidates' targets alone.
 
-def promote_batches(stream: DataFrame, path: str) -> DataStreamWriter:
-    """A writer that promotes baselines batch by batch into the table below `path`; a replayed batch changes nothing."""
+    now(SNAPSHOTS), candidates(target_id, seq, sha256[, expected_sha256]). A candidate that is there already counts in `repeats`;
+    one that expected another digest than there is changes nothing and counts in `conflicts`; else it becomes the snapshot and
+    `version` goes up. A null expectation means no snapshot; without the column every candidate is expected. Of equal seq the
+    smaller digest comes first; rows without a target or digest count for nothing. One sort by target; a task holds one row at a time.
+    """
+    expects = "expected_sha256" in candidates.columns
+    state = now.select("target_id", F.lit(None).cast("long").alias("seq"), "sha256", F.lit(None).cast("string").alias("expected_sha256"), "version", "repeats", "conflicts", F.lit(0).alias("kind"))
+    zero = F.lit(0).cast("long")
+    wanted = F.col("expected_sha256") if expects else F.lit(None).cast("string")
+    fresh = candidates.where("target_id IS NOT NULL AND sha256 IS NOT NULL").select("target_id", "seq", "sha256", wanted.alias("expected_sha256"), zero.alias("version"), zero.alias("repeats"), zero.alias("conflicts"), F.lit(1).alias("kind"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target = digest = None
+        counts = [0, 0, 0]
+        for frame in frames:
+            out = []
+            for key, offered, expected, version, repeats, conflicts, kind in zip(*(frame[c] for c in ("target_id", "sha256", "expected_sha256", "version", "repeats", "conflicts", "kind")), strict=True):
+                if key != target:
+                    if target is not None:
+                        out.append((target, digest, *counts))
+                    target, digest, counts = key, None, [0, 0, 0]
+                if kind == 0:
+                    digest, counts = offered, [version, repeats, conflicts]
+                elif offered == digest:
+                    counts[1] += 1
+                elif expects and (expected if isinstance(expected, str) else None) != digest:
+                    counts[2] += 1
+                else:
+                    digest = offered
+                    counts[0] += 1
+            yield pd.DataFrame(out, columns=["target_id", "sha256", "version", "repeats", "conflicts"])
+        if target is not None:
+            yield pd.DataFrame([(target, digest, *counts)], columns=["target_id", "sha256", "version", "repeats", "conflicts"])
+
+    both = state.unionByName(fresh).repartition("target_id").sortWithinPartitions("target_id", "kind", F.asc_nulls_first("seq"), "sha256", "expected_sha256")
+    return both.mapInPandas(fold, SNAPSHOTS).where((F.col("version") > 0) | (F.col("conflicts") > 0))
+
+
+def promote_batches(stream: DataFrame, path: str, writer: str = "promote") -> DataStreamWriter:
+    """A writer that promotes candidates batch by batch into the versioned table below `path`.
+
+    The table remembers each writer's last batch, so a replayed batch changes nothing; give each checkpoint folder its own
+    `writer`. Where another writer commits in between, the batch is compared anew with what that one left.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        def merge(now: DataFrame, rows: DataFrame) -> DataFrame:
-            last = rows.groupBy("target_id").agg(F.max_by("sha256", "seq").alias("candidate_sha256"))
-            expected = last.join(now.select("target_id", F.col("sha256").alias("expected_sha256")), "target_id", "left")
-            return promote_baseline(now, expected)[1]
-
-        upsert(path, SNAPSHOTS, batch, merge)
+        table = VersionedTable(batch.sparkSession, path, SNAPSHOTS)
+        table.update(batch, promoted, writer, number)
+        table.compact()
 
     return stream.writeStream.foreachBatch(put)
 
 
-def keep_last_checked(stream: DataFrame, path: str) -> DataStreamWriter:
-    """A writer that keeps the times of the last checks in the table below `path`; late rows and replayed batches move nothing back."""
+def keep_last_checked(stream: DataFrame, path: str, writer: str = "last-checked") -> DataStreamWriter:
+    """A writer that keeps the times of the last checks in the versioned table below `path`; late rows and replayed batches move nothing back."""
 
     def put(batch: DataFrame, number: int) -> None:
-        upsert(path, STATUS, batch.withColumn("baseline_updated_at", F.lit(None).cast("timestamp")), merge_status)
+        table = VersionedTable(batch.sparkSession, path, STATUS)
+        table.update(batch.where("target_id IS NOT NULL").withColumn("baseline_updated_at", F.lit(None).cast("timestamp")), merge_status, writer, number)
+        table.compact()
 
     return last_checked(stream).writeStream.outputMode("update").foreachBatch(put)
