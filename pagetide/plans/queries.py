@@ -786,3 +786,19 @@ def stream_compare_and_set(spark, d):
     stream = _stream(spark, d).select("target_id", F.col("event_id").alias("seq"), "sha256", expected.alias("expected_sha256"))
     ST.promote_batches(stream, path).option("checkpointLocation", V.scratch(spark, "stream-cas-log")).trigger(availableNow=True).start().awaitTermination()
     return ST.read_table(spark, path, ST.SNAPSHOTS)
+
+
+_LINKS = "SELECT target_id, event_id, event_type, event_id % 3 = 0 AS taken, list_sort(list_distinct([event_id % 4, event_id % 5 // 2])) AS links FROM chk WHERE action <> 'error'"
+_LINK_STATES = """SELECT target_id, event_id, event_type, links, first, last_value(CASE WHEN first OR taken THEN struct_pack(t := event_type, l := links) END IGNORE NULLS) OVER (PARTITION BY target_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a
+  FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY event_id) = 1 AS first FROM ({0}))""".format(_LINKS)
+
+
+@query(f"SELECT target_id, event_id AS seq, CASE WHEN first THEN 'baseline' WHEN a.t = event_type AND a.l = links THEN 'unchanged' ELSE 'review' END AS status, len(list_filter(links, lambda i: first OR NOT list_contains(a.l, i)))::BIGINT AS links_added, coalesce(len(list_filter(a.l, lambda i: NOT list_contains(links, i))), 0)::BIGINT AS links_removed FROM ({_LINK_STATES})")
+def stream_link_status(spark, d):
+    """Observations with links in changing order: compared as sets with what was accepted last."""
+    n = F.col("event_id")
+    one, two = (F.sha2(x.cast("string"), 256) for x in (n % 4, F.floor(n % 5 / 2)))
+    links = F.when(n % 2 == 0, F.array(one, two)).otherwise(F.array(two, one, two))
+    rows = ST.change_status(_stream(spark, d).select("target_id", n.alias("seq"), "sha256", (n % 3 == 0).alias("accepted"), links.alias("links")))
+    path = _drain(spark, lambda p: rows.writeStream.format("parquet").outputMode("append").option("path", p), "stream-links")
+    return spark.read.schema(ST.CHANGES).parquet(path)

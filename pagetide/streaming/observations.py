@@ -7,31 +7,92 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagetide.operators.status import merge_status
 from pagetide.sources.versioned import VersionedTable
 
 
-def change_status(stream: DataFrame) -> DataFrame:
-    """stream(target_id, seq long, sha256, accepted boolean) -> target_id, seq, status. State holds the accepted digest of a target, never a text.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGES = "target_id string, seq long, status string, links_added long, links_removed long"
+
+
+class AcceptedState(StatefulProcessor):
+    """The accepted digest of a target and the set of its accepted link identities."""
+
+    def __init__(self, unseen_ms: int | None):
+        self.unseen_ms = unseen_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.digest = handle.getValueState("digest", "sha256 string")
+        self.links = handle.getMapState("links", "identity string", "seen boolean")
+
+    def _links(self) -> set[str]:
+        return {k[0] for k in self.links.keys()}
+
+    def _accept(self, digest: str | None, links: set[str], before: set[str]) -> None:
+        self.digest.update((digest,))
+        for identity in before - links:
+            self.links.removeKey((identity,))
+        for identity in links - before:
+            self.links.updateValue((identity,), (True,))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        for digest, links in zip(initialState["sha256"], initialState["links"], strict=True):
+            self._accept(digest, _identities(links), self._links())
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["seq", "sha256"], kind="stable")
+        known = self.digest.get()[0] if self.digest.exists() else None
+        first, links, out = not self.digest.exists(), self._links(), []
+        for seq, digest, offered, taken in zip(frame["seq"], frame["sha256"], frame["links"], frame["accepted"], strict=True):
+            now = _identities(offered)
+            added, removed = len(now - links), len(links - now)
+            status = "baseline" if first else "unchanged" if digest == known and not added and not removed else "review"
+            out.append((key[0], seq, status, added, removed))
+            if first or (taken and status == "review"):
+                self._accept(digest, now, links)
+                first, known, links = False, digest, now
+        if self.unseen_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(frame["seen_ms"].max()) + self.unseen_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"target_id": [key[0]], "seq": pd.array([None], dtype="Int64"), "status": ["unseen"], "links_added": [0], "links_removed": [0]})
+
+    def close(self) -> None:
+        pass
+
+
+def _identities(links: object) -> set[str]:
+    return set() if links is None else {x for x in links if x is not None}
+
+
+def change_status(stream: DataFrame, initial: DataFrame | None = None, unseen_seconds: int | None = None) -> DataFrame:
+    """stream(target_id, seq long, sha256, accepted boolean[, links array<string>][, ts]) -> CHANGES. State holds a target's accepted digest and link identities, never a text.
 
     The first observation makes the baseline. Later ones are compared with what was accepted last and don't change it, unless
-    a decision accepts them: A, B, B is baseline, review, review. Rows of a target come in order of seq inside a batch.
+    a decision accepts them: A, B, B is baseline, review, review. Links count as a set: another order or a repeat of them is no
+    change, and `sha256` is the digest of the rest. links_added and links_removed are relative to the accepted set.
+    initial(target_id, sha256, links) is what had been accepted before the stream began. With `unseen_seconds` the stream needs
+    `ts` under a watermark, and a target that isn't observed for so long gives a row `unseen` without seq, once until it comes
+    again. Rows of a target come in order of seq inside a batch, and are sorted together: bound a batch by the source's options.
+    Null targets are left out; null digests equal each other. The session's state store is set to RocksDB.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = []
-        for digest, taken in zip(rows["sha256"], rows["accepted"], strict=True):
-            out.append("baseline" if accepted is None else "unchanged" if digest == accepted else "review")
-            accepted = digest if accepted is None or taken else accepted
-        state.update((accepted,))
-        yield pd.DataFrame({"target_id": rows["target_id"], "seq": rows["seq"], "status": out})
-
-    return stream.groupBy("target_id").applyInPandasWithState(step, "target_id string, seq long, status string", "sha256 string", "append", GroupStateTimeout.NoTimeout)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    links = F.col("links") if "links" in stream.columns else F.lit(None).cast("array<string>")
+    columns = [F.col("target_id"), F.col("seq").cast("long").alias("seq"), "sha256", F.coalesce("accepted", F.lit(False)).alias("accepted"), links.alias("links")]
+    if unseen_seconds is not None:
+        columns += ["ts", F.unix_millis("ts").alias("seen_ms")]
+    rows = stream.where("target_id IS NOT NULL").select(*columns)
+    begun = None if initial is None else initial.where("target_id IS NOT NULL").select("target_id", "sha256", "links").groupBy("target_id")
+    processor = AcceptedState(None if unseen_seconds is None else unseen_seconds * 1000)
+    mode = "None" if unseen_seconds is None else "EventTime"
+    return rows.groupBy("target_id").transformWithStateInPandas(processor, CHANGES, "Append", mode, begun)
 
 
 def last_checked(stream: DataFrame) -> DataFrame:

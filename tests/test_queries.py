@@ -26,7 +26,7 @@ def canon(columns, rows):
     return [columns[i] for i in order], sorted(tuple(repr(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["normalize_text", "credential_urls", "normalize_pages", "change_status", "added_links", "public_ipv6_filter", "targets_surplus", "sniff_content_type", "put_reviews", "run_reports", "decision_source", "report_files", "evidence_store", "delivery_ledger", "checkpoint_store", "feed_text", "stream_change_status", "stream_promote", "stream_compare_and_set", "group_targets", "finalize_reviews", "promoted_snapshots", "evidence_verify", "checkpoint_retention", "object_chunks", "feed_entries", "stream_last_checked"])
+@pytest.mark.parametrize("name", ["normalize_text", "credential_urls", "normalize_pages", "change_status", "added_links", "public_ipv6_filter", "targets_surplus", "sniff_content_type", "put_reviews", "run_reports", "decision_source", "report_files", "evidence_store", "delivery_ledger", "checkpoint_store", "feed_text", "stream_change_status", "stream_promote", "stream_compare_and_set", "stream_link_status", "group_targets", "finalize_reviews", "promoted_snapshots", "evidence_verify", "checkpoint_retention", "object_chunks", "feed_entries", "stream_last_checked"])
 def test_query_equals_its_sql(spark, con, name):
     df = queries.QUERIES[name](spark, DATA)
     want = con.sql(queries.SQL[name])
