@@ -52,6 +52,13 @@ def utf8_prefix(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).when(c.isNotNull(), cut)
 
 
+def utf8_prefix_within(c: Column, room: Column) -> Column:
+    """utf8_prefix with as many bytes as another column or a fold's state has left."""
+    raw = F.encode(c, "UTF-8")
+    cut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(room - k, F.lit(0)).cast("int")).cast("string")) for k in range(4)], F.lit(""))
+    return F.when(F.octet_length(c) <= room, c).when(c.isNotNull(), cut)
+
+
 def is_plain_text(c: Column) -> Column:
     """No control characters but tab, CR and LF."""
     return ~c.rlike(CONTROL)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
 from pagetide.functions import urls
+from pagetide.functions.text import utf8_prefix, utf8_prefix_within
 
 MAX_LINKS = 100
 MAX_LINK_BYTES = 2 << 20
@@ -65,12 +68,13 @@ def merged_links(page: DataFrame, supplied: DataFrame, key: str) -> DataFrame:
     return page.select(key, "identity", F.lit("page").alias("origin")).distinct().union(more.select(key, "identity", F.lit("supplied").alias("origin")).distinct())
 
 
-def linked_documents(roots: DataFrame, edges: DataFrame, documents: DataFrame, depth: int = 3, most: int = MAX_LINKS) -> DataFrame:
+def linked_documents(roots: DataFrame, edges: DataFrame, documents: DataFrame, depth: int = 3, most: int = MAX_LINKS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Breadth-first from each root: (root, node, depth, rank, status).
 
     roots(root), edges(parent, child), documents(node, ok). A node belongs to the first parent in queue order that reaches
     it; past `most` nodes a root's further ones are `omitted`; a node without a document is an `error` and leads nowhere.
-    The number of rounds is `depth`, whatever the data; each round joins the frontier with the edges once.
+    The number of rounds is `depth`, whatever the data; each round joins the frontier with the edges once. `keep` writes a frontier and reads it back, so that no round runs
+    again for the ones behind it.
     """
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit("root").alias("status"))
     frontier = seen
@@ -83,7 +87,7 @@ def linked_documents(roots: DataFrame, edges: DataFrame, documents: DataFrame, d
         ranked = fresh.join(before, "root").withColumn("rank", F.col("done") + F.row_number().over(Window.partitionBy("root").orderBy("parent_rank", "node")))
         found = ranked.join(documents, "node", "left")
         status = F.when(F.col("rank") > most, "omitted").when(F.col("ok"), "ok").otherwise("error")
-        frontier = found.select("root", "node", F.lit(level).alias("depth"), "rank", status.alias("status"))
+        frontier = keep(found.select("root", "node", F.lit(level).alias("depth"), "rank", status.alias("status")))
         seen = seen.union(frontier)
         out = frontier if out is None else out.union(frontier)
     return out
@@ -115,3 +119,44 @@ def link_reviews(found: DataFrame, budget: DataFrame) -> DataFrame:
     document = F.struct("rank", "node", "status", "kept_bytes", "truncated")
     bad = ~taken | (F.col("status") == "error") | F.coalesce("truncated", F.lit(False))
     return rows.groupBy("root").agg(F.array_sort(F.collect_list(F.when(taken, document))).alias("documents"), F.count_if(~taken).alias("omitted"), F.bool_or(bad).alias("incomplete"))
+
+
+def link_review_texts(found: DataFrame, texts: DataFrame, most_bytes: int = MAX_TOTAL_BYTES, each_bytes: int = MAX_LINK_BYTES, review_bytes: int = MAX_REVIEW_BYTES, text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """(root, documents(rank, node, text, truncated, error), omitted, incomplete): the linked documents' texts, one row a root.
+
+    found(root, node, rank, status), texts(node, body_bytes, text). In queue order each document takes what the root's budgets
+    have left: its body up to `each_bytes` of what can still be fetched (a longer one is an error and costs the whole allowance,
+    as does any error), its text up to `text_bytes` of what the review still holds, cut at a character; bytes that a cut leaves go
+    to the next one. Once either budget is spent the rest counts as omitted. A null text is empty, a missing document an error.
+
+    The order is a fold over a root's documents, of which the traversal's cap bounds the number. Only as much text goes
+    there as could be kept: behind the document that fills the review by its size, no more than the three bytes that cuts can
+    leave. So a root's row holds review_bytes + text_bytes and a few hundred bytes at most.
+    """
+    sized = texts.select("node", "body_bytes", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("there"))
+    rows = found.where("status <> 'omitted'").join(sized, "node", "left")
+    good = F.coalesce(F.col("there") & (F.col("status") == "ok") & (F.col("body_bytes") <= each_bytes), F.lit(False))
+    rows = rows.select("root", "rank", "node", good.alias("good"), "body_bytes", F.when(good, utf8_prefix(F.col("text"), text_bytes)).alias("head"), F.octet_length("text").alias("size"))
+    before = Window.partitionBy("root").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(F.sum(F.coalesce(F.octet_length("head"), F.lit(0))).over(before), F.lit(0)) >= review_bytes
+    rows = rows.withColumn("full", full)
+    document = F.struct("rank", "node", "good", "body_bytes", F.when(F.col("full"), utf8_prefix(F.col("head"), 3)).otherwise(F.col("head")).alias("head"), "size")
+    node = rows.schema["node"].dataType.simpleString()
+    state = f"struct<fetch:bigint,room:bigint,documents:array<struct<rank:bigint,node:{node},text:string,truncated:boolean,error:boolean>>>"
+
+    def step(a: Column, x: Column) -> Column:
+        limit = F.least(a["fetch"], F.lit(each_bytes))
+        good = x["good"] & (x["body_bytes"] <= limit)
+        text = F.when(good, utf8_prefix_within(x["head"], a["room"]))
+        taken = F.coalesce(F.octet_length(text), F.lit(0))
+        entry = F.struct(x["rank"].cast("long").alias("rank"), x["node"].alias("node"), text.alias("text"), (good & (taken < x["size"])).alias("truncated"), (~good).alias("error"))
+        after = F.struct((a["fetch"] - F.when(good, x["body_bytes"]).otherwise(limit)).alias("fetch"), (a["room"] - taken).alias("room"), F.array_append(a["documents"], entry).alias("documents"))
+        return F.when((a["fetch"] > 0) & (a["room"] > 0), after.cast(state)).otherwise(a)
+
+    start = F.struct(F.lit(most_bytes).alias("fetch"), F.lit(review_bytes).alias("room"), F.array().alias("documents")).cast(state)
+    folded = rows.groupBy("root").agg(F.array_sort(F.collect_list(document)).alias("queue")).select("root", F.size("queue").alias("queued"), F.aggregate("queue", start, step)["documents"].alias("documents"))
+    beyond = found.groupBy("root").agg(F.count_if(F.col("status") == "omitted").alias("beyond"))
+    both = beyond.join(folded, "root", "left").withColumn("documents", F.coalesce("documents", F.array().cast(state[state.index("array") : -1])))
+    omitted = F.col("beyond") + F.coalesce("queued", F.lit(0)) - F.size("documents")
+    flawed = F.exists("documents", lambda x: x["truncated"] | x["error"])
+    return both.select("root", "documents", omitted.alias("omitted"), ((omitted > 0) | flawed).alias("incomplete"))

@@ -219,7 +219,7 @@ def revision_history(spark, d):
 def _graph(spark, d):
     p = V.table(spark, d, "pages")
     ok = p.where("page_id % 11 <> 0").select(F.col("page_id").alias("node"), F.lit(True).alias("ok"))
-    return links.linked_documents(p.select(F.col("page_id").alias("root")), V.kept(V.edges(spark, d), "edges"), ok, depth=3, most=20)
+    return links.linked_documents(p.select(F.col("page_id").alias("root")), V.kept(V.edges(spark, d), "edges"), ok, depth=3, most=20, keep=lambda x: V.kept(x, "frontier"))
 
 
 @query()
@@ -242,6 +242,16 @@ def link_reviews(spark, d):
     return got.select("root", F.size("documents").alias("n_documents"), "omitted", "incomplete")
 
 
+@query()
+def link_review_texts(spark, d):
+    """One row a root: the kept texts of its linked documents, as one digest, and what is left out."""
+    pages = V.texts(V.pages(spark, d)).join(V.table(spark, d, "pages").select("page_id", F.octet_length("html").cast("long").alias("body_bytes")), "page_id")
+    texts = V.kept(pages.select(F.col("page_id").alias("node"), "body_bytes", "text"), "bodies")
+    got = links.link_review_texts(V.kept(_graph(spark, d), "linked"), texts, most_bytes=60_000, each_bytes=20_000, review_bytes=20_000, text_bytes=2_000)
+    kept = F.array_join(F.transform("documents", lambda x: F.concat(x["node"].cast("string"), F.lit(":"), F.coalesce(x["text"], F.lit("-")))), "\n")
+    return got.select("root", F.size("documents").alias("n_documents"), "omitted", "incomplete", F.sha2(kept, 256).alias("texts_sha256"))
+
+
 # The versions differ in one place, so that what is between the equal beginning and the equal end is the change.
 _SPLIT = lambda t: f"string_split(rtrim({t}, chr(10)), chr(10))"
 _SAME = lambda most, a, b: f"coalesce(list_min(list_filter(range(0, {most}), lambda i: {a} <> {b})), {most})"

@@ -111,3 +111,41 @@ def test_unified_diff_applies_to_the_old_text(spark):
                 if line[0] == " ":
                     rebuilt.append(line[1:])
         assert rebuilt + source[at:] == new.splitlines() and not got[k]["truncated"]
+
+
+def test_review_texts_equal_brute_force(spark):
+    """Budgets of bytes that end inside characters, errors, bodies that are too long, and what one document leaves to the next."""
+    import random
+
+    from pagetide.operators import links
+
+    rng = random.Random(11)
+    limits = {"most_bytes": 300, "each_bytes": 90, "review_bytes": 60, "text_bytes": 25}
+    texts = {k: (rng.randrange(0, 100), rng.choice([None, "", "".join(rng.choice("aé€😀") for _ in range(rng.randrange(25)))])) for k in range(60)}
+    found, want = [], {}
+    for root in range(150):
+        queue = [(rank, rng.randrange(66), rng.choice(["ok"] * 5 + ["error"])) for rank in range(1, rng.randrange(1, 16))]
+        beyond = rng.choice([0, 0, 2])
+        found += [(root, node, rank, status) for rank, node, status in queue] + [(root, 900 + i, 50 + i, "omitted") for i in range(beyond)]
+        fetch, room, out = limits["most_bytes"], limits["review_bytes"], []
+        for rank, node, status in queue:
+            if fetch <= 0 or room <= 0:
+                break
+            allowed = min(fetch, limits["each_bytes"])
+            body, text = texts.get(node, (None, None))
+            if status != "ok" or body is None or body > allowed:
+                fetch -= allowed
+                out.append((rank, node, None, False, True))
+                continue
+            raw = (text or "").encode()
+            kept = raw[: min(room, limits["text_bytes"])].decode(errors="ignore")
+            fetch, room = fetch - body, room - len(kept.encode())
+            out.append((rank, node, kept, kept != (text or ""), False))
+        omitted = beyond + len(queue) - len(out)
+        if queue or beyond:
+            want[root] = (out, omitted, omitted > 0 or any(x[3] or x[4] for x in out))
+    rows = spark.createDataFrame(found, "root long, node long, rank long, status string")
+    bodies = spark.createDataFrame([(k, *v) for k, v in texts.items()], "node long, body_bytes long, text string")
+    got = {r["root"]: ([tuple(x) for x in r["documents"]], r["omitted"], r["incomplete"]) for r in links.link_review_texts(rows, bodies, **limits).collect()}
+    assert got == want
+    assert any(a[2] == "" and b[2] for r in want.values() for a, b in zip(r[0], r[0][1:])) and links.link_review_texts(rows.limit(0), bodies).count() == 0
