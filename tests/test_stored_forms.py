@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagetide.operators import checkpoint, reports
+from pagetide.sources import stores
 
 
 def section(target, text):
@@ -58,3 +59,43 @@ def test_objects_come_back_through_their_pieces(spark):
     other = heads.withColumn("sha256", F.when(F.col("sha256") == digest["x"], F.lit("0" * 64)).otherwise(F.col("sha256")))
     assert problems(other, pieces) == {"0" * 64: "wrong content"}
     assert checkpoint.reassembled(heads.limit(0), pieces).count() == 0
+
+
+def test_retention_keeps_what_is_named(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+
+    def state(g):
+        rows = [("same", "s" * 2000), ("small", f"{g}"), (f"own{g}", f"{g}" * 3000)] + [(f"late{g}", "1" * 3000)] * (g >= 5)
+        return checkpoint.files(spark.createDataFrame(rows, "path string, content string"))
+
+    def put(g):
+        stores.write_checkpoint(*checkpoint.pack(state(g), g), path)
+
+    def stored():
+        return sorted((r["sha256"], r["born"]) for r in spark.read.parquet(f"{path}/objects").collect())
+
+    def intact(g):
+        return {r["path"]: r["content"] for r in stores.read_checkpoint(spark, path, g).where("intact").collect()} == {r["path"]: r["content"] for r in state(g).collect()}
+
+    for g in (1, 2, 3, 4):
+        put(g)
+    before = stored()
+    put(4)
+    assert stored() == before and len(before) == 5  # a repeated write adds nothing, a common object is there once
+    # A checkpoint that was begun before the mark and relies on an object of the first generation.
+    manifest, _ = checkpoint.pack(state(5), 5)
+    stores.write_checkpoint(*checkpoint.pack(state(5).where("path = 'own5'"), 5), path)
+    assert stores.mark_retired(spark, path, keep=3) == [1, 2] and stores.mark_retired(spark, path, keep=3) == [1, 2]
+    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation").parquet(f"{path}/manifests")
+    stores.sweep_retired(spark, path)
+    assert all(intact(g) for g in (3, 4, 5))
+    named = {r["sha256"] for g in (3, 4, 5) for r in state(g).where("size > 1024").collect()}
+    assert {s for s, _ in stored()} == named and len(stored()) == len(named)  # no orphan, no copy
+    after = stored()
+    stores.sweep_retired(spark, path)
+    assert stored() == after
+    put(6)
+    assert stores.mark_retired(spark, path, keep=1) == [3, 4, 5]
+    put(7)  # writes the marked objects anew
+    stores.sweep_retired(spark, path)
+    assert intact(6) and intact(7)
