@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.functions import urls
+from pagetide.functions.batches import by_pieces
 from pagetide.functions.scan import digest, feed_part
 from pagetide.functions.scan import identity_token as _token
 from pagetide.functions.text import has_doctype, normalize_whitespace, sha256, strip
@@ -35,8 +36,7 @@ def _attribute(token: Column, name: str) -> Column:
 def _scanner():
     """The scan of (piece, base, url) batches as a function of columns, kept in one place like the one of pages."""
 
-    @F.arrow_udf("struct<identity:string,key:string,title:string,link:string,links:array<string>,text:string>")
-    def scan_parts(xml: pa.Array, base: pa.Array, url: pa.Array) -> pa.Array:
+    def scan_piece(xml: pa.Array, base: pa.Array, url: pa.Array) -> pa.Array:
         rows = []
         for piece, inner, outer in zip(xml.to_pylist(), base.to_pylist(), url.to_pylist(), strict=True):
             text, known, title, link, links = feed_part(piece or "", inner or "", outer or "")
@@ -45,6 +45,10 @@ def _scanner():
         kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string()]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["identity", "key", "title", "link", "links", "text"])
 
+    @F.arrow_udf("struct<identity:string,key:string,title:string,link:string,links:array<string>,text:string>")
+    def scan_parts(xml: pa.Array, base: pa.Array, url: pa.Array) -> pa.Array:
+        return by_pieces(scan_piece, xml, base, url)
+
     return scan_parts.asNondeterministic()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagetide.functions import urls
+from pagetide.functions.batches import by_pieces
 from pagetide.functions.scan import BLOCK_TAGS, MAX_DESTINATIONS, SKIP_TAGS, page_text
 from pagetide.functions.text import normalize_whitespace
 
@@ -51,8 +52,7 @@ def decode_references(c: Column) -> Column:
 def _scanner():
     """The scan of (html, url) batches as a function of columns. Marked as not deterministic so that the optimizer keeps it in one place: a filter on its result must not run it again."""
 
-    @F.arrow_udf(f"struct<text:string,links:array<{_LINK}>>")
-    def scan_pages(html: pa.Array, url: pa.Array) -> pa.Array:
+    def scan_piece(html: pa.Array, url: pa.Array) -> pa.Array:
         texts, sizes, found = [], [0], []
         for page, address in zip(html.to_pylist(), url.to_pylist(), strict=True):
             text, links = (None, []) if page is None else page_text(page, address or "")
@@ -64,6 +64,10 @@ def _scanner():
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists], ["text", "links"])
 
+    @F.arrow_udf(f"struct<text:string,links:array<{_LINK}>>")
+    def scan_pages(html: pa.Array, url: pa.Array) -> pa.Array:
+        return by_pieces(scan_piece, html, url)
+
     return scan_pages.asNondeterministic()
 
 

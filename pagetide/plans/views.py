@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import html as H
 from pagetide.functions import urls
+from pagetide.functions.batches import small_batches
 from pagetide.operators import links as links_op
 from pagetide.operators import targets as targets_op
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
