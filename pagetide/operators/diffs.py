@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetide.functions.batches import by_pieces
+
 CONTEXT = 3
 #: Pairs of lines up to which a pair of texts, or a gap, is compared as a whole.
 MAX_PAIRS = 4_000_000
@@ -88,18 +90,30 @@ def script(old: Sequence[str], new: Sequence[str], most_pairs: int = MAX_PAIRS)
 
 
 def _rising():
+    def rises_piece(places: pa.Array) -> pa.Array:
+        return pa.array([rising(p) for p in places.to_pylist()], pa.list_(pa.int32()))
+
     @F.arrow_udf("array<int>")
     def rises(places: pa.Array) -> pa.Array:
-        return pa.array([rising(p) for p in places.to_pylist()], pa.list_(pa.int32()))
+        return by_pieces(rises_piece, places)
 
     return rises
 
 
 def _compared(most_pairs: int):
+    def compare_piece(old: pa.Array, new: pa.Array) -> pa.Array:
+        ops, lines, sizes = [], [], [0]
+        for o, n in zip(old.to_pylist(), new.to_pylist(), strict=True):
+            edits = script(o, n, most_pairs)
+            ops += [op for op, _ in edits]
+            lines += [x for _, x in edits]
+            sizes.append(len(ops))
+        flat = pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(lines, pa.string())], ["op", "line"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+
     @F.arrow_udf(_SCRIPT)
     def compared(old: pa.Array, new: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("op", pa.string()), ("line", pa.string())]))
-        return pa.array([[{"op": op, "line": x} for op, x in script(o, n, most_pairs)] for o, n in zip(old.to_pylist(), new.to_pylist(), strict=True)], kind)
+        return by_pieces(compare_piece, old, new)
 
     return compared
 

@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from pagetide.functions import html as H
 from pagetide.functions.batches import by_pieces, pieces, row_bytes
+from pagetide.operators import diffs
 
 
 def python_peak(run, *columns):
@@ -38,3 +39,19 @@ def test_a_batch_of_pages_is_scanned_a_piece_at_a_time(spark):
     assert len(out) == n + 1 and out[0].as_py()["text"] is None and len(out[n].as_py()["links"]) == 100
     assert out[1].as_py() == scan(html.slice(n), url.slice(n))[0].as_py()
     assert peak < 25
+
+
+def test_a_batch_of_gaps_is_compared_a_piece_at_a_time(spark):
+    old = [f"line {i} of the version before" for i in range(100)]
+    new = [*old[:50], "another", *old[51:]]
+    n = 3000
+    compared = diffs._compared(diffs.MAX_PAIRS).func
+    kind = pa.list_(pa.string())
+    out, peak = python_peak(compared, pa.array([[], *[old] * n], kind), pa.array([["x"], *[new] * n], kind))
+    assert out[0].as_py() == [{"op": "+", "line": "x"}]
+    assert [(e["op"], e["line"]) for e in out[n].as_py()] == diffs.script(old, new)
+    assert peak < 25
+    places = pa.array([list(range(200))] * n, pa.list_(pa.int32()))
+    out, peak = python_peak(diffs._rising().func, places)
+    assert len(out) == n and out[n - 1].as_py() == list(range(200))
+    assert peak < 15
