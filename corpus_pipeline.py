@@ -39,6 +39,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
 
+    Candidates come from SimHash fingerprints under Golay keys, then from MinHash bands; the exact similarity decides.
+
     Texts without a word, null and empty ones included, are copies of each other; a null id comes last, texts of one id
     go by their hash; of repeated rows one stays; extra columns stay as they are; an empty table gives an empty one.
     """

@@ -6,7 +6,8 @@ differ by one bit or none. A word one bit off lies at most four bits from the ot
 fingerprint is stored under the nearest codewords of each pair of segments (three keys) and looked up under all
 codewords within four bits (one or six a segment). No link can be missed; the distance of each candidate is verified.
 
-The pipeline's groups of texts with similar shingle sets, below, come from MinHash bands and exact Jaccard similarity.
+The pipeline's groups of texts with similar shingle sets, below, come from the same keys over fingerprints of these sets, then from
+MinHash bands for pairs that three bits don't reach; exact Jaccard similarity decides both.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import materialize, only, release, slices, string_buffers
@@ -138,8 +139,20 @@ def _local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _link(most_bits: int):
-    """Compare, in each key's rows, each looked-up fingerprint with the stored ones before it; only the stored ones are held."""
+def _partners(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links of each u one, picked by chance, so that no node is picked by a whole group."""
+    order = np.lexsort((_luck(u, v), u))
+    u, v = u[order], v[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    return u[first], v[first]
+
+
+def _luck(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (mix((u ^ v).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
+def _link(most_bits: int, chosen=_local_roots):
+    """Compare, in each key's rows, each looked-up fingerprint with the stored ones before it; only the stored ones are held. `chosen` thins out the links that are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -167,12 +180,12 @@ def _link(most_bits: int):
                 d = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64))
                 ok = (d > 0) & (d <= most_bits)
                 if ok.any():
-                    u, v = _local_roots(fp[x[ok]], fp[y[ok]])
+                    u, v = chosen(fp[x[ok]], fp[y[ok]])
                     us.append(u)
                     vs.append(v)
                 at = to
             if us:
-                u, v = _local_roots(np.concatenate(us), np.concatenate(vs))
+                u, v = chosen(np.concatenate(us), np.concatenate(vs))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
@@ -218,6 +231,29 @@ def golay_links(nodes: DataFrame, most_bits: int = 3, block: int = BLOCK) -> Dat
     return _candidates(nodes.select("fp"), ("fp",), block).mapInArrow(_link(most_bits), "u long, v long").distinct()
 
 
+def golay_pairs(nodes: DataFrame, most_bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """nodes(node long, fp long) -> pairs (u, v), u > v, of nodes whose fingerprints differ by at most `most_bits`: as many as nodes, twice at most.
+
+    Each fingerprint comes with one of those near it, by its smallest nodes; nodes of one fingerprint form chains, 64 at most,
+    and the first node of a chain comes with the smallest of all.
+    """
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fp-heads")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _link(most_bits, _partners)(batches):
+            u, v = (np.asarray(c) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_luck(u, v))], names=["u", "v", "luck"])
+
+    near = _candidates(heads.select("fp"), ("fp",), block).mapInArrow(run, "u long, v long, luck long")
+    near = near.groupBy("u").agg(F.min_by("v", F.struct("luck", "v")).alias("v"))
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_node")).hint("merge")
+    between = near.join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("a"), F.col("v_node").alias("b"))
+    chain = Window.partitionBy("fp", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")
+    chained = nodes.select("fp", "node", F.lag("node").over(chain).alias("before")).join(heads.hint("merge"), "fp")
+    within = chained.select(F.col("node").alias("a"), F.coalesce("before", "head").alias("b")).where("a <> b")
+    return between.union(within).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, fp, component), component the smallest id reachable over links of at most `most_bits` bits.
 
@@ -263,13 +299,22 @@ def _shingle_sets(part: pa.RecordBatch, width: int, hasher: Hasher) -> tuple[np.
     return flat, at, mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _set_fingerprints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each shingle set: bits that are set in over half of its hashes."""
+    half, out = np.diff(at), np.zeros(len(at) - 1, np.uint64)
+    for b in range(64):
+        ones = np.add.reduceat(flat >> np.uint64(b) & np.uint64(1), at[:-1]).astype(np.int64)
+        out |= (2 * ones > half).astype(np.uint64) << np.uint64(b)
+    return out
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return src.withColumn("key", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, node, bands binary, signature binary): hashes of a text, of its shingle set and of its MinHash bands, and a byte of each MinHash value."""
+    """(id, key, node, fp long, bands binary, signature binary): hashes of a text and of its shingle set, that set's SimHash, hashes of its MinHash bands, and a byte of each MinHash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -284,9 +329,10 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
                 signs = (mix(least) >> np.uint64(56)).astype(np.uint8)
                 cols = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (bands, signs)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(node.view(np.int64)), *cols], names=["id", "key", "node", "bands", "signature"])
+                fp = pa.array(_set_fingerprints(flat, at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(node.view(np.int64)), fp, *cols], names=["id", "key", "node", "fp", "bands", "signature"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, key long, node long, bands binary, signature binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, key long, node long, fp long, bands binary, signature binary")
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
@@ -472,35 +518,40 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, key, group): documents whose sets of `width`-word shingles are similar, grouped over all such links; key is the hash of the text.
 
-    Bands of MinHash values find candidates, and the exact Jaccard similarity of the two shingle sets decides. A first
-    round verifies for each node of a band two pairs, picked by a byte of each MinHash value; a second one, for each node
-    outside its band's largest group, the likeliest pair by fine signatures; a third one all pairs whose ends aren't in
-    one group yet and whose fine signatures allow the similarity. So a dense group of copies doesn't cost the square of
-    its size and no link is left out. Texts without a word form one group; a text shorter than a shingle is one shingle.
+    The Golay keys of the sets' fingerprints find candidates first, and the exact Jaccard similarity of the two shingle sets
+    decides. Sets of similarity 0.8 differ by ten bits of 64 on average, which no key of three errors reaches, so bands of MinHash
+    values find the rest, in groups that the first links leave apart. One round verifies for each node of a band two pairs,
+    picked by a byte of each MinHash value; a second one, for each node outside its band's largest group, the likeliest
+    pair by fine signatures; a third one all pairs whose ends aren't in one group yet and whose fine signatures allow the
+    similarity. So a dense group of copies doesn't cost the square of its size and no link is left out. Texts without a word form one group; a text shorter than a shingle is one shingle.
     Null ids and repeated rows keep their rows; an empty table gives an empty one.
     """
     rows = materialize(sketches(docs, width, id_col, text_col), "sketches")
     first = F.min(F.struct("id", "key")).alias("rep")
-    nodes = materialize(rows.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "sketch-nodes")
+    nodes = materialize(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "sketch-nodes")
+    tried = materialize(golay_pairs(nodes.select("node", "fp"), block=block), "pairs-tried")
     shared = materialize(band_groups(nodes, block), "band-groups")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "rep.*").hint("merge"), "node")
+    named = shared.select("node").union(tried.select("u")).union(tried.select("v"))
+    wanted = named.distinct().join(nodes.select("node", "rep.*").hint("merge"), "node")
     sets = materialize(shingle_sets(docs, wanted, width, id_col, text_col), "shingle-sets")
 
     def picked(groups: DataFrame, pairs) -> DataFrame:
         groups = groups.select("k", "node", "root", "size", "sign").repartition("k").sortWithinPartitions("k")
         return groups.mapInArrow(pairs, "u long, v long").distinct()
 
-    start = shared.select("k", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("size"), F.col("signature").alias("sign"))
-    tried = materialize(picked(start, _first_pairs(least_equal(similarity))), "pairs-tried")
     links = materialize(verified(tried, sets, similarity), "pairs-linked")
-    for every in (False, True):
+    for step in ("first", "likeliest", "every"):
         roots = materialize(connected_components(links), "pair-roots")
-        rooted = shared.select("k", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # By shuffle at every size: bands, nodes and pairs grow with the input.
         torn = rooted.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
         torn = materialize(rooted.join(torn.hint("merge"), "k"), "torn-groups")
-        fine = fine_signatures(sets.join(torn.select("node").distinct().hint("merge"), "node", "left_semi"))
-        more = picked(torn.join(fine.hint("merge"), "node"), _fine_pairs(similarity, every)).join(tried.hint("merge"), ["u", "v"], "left_anti")
+        if step == "first":
+            more = picked(torn.select("k", "node", "root", F.lit(0).cast("long").alias("size"), F.col("signature").alias("sign")), _first_pairs(least_equal(similarity)))
+        else:
+            fine = fine_signatures(sets.join(torn.select("node").distinct().hint("merge"), "node", "left_semi"))
+            more = picked(torn.drop("signature").join(fine.hint("merge"), "node"), _fine_pairs(similarity, step == "every"))
+        more = more.join(tried.hint("merge"), ["u", "v"], "left_anti")
         more = materialize(more, "pairs-tried")
         tried = tried.union(more)
         links = links.union(materialize(verified(more, sets, similarity), "pairs-linked"))

@@ -147,6 +147,31 @@ def test_similar_groups_are_those_of_exact_jaccard(spark, block):
     assert got == want
 
 
+def test_golay_keys_find_the_pairs_within_three_bits(spark, monkeypatch):
+    """Without a band, pairs of at least 0.8 whose sets' fingerprints differ by three bits are still one group; so are sets of one fingerprint."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(400)]
+        edited = list(base)
+        edited[rng.randrange(400)] = "other"
+        texts += [" ".join(base), " ".join(edited)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(simhash.sketches(docs, 5, "doc_id", "text").select("id", "fp", "node").collect())
+    sets = five_word_sets(texts)
+    near = [a for a in range(0, 120, 2) if ((rows[a]["fp"] ^ rows[a + 1]["fp"]) & (1 << 64) - 1).bit_count() <= 3 and 5 * len(sets[a] & sets[a + 1]) >= 4 * len(sets[a] | sets[a + 1])]
+    assert 10 < len(near) < 60 and any(rows[a]["fp"] == rows[a + 1]["fp"] for a in near)
+    monkeypatch.setattr(simhash, "band_groups", lambda nodes, block: nodes.select(nodes["node"].alias("k"), "node", "signature").limit(0))
+    groups = {r["id"]: r["group"] for r in simhash.similar_groups(docs).collect()}
+    assert [a for a in range(0, 120, 2) if groups[a] == groups[a + 1]] == near
+    assert len(set(groups.values())) == 120 - len(near)
+
+
+def test_set_fingerprints_are_majorities_of_bits():
+    flat, at = np.array([1, 3, 7, 2**63, 2**63 + 1], np.uint64), np.array([0, 3, 5])
+    assert simhash._set_fingerprints(flat, at).tolist() == [3, 2**63]
+
+
 def test_texts_below_the_similarity_stay(spark):
     """Pairs at exactly 0.8 lose one text, pairs at 0.7 to 0.79 none."""
     rows, kept = [], set()
