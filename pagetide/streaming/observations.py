@@ -44,22 +44,26 @@ class AcceptedState(StatefulProcessor):
             self._accept(digest, _identities(links), self._links())
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["seq", "sha256"], kind="stable")
-        known = self.digest.get()[0] if self.digest.exists() else None
-        first, links, out = not self.digest.exists(), self._links(), []
-        for seq, digest, offered, taken in zip(frame["seq"], frame["sha256"], frame["links"], frame["accepted"], strict=True):
+        frames = list(rows)
+        columns = [[x for f in frames for x in f[c]] for c in ("seq", "sha256", "links", "accepted")]
+        held = self.digest.get()  # a call to the JVM, as is each use of state: few a target, whatever its rows
+        first, known, before = held is None, None if held is None else held[0], set() if held is None else self._links()
+        links, taken_over, out = before, False, []
+        for seq, digest, offered, taken in sorted(zip(*columns, strict=True), key=_in_order):
             now = _identities(offered)
             added, removed = len(now - links), len(links - now)
             status = "baseline" if first else "unchanged" if digest == known and not added and not removed else "review"
-            out.append((key[0], seq, status, added, removed))
+            out.append((seq, status, added, removed))
             if first or (taken and status == "review"):
-                self._accept(digest, now, links)
-                first, known, links = False, digest, now
+                first, taken_over, known, links = False, True, digest, now
+        if taken_over:
+            self._accept(known, links, before)
         if self.unseen_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(frame["seen_ms"].max()) + self.unseen_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+            self.handle.registerTimer(int(max(f["seen_ms"].max() for f in frames)) + self.unseen_ms)
+        numbers, statuses, added, removed = zip(*out, strict=True)
+        yield pd.DataFrame({"target_id": [key[0]] * len(out), "seq": numbers, "status": statuses, "links_added": added, "links_removed": removed})
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"target_id": [key[0]], "seq": pd.array([None], dtype="Int64"), "status": ["unseen"], "links_added": [0], "links_removed": [0]})
@@ -68,6 +72,13 @@ class AcceptedState(StatefulProcessor):
         pass
 
 
+def _in_order(row: tuple) -> tuple:
+    """Rows by seq, then digest, nulls last."""
+    seq, digest = row[0], row[1]
+    none = pd.isna(seq)
+    return none, 0 if none else seq, not isinstance(digest, str), digest if isinstance(digest, str) else ""
+
+
 def _identities(links: object) -> set[str]:
     return set() if links is None else {x for x in links if x is not None}
 

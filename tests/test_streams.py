@@ -56,3 +56,43 @@ def test_targets_not_seen(spark, tmp_path):
     late = [("b", 3, None, None, None, at(40))]
     got = run(spark, tmp_path, [ROWS[:1] + ROWS[7:8], late, [("b", 4, None, None, None, at(41))]], "unseen", unseen_seconds=7 * 86_400)
     assert ("a", None, "unseen", 0, 0) in got and [r for r in got if r[1] is not None] == [WANT[0], WANT[7], ("b", 3, "unchanged", 0, 0), ("b", 4, "unchanged", 0, 0)]
+
+
+def test_state_is_written_once_a_target_and_batch():
+    """However many observations of a batch are accepted, the digest is read and written once, and only the links that differ move."""
+    import pandas as pd
+
+    from pagetide.streaming.observations import AcceptedState
+
+    calls = []
+
+    class Value:
+        def exists(self):
+            calls.append("exists")
+            return False
+
+        def get(self):
+            calls.append("get")
+            return None
+
+        def update(self, row):
+            calls.append(("update", *row))
+
+    class Links:
+        def keys(self):
+            calls.append("keys")
+            return iter(())
+
+        def updateValue(self, key, _):
+            calls.append(("add", *key))
+
+        def removeKey(self, key):
+            calls.append(("remove", *key))
+
+    state = AcceptedState(None)
+    state.digest, state.links = Value(), Links()
+    n = 50
+    frame = pd.DataFrame({"seq": range(n, 0, -1), "sha256": [f"d{i}" for i in range(n, 0, -1)], "links": [["a"] if i % 2 else ["b", None] for i in range(n, 0, -1)], "accepted": True})
+    (out,) = state.handleInputRows(("t",), iter([frame[:20], frame[20:]]), None)
+    assert out["seq"].tolist() == list(range(1, n + 1)) and out["status"].tolist() == ["baseline", *["review"] * (n - 1)]
+    assert calls == ["get", ("update", "d50"), ("add", "b")]
