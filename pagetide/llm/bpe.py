@@ -10,6 +10,7 @@ small as the vocabulary file.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
@@ -29,6 +30,8 @@ from pagetide.llm.words import Pieces, Table, most_frequent, summed
 
 HEAD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 18
+#: Words whose code points are made at a time when a table of words is built.
+PIECE_ROWS = 1 << 16
 #: Partitions of the texts whose lists share a folder, and bytes of a row group there.
 FOLDER_PARTS = 8
 GROUP_BYTES = 1 << 20
@@ -199,17 +202,44 @@ class Ids:
     """Ids of a bounded table of words, found by hash and by code points."""
 
     def __init__(self, state: tuple) -> None:
-        table, self.flat, self.off = state
-        self.table = Table(table)
+        keys, order, utf8, off, self.flat, ids_off = state
+        self.table = Table((keys, order, _code_points(utf8, int(off[-1])), off.astype(np.int64)))
+        self.off = ids_off.astype(np.int64)
 
     @staticmethod
     def state(words: pa.Array, lists: pa.Array) -> tuple:
-        """What to broadcast for these words and their ids."""
-        joined = "".join(words.to_pylist())
+        """What to broadcast for these words and their ids: words stay UTF-8 on the way, and the driver makes no string for each."""
         off = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(words)), dtype=np.int64)])
+        keys = np.empty(len(words), np.uint64)
+        for at in range(0, len(words), PIECE_ROWS):
+            part, own = words.slice(at, PIECE_ROWS), off[at : at + PIECE_ROWS + 1] - off[at]
+            keys[at : at + PIECE_ROWS] = Pieces(_code_points(string_buffers(part)[1], int(own[-1]))).hashes(own[:-1], own[1:])
+        order = np.argsort(keys, kind="stable").astype(np.int32)
         size = np.asarray(pc.list_value_length(lists)).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
         flat = np.asarray(lists.flatten()).astype(np.uint32) if len(lists) else np.zeros(0, np.uint32)
-        return Table.state(np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy(), off), flat, np.concatenate([[0], np.cumsum(size)])
+        ids_off = np.concatenate([[0], np.cumsum(size)])
+        return keys[order], order, string_buffers(words)[1].copy(), _narrow(off), flat, _narrow(ids_off)
+
+
+def _narrow(off: np.ndarray) -> np.ndarray:
+    return off.astype(np.int32) if off[-1] < 1 << 31 else off
+
+
+def _code_points(utf8: np.ndarray, n: int) -> np.ndarray:
+    """The n code points of UTF-8 bytes, decoded a megabyte at a time."""
+    out, at, decode = np.empty(n, np.uint32), 0, codecs.getincrementaldecoder("utf-8")().decode
+    for lo in range(0, len(utf8), 1 << 20):
+        part = np.frombuffer(decode(utf8[lo : lo + (1 << 20)].tobytes()).encode("utf-32-le"), np.uint32)
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+def _head(top: DataFrame) -> tuple:
+    """What to broadcast for these rows (word, ids); the collected table is gone when it is sent."""
+    rows = top.select("word", "ids").toArrow()
+    words, lists = (c.combine_chunks() for c in rows.columns)
+    return Ids.state(words, lists)
 
 
 def _take(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,6 +348,7 @@ def encode_and_decode(
     pieces_of_ids = [(tokenizer.id_to_token(i) or "").encode() for i in range(size)]
     vocab = sc.broadcast((np.frombuffer(b"".join(pieces_of_ids), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces_of_ids])])))
     special_ids = {s: tokenizer.token_to_id(s) for s in specials}
+    del tokenizer, pieces_of_ids  # the driver needs them no more
 
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # The texts are read several times and their slices must be the same each time.
@@ -325,8 +356,8 @@ def encode_and_decode(
     counts = materialize(word_counts(src, specials), "bpe-words")
     encoded = materialize(encode_words(counts, sc.broadcast(spec_text)), "bpe-encoded")
     release(counts)
-    top = most_frequent(encoded, head_words).select("word", "ids").toArrow().combine_chunks()
-    head = sc.broadcast(Ids.state(*[c.combine_chunks() for c in top.columns]))
+    head = sc.broadcast(_head(most_frequent(encoded, head_words)))
+    pa.default_memory_pool().release_unused()
     lists = write_lists(rare_words(src, specials, head), encoded)
     release(encoded)
 

@@ -539,9 +539,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         groups = groups.select("k", "node", "root", "size", "sign").repartition("k").sortWithinPartitions("k")
         return groups.mapInArrow(pairs, "u long, v long").distinct()
 
-    links = materialize(verified(tried, sets, similarity), "pairs-linked")
+    roots = materialize(connected_components(verified(tried, sets, similarity)), "pair-roots")
     for step in ("first", "likeliest", "every"):
-        roots = materialize(connected_components(links), "pair-roots")
         rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # By shuffle at every size: bands, nodes and pairs grow with the input.
         torn = rooted.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
@@ -554,8 +553,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         more = more.join(tried.hint("merge"), ["u", "v"], "left_anti")
         more = materialize(more, "pairs-tried")
         tried = tried.union(more)
-        links = links.union(materialize(verified(more, sets, similarity), "pairs-linked"))
-    roots = connected_components(links).withColumnRenamed("root", "group")
+        found = materialize(verified(more, sets, similarity), "pairs-linked")
+        # The groups so far stand for the links that made them; a step without a new link leaves them as they are.
+        if not found.isEmpty():
+            roots = materialize(connected_components(found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "pair-roots")
+    roots = roots.withColumnRenamed("root", "group")
     for table in (shared, sets):
         release(table)
     return rows.select("id", "key", "node").join(roots, "node", "left").select("id", "key", F.coalesce("group", "node").alias("group"))

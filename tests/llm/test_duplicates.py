@@ -231,3 +231,21 @@ def test_line_dedup_is_linear_in_the_lines_of_a_text(spark):
     df = spark.createDataFrame([(1, many), (2, many + "\nlast")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
     assert got[1]["deleted"] == [] and got[2]["deleted"] == list(range(60_000)) and got[2]["text"] == "last"
+
+
+def test_components_are_found_again_only_for_new_links(spark, monkeypatch):
+    """Steps that bring no new link don't search for components, and later searches get groups, not all links so far."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join(base[:150] + ["other"] + base[151:]), *[" ".join(rng.choice(base) for _ in range(50)) for _ in range(5)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls, search = [], simhash.connected_components
+
+    def counted(links):
+        calls.append(links.count())
+        return search(links)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    groups = {r["id"]: r["group"] for r in simhash.similar_groups(docs).collect()}
+    assert groups[0] == groups[1] and len(set(groups.values())) == 6
+    assert len(calls) <= 2

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,22 @@ def test_pieces_are_told_apart_by_bytes_even_where_hashes_collide():
     for hashes in (h, np.zeros(len(raw), np.uint64)):
         first, back = pieces.distinct(off[:-1], off[1:], hashes)
         assert len(first) == len(set(raw)) and [raw[first[b]] for b in back] == raw
+
+
+def test_a_head_of_words_makes_no_string_for_each_word():
+    """What the driver's Python holds of a head follows its bytes; lookups give each word's own ids."""
+    import tracemalloc
+
+    texts = ["é😀", "", "x" * 5000, *[f"word{i}" for i in range(200_000)]]
+    words, lists = pa.array(texts), pa.array([[i, 7][: 1 + i % 2] for i in range(len(texts))], pa.list_(pa.int32()))
+    tracemalloc.start()
+    state = bpe.Ids.state(words, lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(texts)
+    cp = np.frombuffer("".join([*texts, "none"]).encode("utf-32-le"), np.uint32)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in [*texts, "none"]])])
+    pieces, ids = Pieces(cp), bpe.Ids(state)
+    row = ids.table.find(pieces, off[:-1], off[1:], pieces.hashes(off[:-1], off[1:]))
+    assert row.tolist() == [*range(len(texts)), -1]
+    assert all(ids.flat[ids.off[i] : ids.off[i + 1]].tolist() == [i, 7][: 1 + i % 2] for i in (0, 1, 2, 3, 70_000, 200_002))
