@@ -21,7 +21,11 @@ MAX_MANIFEST = 500
 
 def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """pages(key, url, html) -> key, pos, tag, attr, destination, identity, fetch_url; pages with a credential in any destination give no rows but those of `credential_pages`."""
-    found = pages.select(key, H.links(F.col("html"), F.col("url")).alias("links"))
+    return scanned_links(pages.select(key, H.links(F.col("html"), F.col("url")).alias("links")), key)
+
+
+def scanned_links(found: DataFrame, key: str = "page_id") -> DataFrame:
+    """`page_links` of pages that were scanned before: found(key, links)."""
     found = found.where(~F.exists("links", lambda d: urls.has_credentials(d["destination"])))
     return found.select(key, F.posexplode("links").alias("pos", "d")).select(key, "pos", "d.tag", "d.attr", "d.destination", "d.identity", urls.strip_fragment(F.col("d.destination")).alias("fetch_url"))
 
@@ -133,10 +137,12 @@ def link_review_texts(found: DataFrame, texts: DataFrame, most_bytes: int = MAX_
     there as could be kept: behind the document that fills the review by its size, no more than the three bytes that cuts can
     leave. So a root's row holds review_bytes + text_bytes and a few hundred bytes at most.
     """
-    sized = texts.select("node", "body_bytes", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("there"))
+    # Texts are cut before the join: once a document, not once a link, and no whole text travels.
+    text = F.coalesce("text", F.lit(""))
+    sized = texts.select("node", "body_bytes", utf8_prefix(text, text_bytes).alias("head"), F.octet_length(text).alias("size"), F.lit(True).alias("there"))
     rows = found.where("status <> 'omitted'").join(sized, "node", "left")
     good = F.coalesce(F.col("there") & (F.col("status") == "ok") & (F.col("body_bytes") <= each_bytes), F.lit(False))
-    rows = rows.select("root", "rank", "node", good.alias("good"), "body_bytes", F.when(good, utf8_prefix(F.col("text"), text_bytes)).alias("head"), F.octet_length("text").alias("size"))
+    rows = rows.select("root", "rank", "node", good.alias("good"), "body_bytes", F.when(good, F.col("head")).alias("head"), "size")
     before = Window.partitionBy("root").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     full = F.coalesce(F.sum(F.coalesce(F.octet_length("head"), F.lit(0))).over(before), F.lit(0)) >= review_bytes
     rows = rows.withColumn("full", full)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetide.functions import html as H
 from pagetide.functions import urls
 from pagetide.functions.batches import small_batches
+from pagetide.functions.text import normalize_whitespace
 from pagetide.operators import links as links_op
 from pagetide.operators import targets as targets_op
 
@@ -112,23 +113,28 @@ def decisions(spark, d) -> DataFrame:
     )
 
 
-def edges(spark, d) -> DataFrame:
+def scans(spark, d) -> DataFrame:
+    """Pages read once for all that the traversal's queries need of them: size of the body, text as lines, links."""
+    p = pages(spark, d).select("page_id", F.octet_length("html").cast("long").alias("body_bytes"), H.scanned(F.col("html"), F.col("url")).alias("scan"))
+    return kept(p.select("page_id", "body_bytes", normalize_whitespace(F.col("scan.text")).alias("text"), F.col("scan.links").alias("links")), "scans")
+
+
+def edges(spark, d, scanned: DataFrame | None = None) -> DataFrame:
     """Where pages lead: their links, matched with the pages' own URLs, fragments aside. Relative links of pages lead to few
     pages, so each link also stands for the page whose number its hash gives: the graph has hubs and uneven fan-out as the links have."""
     p = table(spark, d, "pages")
     n = p.count()
-    found = links_op.page_links(pages(spark, d)).select(F.col("page_id").alias("parent"), "fetch_url", "identity")
+    found = links_op.page_links(pages(spark, d)) if scanned is None else links_op.scanned_links(scanned.select("page_id", "links"))
+    found = found.select(F.col("page_id").alias("parent"), "fetch_url", "identity")
     known = p.select(F.col("page_id").alias("child"), urls.strip_fragment(F.col("url")).alias("fetch_url"))
     direct = found.join(known, "fetch_url").select("parent", "child")
     by_hash = found.select("parent", F.pmod(F.conv(F.substring("identity", 1, 15), 16, 10).cast("long"), F.lit(max(n, 1))).alias("child"))
     return direct.union(by_hash).where("parent <> child").distinct()
 
 
-def bodies(spark, d) -> DataFrame:
+def bodies(scanned: DataFrame) -> DataFrame:
     """Pages that can be fetched, with the sizes of body and text."""
-    t = texts(pages(spark, d)).select("page_id", F.octet_length("text").cast("long").alias("text_bytes"))
-    p = table(spark, d, "pages").where(F.col("page_id") % 11 != 0).select(F.col("page_id"), F.octet_length("html").cast("long").alias("body_bytes"))
-    return p.join(t, "page_id").withColumnRenamed("page_id", "node")
+    return scanned.where("page_id % 11 <> 0").select(F.col("page_id").alias("node"), "body_bytes", F.octet_length("text").cast("long").alias("text_bytes"))
 
 
 def state_files(spark, d, generation: int) -> DataFrame:

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from pagetide.plans import queries
+from pagetide.functions import html
+from pagetide.plans import queries, views
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "pages", "conversations")
@@ -156,3 +158,21 @@ def test_report_files_reads_the_pages_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_sections", lambda *a: calls.append(a) or made(*a))
     assert queries.QUERIES["report_files"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["link_budget", "link_reviews", "link_review_texts"])
+def test_link_reviews_scan_the_pages_once(spark, monkeypatch, name):
+    calls, scan = [], html.scanned
+    monkeypatch.setattr(html, "scanned", lambda *a: calls.append(a) or scan(*a))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
+
+
+def test_scans_hold_what_separate_scans_give(spark):
+    d = "/root/testdata/sf0.001"
+    scanned = views.scans(spark, d)
+    lines = views.texts(views.pages(spark, d)).join(views.table(spark, d, "pages").select("page_id", F.octet_length("html").cast("long").alias("body_bytes")), "page_id")
+    want = sorted(map(tuple, lines.select("page_id", "body_bytes", "text").collect()))
+    assert sorted(map(tuple, scanned.select("page_id", "body_bytes", "text").collect())) == want
+    edges = [sorted(map(tuple, x.collect())) for x in (views.edges(spark, d), views.edges(spark, d, scanned))]
+    assert edges[0] == edges[1] and edges[0]
