@@ -37,10 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. What its plan left on the driver goes."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +53,11 @@ def release(df: DataFrame) -> None:
         if path.startswith(root) or path.startswith(root.replace("file://", "file:")):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    # Spark deletes a shuffle's files once the driver has collected its plan as garbage.
+    collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files and broadcasts once the driver has collected their plan as garbage; its heap, which grows by plans and task metrics, shrinks too."""
     gc.collect()
     spark._jvm.System.gc()
 

@@ -9,19 +9,19 @@ from pagetide.llm.common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. Each node of links (u > v) hands its neighbours on to the smallest of them."""
-    if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(least, "u")
+    """One round. Each node of links (u > v) hands its neighbours on to the smallest of them.
+
+    The row of the smallest neighbour stands for the node's own link to it, so no second pass over the least ones is joined in.
+    Links may come out more than once, no more rows than links and nodes together.
+    """
+    both = edges.select("u", "v")
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = out.union(least.where("m < u").select("u", F.col("m").alias("v")))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # By shuffle at every size: links grow with the input, and tables broadcast in each round are made and held by the driver.
+    joined = both.join(least.hint("merge"), "u").where("v > u OR v = m" if large else "true")
+    out = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -43,7 +43,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     mark = _mark(edges)
     while mark[0]:
-        after = materialize(_star(_star(edges, True), False), "links")
+        after = materialize(_star(_star(edges, True), False).distinct(), "links")
         release(edges)
         edges, last, mark = after, mark, _mark(after)
         if mark == last:

@@ -1,11 +1,12 @@
 import random
+import tempfile
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagetide.llm import components, linededup, simhash
+from pagetide.llm import common, components, linededup, simhash
 
 
 def roots_of(links, nodes):
@@ -249,3 +250,21 @@ def test_components_are_found_again_only_for_new_links(spark, monkeypatch):
     groups = {r["id"]: r["group"] for r in simhash.similar_groups(docs).collect()}
     assert groups[0] == groups[1] and len(set(groups.values())) == 6
     assert len(calls) <= 2
+
+
+def test_a_round_of_stars_reads_the_links_few_times(spark):
+    """What a round plans and shuffles is the driver's to hold: each star reads its links twice (large: from both ends), and nothing is broadcast."""
+    path = tempfile.mkdtemp() + "/links"
+    spark.createDataFrame([(i + 1, i) for i in range(50)] + [(60, k) for k in range(51, 60)], "u long, v long").write.parquet(path)
+    links = spark.read.parquet(path)
+    plan = components._star(components._star(links, True), False).distinct()
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") <= 8 and "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert len(plan.collect()) == plan.distinct().count()
+
+
+def test_materialize_collects_the_driver_s_garbage(spark, tmp_path):
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = beans()
+    common.materialize(spark.range(3), "three")
+    assert beans() > before
