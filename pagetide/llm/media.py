@@ -4,7 +4,8 @@ A text's UTF-8 bytes, padded to 64, become the samples of an 8-bit greyscale PNG
 distinct payload that it meets once to its own tar shard in the shared folder; where several tasks stored the same
 digest, all rows point to one of the copies, so a payload that a third of the rows hold is kept once a task at most and
 no text is shuffled. Readers fetch ranges only: a first pass reads the headers (tar block and image header) and fills the
-metadata columns, a second the stored bytes that are wanted.
+metadata columns, a second the stored bytes that are wanted. Each pass adds its columns to the rows that it gets, so that
+both follow one another in a task, and digests are shuffled as their 32 bytes, not as hex digits.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a member that hold all metadata: a tar block, then signature and IHDR chunk.
 HEADER_BYTES = 512 + 33
+#: Stored bytes that one reading task is meant to get.
+READ_BYTES = 64 << 20
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -128,8 +131,9 @@ def store_payloads(docs: DataFrame, root: str, id_col: str = "doc_id", text_col:
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), *[T.StructField(a, b) for a, b in fields]]))
 
 
-def _ranges(refs: DataFrame, root: str, first: int, read, fields: list[tuple[str, str]]) -> DataFrame:
-    """Apply `read(member bytes)` to a range of each referenced member, shard by shard in order of offset."""
+def _ranges(refs: DataFrame, root: str, first: int, read, fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """The columns of `refs` and those that `read(member bytes)` gives for a range of each referenced member, in the order of the rows."""
+    taken = refs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name, f = Store(root), None, None
@@ -142,28 +146,29 @@ def _ranges(refs: DataFrame, root: str, first: int, read, fields: list[tuple[str
                     name, f = shard, store.open(shard)
                 f.seek(at - 512)
                 rows.append(read(f.read(min(first, 512 + size) if first else 512 + size)))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *[pa.array(c) for c in zip(*rows, strict=True)]], names=["digest", *[n for n, _ in fields]])
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in zip(*rows, strict=True)]], names=[*taken, *[n for n, _ in fields]])
         if f is not None:
             f.close()
 
-    return refs.mapInArrow(run, "digest string, " + ", ".join(f"{n} {t}" for n, t in fields))
+    return refs.mapInArrow(run, T.StructType([*refs.schema.fields, *[T.StructField(n, t) for n, t in fields]]))
 
 
 def read_headers(refs: DataFrame, root: str) -> DataFrame:
-    """(digest, name, media_bytes, width, height, depth) from the first 545 bytes of each member."""
+    """refs (shard, offset, length and others) with name, media_bytes, width, height, depth from the first 545 bytes of each member."""
 
     def read(head: bytes) -> tuple:
         w, h, depth = png_header(head[512:545])
         large = head[124] & 0x80
         return head[:100].rstrip(b"\0").decode(), int.from_bytes(head[125:136], "big") if large else int(head[124:135], 8), w, h, depth
 
-    return _ranges(refs, root, HEADER_BYTES, read, [("name", "string"), ("media_bytes", "long"), ("width", "long"), ("height", "long"), ("depth", "long")])
+    return _ranges(refs, root, HEADER_BYTES, read, [("name", T.StringType()), *[(n, T.LongType()) for n in ("media_bytes", "width", "height", "depth")]])
 
 
 def read_features(refs: DataFrame, root: str) -> DataFrame:
-    """(digest, payload_sha256, tail_crc32, media_sha256, feature) from the stored bytes of each member.
+    """refs (shard, offset, length and others) with payload_sha256, tail_crc32, media_sha256, feature from the stored bytes of each member.
 
-    feature: mean and standard deviation of the samples, and eight counts of the samples by their three high bits.
+    Both hashes are binary. feature: mean and standard deviation of the samples, and eight counts of the samples by their three high bits.
     """
 
     def read(member: bytes) -> tuple:
@@ -172,9 +177,9 @@ def read_features(refs: DataFrame, root: str) -> DataFrame:
         samples = np.frombuffer(payload, np.uint8)
         bins = np.bincount(samples >> 5, minlength=8)
         feature = f"{samples.mean():.4f};{samples.std():.4f};" + ",".join(map(str, bins.tolist()))
-        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(blob).hexdigest(), feature
+        return hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), hashlib.sha256(blob).digest(), feature
 
-    return _ranges(refs, root, 0, read, [("payload_sha256", "string"), ("tail_crc32", "long"), ("media_sha256", "string"), ("feature", "string")])
+    return _ranges(refs, root, 0, read, [("payload_sha256", T.BinaryType()), ("tail_crc32", T.LongType()), ("media_sha256", T.BinaryType()), ("feature", T.StringType())])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +190,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     root = new_path(spark, "media")
-    rows = materialize(store_payloads(docs, root, id_col, text_col), "media-rows")
+    rows = materialize(store_payloads(docs, root, id_col, text_col).withColumn("digest", F.unhex("digest")), "media-rows")
     place = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
-    place = materialize(place.repartitionByRange(spark.sparkContext.defaultParallelism * 2, "shard", "offset").sortWithinPartitions("shard", "offset"), "media-places")
-    meta = read_headers(place, root).drop("name")
-    made = place.join(meta, "digest").join(read_features(place, root), "digest")
-    return rows.select("id", "n_bytes", "digest").join(made, "digest")
+    tasks = max(spark.sparkContext.defaultParallelism * 2, (rows.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
+    place = place.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+    made = read_features(read_headers(place, root).drop("name"), root)
+    found = rows.select("id", "n_bytes", "digest").join(made, "digest")
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})

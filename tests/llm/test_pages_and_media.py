@@ -1,4 +1,5 @@
 import hashlib
+import re
 import tarfile
 import zlib
 from urllib.parse import urlparse
@@ -122,6 +123,32 @@ def test_shards_are_tar_files_of_distinct_payloads(spark, odd_docs):
         assert hashlib.sha256(media.from_png(first)).hexdigest() + ".png" == names[0]
 
 
+def test_media_moves_few_bytes_a_row(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    sc, n = spark._jsc.sc(), docs.count()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert len(media.media_columns(docs).collect()) == n
+        assert (shuffled() - before) / n < 330
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_media_reading_tasks_follow_the_stored_bytes(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(media, "READ_BYTES", 100)
+    got = media.media_columns(odd_docs)
+    tasks = re.search(r"rangepartitioning\(.*, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())[1]
+    assert int(tasks) > 2 * spark.sparkContext.defaultParallelism
+    assert got.count() == odd_docs.count()
+
+
 def test_png_round_trip():
     for payload in (media.pad(b""), media.pad(bytes(range(256)) * 3), media.pad("é".encode() * 1001)):
         assert media.from_png(media.to_png(payload)) == payload
