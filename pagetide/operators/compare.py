@@ -85,27 +85,31 @@ def revision_history(texts: DataFrame, key: str, order: str) -> DataFrame:
     return seen.select(key, order, status.alias("status"), "sha256")
 
 
-def _diff(pair: DataFrame, key: str, most_lines: int, most_bytes: int, most_pairs: int | None) -> DataFrame:
+def _diff(pair: DataFrame, key: str, most_lines: int | None, most_bytes: int | None, most_pairs: int | None) -> DataFrame:
     """(key, diff, truncated) of pair(key, new_text, old_text)."""
+    prefix = lambda t: t if most_bytes is None else utf8_prefix(t, most_bytes)
     costly = F.lit(False) if most_pairs is None else line_count(F.col("new_text")).cast("long") * line_count(F.col("old_text")) > most_pairs
-    notice = F.array_join(F.slice(F.array(F.lit("--- previous"), F.lit("+++ current"), F.lit("@@ diff omitted: complexity limit exceeded @@")), 1, most_lines), "\n")
     heads, rows = diffs.hunks(diffs.edit_script(pair.where(~costly), key), key)
-    cut = utf8_prefix(F.col("text"), most_bytes)
-    shown = diffs.rendered(heads, rows, key, most_lines).select(key, cut.alias("diff"), ((F.col("n_lines") > most_lines) | (cut != F.col("text"))).alias("truncated"))
-    return shown if most_pairs is None else shown.union(pair.where(costly).select(key, utf8_prefix(notice, most_bytes), F.lit(True)))
+    cut = prefix(F.col("text"))
+    beyond = F.lit(False) if most_lines is None else F.col("n_lines") > most_lines
+    shown = diffs.rendered(heads, rows, key, most_lines).select(key, cut.alias("diff"), (beyond | (cut != F.col("text"))).alias("truncated"))
+    if most_pairs is None:
+        return shown
+    notice = F.array(F.lit("--- previous"), F.lit("+++ current"), F.lit("@@ diff omitted: complexity limit exceeded @@"))
+    notice = F.array_join(notice if most_lines is None else F.slice(notice, 1, most_lines), "\n")
+    return shown.union(pair.where(costly).select(key, prefix(notice), F.lit(True)))
 
 
-def unified_diff(current: DataFrame, previous: DataFrame, key: str, most_lines: int = MAX_DIFF_LINES, most_bytes: int = MAX_DIFF_BYTES, most_pairs: int | None = MAX_DIFF_PAIRS) -> DataFrame:
-    """(key, diff, truncated): unified diff with three lines of context, for rows whose texts differ, within both bounds.
+def unified_diff(current: DataFrame, previous: DataFrame, key: str, most_lines: int | None = MAX_DIFF_LINES, most_bytes: int | None = MAX_DIFF_BYTES, most_pairs: int | None = MAX_DIFF_PAIRS) -> DataFrame:
+    """(key, diff, truncated): unified diff with three lines of context, for rows whose texts differ, within both bounds; None for a bound gives all.
 
-    Texts of more than `most_pairs` pairs of lines have a notice in place of a diff; with None every pair is compared, long ones in
-    gaps between anchors (`diffs.edit_script`).
+    Texts of more than `most_pairs` pairs of lines have a notice in place of a diff; with None every pair is compared, and exactly.
     """
     return _diff(differing(current, previous, key), key, most_lines, most_bytes, most_pairs)
 
 
-def change_record(current: DataFrame, previous: DataFrame, key: str, most_lines: int = MAX_DIFF_LINES, most_bytes: int = MAX_DIFF_BYTES) -> DataFrame:
-    """change_status with (diff, diff_truncated): empty and false unless the text has changed. Where link markers count as a set, the diff is one of the texts' comparison views."""
+def change_record(current: DataFrame, previous: DataFrame, key: str, most_lines: int | None = MAX_DIFF_LINES, most_bytes: int | None = MAX_DIFF_BYTES, most_pairs: int | None = MAX_DIFF_PAIRS) -> DataFrame:
+    """change_status with (diff, diff_truncated): empty and false unless the text has changed. Where link markers count as a set, the diff is one of the texts' comparison views. Bounds as in `unified_diff`."""
     status = change_status(current, previous, key)
     changed = status.where("status = 'changed'").select(key)
     new, old = F.col("new_text"), F.col("old_text")
@@ -114,5 +118,5 @@ def change_record(current: DataFrame, previous: DataFrame, key: str, most_lines:
     as_set = (trail[0] & trail[1]) | ((trail[0] != trail[1]) & (F.size(H.link_markers(new)) > 0) & (H.link_markers(new) == H.link_markers(old)) & (words(new) == words(old)))
     view = lambda t: F.when(as_set, H.comparison_view(t)).otherwise(t)
     pair = differing(current, previous, key).join(changed, key, "left_semi").select(key, view(new).alias("new_text"), view(old).alias("old_text"))
-    diff = _diff(pair, key, most_lines, most_bytes, MAX_DIFF_PAIRS).withColumnRenamed("truncated", "diff_truncated")
+    diff = _diff(pair, key, most_lines, most_bytes, most_pairs).withColumnRenamed("truncated", "diff_truncated")
     return status.join(diff, key, "left").withColumns({"diff": F.coalesce("diff", F.lit("")), "diff_truncated": F.coalesce("diff_truncated", F.lit(False))})

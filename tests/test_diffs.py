@@ -85,3 +85,29 @@ def test_change_record(spark):
     assert got[3] == ("changed", "--- previous\n+++ current\n@@ -1 +1 @@\n-a\n+b", False)
     # Markers are sorted before the comparison, so that only the new one is a change.
     assert got[5][1].split("\n")[2:] == ["@@ -1,2 +1,3 @@", " t", " " + mark("1").strip(), "+" + mark("3").strip()]
+
+
+@pytest.mark.parametrize("most_pairs", [0, 50, 5_000])
+def test_longer_texts_are_compared_as_exactly(spark, most_pairs):
+    """Beyond the limit too: repeated lines without any that a side has once, and lines of one side alone."""
+    rng = random.Random(7)
+    line = lambda kinds: f"l{rng.randrange(kinds)}"
+    made = pairs_of_texts() + [([line(k) for _ in range(rng.randrange(1, 150))], [line(k) for _ in range(rng.randrange(1, 150))]) for k in [1, 2, 5, 400] * 10]
+    for old, new in made:
+        places = diffs.common(old, new, most_pairs)
+        assert all(old[i] == new[j] for i, j in places) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:]))
+        assert len(places) == longest(old, new)
+    rows = spark.createDataFrame([(k, "".join(x + "\n" for x in new), "".join(x + "\n" for x in old)) for k, (old, new) in enumerate(made)], "k int, new_text string, old_text string")
+    same = {r["k"]: r["n"] for r in diffs.edit_script(rows, "k", most_pairs).where("op = ' '").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert [same.get(k, 0) for k in range(len(made))] == [longest(*pair) for pair in made]
+
+
+def test_few_equal_pairs_and_masks_made_again(monkeypatch):
+    """Both ways for long texts against the table of all rows: by equal pairs of lines, and in halves with one mask kept."""
+    monkeypatch.setattr(diffs, "MASK_BYTES", 1)
+    rng = random.Random(8)
+    for kinds, n in ((100_000, 6_000), (7, 2_100)):
+        old, new = [[str(rng.randrange(kinds)) for _ in range(n)] for _ in range(2)]
+        places = diffs.common(old, new)
+        assert all(old[i] == new[j] for i, j in places) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:]))
+        assert len(places) == len(diffs._by_rows(old, new)) > 0

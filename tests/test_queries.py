@@ -176,3 +176,23 @@ def test_scans_hold_what_separate_scans_give(spark):
     assert sorted(map(tuple, scanned.select("page_id", "body_bytes", "text").collect())) == want
     edges = [sorted(map(tuple, x.collect())) for x in (views.edges(spark, d), views.edges(spark, d, scanned))]
     assert edges[0] == edges[1] and edges[0]
+
+
+@pytest.fixture(scope="module")
+def odd_pages(tmp_path_factory):
+    """(folder, connection): pages of more than four million pairs of lines and of lines whose diff is longer than any bound of the operators."""
+    d, c = tmp_path_factory.mktemp("odd"), duckdb.connect()
+    page = lambda body: f"<html><body><ul><li><a href=\"/a\">a</a></li></ul><article><h1>t</h1>{body}</article><footer>f</footer></body></html>"
+    many, long = "".join(f"<p>line {i % 900}</p>" for i in range(2_100)), "".join(f"<p>{'word ' * 6_000}{i}</p>" for i in range(5))
+    pages = [(3, page(many)), (4, page(many)), (8, page(long)), (13, page("<p>x</p>")), (14, page(long)), (10, page("<p>y</p>")), (11, page("<p>z</p>"))]
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(k, f"https://example.org/{k}", html) for k, html in pages])
+    c.sql(f"COPY pages TO '{d}/pages.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["unified_diff"])
+def test_long_pages_equal_the_sql(spark, odd_pages, name):
+    d, c = odd_pages
+    df, want = queries.QUERIES[name](spark, d), c.sql(queries.SQL[name])
+    assert canon(df.columns, df.collect()) == canon(want.columns, want.fetchall())
