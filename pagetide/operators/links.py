@@ -72,11 +72,11 @@ def merged_links(page: DataFrame, supplied: DataFrame, key: str) -> DataFrame:
     return page.select(key, "identity", F.lit("page").alias("origin")).distinct().union(more.select(key, "identity", F.lit("supplied").alias("origin")).distinct())
 
 
-def linked_documents(roots: DataFrame, edges: DataFrame, documents: DataFrame, depth: int = 3, most: int = MAX_LINKS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def linked_documents(roots: DataFrame, edges: DataFrame, documents: DataFrame, depth: int = 3, most: int | None = MAX_LINKS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Breadth-first from each root: (root, node, depth, rank, status).
 
     roots(root), edges(parent, child), documents(node, ok). A node belongs to the first parent in queue order that reaches
-    it; past `most` nodes a root's further ones are `omitted`; a node without a document is an `error` and leads nowhere.
+    it; past `most` nodes a root's further ones are `omitted`, none with None; a node without a document is an `error` and leads nowhere.
     The number of rounds is `depth`, whatever the data; each round joins the frontier with the edges once. `keep` writes a frontier and reads it back, so that no round runs
     again for the ones behind it.
     """
@@ -90,33 +90,40 @@ def linked_documents(roots: DataFrame, edges: DataFrame, documents: DataFrame, d
         before = seen.groupBy("root").agg(F.max("rank").alias("done"))
         ranked = fresh.join(before, "root").withColumn("rank", F.col("done") + F.row_number().over(Window.partitionBy("root").orderBy("parent_rank", "node")))
         found = ranked.join(documents, "node", "left")
-        status = F.when(F.col("rank") > most, "omitted").when(F.col("ok"), "ok").otherwise("error")
+        beyond = F.lit(False) if most is None else F.col("rank") > most
+        status = F.when(beyond, "omitted").when(F.col("ok"), "ok").otherwise("error")
         frontier = keep(found.select("root", "node", F.lit(level).alias("depth"), "rank", status.alias("status")))
         seen = seen.union(frontier)
         out = frontier if out is None else out.union(frontier)
     return out
 
 
-def link_budget(found: DataFrame, sizes: DataFrame, most_bytes: int = MAX_TOTAL_BYTES, each_bytes: int = MAX_LINK_BYTES, review_bytes: int = MAX_REVIEW_BYTES, text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+def link_budget(found: DataFrame, sizes: DataFrame, most_bytes: int | None = MAX_TOTAL_BYTES, each_bytes: int = MAX_LINK_BYTES, review_bytes: int | None = MAX_REVIEW_BYTES, text_bytes: int | None = MAX_TEXT_BYTES) -> DataFrame:
     """Shared budgets of a root in queue order: (root, node, rank, included, kept_bytes, truncated).
 
-    found(root, node, rank, status), sizes(node, body_bytes, text_bytes). An error costs the full allowance of a document.
+    found(root, node, rank, status), sizes(node, body_bytes, text_bytes). An error costs the full allowance of a document. None for a
+    budget sets no bound; `each_bytes` is what a document costs at most of `most_bytes`.
     """
     rows = found.where("status <> 'omitted'").join(sizes, "node", "left")
     cost = F.when((F.col("status") == "error") | (F.col("body_bytes") > each_bytes), each_bytes).otherwise(F.col("body_bytes"))
-    kept = F.when(F.col("status") == "ok", F.least(F.col("text_bytes"), F.lit(text_bytes))).otherwise(0)
+    size = F.col("text_bytes") if text_bytes is None else F.least(F.col("text_bytes"), F.lit(text_bytes))
+    kept = F.when(F.col("status") == "ok", size).otherwise(0)
     before = Window.partitionBy("root").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    spent = rows.withColumn("cost", cost).withColumn("kept", kept).withColumn("fetched", F.coalesce(F.sum("cost").over(before), F.lit(0))).withColumn("used", F.coalesce(F.sum("kept").over(before), F.lit(0)))
-    included = (F.col("fetched") < most_bytes) & (F.col("used") < review_bytes)
-    room = F.least(F.col("kept"), review_bytes - F.col("used"))
-    return spent.select("root", "node", "rank", included.alias("included"), F.when(included, room).otherwise(0).cast("long").alias("kept_bytes"), F.coalesce(included & (F.col("status") == "ok") & (room < F.col("text_bytes")), F.lit(False)).alias("truncated"))
+    spent = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    rows = rows.withColumn("cost", cost).withColumn("kept", kept)
+    rows = rows if most_bytes is None else rows.withColumn("fetched", spent("cost"))
+    rows = rows if review_bytes is None else rows.withColumn("used", spent("kept"))
+    fetchable = F.lit(True) if most_bytes is None else F.col("fetched") < most_bytes
+    included = fetchable & (F.lit(True) if review_bytes is None else F.col("used") < review_bytes)
+    room = F.col("kept") if review_bytes is None else F.least(F.col("kept"), review_bytes - F.col("used"))
+    return rows.select("root", "node", "rank", included.alias("included"), F.when(included, room).otherwise(0).cast("long").alias("kept_bytes"), F.coalesce(included & (F.col("status") == "ok") & (room < F.col("text_bytes")), F.lit(False)).alias("truncated"))
 
 
 def link_reviews(found: DataFrame, budget: DataFrame) -> DataFrame:
     """(root, documents, omitted, incomplete): one row a root with documents(rank, node, status, kept_bytes, truncated) in order.
 
     Documents past the cap or the budgets count as omitted; any omission, error or cut makes the review incomplete. A
-    root has at most the cap's documents, so the array is bounded.
+    root has at most the cap's documents; without a cap as many as its links reach.
     """
     rows = found.join(budget.select("root", "node", "included", "kept_bytes", "truncated"), ["root", "node"], "left")
     taken = (F.col("status") != "omitted") & F.coalesce("included", F.lit(False))

@@ -196,3 +196,26 @@ def test_long_pages_equal_the_sql(spark, odd_pages, name):
     d, c = odd_pages
     df, want = queries.QUERIES[name](spark, d), c.sql(queries.SQL[name])
     assert canon(df.columns, df.collect()) == canon(want.columns, want.fetchall())
+
+
+def test_link_reviews_hold_all_that_the_links_reach(spark):
+    """No document within three links of a root is left out, nor a byte of its text."""
+    d = "/root/testdata/sf0.001"
+    arcs, sizes = {}, {}
+    for r in views.edges(spark, d).collect():
+        arcs.setdefault(r["parent"], []).append(r["child"])
+    for r in views.bodies(views.scans(spark, d)).collect():
+        sizes[r["node"]] = r["text_bytes"]
+    want = {}
+    for root in arcs:
+        seen, frontier, documents = {root}, [root], []
+        for _ in range(3):
+            found = dict.fromkeys(x for parent in frontier for x in sorted(arcs.get(parent, ())) if x not in seen)
+            documents += found
+            seen |= set(found)
+            frontier = [x for x in found if x in sizes]
+        want[root] = [(rank, x, "ok" if x in sizes else "error", sizes.get(x, 0), False) for rank, x in enumerate(documents, 1)]
+    got = {r["root"]: r for r in queries.QUERIES["link_reviews"](spark, d).collect()}
+    assert {root: [tuple(x) for x in r["documents"]] for root, r in got.items()} == want and max(map(len, want.values())) > 20
+    for root, r in got.items():
+        assert (r["n_documents"], r["omitted"]) == (len(want[root]), 0) and r["incomplete"] == any(x[2] == "error" for x in want[root])
