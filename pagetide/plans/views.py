@@ -58,7 +58,8 @@ def previous_pages(spark, d) -> DataFrame:
 
 
 def texts(rows: DataFrame) -> DataFrame:
-    return rows.select("page_id", "url", H.to_lines(F.col("html"), F.col("url")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+    """Pages as lines; a page without HTML has an empty text."""
+    return rows.select("page_id", "url", H.to_lines(F.coalesce("html", F.lit("")), F.col("url")).alias("text")).withColumn("sha256", F.sha2("text", 256))
 
 
 def watched(spark, d) -> DataFrame:

@@ -219,3 +219,21 @@ def test_link_reviews_hold_all_that_the_links_reach(spark):
     assert {root: [tuple(x) for x in r["documents"]] for root, r in got.items()} == want and max(map(len, want.values())) > 20
     for root, r in got.items():
         assert (r["n_documents"], r["omitted"]) == (len(want[root]), 0) and r["incomplete"] == any(x[2] == "error" for x in want[root])
+
+
+@pytest.fixture(scope="module")
+def empty_pages(tmp_path_factory):
+    """(folder, connection): pages without HTML, with empty HTML or without text, today or in both versions, among others."""
+    d, c = tmp_path_factory.mktemp("empty"), duckdb.connect()
+    pages = [(k, f"https://example.org/{k}", html) for k, html in enumerate(([None, "", "<html></html>", "<p>text</p>"] * 5))]
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    c.sql(f"COPY pages TO '{d}/pages.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["change_status", "change_record", "link_set_compare"])
+def test_empty_pages_equal_the_sql(spark, empty_pages, name):
+    d, c = empty_pages
+    df, want = queries.QUERIES[name](spark, d), c.sql(queries.SQL[name])
+    assert canon(df.columns, df.collect()) == canon(want.columns, want.fetchall())
