@@ -142,6 +142,19 @@ def script(old: Sequence[str], new: Sequence[str], most_pairs: int = MAX_PAIRS)
     return out
 
 
+def _rising():
+    """`rising` of a column of places."""
+
+    def rises_piece(places: pa.Array) -> pa.Array:
+        return pa.array([rising(p) for p in places.to_pylist()], pa.list_(pa.int32()))
+
+    @F.arrow_udf("array<int>")
+    def rises(places: pa.Array) -> pa.Array:
+        return by_pieces(rises_piece, places)
+
+    return rises
+
+
 def _compared(most_pairs: int):
     def compare_piece(old: pa.Array, new: pa.Array) -> pa.Array:
         ops, lines, sizes = [], [], [0]
